@@ -57,7 +57,7 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
 
 
-def running_offsets(df: DataFrame, group: str, size: Column, order: list[str], rows_per_bucket: int = 20_000, n_rows: int | None = None) -> DataFrame:
+def running_offsets(df: DataFrame, group: str, size: Column, order: list[str], rows_per_bucket: int = 2_000, n_rows: int | None = None) -> DataFrame:
     """Add `offset`: the sum of `size` over the rows before this one in its group.
 
     Two levels, so that no task holds a whole group: rows are dealt to (group, bucket) by a hash of `order`, bucket

@@ -76,12 +76,13 @@ def draw_slots(plan: DataFrame, seed: int = 0, n_shards: int = N_OUTPUT_SHARDS)
 
     Each output shard's source counts are multinomial, conditioned on every source's total: a permutation of all slots
     deals exactly `slots` of them to each source, and a shard is a range of slots. The j-th slot of a source takes its
-    epoch's permutation of the source's blocks at j. A source's slots are made from its counts in chunks of 65,536, so
-    the hot source is spread; the inverse view (which slot holds draw j) is the permutation itself, a bijection.
+    epoch's permutation of the source's blocks at j. A source's slots are made from its counts in chunks that are dealt over
+    the tasks, so the hot source is spread; the inverse view (which slot holds draw j) is the permutation itself, a bijection.
     """
-    chunk = 65_536
+    chunk = 16_384
+    total = plan.agg(F.max("all_slots")).first()[0] or 0
     draws = plan.where("slots > 0").select("source_no", "n_blocks", "slots", "first_slot", "all_slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / chunk).cast("int"))).alias("c"))
-    draws = draws.repartition(draws.source_no, draws.c)
+    draws = draws.repartition(max(8, -(-total // (4 * chunk))), "source_no", "c")
     first = F.col("c").cast("long") * chunk
     draws = draws.select("source_no", "n_blocks", "first_slot", "all_slots", F.explode(F.sequence(first, F.least(first + chunk, F.col("slots")) - 1)).alias("j"))
     slot = permuted(F.col("first_slot") + F.col("j"), F.col("all_slots"), F.lit("slots"), F.lit(seed))
@@ -120,7 +121,8 @@ def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, n_shards
     start = F.greatest(F.col("offset"), F.col("block") * block_words)
     stop = F.least(end, (F.col("block") + 1) * block_words)
     pieces = pieces.select("doc_id", "text_hash", "size", "offset", "source_no", "block", (start - F.col("offset")).alias("from_word"), (stop - start).alias("n_words"))
-    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    # Written, so that its true size decides how it is joined: Spark can't tell how many rows the sequences above make.
+    times = materialize(slots.groupBy("source_no", "block").agg(F.count("*").alias("times")), "mix-times")
     drawn = pieces.join(times, ["source_no", "block"])
     # Rows are told apart by their place in the source's stream.
     by_row = ["source_no", "offset", "doc_id", "size"]
