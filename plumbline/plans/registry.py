@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import document_queries, drawing_queries
+
 
 def queries() -> dict:
-    return {}
+    return document_queries.QUERIES | drawing_queries.QUERIES
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return document_queries.SQL | drawing_queries.SQL
