@@ -1,3 +1,305 @@
-"""x"""
-QUERIES = {}
-SQL = {}
+"""Queries over grids, file names, callouts, drawing entities, catalogs and events, with the SQL to hold them against."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import measures, routing
+from ..operators import geometry, matching
+from ..sources import grid
+from ..streaming import intake
+from .document_queries import table
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    """A sheet for each supplier: a title, a header (of one of two forms) and its line items, some without description or amount."""
+    sheet = F.col("l_suppkey").alias("sheet")
+    rows = table(spark, d, "lineitem").select(sheet, (F.col("l_orderkey") * 10 + F.col("l_linenumber") + 10).alias("row_no"), F.array(
+        F.col("l_linenumber").cast("string"), F.expr("if(l_orderkey % 6 = 0, '', concat('part ', l_partkey))"), F.expr("cast(cast(l_quantity as bigint) as string)"), F.lit("nos"),
+        F.expr("concat(cast(l_partkey div 1000 as string), ',', lpad(cast(l_partkey % 1000 as string), 3, '0'))"), F.expr("if(l_orderkey % 4 = 0, 'n/a', cast(l_orderkey as string))"),
+    ).alias("cells"))
+    s = table(spark, d, "lineitem").select(sheet).distinct()
+    title = s.select("sheet", F.lit(0).cast("long").alias("row_no"), F.array(F.lit("Tender")).alias("cells"))
+    a, b = (F.array(*[F.lit(x) for x in h]) for h in (("Sl No", "Description", "Qty", "Unit", "Unit Rate", "Amount"), ("Item", "Particulars", "Quantity", "UOM", "Price", "Total")))
+    header = s.select("sheet", F.lit(1).cast("long").alias("row_no"), F.when(F.col("sheet") % 2 == 0, a).otherwise(b).alias("cells"))
+    return title.union(header).union(rows)
+
+
+_GRID = """gr AS (SELECT l_suppkey sheet, l_orderkey * 10 + l_linenumber + 10 row_no, l_orderkey, l_linenumber, l_partkey, l_quantity::BIGINT q FROM lineitem),
+its AS (SELECT sheet, row_no, l_linenumber::VARCHAR item_item_number, 'part ' || l_partkey item_description, q::DOUBLE item_quantity, 'nos' item_unit, l_partkey::DOUBLE item_rate, CASE WHEN l_orderkey % 4 <> 0 THEN l_orderkey::DOUBLE END item_amount FROM gr WHERE l_orderkey % 6 <> 0)"""
+
+
+@query("SELECT DISTINCT l_suppkey sheet, 1::BIGINT header_row, 6 n_signals FROM lineitem WHERE l_suppkey % 2 = 0 UNION SELECT DISTINCT l_suppkey, 1, 5 FROM lineitem WHERE l_suppkey % 2 = 1")
+def header_row(spark, d):
+    return grid.header_rows(_grid(spark, d))
+
+
+@query("SELECT DISTINCT l_suppkey sheet, 0 item_number, 1 description, 2 quantity, 3 unit, 4 rate, 5 amount, NULL::INT category, NULL::INT sub_category FROM lineitem")
+def column_map(spark, d):
+    g = _grid(spark, d)
+    return grid.column_map(g, grid.header_rows(g))
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    g = _grid(spark, d)
+    heads = grid.header_rows(g)
+    return grid.grid_items(g, heads, grid.column_map(g, heads))
+
+
+@query(f"WITH {_GRID} SELECT sheet, row_no, item_item_number, item_description, item_quantity, item_unit, item_rate, item_amount FROM its")
+def grid_items(spark, d):
+    return _items(spark, d).drop("item_category", "item_sub_category")
+
+
+@query(f"""WITH {_GRID} SELECT sheet, row_no, concat_ws(' | ', 'item_number: ' || item_item_number, 'description: ' || item_description, 'quantity: ' || printf('%.2f', item_quantity), 'unit: nos', 'rate: ' || printf('%.2f', item_rate), 'amount: ' || printf('%.2f', item_amount)) AS text FROM its""")
+def item_text(spark, d):
+    return grid.item_text(_items(spark, d))
+
+
+@query(f"""WITH {_GRID}, n AS (SELECT sheet, (row_number() OVER (PARTITION BY sheet ORDER BY row_no) - 1) // 25 chunk_no FROM gr) SELECT sheet, chunk_no, count(*) n_rows FROM n GROUP BY ALL""")
+def grid_text_chunks(spark, d):
+    g = _grid(spark, d)
+    return grid.grid_text_chunks(g, grid.header_rows(g)).drop("text")
+
+
+_NAMES = """fn AS (SELECT doc_id, ['Tender Drg ', 'spec_', 'General Conditions ', 'BOQ-', 'Compliance Matrix ', 'notes_'][doc_id % 6 + 1] || doc_id || ['.pdf', '.docx', '.XLSX', '.dxf', '.png'][(doc_id // 6) % 5 + 1] filename FROM documents),
+ft AS (SELECT *, CASE WHEN filename LIKE '%.pdf' THEN CASE WHEN doc_id % 6 = 0 THEN 'pdf_drawing' ELSE 'pdf_spec' END WHEN filename LIKE '%.docx' THEN 'docx_spec' WHEN filename LIKE '%.XLSX' THEN 'excel_boq' WHEN filename LIKE '%.dxf' THEN 'dxf_drawing' END kind FROM fn)"""
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    name = "concat(element_at(array('Tender Drg ', 'spec_', 'General Conditions ', 'BOQ-', 'Compliance Matrix ', 'notes_'), cast(doc_id % 6 + 1 as int)), doc_id, element_at(array('.pdf', '.docx', '.XLSX', '.dxf', '.png'), cast((doc_id div 6) % 5 + 1 as int)))"
+    return table(spark, d, "documents").select("doc_id", F.expr(name).alias("filename"))
+
+
+@query(f"WITH {_NAMES} SELECT doc_id, kind, CASE kind WHEN 'excel_boq' THEN 100 WHEN 'pdf_spec' THEN 80 WHEN 'docx_spec' THEN 80 WHEN 'pdf_drawing' THEN 60 WHEN 'dxf_drawing' THEN 60 ELSE 10 END priority FROM ft")
+def file_type(spark, d):
+    rows = _names(spark, d).withColumn("kind", routing.file_type(F.col("filename")))
+    return rows.select("doc_id", "kind", routing.priority(F.col("kind")).alias("priority"))
+
+
+@query(f"""WITH {_NAMES} SELECT doc_id, CASE WHEN kind IN ('pdf_drawing', 'dxf_drawing') THEN 'drawing' WHEN kind = 'excel_boq' THEN 'boq' ELSE ['drawing', 'specification', 'gcc', 'boq', 'matrix', 'specification'][doc_id % 6 + 1] END AS role FROM ft""")
+def document_role(spark, d):
+    rows = _names(spark, d)
+    return rows.select("doc_id", routing.document_role(F.col("filename"), routing.file_type(F.col("filename"))).alias("role"))
+
+
+_PAGES = "pg AS (SELECT page_id // 10 doc_id, page_id % 10 + 1 page_no, length(html) % 4000 chars, length(url) * 97 % 2000 draws, CASE page_id % 4 WHEN 0 THEN 'drawing' WHEN 1 THEN 'scanned' ELSE 'text' END page_type FROM pages)"
+_ROUTE = "CASE WHEN chars < 100 OR (chars < 3000 AND draws > 1000) THEN 'vision' ELSE 'text' END"
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    e = ["page_id div 10 doc_id", "page_id % 10 + 1 page_no", "length(html) % 4000 chars", "length(url) * 97 % 2000 draws", "case page_id % 4 when 0 then 'drawing' when 1 then 'scanned' else 'text' end page_type"]
+    return table(spark, d, "pages").selectExpr(*e)
+
+
+@query(f"WITH {_PAGES} SELECT doc_id, page_no, {_ROUTE} route FROM pg")
+def page_routing(spark, d):
+    return routing.routed_pages(_pages(spark, d)).select("doc_id", "page_no", "route")
+
+
+@query(f"WITH {_PAGES} SELECT doc_id, avg(chars) < 100 OR avg(draws) > 500 is_drawing FROM pg WHERE page_no <= 5 GROUP BY doc_id")
+def content_sampling(spark, d):
+    return routing.sampled_kind(_pages(spark, d))
+
+
+@query(f"""WITH {_PAGES}, m AS (SELECT doc_id, (count(*) FILTER (page_type = 'drawing')) / count(*) a, (count(*) FILTER ({_ROUTE} = 'vision')) / count(*) v, count(*) FILTER (page_type = 'scanned') s, count(*) FILTER (page_type = 'drawing') g FROM pg GROUP BY doc_id)
+SELECT doc_id, round(a, 6) drawing_share, round(v, 6) vision_share, CASE WHEN a > 0.5 THEN 'pdf_drawing' WHEN v > 0.5 AND s > g THEN 'pdf_spec' WHEN a > 0.15 OR v > 0.15 AND g > 0 THEN 'pdf_mixed' ELSE 'pdf_spec' END kind FROM m""")
+def doc_reclass(spark, d):
+    return routing.mixed_kind(routing.routed_pages(_pages(spark, d)))
+
+
+@query("SELECT doc_id, CASE WHEN len(list_filter(string_split(text, chr(10)), lambda x: length(x) - length(replace(x, '|', '')) >= 2)) >= 3 THEN 'table' ELSE 'text' END kind FROM documents")
+def markdown_page_type(spark, d):
+    return table(spark, d, "documents").select("doc_id", routing.markdown_page_type(F.col("text")).alias("kind"))
+
+
+@query("SELECT p_partkey, p_size * ([1, 10, 1000, 25.4, 304.8, NULL]::DOUBLE[])[p_partkey % 6 + 1] mm FROM part")
+def unit_to_mm(spark, d):
+    unit = F.expr("element_at(array('mm.', ' CM', 'metre', 'inches', 'ft', 'cubit'), cast(p_partkey % 6 + 1 as int))")
+    return table(spark, d, "part").select("p_partkey", measures.to_mm(F.col("p_size").cast("double"), unit).alias("mm"))
+
+
+@query("SELECT p_partkey, p_size::DOUBLE first, (p_size + 5)::DOUBLE AS second, (p_size * 2)::DOUBLE width, (p_size * 3)::DOUBLE height FROM part")
+def dim_matches(spark, d):
+    text = F.expr("concat(p_name, ' ', p_size, ' mm glass, ', p_size + 5, 'mm thk; panel ', p_size * 2, ' x ', p_size * 3, ' mm each ', p_size, ' mmol')")
+    v, p = measures.dimension_values_mm(text), measures.dimension_pairs_mm(text)
+    return table(spark, d, "part").select("p_partkey", v[0].alias("first"), v[1].alias("second"), p[0][0].alias("width"), p[0][1].alias("height"))
+
+
+@query("""WITH t AS (SELECT p_partkey, p_size || 'OlI' || p_brand || 'S' || p_size || 'B' AS t FROM part), c AS (SELECT p_partkey, string_split(t, '') c FROM t)
+SELECT p_partkey, array_to_string(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN (i > 1 AND regexp_full_match(c[i - 1], '[0-9]')) OR regexp_full_match(coalesce(c[i + 1], ''), '[0-9]') THEN CASE c[i] WHEN 'O' THEN '0' WHEN 'o' THEN '0' WHEN 'I' THEN '1' WHEN 'l' THEN '1' WHEN 'S' THEN '5' WHEN 'B' THEN '8' WHEN 'Z' THEN '2' WHEN 'G' THEN '6' ELSE c[i] END ELSE c[i] END), '') fixed FROM c""")
+def ocr_fix(spark, d):
+    return table(spark, d, "part").select("p_partkey", measures.ocr_corrected(F.expr("concat(p_size, 'OlI', p_brand, 'S', p_size, 'B')")).alias("fixed"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE p_size END denominator, p_partkey % 4 = 3 nts FROM part")
+def scale_parse(spark, d):
+    text = F.expr("case p_partkey % 4 when 0 then concat('SCALE 1:', p_size) when 1 then concat('scale 1 / ', p_size) when 2 then concat('1=', p_size) else concat('NTS 1:', p_size) end")
+    return table(spark, d, "part").select("p_partkey", measures.scale_denominator(text).alias("denominator"), measures.not_to_scale(text).alias("nts"))
+
+
+#: Drawing entities from line items: one sheet for each 40 orders.
+_LINES = """ln AS (SELECT l_orderkey // 40 sheet, l_orderkey * 10 + l_linenumber line_no, (l_partkey % 300)::DOUBLE x0, (l_suppkey % 50 * 7 + l_linenumber)::DOUBLE y0,
+  CASE WHEN l_orderkey % 2 = 0 THEN l_partkey % 300 + l_quantity ELSE l_partkey % 300 END x1, CASE WHEN l_orderkey % 2 = 0 THEN l_suppkey % 50 * 7 + l_linenumber ELSE l_suppkey % 50 * 7 + l_linenumber + l_quantity END y1, CASE WHEN l_orderkey % 2 = 0 THEN 'HORIZONTAL' ELSE 'VERTICAL' END orientation FROM lineitem),
+tx AS (SELECT o_orderkey // 40 sheet, o_orderkey text_no, o_orderpriority AS text, (o_custkey % 400)::DOUBLE x, (o_orderkey % 350)::DOUBLE y FROM orders),
+dm AS (SELECT sheet, text_no dim_no, x, y FROM tx WHERE text_no % 5 = 0)"""
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    e = ["l_orderkey div 40 sheet", "l_orderkey * 10 + l_linenumber line_no", "cast(l_partkey % 300 as double) x0", "cast(l_suppkey % 50 * 7 + l_linenumber as double) y0",
+         "if(l_orderkey % 2 = 0, l_partkey % 300 + l_quantity, l_partkey % 300) x1", "if(l_orderkey % 2 = 0, l_suppkey % 50 * 7 + l_linenumber, l_suppkey % 50 * 7 + l_linenumber + l_quantity) y1"]
+    lines = table(spark, d, "lineitem").selectExpr(*e)
+    return lines.withColumn("orientation", measures.line_orientation(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]))
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").selectExpr("o_orderkey div 40 sheet", "o_orderkey text_no", "o_orderpriority text", "cast(o_custkey % 400 as double) x", "cast(o_orderkey % 350 as double) y")
+
+
+def _dimensions(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d).where("text_no % 5 = 0").selectExpr("sheet", "text_no dim_no", "x", "y")
+
+
+@query(f"""WITH {_LINES}, n AS (SELECT *, CASE WHEN orientation = 'HORIZONTAL' THEN (y0 + y1) / 2 ELSE (x0 + x1) / 2 END p, CASE WHEN orientation = 'HORIZONTAL' THEN least(x0, x1) ELSE least(y0, y1) END lo, CASE WHEN orientation = 'HORIZONTAL' THEN greatest(x0, x1) ELSE greatest(y0, y1) END hi FROM ln),
+q AS (SELECT a.sheet, a.orientation, round_even(abs(a.p - b.p), 1) v, abs(a.p - b.p) s, a.line_no a_no, b.line_no b_no FROM n a JOIN n b ON a.sheet = b.sheet AND a.orientation = b.orientation AND a.line_no < b.line_no WHERE least(a.hi, b.hi) - greatest(a.lo, b.lo) >= 5)
+SELECT sheet, orientation, v AS value, min((a_no, b_no))[1] a_no, min((a_no, b_no))[2] b_no FROM q WHERE s BETWEEN 0.5 AND 5000 GROUP BY ALL""")
+def line_pairs(spark, d):
+    return geometry.line_pairs(_lines(spark, d))
+
+
+@query(f"""WITH {_LINES}, w AS (SELECT dm.sheet, dim_no, text_no, unnest(string_split(lower(text), ' ')) t, unnest(range(0, len(string_split(text, ' ')))) i FROM dm JOIN tx ON dm.sheet = tx.sheet AND sqrt((dm.x - tx.x) ** 2 + (dm.y - tx.y) ** 2) <= 100),
+f AS (SELECT sheet, dim_no, t, min((text_no, i)) o FROM w WHERE t <> '' GROUP BY ALL)
+SELECT sheet, dim_no, array_to_string((list(t ORDER BY o))[1:30], ' ') words FROM f GROUP BY ALL""")
+def nearby_words(spark, d):
+    return geometry.nearby_words(_dimensions(spark, d), _texts(spark, d), 100.0).select("sheet", "dim_no", F.array_join("words", " ").alias("words"))
+
+
+@query(f"""WITH {_LINES}, q AS (SELECT dm.sheet, dim_no point_no, line_no, orientation, sqrt((x - (x0 + x1) / 2) ** 2 + (y - (y0 + y1) / 2) ** 2) s FROM dm JOIN ln ON dm.sheet = ln.sheet)
+SELECT sheet, point_no, arg_min(line_no, (s, line_no)) line_no, arg_min(orientation, (s, line_no)) orientation FROM q WHERE s <= 50 GROUP BY ALL""")
+def nearest_line(spark, d):
+    return geometry.nearest_line(_dimensions(spark, d).withColumnRenamed("dim_no", "point_no"), _lines(spark, d), 50.0)
+
+
+@query(f"""WITH {_LINES}, m AS (SELECT DISTINCT sheet, round_even((x0 + x1) / 2, 1) p FROM ln), g AS (SELECT a.sheet, b.p - a.p gap FROM m a JOIN m b ON a.sheet = b.sheet WHERE b.p - a.p BETWEEN 50 AND 10000), w AS (SELECT sheet, max(gap) m FROM g GROUP BY sheet),
+c AS (SELECT sheet, floor(gap / ((m + 10) / (floor(m / 10) + 1)))::BIGINT bin, count(*) n FROM g JOIN w USING (sheet) GROUP BY ALL)
+SELECT sheet, bin, n FROM (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY n DESC, bin) r FROM c WHERE n >= 2) WHERE r <= 3""")
+def spacing_hist(spark, d):
+    return geometry.spacing_histogram(_lines(spark, d).selectExpr("sheet", "(x0 + x1) / 2 p"))
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT sheet, (round_even(y / 5, 0) * 5)::DOUBLE row_y, list(text ORDER BY x, text_no) c FROM tx GROUP BY ALL) SELECT sheet, row_y, c[1] AS label, array_to_string(c[2:], '|') AS vals FROM c""")
+def schedule_rows(spark, d):
+    return geometry.schedule_rows(_texts(spark, d)).select("sheet", "row_y", "label", F.array_join("values", "|").alias("vals"))
+
+
+@query(f"WITH {_LINES} SELECT sheet, text_no FROM tx WHERE NOT EXISTS (SELECT 1 FROM dm WHERE dm.sheet = tx.sheet AND dm.x = tx.x AND dm.y = tx.y)")
+def uncovered_texts(spark, d):
+    return geometry.uncovered(_texts(spark, d), _dimensions(spark, d)).select("sheet", "text_no")
+
+
+_CATALOG = """ca AS (SELECT DISTINCT dense_rank() OVER (ORDER BY p_type) entry_id, p_type AS name FROM part),
+me AS (SELECT p_partkey measure_id, p_name || ' ' || p_type context, p_size::DOUBLE AS value FROM part),
+mt AS (SELECT DISTINCT measure_id, t FROM (SELECT measure_id, unnest(regexp_split_to_array(lower(context), '[^a-z0-9]+')) t FROM me) WHERE t <> ''), ct AS (SELECT DISTINCT entry_id, t FROM (SELECT entry_id, unnest(regexp_split_to_array(lower(name), '[^a-z0-9]+')) t FROM ca) WHERE t <> ''),
+sh AS (SELECT measure_id, entry_id, count(*) n FROM mt JOIN ct USING (t) GROUP BY ALL),
+sc AS (SELECT *, round(n / ((SELECT count(*) FROM mt WHERE mt.measure_id = sh.measure_id) + (SELECT count(*) FROM ct WHERE ct.entry_id = sh.entry_id) - n), 6) score FROM sh),
+fm AS (SELECT measure_id, arg_max(entry_id, (score, -entry_id)) entry_id, max(score) score FROM sc WHERE score >= 0.3 GROUP BY measure_id)"""
+
+
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    names = p.select(F.col("p_type").alias("name")).distinct()
+    # entries are numbered by name; the catalog is as small as its kinds
+    catalog = names.withColumn("all", names.agg(F.array_sort(F.collect_set("name"))).scalar()).select("name", F.array_position("all", F.col("name")).alias("entry_id"))
+    return matching.fuzzy_match(p.select(F.col("p_partkey").alias("measure_id"), F.concat("p_name", F.lit(" "), "p_type").alias("context")), catalog)
+
+
+@query(f"WITH {_CATALOG} SELECT * FROM fm")
+def fuzzy_match(spark, d):
+    return _matched(spark, d)
+
+
+@query(f"""WITH {_CATALOG}, c AS (SELECT entry_id, measure_id, score, p_size::DOUBLE AS value, (p_partkey % 10) / 10 confidence FROM fm JOIN part ON measure_id = p_partkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY confidence * score DESC, measure_id) r FROM c),
+l AS (SELECT entry_id, measure_id, value, CASE WHEN EXISTS (SELECT 1 FROM r o WHERE o.entry_id = r.entry_id AND o.r > 1 AND abs(o.value - r.value) <= 0.05 * abs(r.value)) THEN least(1, confidence * 1.1) ELSE confidence END confidence FROM r WHERE r = 1)
+SELECT entry_id, measure_id, value, round(confidence, 6) confidence FROM l WHERE confidence >= 0.5""")
+def agreement_bonus(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("measure_id"), F.col("p_size").cast("double").alias("value"), (F.expr("p_partkey % 10") / 10).alias("confidence"))
+    m = _matched(spark, d)
+    return matching.best_candidates(m.join(p, "measure_id"), m.select("entry_id").distinct().withColumn("threshold", F.lit(0.5)))
+
+
+_SPEC = """sp AS (SELECT * FROM (VALUES ('Brand#11', 20.0, 1.0, 'MIN'), ('Brand#12', 30.0, 2.0, 'MAX'), ('Brand#13', 25.0, 3.0, 'EXACT')) t(name, spec_value, tolerance, direction)),
+va AS (SELECT p_partkey, p_brand AS name, p_size::DOUBLE AS value FROM part),
+ck AS (SELECT p_partkey, name, value, value - spec_value delta, CASE WHEN spec_value IS NULL THEN 'NO_SPEC' WHEN CASE direction WHEN 'MIN' THEN value - spec_value >= -tolerance WHEN 'MAX' THEN value - spec_value <= tolerance ELSE abs(value - spec_value) <= tolerance END THEN 'MATCH' ELSE 'CONFLICT' END status FROM va LEFT JOIN sp USING (name))"""
+
+
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    specs = spark.createDataFrame([("Brand#11", 20.0, 1.0, "MIN"), ("Brand#12", 30.0, 2.0, "MAX"), ("Brand#13", 25.0, 3.0, "EXACT")], "name string, spec_value double, tolerance double, direction string")
+    return matching.spec_check(table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("name"), F.col("p_size").cast("double").alias("value")), F.broadcast(specs))
+
+
+@query(f"WITH {_SPEC} SELECT p_partkey, name, value, delta, status FROM ck")
+def spec_check(spark, d):
+    return _checked(spark, d)
+
+
+@query(f"""WITH {_SPEC} SELECT name sheet, count(*) n_entries, count(*) FILTER (p_partkey % 4 <> 0) n_extracted, count(*) FILTER (p_partkey % 4 = 0) n_not_found, count(*) FILTER (status = 'CONFLICT') n_conflicts, round(avg(CASE WHEN p_partkey % 4 <> 0 THEN (p_partkey % 10) / 10 END), 6) mean_confidence FROM ck GROUP BY name""")
+def extraction_summary(spark, d):
+    rows = _checked(spark, d).withColumn("found", F.expr("p_partkey % 4 <> 0")).withColumn("confidence", F.expr("p_partkey % 10") / 10)
+    return matching.extraction_summary(rows.withColumnRenamed("name", "sheet"))
+
+
+@query(f"""WITH {_SPEC} SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'NOT_FOUND' WHEN status = 'CONFLICT' THEN 'CONFLICT' WHEN (p_partkey % 10) / 10 < 0.75 THEN 'LOW_CONFIDENCE' WHEN status = 'MATCH' THEN 'MATCH' ELSE 'NO_SPEC' END status FROM ck""")
+def output_status(spark, d):
+    c = F.col("status")
+    return _checked(spark, d).select("p_partkey", measures.output_status(F.expr("p_partkey % 4 <> 0"), c == "CONFLICT", F.expr("p_partkey % 10") / 10, c == "MATCH").alias("status"))
+
+
+_EVENTS = "ev AS (SELECT user_id::VARCHAR project, event_id, epoch_us(ts)::DOUBLE / 3.6e9 AS seconds, event_type document_id, CASE WHEN event_type = 'purchase' THEN 100 ELSE 60 END priority FROM events)"
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """Events as document arrivals, an hour of the table to a second."""
+    e = table(spark, d, "events")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 3.6e9
+    return e.select(F.col("user_id").cast("string").alias("project"), "event_id", seconds.alias("seconds"), F.col("event_type").alias("document_id"), F.expr("if(event_type = 'purchase', 100, 60)").alias("priority"), "value")
+
+
+@query(f"""WITH RECURSIVE {_EVENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY seconds, event_id) n FROM ev),
+r AS (SELECT project, n, seconds AS first, seconds AS last, 0 AS burst FROM o WHERE n = 1 UNION ALL
+SELECT o.project, o.n, CASE WHEN o.seconds >= least(r.last + 3, r.first + 20) THEN o.seconds ELSE r.first END, o.seconds, CASE WHEN o.seconds >= least(r.last + 3, r.first + 20) THEN r.burst + 1 ELSE r.burst END FROM r JOIN o ON o.project = r.project AND o.n = r.n + 1)
+SELECT project, burst::BIGINT burst_no, count(*) n_events, least(max(last) + 3, min(first) + 20) fired_at FROM r GROUP BY ALL""")
+def debounce_bursts(spark, d):
+    return intake.bursts(_events(spark, d)).drop("event_ids")
+
+
+@query(f"""WITH {_EVENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY seconds, event_id) n FROM ev), s AS (SELECT project, n, (SELECT count(DISTINCT document_id) FROM o p WHERE p.project = o.project AND p.n <= o.n) k, max(priority) OVER (PARTITION BY project ORDER BY n) t FROM o)
+SELECT project, min(n) event_no FROM s WHERE k >= 2 OR t >= 80 GROUP BY project""")
+def first_pass_gate(spark, d):
+    return intake.first_pass(_events(spark, d))
+
+
+@query()
+def incremental_merge(spark, d):
+    e = _events(spark, d).withColumn("parameter", F.col("document_id")).withColumn("confidence", F.expr("event_id % 101") / 100).withColumn("priority", F.col("priority").cast("long"))
+    return intake.merged_values(e)
+
+
+@query(f"WITH {_EVENTS}, i AS (SELECT DISTINCT project, document_id FROM ev) SELECT * FROM i WHERE (project, document_id) NOT IN (SELECT (project, document_id) FROM ev WHERE event_id % 3 = 0)")
+def new_documents(spark, d):
+    e = _events(spark, d)
+    return intake.new_documents(e.select("project", "document_id").distinct(), e.where("event_id % 3 = 0").select("project", "document_id").distinct())

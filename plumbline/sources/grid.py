@@ -45,22 +45,27 @@ def header_rows(grid: DataFrame) -> DataFrame:
     return best.where(F.col("n_signals") >= LEAST_SIGNALS)
 
 
+def _take(rows: DataFrame, field: str, keywords: list[str]) -> DataFrame:
+    """Adds the column of `h` that a field takes, and blanks it in `h`, so that later fields don't see it."""
+    bank, taken = F.array(*[F.lit(x) for x in keywords]), F.col(field)
+    hits = F.transform("h", lambda c, i: F.when(F.exists(bank, lambda s: F.contains(c, s)), i))
+    rows = rows.withColumn(field, F.get(F.filter(hits, lambda i: i.isNotNull()), F.lit(0)))
+    return rows.withColumn("h", F.transform("h", lambda c, i: F.when(i == taken, F.lit("\x00")).otherwise(c)))
+
+
 def column_map(grid: DataFrame, headers: DataFrame) -> DataFrame:
     """sheet and for each field the 0-based column it takes: the first unused one that contains one of its keywords, else null."""
-    rows = grid.join(headers, (grid.sheet == headers.sheet) & (grid.row_no == headers.header_row)).select(grid.sheet, F.transform("cells", lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))).alias("h"))
+    heads = headers.select(F.col("sheet").alias("hs"), "header_row")
+    rows = grid.join(heads, (F.col("sheet") == F.col("hs")) & (F.col("row_no") == F.col("header_row"))).select("sheet", F.transform("cells", lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))).alias("h"))
     for field, keywords in FIELD_KEYWORDS.items():
-        has = lambda c, k=keywords: F.exists(F.array(*[F.lit(x) for x in k]), lambda s: F.contains(c, s))
-        hit = F.transform("h", lambda c, i: F.when(has(c), i))
-        rows = rows.withColumn(field, F.get(F.filter(hit, lambda i: i.isNotNull()), F.lit(0)))
-        # a taken column is blanked, so later fields don't see it
-        rows = rows.withColumn("h", F.transform("h", lambda c, i, f=field: F.when(i == F.col(f), F.lit("\x00")).otherwise(c)))
+        rows = _take(rows, field, keywords)
     return rows.drop("h")
 
 
 def grid_items(grid: DataFrame, headers: DataFrame, mapping: DataFrame) -> DataFrame:
     """A row for each grid row after the header with a description; numbers without commas, else null."""
     heads = headers.select(F.col("sheet").alias("hs"), "header_row")
-    rows = grid.join(heads, grid.sheet == F.col("hs")).where(F.col("row_no") > F.col("header_row")).drop("hs").join(mapping, "sheet")
+    rows = grid.join(heads, F.col("sheet") == F.col("hs")).where(F.col("row_no") > F.col("header_row")).drop("hs").join(mapping, "sheet")
     cell = lambda f: F.nullif(F.trim(F.get("cells", F.col(f))), F.lit(""))
     number = lambda f: F.regexp_replace(cell(f), ",", "").try_cast("double")
     return rows.select("sheet", "row_no", *[(number(f) if f in NUMERIC else cell(f)).alias(f"item_{f}") for f in FIELD_KEYWORDS]).where("item_description is not null")
@@ -77,9 +82,10 @@ def grid_text_chunks(grid: DataFrame, headers: DataFrame) -> DataFrame:
 
     Blank cells are left out before values meet headers, so values after a blank shift to the left.
     """
-    head = grid.join(headers, (grid.sheet == headers.sheet) & (grid.row_no == headers.header_row)).select(grid.sheet.alias("hs"), F.col("row_no").alias("hr"), F.filter(F.transform("cells", F.trim), lambda c: c != "").alias("names"))
+    heads = headers.select(F.col("sheet").alias("hs"), "header_row")
+    head = grid.join(heads, (F.col("sheet") == F.col("hs")) & (F.col("row_no") == F.col("header_row"))).select("hs", F.col("row_no").alias("hr"), F.filter(F.transform("cells", F.trim), lambda c: c != "").alias("names"))
     filled = grid.withColumn("values", F.filter(F.transform("cells", F.trim), lambda c: c != ""))
-    rows = filled.join(head, filled.sheet == head.hs).where((F.col("row_no") > F.col("hr")) & (F.size("values") > 0))
+    rows = filled.join(head, F.col("sheet") == F.col("hs")).where((F.col("row_no") > F.col("hr")) & (F.size("values") > 0))
     pairs = F.zip_with(F.slice("names", 1, F.size("values")), F.col("values"), lambda n, v: F.when(v.isNull(), F.lit(None)).when(n.isNull(), v).otherwise(F.concat(n, F.lit(": "), v)))
     line = F.concat(F.lit("Row "), F.col("row_no").cast("string"), F.lit(": "), F.array_join(pairs, " | "))
     numbered = rows.select("sheet", "row_no", line.alias("line"), F.floor((F.row_number().over(Window.partitionBy("sheet").orderBy("row_no")) - 1) / ROWS_PER_CHUNK).cast("long").alias("chunk_no"))
