@@ -81,7 +81,8 @@ def host_verdicts(annotated: DataFrame, host: str = "source", max_host_rate: flo
 def with_verdicts(annotated: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """`annotated` rows, written once, with host_rate, host_failed and kept in their `__rules`."""
     rows = materialize(annotated, "rules")
-    verdicts = host_verdicts(rows, host, max_host_rate).select("__host", F.struct("host_rate", "host_failed").alias("__verdict"))
+    # Written, so that a small table of hosts is known to be small and the rows are joined where they are.
+    verdicts = materialize(host_verdicts(rows, host, max_host_rate).select("__host", F.struct("host_rate", "host_failed").alias("__verdict")), "hosts")
     joined = rows.join(verdicts, rows[host].eqNullSafe(F.col("__host")), "left")
     rate, failed = F.col("__verdict.host_rate"), F.col("__verdict.host_failed")
     full = F.col("__rules").withField("host_rate", rate).withField("host_failed", failed).withField("kept", ~F.col("__rules.base_failed") & ~failed)
