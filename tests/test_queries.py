@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numbers
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from plumbline.plans import registry
@@ -15,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 def canon(frame):
     rows = []
     for row in frame[sorted(frame.columns)].itertuples(index=False):
-        rows.append(tuple("" if v is None or v != v else f"{float(v):.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in row))
+        rows.append(tuple("" if pd.isna(v) else f"{float(v):.5f}" if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v) for v in row))
     return sorted(rows)
 
 
