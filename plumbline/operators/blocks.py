@@ -127,3 +127,65 @@ def level_fallback(chunks: DataFrame) -> DataFrame:
     """Level 0 chunks, and level 1 chunks of projects that have none."""
     top = chunks.where("chunk_level = 0")
     return top.unionByName(chunks.where("chunk_level = 1").join(top.select("project").distinct(), "project", "left_anti"))
+
+
+def overlap_chunks(blocks: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:
+    """doc_id, chunk_no, first_block, last_block, n_words, start_page, end_page, section, subsection of blocks (doc_id, block_no,
+    page, section, subsection, text, heading).
+
+    A chunk closes when the next block would take it above `size` words; the next begins with the last `overlap` pieces of it, a
+    piece being a block or what a chunk began with, so with few blocks the whole chunk is carried over. The page of the block
+    that closes a chunk counts for both. Section and subsection are the last ones not null. Headings are left out; the fold runs
+    over slim rows of one document.
+    """
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, pieces, used, pages, section, subsection = [], [], 0, set(), None, None
+        for b in pdf.sort_values("block_no").itertuples(index=False):
+            pages.add(b.page)
+            section, subsection = b.section or section, b.subsection or subsection
+            if pieces and used + b.n_words > size:
+                out.append((len(out), pieces[0][0], pieces[-1][1], used, min(pages), max(pages), section, subsection))
+                kept = pieces[-overlap:]
+                carried = sum(n for _, _, n in kept)
+                pieces, used = [(kept[0][0], kept[-1][1], carried)], carried
+                pages, section, subsection = {b.page}, b.section, b.subsection
+            pieces.append((b.block_no, b.block_no, b.n_words))
+            used += b.n_words
+        if pieces:
+            out.append((len(out), pieces[0][0], pieces[-1][1], used, min(pages), max(pages), section, subsection))
+        rows = pd.DataFrame(out, columns=["chunk_no", "first_block", "last_block", "n_words", "start_page", "end_page", "section", "subsection"])
+        rows.insert(0, "doc_id", pdf["doc_id"].iloc[0])
+        return rows
+
+    n_words = F.size(F.array_remove(F.split("text", "\\s+"), "")).cast("long").alias("n_words")
+    slim = blocks.where("heading = 0").select("doc_id", "block_no", "page", "section", "subsection", n_words)
+    return slim.groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk_no long, first_block long, last_block long, n_words long, start_page int, end_page int, section string, subsection string")
+
+
+def tables_in_sections(tables: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Tables (doc_id, page, ...) with the section and subsection that were in force at the end of their page; null without a block there."""
+    state = blocks.groupBy("doc_id", "page").agg(F.max_by(F.struct("section", "subsection"), "block_no").alias("__s"))
+    return tables.join(state, ["doc_id", "page"], "left").select(*tables.columns, "__s.section", "__s.subsection")
+
+
+def table_texts(rows: DataFrame) -> DataFrame:
+    """table_id, text of table rows (table_id, row_no, cells): cells joined by ` | `, null cells empty, rows by newlines; tables without text go."""
+    line = F.array_join(F.transform("cells", lambda c: F.trim(c)), " | ", "")
+    lines = rows.withColumn("line", line).where(F.regexp_replace("line", "[| ]", "") != "")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "line"))), lambda r: r["line"]), "\n")
+    return lines.groupBy("table_id").agg(joined.alias("text"))
+
+
+def sheet_parents(chunks: DataFrame, max_words: int = PARENT_WORDS) -> DataFrame:
+    """document, sheet, n_words, text: one parent for each sheet of grid chunks (document, sheet, chunk_no, text), under a title line.
+
+    A parent above `max_words` is its first words, joined by spaces. Chunks past the limit are cut off before they are gathered.
+    """
+    words = F.size(F.array_remove(F.split("text", "\\s+"), ""))
+    before = F.coalesce(F.sum(words).over(Window.partitionBy("document", "sheet").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))), lambda c: c["text"]), "\n\n")
+    joined = chunks.withColumn("__b", before).where(F.col("__b") <= max_words).groupBy("document", "sheet").agg(body.alias("body"))
+    text = F.concat(F.lit("=== BOQ: "), F.col("sheet"), F.lit(" ("), F.col("document"), F.lit(") ===\n\n"), F.col("body"))
+    split = F.array_remove(F.split(F.col("full"), "\\s+"), "")
+    return joined.withColumn("full", text).select("document", "sheet", F.least(F.size(split), F.lit(max_words)).cast("long").alias("n_words"), F.when(F.size(split) > max_words, F.array_join(F.slice(split, 1, max_words), " ")).otherwise(F.col("full")).alias("text"))

@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .components import components
+
 NEARBY, MAX_CONTEXT_WORDS = 200.0, 30
+DIRECTION_TOLERANCE = 10.0
+CONFIRM_RADIUS, CONFIRM_TOLERANCE, CONFIRM_BONUS = 400.0, 0.05, 1.10
+TICK_LENGTH, TICK_RADIUS, MERGE_RADIUS, ANGLE_WEIGHT = 30.0, 50.0, 20.0, 5.0
 MIN_OVERLAP, MIN_SEPARATION, MAX_SEPARATION = 5.0, 0.5, 5000.0
 
 
@@ -57,7 +62,7 @@ def line_pairs(lines: DataFrame, max_separation: float = MAX_SEPARATION) -> Data
 
 
 def spacing_histogram(marks: DataFrame, low: float = 50, high: float = 10_000, top: int = 3, least: int = 2) -> DataFrame:
-    """sheet, bin, n: the most frequent spacings between distinct marks (sheet, p) of a sheet.
+    """sheet, bin, n, spacing: the most frequent spacings between distinct marks (sheet, p) of a sheet; spacing is 5 above the bin's edge.
 
     The bins are (max + 10) / (floor(max / 10) + 1) wide, max being the sheet's greatest spacing; at most `top` with `least` hits.
     """
@@ -66,8 +71,9 @@ def spacing_histogram(marks: DataFrame, low: float = 50, high: float = 10_000, t
     a = d.select("sheet", F.col("p").alias("a"), F.explode(F.array(strip, strip + 1)).alias("strip"))
     gaps = a.join(d.select("sheet", F.col("p").alias("b"), strip.alias("strip")), ["sheet", "strip"]).withColumn("gap", F.col("b") - F.col("a")).where(F.col("gap").between(low, high))
     widest = gaps.groupBy("sheet").agg(F.max("gap").alias("m"))
-    binned = gaps.join(widest, "sheet").withColumn("bin", F.floor(F.col("gap") / ((F.col("m") + 10) / (F.floor(F.col("m") / 10) + 1))).cast("long"))
-    counts = binned.groupBy("sheet", "bin").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    width = (F.col("m") + 10) / (F.floor(F.col("m") / 10) + 1)
+    binned = gaps.join(widest, "sheet").withColumn("bin", F.floor(F.col("gap") / width).cast("long"))
+    counts = binned.groupBy("sheet", "bin").agg(F.count("*").alias("n"), F.bround(F.first(F.col("bin") * width) + 5, 1).alias("spacing")).where(F.col("n") >= least)
     return counts.withColumn("r", F.row_number().over(Window.partitionBy("sheet").orderBy(F.col("n").desc(), "bin"))).where(F.col("r") <= top).drop("r")
 
 
@@ -83,3 +89,69 @@ def uncovered(texts: DataFrame, dimensions: DataFrame) -> DataFrame:
     at = lambda: [F.bround("x", 1).alias("kx"), F.bround("y", 1).alias("ky")]
     keys = dimensions.select("sheet", *at()).distinct()
     return texts.select("*", *at()).join(keys, ["sheet", "kx", "ky"], "left_anti").drop("kx", "ky")
+
+
+def geometry_confirmed(texts: DataFrame, lines: DataFrame, radius: float = CONFIRM_RADIUS, tolerance: float = CONFIRM_TOLERANCE) -> DataFrame:
+    """sheet, text_no of texts (sheet, text_no, x, y, value) that two parallel lines near them confirm: their separation differs
+    from the value by less than the tolerance times the greater of value and 1.
+
+    Pairs of lines are not formed: among the lines near a text in the order of their places, the first one beyond place + value -
+    tolerance must lie before place + value + tolerance. Values must be above the tolerance.
+    """
+    level = F.col("orientation") == "HORIZONTAL"
+    flat = lines.where(F.col("orientation").isin("HORIZONTAL", "VERTICAL")).select(
+        "sheet", "orientation", F.when(level, (F.col("y0") + F.col("y1")) / 2).otherwise((F.col("x0") + F.col("x1")) / 2).alias("p"), ((F.col("x0") + F.col("x1")) / 2).alias("rx"), ((F.col("y0") + F.col("y1")) / 2).alias("ry")
+    )
+    asked = texts.where(F.col("value") > tolerance).select("sheet", "text_no", "value", F.col("x").alias("lx"), F.col("y").alias("ly"))
+    places = near(asked, flat, radius).select("sheet", "text_no", "orientation", "value", "p").distinct()
+    slack = tolerance * F.greatest("value", F.lit(1.0))
+    marks = F.array(F.struct(F.col("p").alias("q"), F.lit(0).alias("asks"), F.col("p").alias("line"), F.lit(None).cast("double").alias("limit")), F.struct((F.col("p") + F.col("value") - slack).alias("q"), F.lit(1).alias("asks"), F.lit(None).cast("double").alias("line"), (F.col("p") + F.col("value") + slack).alias("limit")))
+    after = Window.partitionBy("sheet", "text_no", "orientation").orderBy("q", "asks").rowsBetween(1, Window.unboundedFollowing)
+    rows = places.select("sheet", "text_no", "orientation", F.inline(marks)).withColumn("next", F.first("line", ignorenulls=True).over(after))
+    return rows.where((F.col("asks") == 1) & (F.col("next") < F.col("limit"))).select("sheet", "text_no").distinct()
+
+
+def dimension_regions(lines: DataFrame, tick_length: float = TICK_LENGTH, radius: float = TICK_RADIUS) -> DataFrame:
+    """sheet, line_no, cx, cy of lines longer than a tick with an end of a tick near both their ends; (cx, cy) is the midpoint."""
+    length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    ends = F.inline(F.array(*[F.struct(F.lit(e).alias("end"), F.col(f"x{e}").alias("ex"), F.col(f"y{e}").alias("ey")) for e in (0, 1)]))
+    ticks = lines.where(length <= tick_length).select("sheet", ends).select("sheet", F.col("ex").alias("rx"), F.col("ey").alias("ry")).distinct()
+    long = lines.where(length > tick_length)
+    hit = near(long.select("sheet", "line_no", ends).select("sheet", "line_no", "end", F.col("ex").alias("lx"), F.col("ey").alias("ly")), ticks, radius)
+    both = hit.groupBy("sheet", "line_no").agg(F.countDistinct("end").alias("n")).where("n = 2").drop("n")
+    return long.join(both, ["sheet", "line_no"]).select("sheet", "line_no", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+
+
+def merged_segments(lines: DataFrame, radius: float = MERGE_RADIUS) -> DataFrame:
+    """sheet, first_no, n_lines, x0, y0, x1, y1: chains of segments within `radius` of each other in midpoint and five times the
+    angle become the box of their ends, a segment alone stays as it is. Segments with the same midpoint and angle link as one;
+    line_no is unique in a sheet.
+    """
+    angle = (F.degrees(F.atan2(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"))) + 180) % 180
+    placed = lines.select("sheet", "line_no", "x0", "y0", "x1", "y1", ((F.col("x0") + F.col("x1")) / 2).alias("mx"), ((F.col("y0") + F.col("y1")) / 2).alias("my"), (angle * ANGLE_WEIGHT).alias("ma"))
+    spots = placed.groupBy("sheet", "mx", "my", "ma").agg(F.min("line_no").alias("spot"))
+    a = spots.select("sheet", F.col("spot").alias("a"), F.col("mx").alias("lx"), F.col("my").alias("ly"), F.col("ma").alias("la"))
+    b = spots.select("sheet", F.col("spot").alias("b"), F.col("mx").alias("rx"), F.col("my").alias("ry"), F.col("ma").alias("ra"))
+    turned = F.col("la") - F.col("ra")
+    links = near(a, b, radius).where((F.col("a") < F.col("b")) & (F.col("distance") * F.col("distance") + turned * turned <= radius * radius))
+    labels = components(links, "sheet").select("sheet", F.col("node").alias("spot"), "label")
+    chained = placed.join(spots, ["sheet", "mx", "my", "ma"]).join(labels, ["sheet", "spot"], "left").withColumn("first_no", F.coalesce("label", "spot"))
+    box = chained.groupBy("sheet", "first_no").agg(
+        F.count("*").alias("n_lines"), F.min_by(F.struct("x0", "y0", "x1", "y1"), "line_no").alias("alone"),
+        F.min(F.least("x0", "x1")).alias("bx0"), F.min(F.least("y0", "y1")).alias("by0"), F.max(F.greatest("x0", "x1")).alias("bx1"), F.max(F.greatest("y0", "y1")).alias("by1"),
+    )
+    return box.select("sheet", "first_no", "n_lines", *[F.when(F.col("n_lines") == 1, F.col(f"alone.{c}")).otherwise(F.col(f"b{c}")).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def dimension_direction(kind: Column, length: Column, x: Column, y: Column, def_x: Column, def_y: Column) -> Column:
+    """ANGULAR by kind; HORIZONTAL or VERTICAL where the definition point lies within 10 degrees of the axis; else ANY. A definition
+    point at 0 counts as missing."""
+    placed = (length > 0) & (def_x != 0) & (def_y != 0) & ((F.abs(x - def_x) + F.abs(y - def_y)) > 0)
+    angle = F.degrees(F.atan2(F.abs(y - def_y), F.abs(x - def_x)))
+    return F.when(kind == "ANGULAR", "ANGULAR").when(placed & (angle < DIRECTION_TOLERANCE), "HORIZONTAL").when(placed & (F.abs(angle - 90) < DIRECTION_TOLERANCE), "VERTICAL").otherwise("ANY")
+
+
+def override_qualifier(override: Column) -> Column:
+    """TYP, MIN, MAX or NTS, the first that the override text of a dimension holds; null without one."""
+    t = F.lower(override)
+    return F.coalesce(*[F.when(F.contains(t, F.lit(q)), F.lit(q.upper())) for q in ("typ", "min", "max", "nts")])

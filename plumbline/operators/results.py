@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,17 +13,19 @@ KEY = ["project", "parameter"]
 # Words of an explanation that tell of inference.
 INFERENCE_SIGNALS = ("inferred", "assumed", "estimated", "approximately", "likely", "probably", "implied", "not explicitly")
 CAP = 0.75
+RECOVERY_TRIES, RETRY_ABOVE, RETRY_AT_MOST = 50, 0.5, 0.6
 ANSWER = "map<string, struct<found boolean, value string, value_numeric double, unit string, confidence double, source_numbers array<int>, explanation string>>"
 
 
 def parsed_answers(answers: DataFrame, expected: DataFrame) -> DataFrame:
     """answer_id, parameter, found, value, unit, confidence, reason for each expected (answer_id, parameter).
 
-    response_text is JSON keyed by parameter, maybe in a code fence. An answer that is no JSON finds nothing, reason
+    response_text is JSON keyed by parameter, maybe in a code fence. Of an answer that is cut off, the whole objects before the cut count. One that is no JSON finds nothing, reason
     `JSON parse failed`; an expected parameter that is absent has the reason `Missing in response`.
     """
     body = F.regexp_replace("response_text", "^\\s*```[a-z]*\\s*|\\s*```\\s*$", "")
-    parsed = answers.select("answer_id", F.from_json(body, ANSWER).alias("m"))
+    whole = F.from_json(body, ANSWER)
+    parsed = answers.select("answer_id", body.alias("body"), whole.alias("m")).select("answer_id", F.coalesce("m", F.from_json(closed_prefix(F.when(F.col("m").isNull(), F.col("body"))), ANSWER)).alias("m"))
     entries = parsed.where("m is not null").select("answer_id", F.explode("m").alias("parameter", "a"))
     joined = expected.join(entries, ["answer_id", "parameter"], "left").join(parsed.select("answer_id", F.col("m").isNotNull().alias("valid")), "answer_id", "left")
     found = F.coalesce("a.found", F.lit(False))
@@ -28,6 +33,20 @@ def parsed_answers(answers: DataFrame, expected: DataFrame) -> DataFrame:
     return joined.select("answer_id", "parameter", found.alias("found"), F.col("a.value").alias("value"), F.col("a.unit").alias("unit"), capped_confidence(found, F.col("a.value"), F.col("a.confidence"), F.col("a.explanation")).alias("confidence"), reason.alias("reason"))
 
 
+def closed_prefix(body: Column) -> Column:
+    """The longest prefix of cut-off JSON that ends at a brace and, its open braces closed, is JSON; null without one in 50 tries."""
+    parts = F.slice(F.split(body, "}", -1), 1, F.greatest(F.size(F.split(body, "}", -1)) - 1, F.lit(0)))
+
+    def tried(p: Column) -> Column:
+        ends = F.sequence(F.size(p), F.greatest(F.size(p) - RECOVERY_TRIES + 1, F.lit(1)), F.lit(-1))
+        prefix = lambda n: F.concat(F.array_join(F.slice(p, F.lit(1), n), "}"), F.lit("}"))
+        missing = lambda t: F.greatest(F.length(F.regexp_replace(t, "[^{]", "")) - F.length(F.regexp_replace(t, "[^}]", "")), F.lit(0))
+        closed = F.transform(F.transform(ends, prefix), lambda t: F.concat(t, F.repeat(F.lit("}"), missing(t))))
+        return F.get(F.filter(closed, lambda t: F.try_parse_json(t).isNotNull()), F.lit(0))
+
+    return F.transform(F.array(parts), lambda p: F.when(F.size(p) > 0, tried(p)))[0]
+
+
 def capped_confidence(found: Column, value: Column, confidence: Column, explanation: Column) -> Column:
     """0.75 at most where the explanation tells of inference; 0 where something is found but has no value."""
     said = F.lower(F.coalesce(explanation, F.lit("")))
@@ -115,3 +134,56 @@ def cascade_deleted(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str
     gone_chunks = tables["chunks"].join(ids, "doc_id", "left_semi").select("chunk_id")
     left = {name: t.join(ids, "doc_id", "left_anti") for name, t in tables.items()}
     return left | {"results": left["results"].join(gone_chunks, "chunk_id", "left_anti")}
+
+
+def prompts(windows: DataFrame, parameters: DataFrame, size: int = 25) -> DataFrame:
+    """project, window_no, batch_no, names, context of each window (project, window_no, context) and batch of `size` parameters
+    (name, place). The batches are one small array: a catalog has some hundred names."""
+    batch = parameters.withColumn("batch_no", F.floor((F.row_number().over(Window.orderBy("place")) - 1) / size).cast("long"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda p: p["name"])
+    batches = batch.groupBy("batch_no").agg(names.alias("names")).agg(F.array_sort(F.collect_list(F.struct("batch_no", "names"))))
+    return windows.withColumn("__all", batches.scalar()).select("project", "window_no", "context", F.inline("__all"))
+
+
+def answered(prompt_rows: DataFrame, ask: Callable[[str, list[str]], str]) -> DataFrame:
+    """Prompt rows with the response_text of a user's function of context and names; where it fails the text is null."""
+
+    def one(context: str, names: list[str]) -> str | None:
+        try:
+            return ask(context, list(names))
+        except Exception:  # the caller's function, of any kind
+            return None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(response_text=[one(c, n) for c, n in zip(f["context"], f["names"], strict=True)])
+
+    return prompt_rows.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in prompt_rows.dtypes) + ", response_text string")
+
+
+def asked_again(parsed: DataFrame) -> DataFrame:
+    """answer_id, parameter to ask for once more: those an answer lacks, where more than half of its parameters were lost at first
+    (`unparsed`) and what is still missing after recovery is at most 60%."""
+    shares = parsed.groupBy("answer_id").agg(F.avg(F.col("unparsed").cast("int")).alias("lost"), F.avg(F.col("reason").isNotNull().cast("int")).alias("missing"))
+    again = shares.where((F.col("lost") > RETRY_ABOVE) & (F.col("missing") <= RETRY_AT_MOST)).select("answer_id")
+    return parsed.where("reason is not null").join(again, "answer_id", "left_semi").select("answer_id", "parameter")
+
+
+def duplicate_uploads(uploads: DataFrame, documents: DataFrame) -> DataFrame:
+    """Uploads (project, filename) whose name the project has already."""
+    return uploads.join(documents, ["project", "filename"], "left_semi")
+
+
+def backfilled_sources(log: DataFrame, documents: DataFrame) -> DataFrame:
+    """log_id, sources: the sources (array of filename, doc_id) of a project's log rows, a missing doc_id taken from the project's
+    documents (project, filename, doc_id) by name, the smallest where names repeat. Order and rows without sources stay."""
+    ids = documents.groupBy("project", "filename").agg(F.min("doc_id").alias("__id"))
+    rows = log.select("log_id", "project", F.posexplode_outer("sources").alias("at", "s")).withColumn("filename", F.col("s.filename")).join(ids, ["project", "filename"], "left")
+    source = F.when(F.col("at").isNotNull(), F.struct("at", "filename", F.coalesce("s.doc_id", "__id").alias("doc_id")))
+    return rows.groupBy("log_id").agg(F.transform(F.array_sort(F.collect_list(source)), lambda s: F.struct(s["filename"].alias("filename"), s["doc_id"].alias("doc_id"))).alias("sources"))
+
+
+def result_json(rows: DataFrame, folder: str) -> None:
+    """Writes a JSON line for each file with its results (file, parameter, ...) under `results`, in the order of parameters."""
+    fields = F.struct("parameter", *[c for c in rows.columns if c not in ("file", "parameter")])
+    rows.groupBy("file").agg(F.array_sort(F.collect_list(fields)).alias("results")).write.mode("overwrite").json(folder)

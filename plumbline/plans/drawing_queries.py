@@ -198,7 +198,7 @@ def nearest_line(spark, d):
 c AS (SELECT sheet, floor(gap / ((m + 10) / (floor(m / 10) + 1)))::BIGINT bin, count(*) n FROM g JOIN w USING (sheet) GROUP BY ALL)
 SELECT sheet, bin, n FROM (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY n DESC, bin) r FROM c WHERE n >= 2) WHERE r <= 3""")
 def spacing_hist(spark, d):
-    return geometry.spacing_histogram(_lines(spark, d).selectExpr("sheet", "(x0 + x1) / 2 p"))
+    return geometry.spacing_histogram(_lines(spark, d).selectExpr("sheet", "(x0 + x1) / 2 p")).drop("spacing")
 
 
 @query(f"""WITH {_LINES}, c AS (SELECT sheet, (round_even(y / 5, 0) * 5)::DOUBLE row_y, list(text ORDER BY x, text_no) c FROM tx GROUP BY ALL) SELECT sheet, row_y, c[1] AS label, array_to_string(c[2:], '|') AS vals FROM c""")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import document_queries, drawing_queries
+from . import document_queries, drawing_queries, sheet_queries
+
+_MODULES = (document_queries, drawing_queries, sheet_queries)
 
 
 def queries() -> dict:
-    return document_queries.QUERIES | drawing_queries.QUERIES
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return document_queries.SQL | drawing_queries.SQL
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}

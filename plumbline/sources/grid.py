@@ -83,8 +83,8 @@ def grid_text_chunks(grid: DataFrame, headers: DataFrame) -> DataFrame:
     Blank cells are left out before values meet headers, so values after a blank shift to the left.
     """
     heads = headers.select(F.col("sheet").alias("hs"), "header_row")
-    head = grid.join(heads, (F.col("sheet") == F.col("hs")) & (F.col("row_no") == F.col("header_row"))).select("hs", F.col("row_no").alias("hr"), F.filter(F.transform("cells", F.trim), lambda c: c != "").alias("names"))
-    filled = grid.withColumn("values", F.filter(F.transform("cells", F.trim), lambda c: c != ""))
+    head = grid.join(heads, (F.col("sheet") == F.col("hs")) & (F.col("row_no") == F.col("header_row"))).select("hs", F.col("row_no").alias("hr"), F.filter(F.transform("cells", lambda c: F.trim(c)), lambda c: c != "").alias("names"))
+    filled = grid.withColumn("values", F.filter(F.transform("cells", lambda c: F.trim(c)), lambda c: c != ""))
     rows = filled.join(head, F.col("sheet") == F.col("hs")).where((F.col("row_no") > F.col("hr")) & (F.size("values") > 0))
     pairs = F.zip_with(F.slice("names", 1, F.size("values")), F.col("values"), lambda n, v: F.when(v.isNull(), F.lit(None)).when(n.isNull(), v).otherwise(F.concat(n, F.lit(": "), v)))
     line = F.concat(F.lit("Row "), F.col("row_no").cast("string"), F.lit(": "), F.array_join(pairs, " | "))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+import random
+import re
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import measures, routing
-from plumbline.operators import blocks, results, retrieval
+from plumbline.functions import callouts, measures, routing
+from plumbline.operators import blocks, geometry, results, retrieval
+from plumbline.sources import grid
 from plumbline.streaming import intake
 
 
@@ -88,3 +91,83 @@ def test_bursts(spark):
     got = [(r.n_events, r.fired_at) for r in intake.bursts(events).orderBy("burst_no").collect()]
     assert got == [(3, 5.0), (10, 30.0), (2, 34.0)]
     assert math.isclose(sum(n for n, _ in got), len(times))
+
+
+def _python_matches(text):
+    """Callouts of a plain text by Python's regular expressions: (position, pattern, raw_text), without overlaps."""
+    found = []
+    for rank, (name, pattern) in enumerate(callouts.PATTERNS.items()):
+        if name == "typical":
+            continue
+        for k, m in enumerate(re.finditer(pattern, text, re.IGNORECASE)):
+            if not (name == "nts" and k) and not (name == "fraction" and int(m.group(3)) == 0):
+                found.append((m.start(), -len(m.group()), -1 if name == "nts" else rank, name, m.group()))
+    kept, end = [], -1
+    for start, shorter, _, name, raw in sorted(found):
+        if start >= end:
+            kept.append((start, name, raw))
+            end = start - shorter
+    return kept
+
+
+def test_text_matches(spark):
+    parts = ["150 mm", '6"', "1500x600mm", "150×75×6mm", "thk 6mm", "@600 c/c", "@ 300", "dia 25", "Ø12", "1 1/2", "3 1/0", "alloy 6063-T6", "finish: PVDF", "4 nos", "scale 1:50", "90°", "NTS", "typ.", "min 5 m", "t = 3 cm", "no number"]
+    texts = ["", " ", None, *parts, *[f"{a} {b}, {a}" for a in parts for b in parts]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for r in df.select("i", callouts.text_matches(F.col("text")).alias("m")).collect():
+        assert [(m.position, m.pattern, m.raw_text) for m in r.m] == _python_matches(" ".join((texts[r.i] or "").split())), texts[r.i]
+    cases = {"150 mm": [150.0], '6"': [6 * 25.4], "1500x600mm": [1500.0, 600.0], "150×75×6mm": [150.0, 75.0, 6.0], "dia 25": [25.0], "1 1/2": [1.5 * 25.4], "2 m": [2000.0], "4 nos": [], "90°": [90.0]}
+    rows = spark.createDataFrame([(c,) for c in cases], "text string").select("text", callouts.text_matches(F.col("text"))[0].alias("m")).collect()
+    assert {r.text: [round(v, 6) for v in r.m.mm_values] for r in rows} == {k: [round(v, 6) for v in vs] for k, vs in cases.items()}
+    coded = spark.createDataFrame([(r"{\fArial|b0;GLASS \U+00D8 25mm\Ptyp.}",)], "text string").select(callouts.plain_mtext(F.col("text")), callouts.text_matches(F.col("text"))[0].alias("m")).first()
+    assert coded[0] == "GLASS Ø 25mm typ." and (coded.m.pattern, coded.m.qualifier, coded.m.mm_values) == ("diameter", "TYP", [25.0])
+
+
+def test_merged_segments(spark):
+    rng = random.Random(5)
+    rows = [(s, n, float(rng.randrange(150)), float(rng.randrange(150)), 0.0, 0.0) for s in range(3) for n in range(40)]
+    rows = [(s, n, x, y, x + 4 * (n % 2), y + 4 * (1 - n % 2)) for s, n, x, y, _, _ in rows]
+    spot = {(s, n): ((x0 + x1) / 2, (y0 + y1) / 2, math.degrees(math.atan2(y1 - y0, x1 - x0)) % 180 * 5) for s, n, x0, y0, x1, y1 in rows}
+    label = {k: k for k in spot}
+    for _ in spot:
+        for a in spot:
+            for b in spot:
+                if a[0] == b[0] and math.dist(spot[a], spot[b]) <= 20:
+                    label[a] = label[b] = min(label[a], label[b])
+    got = geometry.merged_segments(spark.createDataFrame(rows, "sheet int, line_no int, x0 double, y0 double, x1 double, y1 double")).collect()
+    want = {}
+    for s, n, *ends in rows:
+        want.setdefault(label[s, n], []).append(ends)
+    assert {(r.sheet, r.first_no): (r.n_lines, r.x0, r.y0, r.x1, r.y1) for r in got} == {k: (len(v), min(e[0] for e in v), min(e[1] for e in v), max(e[2] for e in v), max(e[3] for e in v)) for k, v in want.items()}
+    assert geometry.merged_segments(spark.createDataFrame([], "sheet int, line_no int, x0 double, y0 double, x1 double, y1 double")).count() == 0
+
+
+def test_overlap_chunks(spark):
+    rows = [("a b c", 1, "s", 0), ("head", 1, "s", 1), ("d e", 1, "s", 0), ("f g h i", 2, "t", 0), ("j", 2, None, 0), ("", 3, "t", 0)]
+    df = spark.createDataFrame([(1, i, p, s, None, t, h) for i, (t, p, s, h) in enumerate(rows)], "doc_id long, block_no long, page int, section string, subsection string, text string, heading int")
+    got = lambda size, overlap: [tuple(r)[1:7] for r in blocks.overlap_chunks(df, size, overlap).orderBy("chunk_no").collect()]
+    assert got(5, 1) == [(0, 0, 2, 5, 1, 2), (1, 2, 3, 6, 2, 2), (2, 3, 5, 5, 2, 3)]
+    assert got(100, 100) == [(0, 0, 5, 10, 1, 3)]
+    assert blocks.overlap_chunks(df.where("false")).count() == 0
+
+
+def test_grid_text_keeps_digits(spark):
+    df = spark.createDataFrame([("s", 0, ["Sl No", "Description", "Qty"]), ("s", 1, ["11", " item 2 ", "212"]), ("s", 2, ["2", None, ""])], "sheet string, row_no long, cells array<string>")
+    assert grid.grid_text_chunks(df, grid.header_rows(df)).first().text == "Row 1: Sl No: 11 | Description: item 2 | Qty: 212\nRow 2: Sl No: 2"
+
+
+def test_cut_off_answers(spark):
+    texts = ['{"a": {"found": true, "value": "1", "confidence": 0.5}, "b": {"found": tr', '{"a": {"found": true, "value": "1"', "garbage", "", None]
+    answers = spark.createDataFrame(list(enumerate(texts)), "answer_id int, response_text string")
+    expected = answers.select("answer_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("parameter"))
+    got = {(r.answer_id, r.parameter): (r.found, r.reason) for r in results.parsed_answers(answers, expected).collect()}
+    assert got[0, "a"] == (True, None) and got[0, "b"] == (False, "Missing in response")
+    assert all(got[i, p] == (False, "JSON parse failed") for i in range(1, 5) for p in "ab")
+
+
+def test_hooks_and_retries(spark):
+    rows = results.prompts(spark.createDataFrame([("p", 0, "c")], "project string, window_no long, context string"), spark.createDataFrame([(str(i), i) for i in range(30)], "name string, place int"))
+    got = {r.batch_no: r.response_text for r in results.answered(rows, lambda c, names: f"{c}{len(names)}").collect()}
+    assert got == {0: "c25", 1: "c5"}
+    parsed = spark.createDataFrame([(1, p, True, None if p < "c" else "Missing") for p in "abcd"] + [(2, "a", False, "Missing")], "answer_id int, parameter string, unparsed boolean, reason string")
+    assert sorted(tuple(r) for r in results.asked_again(parsed).collect()) == [(1, "c"), (1, "d")]
