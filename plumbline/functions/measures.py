@@ -16,6 +16,16 @@ ALIASES = {
 }
 # Millimetres in the drawing unit of a code.
 INSUNITS = {0: 1.0, 1: 25.4, 2: 304.8, 4: 1.0, 5: 10.0, 6: 1000.0, 7: 1_000_000.0, 10: 914.4, 13: 0.001, 14: 100.0}
+# Codes of drawing units by name, millimetres in a point and in a pixel of a page at scale 1.
+UNIT_CODES = {"mm": 4, "m": 6, "in": 1, "ft": 2}
+PAGE_UNITS = {"pt": 0.3528, "px": 25.4 / 300}
+# Denominators of drawing scales, and types of dimensions by code.
+DENOMINATORS = (1, 2, 5, 10, 20, 25, 50, 100, 200, 250, 500, 1000)
+DIMENSION_TYPES = {32: "LINEAR", 33: "ALIGNED", 35: "ANGULAR", 36: "DIAMETER", 37: "RADIUS", 38: "ORDINATE", 160: "ARC_LENGTH"}
+# Confidences of scales from a title block, from one not to scale, from the header and from a measured length near or off a standard scale.
+SCALE_TEXT, SCALE_NTS, SCALE_HEADER, SCALE_NEAR, SCALE_OFF, NEAR_STANDARD = 0.90, 0.85, 0.70, 0.80, 0.60, 0.05
+# A number with its unit.
+VALUE_WITH_UNIT = r"(?i)(-?\d+(?:[.,]\d+)?)\s*(mm|cm|dm|m(?!m)|km|in(?:ch(?:es)?)?|ft|feet|foot|yd|yard(?:s)?|\"|')\b"
 #: Degrees by which a line may be off its axis.
 AXIS_TOLERANCE = 3.0
 
@@ -42,6 +52,23 @@ def to_mm(value: Column, unit: Column) -> Column:
     return value * F.try_element_at(_map(TO_MM), unit_name(unit))
 
 
+def from_mm(mm: Column, unit: Column) -> Column:
+    """A length of millimetres in `unit`; null for an unknown unit."""
+    return mm / F.try_element_at(_map(TO_MM), unit_name(unit))
+
+
+def imperial_mm(whole: Column, numerator: Column, denominator: Column) -> Column:
+    """Millimetres of whole inches and a fraction; null over zero."""
+    return (whole + numerator / F.nullif(denominator, F.lit(0))) * TO_MM["in"]
+
+
+def value_with_unit(text: Column) -> Column:
+    """Struct (mm, unit) of the first number with a unit, a comma read as a point; null without one."""
+    unit = unit_name(F.regexp_extract(text, VALUE_WITH_UNIT, 2))
+    value = F.regexp_replace(F.regexp_extract(text, VALUE_WITH_UNIT, 1), ",", ".").try_cast("double")
+    return F.when(text.rlike(VALUE_WITH_UNIT), F.struct(to_mm(value, unit).alias("mm"), unit.alias("unit")))
+
+
 def insunits_factor(code: Column) -> Column:
     return F.coalesce(F.try_element_at(_map(INSUNITS), code.cast("int")), F.lit(1.0))
 
@@ -81,3 +108,70 @@ def line_orientation(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 def output_status(found: Column, conflict: Column, confidence: Column, spec: Column) -> Column:
     return F.when(~found, "NOT_FOUND").when(conflict, "CONFLICT").when(confidence < 0.75, "LOW_CONFIDENCE").when(spec, "MATCH").otherwise("NO_SPEC")
+
+
+def _scale(denominator: Column, source: str, confidence: Column, mm_per_unit: Column, nts: Column) -> Column:
+    columns = {"denominator": denominator.cast("int"), "source": F.lit(source), "confidence": confidence, "mm_per_unit": mm_per_unit.cast("double"), "nts": nts}
+    return F.struct(*[c.alias(n) for n, c in columns.items()])
+
+
+def text_scale(texts: Column, unit: str = "mm") -> Column:
+    """Scale struct of the first of an array of texts that names one or says not to scale; null without any."""
+    factor = INSUNITS[UNIT_CODES.get(unit, 4)]
+    first = F.get(F.filter(texts, lambda t: F.coalesce(not_to_scale(t), F.lit(False)) | scale_denominator(t).isNotNull()), F.lit(0))
+
+    def said(text: Column) -> Column:
+        nts, n = not_to_scale(text), scale_denominator(text)
+        return F.when(nts, _scale(F.lit(1), "TITLEBLOCK", F.lit(SCALE_NTS), F.lit(1.0), F.lit(True))).when(n.isNotNull(), _scale(n, "TITLEBLOCK", F.lit(SCALE_TEXT), factor / n, F.lit(False)))
+
+    return F.transform(F.array(first), said)[0]
+
+
+def header_scale(code: Column) -> Column:
+    """Scale struct of a drawing that only says its unit: full size."""
+    return _scale(F.lit(1), "HEADER", F.lit(SCALE_HEADER), insunits_factor(code), F.lit(False))
+
+
+def empirical_scale(length: Column, annotated_mm: Column, code: Column) -> Column:
+    """Scale struct from a drawn length and the millimetres written at it, at the nearest standard denominator (the smaller on a
+    tie); null unless both are positive."""
+    ratio = annotated_mm / (length * insunits_factor(code))
+    nearest = F.array_min(F.transform(F.array(*[F.lit(n) for n in DENOMINATORS]), lambda n: F.struct(F.abs(n - ratio).alias("off"), n.alias("n"))))
+    snapped = lambda s: _scale(s["n"], "EMPIRICAL", F.when(s["off"] / s["n"] < NEAR_STANDARD, SCALE_NEAR).otherwise(SCALE_OFF), insunits_factor(code) / s["n"], F.lit(False))
+    return F.when((length > 0) & (annotated_mm > 0), F.transform(F.array(nearest), snapped)[0])
+
+
+def detected_scale(texts: Column, code: Column, length: Column, annotated_mm: Column, known_length: Column, known_mm: Column, unit: str = "mm") -> Column:
+    """Scale struct: what the texts say, else of a dimension, else of a known length, else of the header's unit."""
+    return F.coalesce(text_scale(texts, unit), empirical_scale(length, annotated_mm, code), empirical_scale(known_length, known_mm, code), header_scale(code))
+
+
+def scale_check(mm_per_unit: Column, unit: Column, length: Column, annotated_mm: Column, tolerance: float = 0.05) -> Column:
+    """Struct (consistent, deviation) of a scale against a dimension; deviation 1 where nothing can be foretold."""
+    named = F.coalesce(F.try_element_at(_map(UNIT_CODES), unit), F.lit(UNIT_CODES["mm"]))
+    foretold = length * mm_per_unit * insunits_factor(named)
+    off = F.when((length > 0) & (foretold != 0), F.abs(foretold - annotated_mm) / F.nullif(annotated_mm, F.lit(0.0)))
+    return F.struct(F.coalesce(off <= tolerance, F.lit(False)).alias("consistent"), F.coalesce(off, F.lit(1.0)).alias("deviation"))
+
+
+def page_scale(denominator: Column, mm_per_unit: Column, unit: Column) -> Column:
+    """Millimetres a page unit: pixels by the denominator, points only where no unit was known (1), others unchanged."""
+    size = F.try_element_at(_map(PAGE_UNITS), unit) / F.greatest(denominator, F.lit(1))
+    return F.when((unit == "px") | (unit == "pt") & (mm_per_unit == 1), size).otherwise(mm_per_unit)
+
+
+def resolved_dimension(override: Column, length: Column, factor: Column, code: Column) -> Column:
+    """Struct (value_mm, raw_text, kind) of a dimension entity; null without a value.
+
+    The override's number, or the first in it, counts; one that is empty or `<>` gives way to the measured length. Without a
+    length the override is in drawing units. Unknown codes are LINEAR.
+    """
+    said, measured = F.coalesce(F.trim(override), F.lit("")), F.coalesce(length, F.lit(0.0))
+    bare = F.trim(F.replace(said, F.lit("<>"), F.lit("")))
+    whole = F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double"))
+    run = F.regexp_extract(bare, r"[\d.]+", 0)
+    named = (said != "") & (said != "<>") & (whole.isNotNull() | (run != ""))
+    number = F.coalesce(whole, run.try_cast("double"))
+    value = F.when(named, F.when(measured == 0, number * factor).otherwise(number)).when(measured > 0, measured * factor)
+    kind = F.coalesce(F.try_element_at(_map(DIMENSION_TYPES), F.coalesce(code, F.lit(0)).bitwiseAND(255)), F.lit("LINEAR"))
+    return F.when(value.isNotNull(), F.struct(value.alias("value_mm"), F.when(named, said).otherwise((measured * factor).cast("string")).alias("raw_text"), kind.alias("kind")))

@@ -189,3 +189,20 @@ def sheet_parents(chunks: DataFrame, max_words: int = PARENT_WORDS) -> DataFrame
     text = F.concat(F.lit("=== BOQ: "), F.col("sheet"), F.lit(" ("), F.col("document"), F.lit(") ===\n\n"), F.col("body"))
     split = F.array_remove(F.split(F.col("full"), "\\s+"), "")
     return joined.withColumn("full", text).select("document", "sheet", F.least(F.size(split), F.lit(max_words)).cast("long").alias("n_words"), F.when(F.size(split) > max_words, F.array_join(F.slice(split, 1, max_words), " ")).otherwise(F.col("full")).alias("text"))
+
+
+def sheet_child_links(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """children (document, child_no, is_item, category, text) with section and parent_id of parents (document, sheet, parent_id).
+
+    Items go to `BOQ - category`, else `BOQ Items`; texts to the sheet that their first line names after `Sheet:`, else `BOQ`.
+    Children without such a parent have none; of parents with one name the smallest id counts.
+    """
+    item, first_line = F.col("is_item"), F.substring_index("text", "\n", 1)
+    named = F.trim(F.replace(first_line, F.lit("Sheet:"), F.lit("")))
+    section = F.when(item, F.coalesce("category", F.lit(""))).when(first_line.startswith("Sheet:"), named).otherwise("")
+    own = F.when(item & (F.col("section") != ""), F.concat(F.lit("BOQ - "), F.col("section"))).when(item, "BOQ Items").otherwise(F.col("section"))
+    rows = children.withColumn("section", section).withColumn("own", own).withColumn("usual", F.when(item, "BOQ Items").otherwise("BOQ"))
+    ids = parents.groupBy("document", "sheet").agg(F.min("parent_id").alias("id"))
+    for name in ("own", "usual"):
+        rows = rows.join(ids.select("document", F.col("sheet").alias(name), F.col("id").alias(f"{name}_id")), ["document", name], "left")
+    return rows.select(*children.columns, "section", F.coalesce("own_id", "usual_id").alias("parent_id"))

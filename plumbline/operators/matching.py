@@ -43,3 +43,16 @@ def spec_check(values: DataFrame, specs: DataFrame) -> DataFrame:
 def extraction_summary(report: DataFrame) -> DataFrame:
     """Per sheet: entries, extracted, not found, conflicts and the mean confidence of what is extracted."""
     return report.groupBy("sheet").agg(F.count("*").alias("n_entries"), F.count_if("found").alias("n_extracted"), F.count_if(~F.col("found")).alias("n_not_found"), F.count_if(F.col("status") == "CONFLICT").alias("n_conflicts"), F.round(F.avg(F.when(F.col("found"), F.col("confidence"))), 6).alias("mean_confidence"))
+
+
+def batch_totals(summaries: DataFrame) -> DataFrame:
+    """One row: sheets, extracted, conflicts and the mean of the sheets' mean confidences, a sheet without any as 0; 0 of no sheets."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    mean = F.coalesce(F.avg(F.coalesce("mean_confidence", F.lit(0.0))), F.lit(0.0))
+    return summaries.agg(F.count("*").alias("n_sheets"), total("n_extracted"), total("n_conflicts"), F.round(mean, 6).alias("mean_confidence"))
+
+
+def unmatched_report(measurements: DataFrame, matched: DataFrame) -> DataFrame:
+    """Positive measurements (measure_id, value_mm, unit, source_text, x, y, layer, confidence) that are in no row of `matched`, rounded."""
+    left = measurements.where("value_mm > 0").join(matched.select("measure_id"), "measure_id", "left_anti")
+    return left.select("measure_id", F.bround("value_mm", 3).alias("value"), "unit", "source_text", F.bround("x", 2).alias("x"), F.bround("y", 2).alias("y"), "layer", F.bround("confidence", 3).alias("confidence"))

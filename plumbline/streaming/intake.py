@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,26 +16,30 @@ MAX_INCREMENTAL_PASSES, GATE_DOCUMENTS, GATE_PRIORITY = 3, 2, 80
 #: By so much a new confidence must exceed the old to win outright.
 MARGIN = 0.05
 BURSTS = "project string, burst_no long, n_events long, fired_at double, event_ids array<long>"
+STREAMED = "project string, first_at double, n_events long, fired_at double, event_ids array<long>"
 MERGED = "project string, parameter string, value double, confidence double, priority long, change_count long"
 
 
+def _cut(events: list[tuple[float, int]], quiet: float, ceiling: float) -> list[tuple[list[tuple[float, int]], float]]:
+    """Bursts of (seconds, event_id) in order of time, each with the moment it fires."""
+    out: list[tuple[list[tuple[float, int]], float]] = []
+    for event in sorted(events):
+        if not out or event[0] >= out[-1][1]:
+            out.append(([], 0.0))
+        burst = out[-1][0]
+        burst.append(event)
+        out[-1] = (burst, min(event[0] + quiet, burst[0][0] + ceiling))
+    return out
+
+
 def bursts(events: DataFrame, quiet: float = QUIET_SECONDS, ceiling: float = CEILING_SECONDS) -> DataFrame:
     """Per project: events (project, event_id, seconds) in bursts that fire after `quiet` seconds without any, or `ceiling` seconds
     after the first. A fold over slim rows, one project a group."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, ids, first, last = [], [], 0.0, 0.0
-        for at, event in pdf.sort_values(["seconds", "event_id"])[["seconds", "event_id"]].itertuples(index=False):
-            due = min(last + quiet, first + ceiling)
-            if ids and at >= due:
-                out.append((len(out), len(ids), due, ids))
-                ids = []
-            if not ids:
-                first = at
-            ids = [*ids, event]
-            last = at
-        out.append((len(out), len(ids), min(last + quiet, first + ceiling), ids))
-        return pd.DataFrame(out, columns=["burst_no", "n_events", "fired_at", "event_ids"]).assign(project=pdf["project"].iloc[0])[["project", "burst_no", "n_events", "fired_at", "event_ids"]]
+        cut = _cut(list(zip(pdf["seconds"].tolist(), pdf["event_id"].tolist(), strict=True)), quiet, ceiling)
+        out = [(pdf["project"].iloc[0], n, len(burst), due, [e for _, e in burst]) for n, (burst, due) in enumerate(cut)]
+        return pd.DataFrame(out, columns=["project", "burst_no", "n_events", "fired_at", "event_ids"])
 
     return events.select("project", "event_id", "seconds").groupBy("project").applyInPandas(fold, BURSTS)
 
@@ -92,9 +97,33 @@ def merged_values_stream(values: DataFrame) -> DataFrame:
     return values.groupBy("project", "parameter").applyInPandasWithState(step, MERGED, "value double, confidence double, priority long, changes long", "update", GroupStateTimeout.NoTimeout)
 
 
-def burst_stream(events: DataFrame, quiet: str = "3 seconds", late: str = "10 seconds") -> DataFrame:
-    """Bursts of a stream (project, event_id, ts) by session windows, the quiet part of the rule; late events up to `late` count."""
-    return events.withWatermark("ts", late).groupBy("project", F.session_window("ts", quiet)).agg(F.count("*").alias("n_events"), F.min("event_id").alias("first_event"))
+def burst_stream(events: DataFrame, quiet: float = QUIET_SECONDS, ceiling: float = CEILING_SECONDS, late: str = "10 seconds") -> DataFrame:
+    """bursts of a stream (project, event_id, ts): each comes out once the watermark, `late` behind the latest event, is past its end.
+
+    State holds a project's events of bursts still open, none after their end. Events later than `late` are dropped by the watermark.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        if not state.hasTimedOut:
+            for pdf in frames:
+                held += zip(pdf["seconds"].tolist(), pdf["event_id"].tolist(), strict=True)
+        passed, out, still = state.getCurrentWatermarkMs() / 1000, [], []
+        cut = _cut(held, quiet, ceiling)
+        for burst, due in cut:
+            if due <= passed:
+                out.append((key[0], burst[0][0], len(burst), due, [e for _, e in burst]))
+            else:
+                still += burst
+        if still:
+            state.update(([float(s) for s, _ in still], [int(e) for _, e in still]))
+            state.setTimeoutTimestamp(math.ceil(next(due for _, due in cut if due > passed) * 1000))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["project", "first_at", "n_events", "fired_at", "event_ids"])
+
+    marked = events.withWatermark("ts", late).select("project", "event_id", "ts", (F.unix_micros("ts") / 1e6).alias("seconds"))
+    return marked.groupBy("project").applyInPandasWithState(step, STREAMED, "seconds array<double>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def intake(blocks_stream: DataFrame, chunk, out: str, rejects: str):
