@@ -120,7 +120,8 @@ def burst_stream(events: DataFrame, quiet: float = QUIET_SECONDS, ceiling: float
             state.setTimeoutTimestamp(math.ceil(next(due for _, due in cut if due > passed) * 1000))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["project", "first_at", "n_events", "fired_at", "event_ids"])
+        if out:
+            yield pd.DataFrame(out, columns=["project", "first_at", "n_events", "fired_at", "event_ids"])
 
     marked = events.withWatermark("ts", late).select("project", "event_id", "ts", (F.unix_micros("ts") / 1e6).alias("seconds"))
     return marked.groupBy("project").applyInPandasWithState(step, STREAMED, "seconds array<double>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)

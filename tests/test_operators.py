@@ -9,7 +9,7 @@ import re
 from pyspark.sql import functions as F
 
 from plumbline.functions import callouts, measures, routing
-from plumbline.operators import blocks, geometry, results, retrieval
+from plumbline.operators import blocks, geometry, matching, results, retrieval, sheets
 from plumbline.sources import grid
 from plumbline.streaming import intake
 
@@ -93,6 +93,68 @@ def test_bursts(spark):
     assert math.isclose(sum(n for n, _ in got), len(times))
 
 
+def test_burst_stream_equals_batch(spark, tmp_path):
+    times = [0, 1, 2, 10, 12, 14, 16, 18, 20, 22, 24, 26, 28, 30, 31, 50, 52.5]
+    rows = [(p, i + 100 * p, 1000.0 + t + p) for i, t in enumerate(times) for p in range(2)]
+    batch = {(r.project, r.n_events, r.fired_at) for r in intake.bursts(spark.createDataFrame([(str(p), i, t) for p, i, t in rows], "project string, event_id long, seconds double")).collect()}
+    schema = "project string, event_id long, ts timestamp"
+    rows.sort(key=lambda r: r[2] + 4 * (r[1] % 3))  # some events come late, within what the watermark allows
+    parts = [rows[:9], rows[9:20], rows[20:], [(9, 999, 1500.0)], [(9, 998, 1501.0)]]
+    for part in parts:
+        late = spark.createDataFrame([(str(p), i, t) for p, i, t in part], "project string, event_id long, t double")
+        late.select("project", "event_id", F.timestamp_micros((F.col("t") * 1_000_000).cast("long")).alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = intake.burst_stream(stream).writeStream.outputMode("append").format("memory").queryName("bursts").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = [(r.project, r.n_events, r.fired_at) for r in spark.table("bursts").where("project <> '9'").collect()]
+    assert len(got) == len(set(got)) and set(got) == batch
+
+
+def test_title_zone_and_merge(spark):
+    texts = spark.createDataFrame([(1, n, float(n), float(100 - n)) for n in range(100)] + [(2, n, 1.0, 99.0) for n in range(50)] + [(3, 0, None, None)], "sheet int, text_no int, x double, y double")
+    pages = spark.createDataFrame([(s, 100.0, 100.0) for s in (1, 2, 3)], "sheet int, width double, height double")
+    got = [(r.sheet, r.text_no) for r in sheets.title_zone(texts, pages).collect()]
+    assert sorted(got) == [(1, n) for n in range(75, 100)] + [(2, n) for n in range(40)] + [(3, 0)]
+    a = spark.createDataFrame([(1, "t", None), (2, None, "n")], "sheet int, title string, number string")
+    b = spark.createDataFrame([(1, "u", "m"), (3, "v", None)], "sheet int, title string, number string")
+    assert sorted(tuple(r) for r in sheets.merged_titleblocks(a, b).collect()) == [(1, "t", "m"), (2, None, "n"), (3, "v", None)]
+
+
+def test_rectangle_segments(spark):
+    df = spark.createDataFrame([(1, 1, 0.0, 0.0, 4.0, 0.5), (1, 2, 0.0, 0.0, 2.0, 3.0)], "sheet int, rectangle_no int, x0 double, y0 double, x1 double, y1 double")
+    got = sorted(tuple(r)[1:] for r in sheets.rectangle_segments(df).collect())
+    assert got == [(1, 0, 0.0, 0.0, 4.0, 0.0), (1, 2, 4.0, 0.5, 0.0, 0.5), (2, 0, 0.0, 0.0, 2.0, 0.0), (2, 1, 2.0, 0.0, 2.0, 3.0), (2, 2, 2.0, 3.0, 0.0, 3.0), (2, 3, 0.0, 3.0, 0.0, 0.0)]
+
+
+def test_tables_in_sections(spark):
+    rows = spark.createDataFrame([(1, 1, 1, "a", None), (1, 2, 1, "b", "c"), (1, 3, 2, "b", None)], "doc_id int, block_no int, page int, section string, subsection string")
+    tables = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (1, 3, "z")], "doc_id int, page int, text string")
+    assert sorted(tuple(r)[2:] for r in blocks.tables_in_sections(tables, rows).collect()) == [("x", "b", "c"), ("y", "b", None), ("z", None, None)]
+
+
+def test_result_json(spark, tmp_path):
+    rows = spark.createDataFrame([("f", "b", 1.0), ("f", "a", None), ("g", "a", 2.0)], "file string, parameter string, value double")
+    results.result_json(rows, str(tmp_path / "out"))
+    got = {r.file: [(x.parameter, x.value) for x in r.results] for r in spark.read.json(str(tmp_path / "out")).collect()}
+    assert got == {"f": [("a", None), ("b", 1.0)], "g": [("a", 2.0)]}
+
+
+def test_scales_of_odd_input(spark):
+    df = spark.createDataFrame([(None, None, None), ("", 0.0, 0.0), ("SCALE 1:0", -1.0, 5.0)], "t string, a double, b double")
+    got = df.select(measures.detected_scale(F.array("t"), F.lit(None).cast("int"), F.col("a"), F.col("b"), F.col("a"), F.col("b")).alias("s"), measures.scale_check(F.lit(1.0), F.lit("mm"), F.col("a"), F.col("b")).alias("c")).collect()
+    assert [(r.s.source, r.s.denominator, r.s.mm_per_unit) for r in got] == [("HEADER", 1, 1.0)] * 3 and [tuple(r.c) for r in got] == [(False, 1.0)] * 3
+    dims = [(None, None, 1.0, None), ("...", 5.0, 2.0, 32), ("<>", 5.0, 2.0, 292), ("<>", 0.0, 2.0, 32), ("1d", 0.0, 2.0, 32), ("1e2", 3.0, 2.0, 33)]
+    rows = spark.createDataFrame(dims, "o string, l double, f double, c int").select(measures.resolved_dimension(*[F.col(c) for c in "olfc"]).alias("d")).collect()
+    assert [r.d and (r.d.value_mm, r.d.kind) for r in rows] == [None, None, (10.0, "DIAMETER"), None, (2.0, "LINEAR"), (100.0, "ALIGNED")]
+    assert spark.range(1).select(measures.imperial_mm(F.lit(1), F.lit(1), F.lit(2)), measures.imperial_mm(F.lit(1), F.lit(1), F.lit(0)), measures.from_mm(F.lit(50.8), F.lit("inch"))).first()[:] == (38.099999999999994, None, 2.0)
+
+
+def test_empty_batch_totals(spark):
+    empty = spark.createDataFrame([], "sheet int, n_extracted long, n_conflicts long, mean_confidence double")
+    assert tuple(matching.batch_totals(empty).first()) == (0, 0, 0, 0.0)
+
+
 def _python_matches(text):
     """Callouts of a plain text by Python's regular expressions: (position, pattern, raw_text), without overlaps."""
     found = []
