@@ -188,12 +188,24 @@ def nearby_words(spark, d):
     return geometry.nearby_words(_dimensions(spark, d), _texts(spark, d), 100.0).select("sheet", "dim_no", F.array_join("words", " ").alias("words"))
 
 
+@query()
+def nearby_words_whole(spark, d):
+    # The SQL above holds a radius of 100: tests hold the reference's against brute force.
+    return geometry.nearby_words(_dimensions(spark, d), _texts(spark, d)).select("sheet", "dim_no", F.array_join("words", " ").alias("words"))
+
+
 @query(f"""WITH {_LINES}, q AS (SELECT dm.sheet, dim_no point_no, line_no, orientation, sqrt((x - (x0 + x1) / 2) ** 2 + (y - (y0 + y1) / 2) ** 2) s FROM dm JOIN ln ON dm.sheet = ln.sheet)
 SELECT sheet, point_no, arg_min(line_no, (s, line_no)) line_no, arg_min(orientation, (s, line_no)) orientation FROM q WHERE s <= 50 GROUP BY ALL""")
 def nearest_line(spark, d):
     return geometry.nearest_line(_dimensions(spark, d).withColumnRenamed("dim_no", "point_no"), _lines(spark, d), 50.0)
 
 
+@query()
+def nearest_line_whole(spark, d):
+    # The SQL above holds a radius of 50: tests hold the reference's against brute force.
+    return geometry.nearest_line(_dimensions(spark, d).withColumnRenamed("dim_no", "point_no"), _lines(spark, d))
+
+
 @query(f"""WITH {_LINES}, m AS (SELECT DISTINCT sheet, round_even((x0 + x1) / 2, 1) p FROM ln), g AS (SELECT a.sheet, b.p - a.p gap FROM m a JOIN m b ON a.sheet = b.sheet WHERE b.p - a.p BETWEEN 50 AND 10000), w AS (SELECT sheet, max(gap) m FROM g GROUP BY sheet),
 c AS (SELECT sheet, floor(gap / ((m + 10) / (floor(m / 10) + 1)))::BIGINT bin, count(*) n FROM g JOIN w USING (sheet) GROUP BY ALL)
 SELECT sheet, bin, n FROM (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY n DESC, bin) r FROM c WHERE n >= 2) WHERE r <= 3""")

@@ -117,9 +117,19 @@ def page_blocks(spark, d):
 _NEAR = f"""{_LINES}, tv AS (SELECT *, (text_no % 90 + 10)::DOUBLE AS value FROM tx), nl AS (SELECT tv.sheet, text_no, value, orientation, line_no, CASE WHEN orientation = 'HORIZONTAL' THEN (y0 + y1) / 2 ELSE (x0 + x1) / 2 END p FROM tv JOIN ln ON tv.sheet = ln.sheet WHERE sqrt((x - (x0 + x1) / 2) ** 2 + (y - (y0 + y1) / 2) ** 2) <= 60)"""
 
 
+def _valued(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d).withColumn("value", F.expr("cast(text_no % 90 + 10 as double)"))
+
+
 @query(f"WITH {_NEAR} SELECT DISTINCT a.sheet, a.text_no FROM nl a JOIN nl b ON a.text_no = b.text_no AND a.orientation = b.orientation AND a.p < b.p WHERE abs(abs(a.p - b.p) - a.value) / greatest(a.value, 1) < 0.05")
 def geometry_confirmation(spark, d):
-    return geometry.geometry_confirmed(_texts(spark, d).withColumn("value", F.expr("cast(text_no % 90 + 10 as double)")), _lines(spark, d), 60.0)
+    return geometry.geometry_confirmed(_valued(spark, d), _lines(spark, d), 60.0)
+
+
+@query()
+def geometry_confirmation_whole(spark, d):
+    # The SQL above holds a radius of 60: tests hold the reference's against brute force.
+    return geometry.geometry_confirmed(_valued(spark, d), _lines(spark, d))
 
 
 def _keyed(rows: DataFrame, *keys: str) -> DataFrame:
@@ -134,10 +144,16 @@ def dimension_regions(spark, d):
     return geometry.dimension_regions(_keyed(_lines(spark, d), "sheet", "line_no"), radius=20.0)
 
 
+@query()
+def dimension_regions_whole(spark, d):
+    # The SQL above holds a radius of 20: tests hold the reference's against brute force.
+    return geometry.dimension_regions(_keyed(_lines(spark, d), "sheet", "line_no"))
+
+
 @query()
 def merged_segments(spark, d):
     # Chains of links: tests hold these against brute force.
-    return geometry.merged_segments(_keyed(_lines(spark, d), "sheet", "line_no"), 5.0)
+    return geometry.merged_segments(_keyed(_lines(spark, d), "sheet", "line_no"))
 
 
 def _callout(number: str = "l_quantity") -> str:
