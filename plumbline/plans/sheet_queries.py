@@ -214,8 +214,17 @@ def table_text(spark, d):
 j AS (SELECT document, sheet, '=== BOQ: ' || sheet || ' (' || document || ') ===' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY chunk_no) f FROM w WHERE b <= 40 GROUP BY document, sheet), k AS (SELECT *, list_filter(regexp_split_to_array(f, '\\s+'), lambda x: x <> '') ws FROM j)
 SELECT document, sheet, least(len(ws), 40)::BIGINT n_words, CASE WHEN len(ws) > 40 THEN array_to_string(ws[1:40], ' ') ELSE f END AS text FROM k""")
 def sheet_parents(spark, d):
-    chunks = table(spark, d, "orders").selectExpr("o_orderstatus document", "concat('S', o_custkey % 40) sheet", "o_orderkey chunk_no", "concat('Row ', o_orderkey, ': ', o_orderpriority) text")
-    return blocks.sheet_parents(chunks, 40)
+    return blocks.sheet_parents(_sheet_chunks(spark, d), 40)
+
+
+@query()
+def sheet_parents_whole(spark, d):
+    # The SQL above holds a cap of 40 words: tests hold the reference's against plain Python.
+    return blocks.sheet_parents(_sheet_chunks(spark, d))
+
+
+def _sheet_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").selectExpr("o_orderstatus document", "concat('S', o_custkey % 40) sheet", "o_orderkey chunk_no", "concat('Row ', o_orderkey, ': ', o_orderpriority) text")
 
 
 @query("""WITH p AS (SELECT name, (row_number() OVER (ORDER BY name) - 1) // 25 batch_no FROM (SELECT DISTINCT p_type AS name FROM part)), b AS (SELECT batch_no, string_agg(name, ',' ORDER BY name) names FROM p GROUP BY batch_no)

@@ -8,7 +8,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from plumbline.functions import callouts
-from plumbline.operators import measurements
+from plumbline.operators import blocks, measurements
 from plumbline.plans import drawing_queries, registry, sheet_queries
 
 SF = "/root/testdata/sf0.001"
@@ -94,3 +94,20 @@ def test_measurements_at_the_reference_radii(spark):
         want.append((t.sheet, t.text, value, t.x, t.y, round(sure, 9), line[2] if line and line[2] != "DIAGONAL" else "ANY"))
     assert bonuses == {1.0, 1.1}
     assert sorted((r.sheet, r.source_text, r.value_mm, r.x, r.y, round(r.confidence, 9), r.direction) for r in got if r.method in ("TEXT", "MTEXT") and r.value_mm > 0) == sorted(want)
+
+
+def test_sheet_parents_at_the_reference_cap(spark):
+    sheets_of = defaultdict(list)
+    for r in sheet_queries._sheet_chunks(spark, SF).collect():
+        sheets_of[r.document, r.sheet].append((r.chunk_no, r.text))
+    full = {k: f"=== BOQ: {k[1]} ({k[0]}) ===\n\n" + "\n\n".join(t for _, t in sorted(v)) for k, v in sheets_of.items()}
+    assert max(len(t.split()) for t in full.values()) > 40
+    want = {k: (min(len(t.split()), 3000), t if len(t.split()) <= 3000 else " ".join(t.split()[:3000])) for k, t in full.items()}
+    assert {(r.document, r.sheet): (r.n_words, r.text) for r in registry.queries()["sheet_parents_whole"](spark, SF).collect()} == want
+
+
+def test_sheet_parents_cut(spark):
+    chunks = [("d", "a", n, f"{n} x y") for n in range(1200)] + [("d", "b", 0, "x  y")]
+    got = {r.sheet: r for r in blocks.sheet_parents(spark.createDataFrame(chunks, "document string, sheet string, chunk_no int, text string")).collect()}
+    assert got["a"].n_words == 3000 and got["a"].text == " ".join("=== BOQ: a (d) ===".split() + [w for c in chunks[:1200] for w in c[3].split()][:2995])
+    assert (got["b"].n_words, got["b"].text) == (7, "=== BOQ: b (d) ===\n\nx  y")
