@@ -8,10 +8,11 @@ from pyspark.sql.window import Window
 
 
 def recent_turns(turns: DataFrame, n: int = 6) -> DataFrame:
-    """The last n turns of a conversation, numbered in time order."""
-    last = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").desc()))
+    """The last n turns of a conversation, numbered in time order; rows of one turn are in the order of their other columns."""
+    order = ["turn", *sorted(set(turns.columns) - {"conv_id", "turn"})]
+    last = F.row_number().over(Window.partitionBy("conv_id").orderBy(*[F.col(c).desc() for c in order]))
     kept = turns.withColumn("r", last).where(F.col("r") <= n)
-    return kept.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).drop("r")
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order))).drop("r")
 
 
 def flattened_chat(log: DataFrame) -> DataFrame:

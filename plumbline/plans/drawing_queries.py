@@ -76,6 +76,13 @@ def grid_text_chunks(spark, d):
     return grid.grid_text_chunks(g, grid.header_rows(g)).drop("text")
 
 
+@query()
+def grid_text_chunks_whole(spark, d):
+    # The SQL above holds row counts: tests hold the texts against plain Python.
+    g = _grid(spark, d)
+    return grid.grid_text_chunks(g, grid.header_rows(g))
+
+
 _NAMES = """fn AS (SELECT doc_id, ['Tender Drg ', 'spec_', 'General Conditions ', 'BOQ-', 'Compliance Matrix ', 'notes_'][doc_id % 6 + 1] || doc_id || ['.pdf', '.docx', '.XLSX', '.dxf', '.png'][(doc_id // 6) % 5 + 1] filename FROM documents),
 ft AS (SELECT *, CASE WHEN filename LIKE '%.pdf' THEN CASE WHEN doc_id % 6 = 0 THEN 'pdf_drawing' ELSE 'pdf_spec' END WHEN filename LIKE '%.docx' THEN 'docx_spec' WHEN filename LIKE '%.XLSX' THEN 'excel_boq' WHEN filename LIKE '%.dxf' THEN 'dxf_drawing' END kind FROM fn)"""
 
@@ -213,6 +220,13 @@ def spacing_hist(spark, d):
     return geometry.spacing_histogram(_lines(spark, d).selectExpr("sheet", "(x0 + x1) / 2 p")).drop("spacing")
 
 
+@query()
+def spacing_hist_whole(spark, d):
+    # The SQL above holds the bins of one axis: tests hold the spacings along both against plain Python.
+    along = [geometry.spacing_histogram(_lines(spark, d).selectExpr("sheet", f"({a}0 + {a}1) / 2 p")).withColumn("axis", F.lit(a)) for a in "xy"]
+    return along[0].unionByName(along[1])
+
+
 @query(f"""WITH {_LINES}, c AS (SELECT sheet, (round_even(y / 5, 0) * 5)::DOUBLE row_y, list(text ORDER BY x, text_no) c FROM tx GROUP BY ALL) SELECT sheet, row_y, c[1] AS label, array_to_string(c[2:], '|') AS vals FROM c""")
 def schedule_rows(spark, d):
     return geometry.schedule_rows(_texts(spark, d)).select("sheet", "row_y", "label", F.array_join("values", "|").alias("vals"))

@@ -88,7 +88,7 @@ def grid_text_chunks(grid: DataFrame, headers: DataFrame) -> DataFrame:
     rows = filled.join(head, F.col("sheet") == F.col("hs")).where((F.col("row_no") > F.col("hr")) & (F.size("values") > 0))
     pairs = F.zip_with(F.slice("names", 1, F.size("values")), F.col("values"), lambda n, v: F.when(v.isNull(), F.lit(None)).when(n.isNull(), v).otherwise(F.concat(n, F.lit(": "), v)))
     line = F.concat(F.lit("Row "), F.col("row_no").cast("string"), F.lit(": "), F.array_join(pairs, " | "))
-    numbered = rows.select("sheet", "row_no", line.alias("line"), F.floor((F.row_number().over(Window.partitionBy("sheet").orderBy("row_no")) - 1) / ROWS_PER_CHUNK).cast("long").alias("chunk_no"))
+    numbered = rows.select("sheet", "row_no", line.alias("line"), F.floor((F.row_number().over(Window.partitionBy("sheet").orderBy("row_no", line)) - 1) / ROWS_PER_CHUNK).cast("long").alias("chunk_no"))
     return numbered.groupBy("sheet", "chunk_no").agg(F.count("*").alias("n_rows"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 

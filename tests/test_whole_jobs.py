@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
 from plumbline.functions import callouts
 from plumbline.operators import blocks, measurements
-from plumbline.plans import drawing_queries, registry, sheet_queries
+from plumbline.plans import document_queries, drawing_queries, registry, sheet_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -111,3 +111,45 @@ def test_sheet_parents_cut(spark):
     got = {r.sheet: r for r in blocks.sheet_parents(spark.createDataFrame(chunks, "document string, sheet string, chunk_no int, text string")).collect()}
     assert got["a"].n_words == 3000 and got["a"].text == " ".join("=== BOQ: a (d) ===".split() + [w for c in chunks[:1200] for w in c[3].split()][:2995])
     assert (got["b"].n_words, got["b"].text) == (7, "=== BOQ: b (d) ===\n\nx  y")
+
+
+def test_grid_text_is_kept(spark):
+    rows = _by_sheet(drawing_queries._grid(spark, SF).collect())
+    want = {}
+    for s, rs in rows.items():
+        names = next(r.cells for r in rs if r.row_no == 1)
+        filled = [(r.row_no, v) for r in rs if r.row_no > 1 and (v := [c for c in r.cells if c])]
+        lines = [t for _, t in sorted((n, f"Row {n}: " + " | ".join(f"{h}: {c}" for h, c in zip(names, v))) for n, v in filled)]
+        for k in range(0, len(lines), 25):
+            want[s, k // 25] = (len(lines[k : k + 25]), "\n".join(lines[k : k + 25]))
+    assert {(r.sheet, r.chunk_no): (r.n_rows, r.text) for r in registry.queries()["grid_text_chunks_whole"](spark, SF).collect()} == want
+
+
+def test_spacings_on_both_axes(spark):
+    got = {(r.axis, r.sheet, r.bin): (r.n, r.spacing) for r in registry.queries()["spacing_hist_whole"](spark, SF).collect()}
+    want = {}
+    for s, ns in _by_sheet(drawing_queries._lines(spark, SF).collect()).items():
+        for axis in (0, 1):
+            marks = sorted({_middle(n)[axis] for n in ns})
+            gaps = [b - a for i, a in enumerate(marks) for b in marks[i + 1 :] if 50 <= b - a <= 10_000]
+            if gaps:
+                width = (max(gaps) + 10) / (max(gaps) // 10 + 1)
+                bins = Counter(math.floor(g / width) for g in gaps)
+                for k, n in sorted(bins.items(), key=lambda x: (-x[1], x[0]))[:3]:
+                    if n >= 2:
+                        want["xy"[axis], s, k] = (n, k * width + 5)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and {k[0] for k in got} == {"x", "y"}
+    assert all(abs(got[k][1] - want[k][1]) <= 0.0501 for k in want)
+
+
+def test_previews_are_kept(spark):
+    chunks = document_queries._chunks(spark, SF).collect()
+    got = {r.record_id: r.preview for r in registry.queries()["vector_records_whole"](spark, SF).collect()}
+    assert got == {f"{c.doc_id}_{c.chunk_index}": " ".join(c.words)[:200] for c in chunks}
+
+
+def test_repeated_turns_are_kept(spark, tmp_path):
+    turns = [("c", n // 2, "user" if n % 2 else "assistant", f"t{n}") for n in range(10)] + [("c", 4, "user", "t0")]
+    spark.createDataFrame(turns, "conv_id string, turn long, role string, text string").repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    want = [(t[1], t[2], n) for n, t in enumerate(sorted(turns, key=lambda t: t[1:])[-6:], 1)]
+    assert sorted((r.turn, r.role, r.place) for r in registry.queries()["recent_turns"](spark, str(tmp_path)).collect()) == sorted(want)
