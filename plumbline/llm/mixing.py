@@ -71,25 +71,44 @@ def _plan(targets: DataFrame, block_words: int) -> DataFrame:
     return t.withColumn("first_slot", F.coalesce(F.sum("slots").over(ahead), F.lit(0)).cast("long")).withColumn("all_slots", F.coalesce(F.sum("slots").over(Window.partitionBy()), F.lit(0)).cast("long"))
 
 
-def draw_slots(plan: DataFrame, seed: int = 0, n_shards: int = N_OUTPUT_SHARDS) -> DataFrame:
-    """shard, slot, source_no, block, one row a slot of the mix.
+def _chunked(rows: DataFrame, n: Column, total: int, *key: str) -> DataFrame:
+    """Rows with `j` from 0 to n - 1, made in chunks that are dealt over the tasks, so the hot source is spread."""
+    chunk = 16_384
+    cut = rows.where(n > 0).withColumn("__c", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))))
+    cut = cut.repartition(max(8, -(-total // (4 * chunk))), *key, "__c")
+    first = F.col("__c").cast("long") * chunk
+    return cut.withColumn("j", F.explode(F.sequence(first, F.least(first + chunk, n) - 1))).drop("__c")
+
+
+def shard_counts(plan: DataFrame, seed: int = 0, n_shards: int = N_OUTPUT_SHARDS) -> DataFrame:
+    """shard, source_no, n: how many slots of each output shard a source gets, written.
 
-    Each output shard's source counts are multinomial, conditioned on every source's total: a permutation of all slots
-    deals exactly `slots` of them to each source, and a shard is a range of slots. The j-th slot of a source takes its
-    epoch's permutation of the source's blocks at j. A source's slots are made from its counts in chunks that are dealt over
-    the tasks, so the hot source is spread; the inverse view (which slot holds draw j) is the permutation itself, a bijection.
+    The counts of a shard are multinomial, conditioned on every source's total: a permutation of all slots deals exactly
+    `slots` of them to each source, and a shard is a range of slots.
     """
-    chunk = 16_384
     total = plan.agg(F.max("all_slots")).first()[0] or 0
-    draws = plan.where("slots > 0").select("source_no", "n_blocks", "slots", "first_slot", "all_slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / chunk).cast("int"))).alias("c"))
-    draws = draws.repartition(max(8, -(-total // (4 * chunk))), "source_no", "c")
-    first = F.col("c").cast("long") * chunk
-    draws = draws.select("source_no", "n_blocks", "first_slot", "all_slots", F.explode(F.sequence(first, F.least(first + chunk, F.col("slots")) - 1)).alias("j"))
+    draws = _chunked(plan.select("source_no", "slots", "first_slot", "all_slots"), F.col("slots"), total, "source_no")
     slot = permuted(F.col("first_slot") + F.col("j"), F.col("all_slots"), F.lit("slots"), F.lit(seed))
-    epoch = F.floor(F.col("j") / F.col("n_blocks")).cast("long")
-    block = permuted(F.col("j") - epoch * F.col("n_blocks"), F.col("n_blocks"), F.lit("blocks"), F.lit(seed), F.col("source_no"), epoch)
-    per_shard = F.ceil(F.col("all_slots") / n_shards).cast("long")
-    return draws.select(F.floor(slot / per_shard).cast("int").alias("shard"), slot.alias("slot"), "source_no", block.alias("block"))
+    shard = F.floor(slot / F.ceil(F.col("all_slots") / n_shards)).cast("int")
+    return materialize(draws.groupBy(shard.alias("shard"), "source_no").agg(F.count("*").alias("n")), "mix-shards")
+
+
+def draw_slots(plan: DataFrame, counts: DataFrame, seed: int = 0) -> DataFrame:
+    """shard, slot, source_no, block, one row a slot of the mix; slots are numbered within their shard.
+
+    The counts (shard, source_no, n) cut each source's draws into a range for each shard, in the order of the shards. The
+    j-th draw of a source takes its epoch's permutation of the source's blocks at j. Inside a shard a permutation deals
+    the slots to its draws.
+    """
+    total = plan.agg(F.max("all_slots")).first()[0] or 0
+    ahead = lambda key, order: F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = counts.select("shard", "source_no", "n", ahead("source_no", "shard").alias("first_draw"), ahead("shard", "source_no").alias("first_place"), F.sum("n").over(Window.partitionBy("shard")).alias("size"))
+    draws = _chunked(ranges.join(F.broadcast(plan.select("source_no", "n_blocks")), "source_no"), F.col("n"), total, "source_no", "shard")
+    draw = F.col("first_draw") + F.col("j")
+    epoch = F.floor(draw / F.col("n_blocks")).cast("long")
+    block = permuted(draw - epoch * F.col("n_blocks"), F.col("n_blocks"), F.lit("blocks"), F.lit(seed), F.col("source_no"), epoch)
+    slot = permuted(F.col("first_place") + F.col("j"), F.col("size"), F.lit("places"), F.lit(seed), F.col("shard"))
+    return draws.select("shard", slot.alias("slot"), "source_no", block.alias("block"))
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -99,8 +118,9 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, n_shards: int = N_OUTPUT_SHARDS) -> dict[str, DataFrame]:
-    """The mix of all `docs` as frames: `plan` (sources), `slots` (one row a slot), `pieces` (doc_id, text_hash, source_no,
-    block, from_word, n_words: where each block's words lie) and `documents` (doc_id, size, source_size, target, taken).
+    """The mix of all `docs` as frames: `plan` (sources), `counts` (of slots by shard and source), `slots` (one row a slot),
+    `pieces` (doc_id, text_hash, source_no, block, from_word, n_words: where each block's words lie) and `documents`
+    (doc_id, size, source_size, target, taken).
 
     Texts' words of a source, in an order fixed by hashes of doc_id, form one stream that blocks cut; slots are joined
     to pieces by (source, block). Null and empty texts have no words and are never taken; a null source is a source; rows
@@ -111,7 +131,8 @@ def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, n_shards
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = _plan(source_targets(sources), block_words)
     plan = materialize(plan.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1), "mix-plan")
-    slots = draw_slots(plan, seed, n_shards)
+    counts = shard_counts(plan, seed, n_shards)
+    slots = draw_slots(plan, counts, seed)
     placed = running_offsets(sized, "source", F.col("size"), ["doc_id", "text_hash", "size"])
     narrow = plan.select(F.col("source").alias("__source"), "source_no", "source_size", "target")
     placed = placed.join(narrow, placed.source.eqNullSafe(narrow["__source"])).drop("__source", "source")
@@ -130,7 +151,7 @@ def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, n_shards
     t = taken.select(F.col("source_no").alias("__s"), F.col("offset").alias("__o"), F.col("doc_id").alias("__d"), F.col("size").alias("__n"), "taken")
     same = (placed.source_no == t["__s"]) & (placed["offset"] == t["__o"]) & placed.doc_id.eqNullSafe(t["__d"]) & (placed["size"] == t["__n"])
     documents = placed.join(t, same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    return {"plan": plan, "slots": slots, "pieces": pieces, "drawn": drawn, "documents": documents}
+    return {"plan": plan, "counts": counts, "slots": slots, "pieces": pieces, "drawn": drawn, "documents": documents}
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
