@@ -27,6 +27,7 @@ POSITIVE = re.compile(r"(?:^|[\s_-])(?:article\w*|main|content|entry\w*|post\w*|
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 _SPACES = re.compile(r"\s+")
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE) for tag in RAW}
 #: Least length of a paragraph that passes points on, and what a container needs to join the best one.
 MIN_PARAGRAPH = 25
 SIBLING_SHARE = 0.2
@@ -34,18 +35,39 @@ LONG_SIBLING = 80
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "marks", "score", "text_len", "link_len", "dropped")
+    __slots__ = ("tag", "parent", "children", "marks", "score", "text_len", "link_len", "commas", "dropped")
 
     def __init__(self, tag: str, parent: Node | None, marks: str = ""):
         self.tag, self.parent, self.marks = tag, parent, marks
         self.children: list[Node | str] = []
-        self.score, self.text_len, self.link_len, self.dropped = 0.0, 0, 0, False
+        self.score, self.text_len, self.link_len, self.commas, self.dropped = 0.0, 0, 0, 0, False
 
 
 def parse(page: str) -> Node:
-    """A tree of the page's elements and raw text runs; unclosed and stray tags are borne as browsers bear them."""
+    """A tree of the page's elements and raw text runs; unclosed and stray tags are borne as browsers bear them.
+
+    Open elements are counted by tag, and inline ones by the block they are in, so a stray end tag costs no climb and the
+    work is in proportion to the page.
+    """
     root = at = Node("#root", None)
+    #: open blocks, each with the counts of the inline elements open in it
+    open_blocks: list[tuple[Node, dict[str, int]]] = [(root, {})]
+    counts: dict[str, int] = {}
     pos, n = 0, len(page)
+
+    def close(top: Node) -> Node:
+        """Closes all that is open down to `top`."""
+        node = at
+        while True:
+            if node.tag in BLOCK:
+                counts[node.tag] -= 1
+                open_blocks.pop()
+            else:
+                open_blocks[-1][1][node.tag] -= 1
+            if node is top:
+                return node.parent
+            node = node.parent
+
     while pos < n:
         m = _TAG.search(page, pos)
         if m is None:
@@ -59,31 +81,33 @@ def parse(page: str) -> Node:
             continue
         tag, attributes = name.lower(), (m[3] if m[2] else m[6]) or ""
         if m[1] or m[4]:
-            top = at
-            while top is not None and top.tag != tag:
-                if tag not in BLOCK and top.tag in BLOCK:  # an inline end tag doesn't end a block
-                    top = None
-                    break
-                top = top.parent
-            if top is not None and top.parent is not None:
-                at = top.parent
+            # an inline end tag doesn't end a block
+            if (counts if tag in BLOCK else open_blocks[-1][1]).get(tag):
+                top = at
+                while top.tag != tag:
+                    top = top.parent
+                at = close(top)
             continue
         if tag in CLOSES_P or tag in SAME_CLOSES:
-            top = at
-            while top is not None and top.tag not in BLOCK:
-                top = top.parent
-            if top is not None and (top.tag == "p" and tag in CLOSES_P or top.tag == tag and tag in SAME_CLOSES or {top.tag, tag} <= {"dt", "dd"} or {top.tag, tag} <= {"td", "th"}) and top.parent is not None:
-                at = top.parent
+            top = open_blocks[-1][0]
+            if top is not root and (top.tag == "p" and tag in CLOSES_P or top.tag == tag and tag in SAME_CLOSES or {top.tag, tag} <= {"dt", "dd"} or {top.tag, tag} <= {"td", "th"}):
+                at = close(top)
         node = Node(tag, at, attributes)
         at.children.append(node)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, pos)
+            end = _RAW_END[tag].search(page, pos)
             node.children.append(page[pos : end.start() if end else n])
             pos = end.end() if end else n
             continue
         at = node
+        if tag in BLOCK:
+            counts[tag] = counts.get(tag, 0) + 1
+            open_blocks.append((node, {}))
+        else:
+            own = open_blocks[-1][1]
+            own[tag] = own.get(tag, 0) + 1
     return root
 
 
@@ -105,29 +129,21 @@ def _mark(node: Node) -> bool:
 
 
 def _walk(root: Node) -> list[Node]:
-    """All nodes that are not dropped, parents first, without recursion."""
-    out, stack = [], [root]
+    """All nodes that are not dropped, parents first, without recursion; marks those to drop."""
+    out, stack = [], [(root, False)]
     while stack:
-        node = stack.pop()
+        node, in_article = stack.pop()
         out.append(node)
+        in_article = in_article or node.tag in ("article", "main")
         for child in reversed(node.children):
             if isinstance(child, Node):
-                if _mark(child) or child.tag == "header" and not _in_article(child):
+                if _mark(child) or child.tag == "header" and not in_article:
                     child.dropped = True
                 else:
-                    stack.append(child)
+                    stack.append((child, in_article))
     return out
 
 
-def _in_article(node: Node) -> bool:
-    up = node.parent
-    while up is not None:
-        if up.tag in ("article", "main"):
-            return True
-        up = up.parent
-    return False
-
-
 def blocks(tops: list[Node]) -> list[str]:
     """The texts of the blocks below `tops` in page order, each with references decoded and white space made single."""
     out: list[str] = []
@@ -168,19 +184,24 @@ def extract(page: str | None) -> str:
         return ""
     root = parse(page)
     nodes = _walk(root)
-    for node in reversed(nodes):  # children first: lengths of text and of link text
+    long_runs = set()
+    for node in reversed(nodes):  # children first: lengths of text and of link text, and commas
         for child in node.children:
             if isinstance(child, str):
-                node.text_len += len(child.strip())
+                run = _SPACES.sub(" ", html.unescape(child)).strip()
+                node.text_len += len(run)
+                node.commas += run.count(",")
+                if len(run) >= MIN_PARAGRAPH:
+                    long_runs.add(id(node))
             elif not child.dropped:
                 node.text_len += child.text_len
                 node.link_len += child.text_len if child.tag == "a" else child.link_len
+                node.commas += child.commas
     for node in nodes:
-        own = node.tag in PARAGRAPH or node.tag in ("div", "section", "article", "main", "body", "#root") and any(isinstance(c, str) and len(c.strip()) >= MIN_PARAGRAPH for c in node.children)
+        own = node.tag in PARAGRAPH or node.tag in ("div", "section", "article", "main", "body", "#root") and id(node) in long_runs
         if not own or node.text_len < MIN_PARAGRAPH:
             continue
-        text = " ".join(blocks([node]))
-        points = 1 + text.count(",") + min(len(text) // 100, 3) + len(text) / 1000
+        points = 1 + node.commas + min(node.text_len // 100, 3) + node.text_len / 1000
         if node.tag not in PARAGRAPH:
             node.score += points
         up, share = node.parent, 1.0
@@ -212,7 +233,9 @@ def extract(page: str | None) -> str:
             if s is best or value(s) >= least or s.tag == "p" and s.text_len >= LONG_SIBLING and links < 0.25 or s.tag in HEADING and links < 0.5:
                 kept.append(s)
     for node in kept:
-        for x in _walk(node):
+        below = [node]
+        for x in below:  # grows as it is read
+            below += [c for c in x.children if isinstance(c, Node) and not c.dropped]
             if x is not best and x.tag in ("ul", "ol", "div", "section", "table") and x.text_len and x.link_len > 0.6 * x.text_len:
                 x.dropped = True
     return " ".join(blocks(kept))
