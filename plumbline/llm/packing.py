@@ -26,10 +26,12 @@ PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def load_encoder(vocabulary: str):
     """A function text -> ids for a byte-level BPE vocabulary named in public_tokenizers.
 
-    Ids are those of the `.json` file in the tokenizers library. Where the same vocabulary lies beside it as ranks, the
-    faster tiktoken reads that; tests hold the two against each other.
+    Ids are those of the `.json` file in the tokenizers library as it comes: special tokens written out in a text are
+    their own ids. Where the same vocabulary lies beside it as ranks, the faster tiktoken reads that, with the special
+    tokens of the `.json` file; tests hold the two against each other.
     """
     import base64
+    import json
     import os
 
     import public_tokenizers
@@ -41,11 +43,13 @@ def load_encoder(vocabulary: str):
 
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        with open(path, encoding="utf-8") as file:
+            special = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+        encoding = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
+        return lambda text: encoding.encode(text, allowed_special="all")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 

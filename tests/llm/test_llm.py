@@ -142,7 +142,6 @@ def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids = lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
     out = packing.pack_documents(docs).toPandas()
     want = sorted((-1 if i is None else i, s, len(x[s : s + 2048]), zlib.crc32(np.array(x[s : s + 2048], "<u4").tobytes()), len(x)) for i, t, _ in rows for x in [ids(t)] for s in range(0, len(x), 2048))
