@@ -237,14 +237,35 @@ def test_embeddings(spark, monkeypatch, chunk_rows):
 
 def test_bounds_hold():
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(400, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    turn = embed_dedup.rotation(64, 0)
-    bound = embed_dedup.upper_bounds(x, x, turn)
-    off = ~np.eye(400, dtype=bool)
-    assert ((x @ x.T)[off] <= bound[off]).mean() > 0.9999
-    signs, factor = embed_dedup.codes(x, turn)
-    assert abs((((x @ turn) @ signs.T / factor) - x @ x.T)[off].mean()) < 0.01
+    for dim in (2, 8, 64, 300):
+        x = rng.normal(size=(400, dim))
+        x = np.concatenate([x, x + rng.normal(size=x.shape) * rng.choice([0.05, 0.2, 0.33, 0.6], (400, 1))])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        words, factor = embed_dedup.codes(x, embed_dedup.rotation(dim, 256, 0))
+        assert words.shape == (800, 4)
+        guess, bound = embed_dedup.estimates(words, factor, words, factor)
+        exact, off = x @ x.T, ~np.eye(800, dtype=bool)
+        assert (exact[off] <= bound[off] + 1e-9).mean() > 0.9999
+        assert abs((guess - exact)[off].mean()) < 0.01 and abs((guess - exact)[off]).mean() < 0.1
+        near = off & (exact >= 0.95)
+        arc = np.pi / 2 * (1 - 2 * embed_dedup.differing_bits(words, words) / 256) * factor[:, None] * factor
+        assert (arc[near] >= embed_dedup.least_arc(0.95, 256)).all()
+
+
+def test_plan_of_tables_keeps_its_chance():
+    for n in (1000, 50_000, 10**6, 10**9):
+        bits, tables, code_bits = embed_dedup.plan_tables(n)
+        flip = np.arccos(0.95) / np.pi
+        assert embed_dedup._miss(bits, tables, code_bits, flip) <= embed_dedup.MISS < embed_dedup._miss(bits, tables - 1, code_bits, flip)
+        assert n / 2**bits <= embed_dedup.BUCKET_ROWS
+    rng = np.random.default_rng(0)
+    places, masks = embed_dedup.table_masks(9, 30, 256, 0)
+    words = rng.integers(0, 2**63, (50, 4), dtype="u8")
+    words[25:] = words[:25] ^ (rng.integers(0, 2**63, (25, 4), dtype="u8") & rng.integers(0, 2**63, (25, 4), dtype="u8") & rng.integers(0, 2**63, (25, 4), dtype="u8"))
+    bits = np.unpackbits(words.view("u1"), axis=1, bitorder="little")
+    for t in range(30):
+        same = (bits[:25, places[t]] == bits[25:, places[t]]).all(1)
+        assert (same == ~((words[:25] ^ words[25:]) & masks[t]).any(1)).all()
 
 
 def shingles(t):
