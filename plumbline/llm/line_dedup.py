@@ -6,8 +6,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -16,8 +17,12 @@ from .common import materialize
 MIN_DOCUMENTS = 10
 #: Keys of at least so many code points are counted.
 MIN_CODE_POINTS = 1
-#: Bytes of filters up to which they are broadcast to screen lines where they are read.
+#: Bytes of filters up to which they are broadcast and screen lines where they are read; beyond it lines go to their shards.
 FILTER_BROADCAST_BYTES = 64 << 20
+#: Digests, of 16 bytes, that are broadcast at most.
+BROADCAST_DIGESTS = 1 << 20
+#: Lines that meet a shard's filter at once; a shard with more is read in parts.
+SHARD_LINES = 1 << 22
 #: Keys that a shard of the filter holds.
 SHARD_KEYS = 1 << 18
 _STRIP = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -139,30 +144,73 @@ def build_filters(keys: DataFrame, n_shards: int) -> DataFrame:
     return _sharded(keys, n_shards).select("shard", "digest").groupBy("shard").applyInArrow(build, "shard int, n_keys long, cells binary")
 
 
+def _document_counts(docs: DataFrame) -> DataFrame:
+    return docs.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).agg(F.count("*").alias("n"))
+
+
+def _lines(batch: pa.RecordBatch) -> pa.Table:
+    """doc_id, text_hash, line, digest of each line with a key in a batch of (doc_id, text, text_hash)."""
+    rows, numbers, digests = [], [], []
+    for row, text in enumerate(batch.column(1)):
+        for number, digest in enumerate(line_digests(text.as_py())):
+            if digest is not None:
+                rows.append(row)
+                numbers.append(number)
+                digests.append(digest)
+    at = pa.array(rows, pa.int64())
+    return pa.table({"doc_id": batch.column(0).take(at), "text_hash": batch.column(2).take(at), "line": pa.array(numbers, pa.int32()), "digest": pa.array(digests, pa.binary())})
+
+
+def _shards(high: np.ndarray, n_shards: int) -> np.ndarray:
+    return (high >> np.uint64(32)) % np.uint64(n_shards)
+
+
+def _screened(digests: list[bytes], filters: dict[int, CuckooFilter], n_shards: int) -> np.ndarray:
+    """Which of `digests` pass the filters of their shards."""
+    found = np.zeros(len(digests), bool)
+    if digests:
+        high, low = _halves(digests)
+        shard = _shards(high, n_shards)
+        for k in np.unique(shard).tolist():
+            if k in filters:
+                own = shard == k
+                found[own] = filters[k].contains(high[own], low[own])
+    return found
+
+
+_LINE = "doc_id long, text_hash long, line int, digest binary"
+
+
 class LineIndex:
     """Exact counts `refs` (digest, refs) of all line keys, and cuckoo filters of those in `min_documents` rows or more.
 
     insert() and delete() return a new index in which the counts of a batch are added or taken off again: deleting what
-    was inserted restores the index. Filters of shards in which no key crosses the threshold stay as they are; in the
-    others single keys are inserted into or deleted from the stored cells.
+    was inserted restores the index. `documents` (doc_id, text_hash, n) tells what is in it: deleting a row that is not
+    raises ValueError. Filters of shards in which no key crosses the threshold stay as they are; in the others single keys
+    are inserted into or deleted from the stored cells.
     """
 
-    def __init__(self, refs: DataFrame, filters: DataFrame, n_shards: int, min_documents: int):
-        self.refs, self.filters, self.n_shards, self.min_documents = refs, filters, n_shards, min_documents
+    def __init__(self, refs: DataFrame, filters: DataFrame, n_shards: int, min_documents: int, documents: DataFrame):
+        self.refs, self.filters, self.n_shards, self.min_documents, self.documents = refs, filters, n_shards, min_documents, documents
 
     @classmethod
     def build(cls, docs: DataFrame, min_documents: int = MIN_DOCUMENTS, n_shards: int | None = None) -> LineIndex:
-        counts = line_counts(docs)
-        refs = materialize(counts, "line-refs")
+        refs = materialize(line_counts(docs), "line-refs")
         hot = refs.where(F.col("refs") >= min_documents)
         if n_shards is None:
             n_shards = max(1, -(-hot.count() // SHARD_KEYS))
-        return cls(refs, materialize(build_filters(hot, n_shards), "line-filters"), n_shards, min_documents)
+        return cls(refs, materialize(build_filters(hot, n_shards), "line-filters"), n_shards, min_documents, _document_counts(docs))
 
     def hot(self) -> DataFrame:
         return self.refs.where(F.col("refs") >= self.min_documents).select("digest")
 
     def _changed(self, docs: DataFrame, sign: int) -> LineIndex:
+        moved = _document_counts(docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), (F.col("n") * sign).alias("__n"))
+        held = self.documents.join(moved, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "full")
+        n = F.coalesce("n", F.lit(0)) + F.coalesce("__n", F.lit(0))
+        held = materialize(held.select(F.when(F.col("text_hash").isNull(), F.col("__id")).otherwise(F.col("doc_id")).alias("doc_id"), F.coalesce("text_hash", "__hash").alias("text_hash"), n.alias("n")), "line-documents")
+        if sign < 0 and (unknown := held.where("n < 0").first()):
+            raise ValueError(f"document {unknown.doc_id} with this text is not in the index")
         delta = line_counts(docs).select("digest", (F.col("refs") * sign).alias("delta"))
         after = self.refs.join(delta, "digest", "full").select("digest", F.coalesce("refs", F.lit(0)).alias("before"), (F.coalesce("refs", F.lit(0)) + F.coalesce("delta", F.lit(0))).alias("refs"))
         after = materialize(after, "line-refs")
@@ -184,7 +232,7 @@ class LineIndex:
         # A shard that had no room for its new keys is made anew, larger.
         hot = _sharded(after.where(F.col("refs") >= at), self.n_shards).join(filters.where("cells is null").select("shard"), "shard", "left_semi")
         filters = filters.where("cells is not null").union(build_filters(hot, self.n_shards))
-        return LineIndex(after.where("refs > 0").select("digest", "refs"), materialize(filters, "line-filters"), self.n_shards, at)
+        return LineIndex(after.where("refs > 0").select("digest", "refs"), materialize(filters, "line-filters"), self.n_shards, at, held.where("n > 0"))
 
     def insert(self, docs: DataFrame) -> LineIndex:
         return self._changed(docs, 1)
@@ -192,56 +240,127 @@ class LineIndex:
     def delete(self, docs: DataFrame) -> LineIndex:
         return self._changed(docs, -1)
 
-    def dropped_lines(self, docs: DataFrame, filter_broadcast_bytes: int = FILTER_BROADCAST_BYTES) -> DataFrame:
-        """(doc_id, text_hash, lines): the line numbers that each document loses, of documents that lose any.
+    def filter_bytes(self) -> int:
+        return self.filters.agg(F.sum(F.octet_length("cells"))).first()[0] or 0
 
-        The filters screen the lines where they are read, so only lines that may be frequent travel; a join with the
-        exact counts then decides. The filters are broadcast only if their stored bytes are within the bound; beyond it
-        no line is screened out and the join alone decides.
-        """
-        total = self.filters.agg(F.sum(F.octet_length("cells"))).first()[0] or 0
-        cells = None
-        if total <= filter_broadcast_bytes:
-            cells = docs.sparkSession.sparkContext.broadcast({r.shard: bytes(r.cells) for r in self.filters.collect()})
+    def _cells(self):
+        """All filters as a broadcast; only where filter_bytes() is within a bound."""
+        return self.filters.sparkSession.sparkContext.broadcast({r.shard: bytes(r.cells) for r in self.filters.toLocalIterator()})
+
+    def false_hits(self, digests: DataFrame, cells) -> DataFrame:
+        """Those of `digests` that pass the broadcast filters without being frequent: about 1 in 8000."""
         n_shards = self.n_shards
 
         def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = {} if cells is None else {k: CuckooFilter.from_bytes(v) for k, v in cells.value.items()}
+            filters = {k: CuckooFilter.from_bytes(v) for k, v in cells.value.items()}
+            for batch in batches:
+                yield batch.filter(pa.array(_screened(batch.column(0).to_pylist(), filters, n_shards)))
+
+        return digests.select("digest").mapInArrow(screen, "digest binary").distinct().join(self.hot(), "digest", "left_anti")
+
+    def maybe_lines(self, docs: DataFrame) -> DataFrame:
+        """doc_id, text_hash, line, digest, sure: the lines that pass the filter of their shard, where the filters are too
+        large to be sent to every task.
+
+        Digests of the lines travel to their shard and meet its filter there. The most frequent keys, of which no corpus
+        can have more than BROADCAST_DIGESTS, are told where they are read (`sure`), so no shard is hot; a shard with many
+        lines is read in parts.
+        """
+        total = self.refs.agg(F.sum("refs")).first()[0] or 0
+        top = self.refs.where((F.col("refs") >= self.min_documents) & (F.col("refs") > total / BROADCAST_DIGESTS)).select("digest")
+        frequent = docs.sparkSession.sparkContext.broadcast({bytes(r.digest) for r in top.toLocalIterator()})
+        n_shards, parts = self.n_shards, max(1, -(-total // (self.n_shards * SHARD_LINES)))
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, hashes, numbers, digests = [], [], [], []
-                for doc_id, text, text_hash in zip(*(batch.column(i) for i in range(3)), strict=True):
-                    own = line_digests(text.as_py())
-                    n = [i for i, d in enumerate(own) if d is not None]
-                    numbers += n
-                    digests += [own[i] for i in n]
-                    ids += [doc_id.as_py()] * len(n)
-                    hashes += [text_hash.as_py()] * len(n)
-                table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text_hash": pa.array(hashes, pa.int64()), "line": pa.array(numbers, pa.int32()), "digest": pa.array(digests, pa.binary())})
-                if cells is not None and digests:
-                    found = np.zeros(len(digests), bool)
-                    high, low = _halves(digests)
-                    shard = (high >> np.uint64(32)) % np.uint64(n_shards)
-                    for k in np.unique(shard).tolist():
-                        if k in filters:
-                            found[shard == k] = filters[k].contains(high[shard == k], low[shard == k])
-                    table = table.filter(pa.array(found))
-                yield from table.to_batches()
+                lines = _lines(batch)
+                digests = lines.column("digest").to_pylist()
+                sure = np.fromiter((d in frequent.value for d in digests), bool, len(digests))
+                high, low = _halves(digests) if digests else (np.zeros(0, "u8"),) * 2
+                shard = np.where(sure, -1, _shards(high, n_shards).astype("i4")).astype("i4")
+                yield from lines.append_column("shard", pa.array(shard)).append_column("part", pa.array((np.arange(len(digests)) % parts).astype("i4"))).to_batches()
 
         slim = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-        maybe = slim.mapInArrow(screen, "doc_id long, text_hash long, line int, digest binary")
-        sure = maybe.join(self.hot(), "digest", "left_semi")
+        lines = slim.mapInArrow(read, f"{_LINE}, shard int, part int")
+        filters = self.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+        def screen(key, own: pa.Table, cuckoo: pa.Table) -> pa.Table:
+            own = own.select(["doc_id", "text_hash", "line", "digest"])
+            if not own.num_rows or not cuckoo.num_rows:
+                return own.slice(0, 0)
+            passed = CuckooFilter.from_bytes(cuckoo.column("cells")[0].as_py()).contains(*_halves(own.column("digest").to_pylist()))
+            return own.filter(pa.array(passed))
+
+        met = lines.where("shard >= 0").groupBy("shard", "part").cogroup(filters.groupBy("shard", "part")).applyInArrow(screen, _LINE)
+        return lines.where("shard < 0").select("doc_id", "text_hash", "line", "digest", F.lit(True).alias("sure")).unionAll(met.withColumn("sure", F.lit(False)))
+
+    def dropped_lines(self, docs: DataFrame, filter_broadcast_bytes: int = FILTER_BROADCAST_BYTES) -> DataFrame:
+        """(doc_id, text_hash, lines): the line numbers that each document loses, of documents that lose any.
+
+        The filters screen all lines, where these are read if the filters are within the bound, else in their shards. Only
+        lines that pass meet the exact counts, which decide.
+        """
+        if self.filter_bytes() <= filter_broadcast_bytes:
+            cells, n_shards = self._cells(), self.n_shards
+
+            def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                filters = {k: CuckooFilter.from_bytes(v) for k, v in cells.value.items()}
+                for batch in batches:
+                    lines = _lines(batch)
+                    yield from lines.filter(pa.array(_screened(lines.column("digest").to_pylist(), filters, n_shards))).to_batches()
+
+            slim = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+            sure = slim.mapInArrow(screen, _LINE).join(self.hot(), "digest", "left_semi")
+        else:
+            maybe = materialize(self.maybe_lines(docs), "maybe-lines")
+            sure = maybe.where("sure").drop("sure").unionByName(maybe.where("not sure").drop("sure").join(self.hot(), "digest", "left_semi"))
         return sure.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("lines"))
 
 
+_KEPT = "n_lines long, n_dropped long, kept_text string"
+
+
+def _where_read(index: LineIndex, cells, wrong: set[bytes]) -> Column:
+    """The struct of a text's kept lines by broadcast filters; `wrong` are the digests that pass them without being frequent."""
+    n_shards = index.n_shards
+
+    @F.pandas_udf(_KEPT)
+    def keep(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        filters = {k: CuckooFilter.from_bytes(v) for k, v in cells.value.items()}
+        for part in texts:
+            own = [line_digests(text) for text in part]
+            flat = [d for x in own for d in x if d is not None]
+            passed = iter(_screened(flat, filters, n_shards).tolist())
+            rows = []
+            for text, digests in zip(part, own, strict=True):
+                gone = [d is not None and next(passed) and d not in wrong for d in digests]
+                n = sum(gone)
+                kept = "\n".join(x for x, g in zip(text.split("\n"), gone, strict=True) if not g) if n else text or ""
+                rows.append((len(digests), n, kept))
+            yield pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept_text"])
+
+    return keep("text")
+
+
 def dedup_lines(docs: DataFrame, index: LineIndex | None = None, min_documents: int = MIN_DOCUMENTS, filter_broadcast_bytes: int = FILTER_BROADCAST_BYTES) -> DataFrame:
     """`docs` with a struct `__lines`: n_lines, n_dropped, kept_text.
 
     Lines whose key `index` (by default that of `docs` itself) counts in min_documents rows or more lose every
-    occurrence; the others stay, joined by newlines. A null or empty text is one empty line and stays; a key is told by
-    128 bits of its digest; repeated rows count as documents each; an empty table gives an empty one; other columns pass
-    (the name `__lines` is reserved). A text all of whose lines go is empty.
+    occurrence; the others stay, joined by newlines. While the filters are within the bound, they decide where texts are
+    read, and the few keys that pass them without being frequent, told by the exact counts before, go along: no text is
+    shuffled. Beyond it lines meet their shard's filter and then the exact counts, and drop lists are joined to the texts.
+
+    A null or empty text is one empty line and stays; a key is told by 128 bits of its digest; repeated rows count as
+    documents each; an empty table gives an empty one; other columns pass (the name `__lines` is reserved). A text all of
+    whose lines go is empty.
     """
+    own = index is None
     index = index or LineIndex.build(docs, min_documents)
+    if index.filter_bytes() <= filter_broadcast_bytes:
+        cells = index._cells()
+        wrong = materialize(index.false_hits(index.refs if own else line_counts(docs), cells), "line-false-hits")
+        if wrong.count() <= BROADCAST_DIGESTS:
+            return docs.select(*[docs[c] for c in docs.columns], _where_read(index, cells, {bytes(r.digest) for r in wrong.toLocalIterator()}).alias("__lines"))
     drops = materialize(index.dropped_lines(docs, filter_broadcast_bytes), "line-drops")
     drops = drops.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("lines").alias("__drop"))
     joined = docs.join(drops, docs.doc_id.eqNullSafe(drops["__id"]) & (F.xxhash64(docs.text) == drops["__hash"]), "left")
