@@ -111,7 +111,8 @@ def _digest(tokens: np.ndarray) -> bytes:
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the shingle set), digest of the set and ck, the digest's first 64 bits; one pass over whole texts."""
+    """doc_id, th (a hash of the text), n (size of the shingle set), digest of the set and ck, the digest's first 64 bits; one
+    pass over whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,13 +123,30 @@ def document_sets(docs: DataFrame) -> DataFrame:
                     sizes.append(len(s))
                     digests.append(_digest(s))
             ck = np.frombuffer(b"".join(digests), "<i8")[::2]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(ck)], ["doc_id", "n", "digest", "ck"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(ck)], ["doc_id", "th", "n", "digest", "ck"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, ck long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) th").mapInArrow(run, "doc_id long, th long, n long, digest binary, ck long")
+
+
+def _packed_owners(owner: np.ndarray, n_docs: int) -> dict:
+    """Which document each shingle is of (ascending numbers below n_docs): a count for each document, or the steps from owner
+    to owner where that takes fewer bytes, so that a row's bytes follow its shingles, however many shards there are."""
+    forms = []
+    for x in (np.bincount(owner, minlength=n_docs), np.diff(owner, prepend=0)):
+        most = x.max(initial=0)
+        forms.append(x.astype("<u1" if most < 256 else "<u2" if most < 65_536 else "<u4"))
+    steps = forms[1].nbytes < forms[0].nbytes
+    own = forms[steps]
+    return {"steps": bool(steps), "width": own.itemsize, "owners": own.tobytes()}
+
+
+def _owners(row: dict) -> np.ndarray:
+    x = np.frombuffer(row["owners"], f"<u{row['width']}").astype("i8")
+    return np.cumsum(x) if row["steps"] else np.repeat(np.arange(len(x)), x)
 
 
 def _deal_tokens(docs: DataFrame, n_shards: int) -> DataFrame:
-    """All shingles, packed: one row a shard and stretch of documents with each document's count and 32 bits of each shingle.
+    """All shingles, packed: one row a shard and stretch of documents with 32 bits of each shingle and the documents they are of.
 
     Documents with equal sets inside a stretch of rows are dealt once. The row of shard 0 also names the documents.
     """
@@ -160,21 +178,17 @@ def _deal_tokens(docs: DataFrame, n_shards: int) -> DataFrame:
                 a, b = int(cuts[k]), int(cuts[k + 1])
                 if a == b and k:
                     continue
-                counts = np.bincount(docs_[a:b], minlength=len(sizes)).astype("<u4")
-                narrow = counts.astype("<u2") if counts.max(initial=0) < 65_536 else counts
-                yield pa.RecordBatch.from_pydict({"shard": [k], "part": [key], "cks": [ck.tobytes() if not k else b""], "sizes": [n.tobytes() if not k else b""], "width": [narrow.itemsize], "counts": [narrow.tobytes()], "tokens": [small[a:b].tobytes()]}, schema=_DEALT)
+                row = {"shard": k, "part": key, "cks": ck.tobytes() if not k else b"", "sizes": n.tobytes() if not k else b"", "n_docs": len(sizes), "tokens": small[a:b].tobytes()}
+                yield pa.RecordBatch.from_pylist([row | _packed_owners(docs_[a:b], len(sizes))], schema=_DEALT)
 
-    return docs.select("text").mapInArrow(run, "shard int, part long, cks binary, sizes binary, width int, counts binary, tokens binary")
+    return docs.select("text").mapInArrow(run, _DEALT_TYPES)
 
 
-_DEALT = pa.schema([("shard", pa.int32()), ("part", pa.int64()), ("cks", pa.binary()), ("sizes", pa.binary()), ("width", pa.int32()), ("counts", pa.binary()), ("tokens", pa.binary())])
+_DEALT_TYPES = "shard int, part long, cks binary, sizes binary, n_docs long, steps boolean, width int, owners binary, tokens binary"
+_DEALT = pa.schema([("shard", pa.int32()), ("part", pa.int64()), ("cks", pa.binary()), ("sizes", pa.binary()), ("n_docs", pa.int64()), ("steps", pa.bool_()), ("width", pa.int32()), ("owners", pa.binary()), ("tokens", pa.binary())])
 _SHARED = pa.schema([*_DEALT, ("ranks", pa.binary())])
 
 
-def _counts(row: dict) -> np.ndarray:
-    return np.frombuffer(row["counts"], f"<u{row['width']}").astype("i8")
-
-
 def _keep_shared(table: pa.Table) -> pa.Table:
     """Of one shard: the shingles that two or more dealt documents have, each with a rank that grows with their number."""
     rows = table.to_pylist()
@@ -185,9 +199,7 @@ def _keep_shared(table: pa.Table) -> pa.Table:
     out, at = [], 0
     for r, t in zip(rows, tokens, strict=True):
         own = shared[at : at + len(t)]
-        counts = _counts(r)
-        owner = np.repeat(np.arange(len(counts)), counts)[own]
-        out.append(r | {"counts": np.bincount(owner, minlength=len(counts)).astype(f"<u{r['width']}").tobytes(), "tokens": t[own].tobytes(), "ranks": rank[at : at + len(t)][own].tobytes()})
+        out.append(r | _packed_owners(_owners(r)[own], r["n_docs"]) | {"tokens": t[own].tobytes(), "ranks": rank[at : at + len(t)][own].tobytes()})
         at += len(t)
     return pa.Table.from_pylist(out, schema=_SHARED)
 
@@ -197,23 +209,36 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
+def size_band(n: np.ndarray) -> np.ndarray:
+    """Sets that link are of the same or of neighbouring bands."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / PERCENT) + 1e-9).astype("i8")
+
+
 def _prefixes(table: pa.Table) -> pa.Table:
-    """Of one stretch of documents: (ck, token) of the shared shingles in each document's prefix, the rarest first.
+    """Of one stretch of documents: (ck, token, band) of the shared shingles in each document's prefix, the rarest first.
 
-    Shingles that no other document has come first of all; a document with too many of them links with nothing.
+    Shingles that no other document has come first of all; a document with too many of them links with nothing. A row of
+    band b is for partners of bands b and b + 1, so a document of band b has one of band b - 1. It has another of band b
+    where its place in the prefix leaves room for a partner of band b + 1: two sets whose first common shingle is at place
+    i of one of n shingles have at most n - i in common, so the other has at most (100 + P) / P * (n - i) - n.
     """
     rows = table.sort_by("shard").to_pylist()
     head = next((r for r in rows if r["shard"] == 0), None)
     ck, n = np.frombuffer(head["cks"], "<i8"), np.frombuffer(head["sizes"], "<u4").astype("i8")
-    owner = np.concatenate([np.repeat(np.arange(len(ck)), _counts(r)) for r in rows])
+    owner = np.concatenate([_owners(r) for r in rows])
     token = np.concatenate([np.frombuffer(r["tokens"], "<u4").astype("i8") + (r["shard"] << 32) for r in rows])
     rank = np.concatenate([np.frombuffer(r["ranks"], "u1") for r in rows])
     shared = np.bincount(owner, minlength=len(ck))
     take = np.maximum(0, prefix_length(n) - (n - shared))
     order = np.lexsort((token, rank, owner))
     place = np.arange(len(order)) - np.repeat(np.cumsum(shared) - shared, shared)
-    order = order[place < np.repeat(take, shared)]
-    return pa.table({"ck": ck[owner[order]], "token": token[order]})
+    kept = place < np.repeat(take, shared)
+    order, place = order[kept], place[kept]
+    at = owner[order]
+    band = size_band(n)[at]
+    most = (100 + PERCENT) * (n[at] - (n - shared)[at] - place) // PERCENT - n[at]
+    up = size_band(most) > band
+    return pa.table({"ck": np.r_[ck[at], ck[at[up]]], "token": np.r_[token[order], token[order[up]]], "band": np.r_[band - 1, band[up]].astype("i4")})
 
 
 class SignatureTree:
@@ -305,12 +330,13 @@ class SignatureTree:
 def _join_families(table: pa.Table) -> pa.Table:
     """Of one bin of families (or pairs of chunks of one): edges of a spanning forest of its links."""
     label = table.column("label").to_numpy()
-    ids, chunk = table.column("doc_id").to_numpy(), table.column("c").to_numpy()
-    whole = (table.column("lo").to_numpy() == table.column("hi").to_numpy())
+    ids, chunk = table.column("ck").to_numpy(), table.column("c").to_numpy()
+    whole = table.column("lo").to_numpy() == table.column("hi").to_numpy()
     blobs = table.column("tokens").to_pylist()
     order = np.lexsort((ids, label))
     a, b = [], []
     for at in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+        at = at[np.r_[True, np.diff(ids[at]) != 0]]  # copies without an id may come more than once
         if len(at) < 2:
             continue
         sets = [np.frombuffer(blobs[i], "<u8") for i in at]
@@ -323,21 +349,50 @@ def _join_families(table: pa.Table) -> pa.Table:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """The shingle sets of the documents `wanted` (rep, label, digest), read from their texts again."""
-    wanted = bounded_broadcast(wanted.select("rep", "label", F.col("digest").alias("wanted_digest")), n_wanted)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("rep"))
+    """ck, label, n and tokens: the shingle sets of the classes `wanted` (rep, rep_th, label, digest), read again from the text
+    of one of their documents."""
+    wanted = bounded_broadcast(wanted.select("rep", "rep_th", "label", F.col("digest").alias("wanted_digest")), n_wanted)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    slim = slim.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("rep_th")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, digests = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            labels, texts, digests = (batch.column(i).to_pylist() for i in range(3))
             for a, b in _stretches(texts):
-                sets = shingle_sets(texts[a:b])
-                at = [a + i for i, s in enumerate(sets) if _digest(s) == digests[a + i]]
-                part = batch.take(pa.array(at, pa.int64()))
-                own = [sets[i - a] for i in at]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["doc_id", "label", "n", "tokens"])
+                own: dict[bytes, tuple] = {}
+                for i, s in enumerate(shingle_sets(texts[a:b]), a):
+                    if _digest(s) == digests[i]:
+                        own[digests[i]] = (int.from_bytes(digests[i][:8], "little", signed=True), labels[i], len(s), s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in own.values()], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["ck", "label", "n", "tokens"])
+
+    return slim.select("label", "text", "wanted_digest").mapInArrow(run, "ck long, label long, n long, tokens binary")
 
-    return slim.select("doc_id", "label", "text", "wanted_digest").mapInArrow(run, "doc_id long, label long, n long, tokens binary")
+
+def _dealt_families(found: DataFrame, members: DataFrame) -> DataFrame:
+    """`found` sets with the group g in which they are compared, and c, lo and hi, their chunk and the two that meet there.
+
+    Families within CHUNK_TOKENS share groups. A larger one is cut by size bands and these into chunks; a chunk meets itself,
+    the others of its band and those of the bands next to it, each pair in a group of its own.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int")
+    masses = members.groupBy("label", band.alias("band")).agg(F.sum("n").alias("mass"))
+    whole = masses.groupBy("label").agg(F.sum("mass").alias("whole")).where(F.col("whole") > CHUNK_TOKENS).select("label")
+    cuts = materialize(masses.join(whole, "label").select(F.col("label").alias("large"), "band", F.ceil(F.col("mass") / CHUNK_TOKENS * 2).cast("int").alias("subs")), "family-bands")
+    at = lambda step, name: cuts.select(F.col("large").alias(f"large_{name}"), (F.col("band") + step).alias(f"band_{name}"), F.col("subs").alias(name))
+    found = found.withColumn("band", band).join(cuts.withColumnRenamed("band", "own_band"), (F.col("label") == F.col("large")) & (F.col("band") == F.col("own_band")), "left")
+    for step, name in ((1, "below"), (-1, "above")):
+        found = found.join(at(step, name), (F.col("large") == F.col(f"large_{name}")) & (F.col("band") == F.col(f"band_{name}")), "left")
+    code = lambda b, s: b.cast("long") * (1 << 20) + s
+    found = found.withColumn("c", F.when(F.col("large").isNull(), F.lit(0).cast("long")).otherwise(code(F.col("band"), F.pmod(F.xxhash64("ck"), F.col("subs")))))
+    numbers = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    chunks = lambda n, b: F.transform(numbers(n), lambda o: code(b, o))
+    near = F.concat(chunks(F.col("subs"), F.col("band")), chunks(F.col("below"), F.col("band") - 1), chunks(F.col("above"), F.col("band") + 1))
+    met = F.when(F.col("large").isNull(), F.array(F.lit(0).cast("long"))).otherwise(near)
+    found = found.select("label", "ck", "n", "tokens", "large", "c", F.explode(met).alias("o"))
+    found = found.select("label", "ck", "tokens", "large", "c", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"))
+    total = members.agg(F.sum("n")).first()[0] or 0
+    bins = max(12, -(-total // (CHUNK_TOKENS // 4)))
+    return found.select("label", "ck", "tokens", "c", "lo", "hi", F.when(F.col("large").isNull(), F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(F.xxhash64("label", "lo", "hi")).alias("g"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -345,39 +400,36 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     1. Equal sets form a class; only classes are compared, so copies cost nothing more.
     2. All shingles are counted, packed by shard. Prefix filtering, the rarest first: of a document only the shared ones
-       among its first n - ceil(0.75 n) + 1 shingles count, and two that link have one of these in common. Classes that are
-       connected by them form families; documents without any have no links.
-    3. Each family is a signature tree that is traversed with itself; families beyond CHUNK_TOKENS are cut into chunks
-       that meet pairwise in tasks of their own. Tasks return spanning forests, so components are exact while no task
-       lists its pairs. Shingles are told by 64-bit hashes.
+       among its first n - ceil(0.75 n) + 1 shingles count, and two that link have one of these in common, are of
+       neighbouring size bands, and have it early enough. Classes that are connected by them form families; documents
+       without any have no links.
+    3. Each family is a signature tree that is traversed with itself; families beyond CHUNK_TOKENS are cut by size and into
+       chunks that meet in tasks of their own. Tasks return spanning forests, so components are exact while no task lists
+       its pairs. Shingles are told by 64-bit hashes.
 
     Null and empty texts and those without words have n_shingles 0 and link with nothing; repeated rows and equal texts
-    link; a null doc_id is kept, names no component, and has a null component_id if nothing else is in it; an empty
-    table gives an empty one; other columns are not read.
+    link; a null doc_id is kept, links like any other, names no component, and has a null component_id if nothing else is
+    in it; an empty table gives an empty one; other columns are not read.
     """
     sets = materialize(document_sets(docs), "sets")
     some = sets.where("n > 0")
-    classes = some.groupBy("digest", "ck", "n").agg(F.min("doc_id").alias("rep"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th"))
+    classes = some.groupBy("digest", "ck", "n").agg(first.alias("f")).select("digest", "ck", "n", F.col("f.doc_id").alias("rep"), F.col("f.th").alias("rep_th"))
     total = sets.agg(F.sum("n")).first()[0] or 0
     n_shards = max(1, -(-total // SHARD_TOKENS))
     dealt = _deal_tokens(docs, n_shards)
-    shared = dealt.groupBy("shard").applyInArrow(_keep_shared, "shard int, part long, cks binary, sizes binary, width int, counts binary, tokens binary, ranks binary")
-    prefixes = materialize(shared.groupBy("part").applyInArrow(_prefixes, "ck long, token long"), "prefixes")
-    ends = prefixes.groupBy("token").agg(F.min("ck").alias("least"), F.max("ck").alias("most")).where("least <> most").select("token", "least")
-    near = prefixes.join(ends, "token").where("ck <> least").select(F.col("ck").alias("a"), F.col("least").alias("b"))
+    shared = dealt.groupBy("shard").applyInArrow(_keep_shared, f"{_DEALT_TYPES}, ranks binary")
+    prefixes = materialize(shared.groupBy("part").applyInArrow(_prefixes, "ck long, token long, band int"), "prefixes")
+    ends = prefixes.groupBy("token", "band").agg(F.min("ck").alias("least"), F.max("ck").alias("most")).where("least <> most").select("token", "band", "least")
+    near = prefixes.join(ends, ["token", "band"]).where("ck <> least").select(F.col("ck").alias("a"), F.col("least").alias("b"))
     families = connected_components(near)
-    members = materialize(classes.join(families, classes.ck == families.node).select("digest", "n", "rep", F.col("component").alias("label")).where("rep is not null"), "members")
-    mass = members.groupBy("label").agg(F.sum("n").alias("mass")).where(F.col("mass") > CHUNK_TOKENS).select(F.col("label").alias("large"), F.ceil(F.col("mass") / CHUNK_TOKENS * 2).cast("int").alias("n_chunks"))
-    stats = members.agg(F.count("*"), F.sum("n")).first()
-    found = _sets_of(docs, members, stats[0])
-    found = found.join(mass, F.col("label") == F.col("large"), "left").withColumn("chunks", F.coalesce("n_chunks", F.lit(1)))
-    found = found.withColumn("c", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    found = found.select("label", "doc_id", "tokens", "chunks", "c", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"))
-    bins = max(12, -(-(stats[1] or 0) // (CHUNK_TOKENS // 4)))
-    group = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(F.xxhash64("label", "lo", "hi"))
-    edges = found.withColumn("g", group).groupBy("g").applyInArrow(_join_families, "a long, b long")
+    members = materialize(classes.join(families, classes.ck == families.node).select("digest", "ck", "n", "rep", "rep_th", F.col("component").alias("label")), "members")
+    found = _dealt_families(_sets_of(docs, members, members.count()), members)
+    edges = found.groupBy("g").applyInArrow(_join_families, "a long, b long")
     parts = connected_components(edges)
-    linked = materialize(members.join(parts, members.rep == parts.node).select(F.col("digest").alias("__digest"), "component"), "linked")
+    linked = materialize(members.join(parts, members.ck == parts.node).select("digest", "rep", F.col("component").alias("part")), "linked")
+    least = linked.groupBy("part").agg(F.min("rep").alias("component"))
+    linked = linked.join(least, "part").select(F.col("digest").alias("__digest"), "component")
     reps = classes.select(F.col("digest").alias("__d"), "rep")
     out = sets.join(reps, (sets.digest == reps["__d"]) & (sets.n > 0), "left").join(linked, sets.digest == linked["__digest"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))

@@ -111,6 +111,32 @@ def test_line_index_is_reversible(docs):
     assert state(back) == state(start)
     drops = lambda x: sorted((r.doc_id, sorted(r.lines)) for r in x.dropped_lines(first).collect())
     assert drops(back) == drops(start)
+    for unknown in (second, first.where("doc_id = 100").withColumn("text", F.lit("common"))):
+        with pytest.raises(ValueError, match="not in the index"):
+            start.delete(unknown)
+
+
+def test_filters_screen_lines_in_their_shards(docs, rows):
+    index = line_dedup.LineIndex.build(docs, 3, n_shards=4)
+    maybe = index.maybe_lines(docs).collect()
+    keys = sum(len({*line_dedup.line_digests(t)} - {None}) for _, t, _ in rows)
+    hot = {bytes(r.digest) for r in index.hot().collect()}
+    assert hot <= {bytes(r.digest) for r in maybe} and len({bytes(r.digest) for r in maybe} - hot) <= 2 and len(maybe) < keys
+    assert all(bytes(r.digest) in hot for r in maybe if r.sure)
+
+
+def test_lines_that_only_pass_the_filters_stay(spark, docs, rows):
+    index = line_dedup.LineIndex.build(docs)
+    (cells,) = [bytes(r.cells) for r in index.filters.collect()]
+    tried = [f"z{i}" for i in range(400_000)]
+    passed = line_dedup.CuckooFilter.from_bytes(cells).contains(*line_dedup._halves([line_dedup.line_digests(x)[0] for x in tried]))
+    false = [x for x, p in zip(tried, passed, strict=True) if p]
+    assert 0 < len(false) < 100
+    more = [(1000 + i, f"first\n{x}\ncommon", "s") for i, x in enumerate(false)]
+    grown = docs.select("doc_id", "text", "source").unionAll(spark.createDataFrame(more, "doc_id long, text string, source string"))
+    for bound in (line_dedup.FILTER_BROADCAST_BYTES, 0):
+        out = line_dedup.dedup_lines(grown, filter_broadcast_bytes=bound)
+        assert sorted((r.doc_id if r.doc_id is not None else -1, r["__lines"].n_lines, r["__lines"].n_dropped, r["__lines"].kept_text) for r in out.collect()) == deduped([*rows, *more])
 
 
 def test_cuckoo_filter():
@@ -273,7 +299,7 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
 
 
-@pytest.mark.parametrize("limits", [(jaccard_join.SHARD_TOKENS, jaccard_join.CHUNK_TOKENS), (200, 150)])
+@pytest.mark.parametrize("limits", [(jaccard_join.SHARD_TOKENS, jaccard_join.CHUNK_TOKENS), (200, 150), (50, 60)])
 def test_jaccard(docs, rows, empty, monkeypatch, limits):
     monkeypatch.setattr(jaccard_join, "SHARD_TOKENS", limits[0])
     monkeypatch.setattr(jaccard_join, "CHUNK_TOKENS", limits[1])
@@ -289,6 +315,35 @@ def test_jaccard(docs, rows, empty, monkeypatch, limits):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _, c in want if i == c} | {None}
 
 
+def test_links_reach_through_rows_without_an_id(spark):
+    w = [f"w{i}" for i in range(64)]
+    a, b, c = (" ".join(x) for x in (w, [*w[:58], *(f"y{i}" for i in range(6))], [f"z{i}" for i in range(6)] + w[6:58] + [f"y{i}" for i in range(6)]))
+    near = lambda x, y: len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y))
+    assert near(a, b) >= 0.75 > near(a, c) and near(b, c) >= 0.75
+    for ids, want in (((1, 2, 3), (1, 1, 1)), ((1, None, 3), (1, 1, 1)), ((None, None, 3), (3, 3, 3)), ((None,) * 3, (None,) * 3)):
+        rows = [*zip(ids, (a, b, c), strict=True), (ids[1], b), (ids[1], b.upper()), (9, "nothing like it at all, not one bit")]
+        got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.component_id for r in got if r.n_shingles > 10} == set(want) and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("n_shards", [10, 1000])
+def test_dealt_bytes_follow_the_shingles(docs, n_shards):
+    many = docs.sparkSession.range(3000, numPartitions=2).select(F.expr("array_join(transform(sequence(1, 40), i -> concat('v', hash(id, i) % 5000)), ' ')").alias("text"))
+    dealt = jaccard_join._deal_tokens(many, n_shards)
+    total = dealt.agg(F.sum(F.octet_length("tokens")) / 4, F.sum(F.octet_length("owners"))).first()
+    assert total[0] == sum(len(shingles(r.text)) for r in many.collect()) and total[1] <= 2 * total[0]
+    owner = np.sort(np.random.default_rng(n_shards).integers(0, 70_000, 500))
+    for x in (owner, owner[:0], np.repeat(owner[:3], 700)):
+        for n_docs in (int(x.max(initial=0)) + 1, 200_000):
+            assert (jaccard_join._owners(jaccard_join._packed_owners(x, n_docs)) == x).all()
+
+
+def test_bands_keep_all_that_may_link():
+    n = np.arange(1, 3000)
+    most = n * 100 // jaccard_join.PERCENT
+    assert (jaccard_join.size_band(most) - jaccard_join.size_band(n) <= 1).all()
+
+
 def test_signature_tree_equals_all_pairs():
     rng = np.random.default_rng(4)
     sets = []
