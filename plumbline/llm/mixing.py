@@ -83,8 +83,9 @@ def _chunked(rows: DataFrame, n: Column, total: int, *key: str) -> DataFrame:
 def shard_counts(plan: DataFrame, seed: int = 0, n_shards: int = N_OUTPUT_SHARDS) -> DataFrame:
     """shard, source_no, n: how many slots of each output shard a source gets, written.
 
-    The counts of a shard are multinomial, conditioned on every source's total: a permutation of all slots deals exactly
-    `slots` of them to each source, and a shard is a range of slots.
+    The counts of a shard are multinomial, conditioned on every source's total, without which small sources would stray from
+    their targets and full ones pass their caps: a permutation of all slots deals exactly `slots` of them to each source, and
+    a shard is a range of slots.
     """
     total = plan.agg(F.max("all_slots")).first()[0] or 0
     draws = _chunked(plan.select("source_no", "slots", "first_slot", "all_slots"), F.col("slots"), total, "source_no")
@@ -118,9 +119,11 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, n_shards: int = N_OUTPUT_SHARDS) -> dict[str, DataFrame]:
-    """The mix of all `docs` as frames: `plan` (sources), `counts` (of slots by shard and source), `slots` (one row a slot),
-    `pieces` (doc_id, text_hash, source_no, block, from_word, n_words: where each block's words lie) and `documents`
-    (doc_id, size, source_size, target, taken).
+    """The mix of all `docs` as frames: `plan` (sources), `counts` (of slots by shard and source), `slots` (shard, slot,
+    source_no, block, one row a slot), `pieces` (doc_id, text_hash, source_no, block, from_word, n_words: where each block's
+    words lie), `drawn` (pieces with `places`, the shards and slots their block takes, and `times`, their number) and
+    `documents` (doc_id, size, source_size, target, taken, and first_shard and first_slot, the first place of any of its
+    words, null if none is taken).
 
     Texts' words of a source, in an order fixed by hashes of doc_id, form one stream that blocks cut; slots are joined
     to pieces by (source, block). Null and empty texts have no words and are never taken; a null source is a source; rows
@@ -142,15 +145,16 @@ def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, n_shards
     start = F.greatest(F.col("offset"), F.col("block") * block_words)
     stop = F.least(end, (F.col("block") + 1) * block_words)
     pieces = pieces.select("doc_id", "text_hash", "size", "offset", "source_no", "block", (start - F.col("offset")).alias("from_word"), (stop - start).alias("n_words"))
-    # Written, so that its true size decides how it is joined: Spark can't tell how many rows the sequences above make.
-    times = materialize(slots.groupBy("source_no", "block").agg(F.count("*").alias("times")), "mix-times")
-    drawn = pieces.join(times, ["source_no", "block"])
+    # A block is taken at most MAX_EPOCHS times. Written, so that its true size decides how it is joined: Spark can't tell
+    # how many rows the sequences above make.
+    times = materialize(slots.groupBy("source_no", "block").agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("places")), "mix-times")
+    drawn = pieces.join(times, ["source_no", "block"]).withColumn("times", F.size("places"))
     # Rows are told apart by their place in the source's stream.
     by_row = ["source_no", "offset", "doc_id", "size"]
-    taken = drawn.groupBy(*by_row).agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
-    t = taken.select(F.col("source_no").alias("__s"), F.col("offset").alias("__o"), F.col("doc_id").alias("__d"), F.col("size").alias("__n"), "taken")
+    taken = drawn.groupBy(*by_row).agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"), F.min(F.col("places")[0]).alias("place"))
+    t = taken.select(F.col("source_no").alias("__s"), F.col("offset").alias("__o"), F.col("doc_id").alias("__d"), F.col("size").alias("__n"), "taken", "place")
     same = (placed.source_no == t["__s"]) & (placed["offset"] == t["__o"]) & placed.doc_id.eqNullSafe(t["__d"]) & (placed["size"] == t["__n"])
-    documents = placed.join(t, same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    documents = placed.join(t, same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("place.shard").alias("first_shard"), F.col("place.slot").alias("first_slot"))
     return {"plan": plan, "counts": counts, "slots": slots, "pieces": pieces, "drawn": drawn, "documents": documents}
 
 
