@@ -120,5 +120,5 @@ FROM documents JOIN m ON documents.doc_id = m.a LEFT JOIN n ON documents.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    """Where SQL can't express an operator (2, 4, 5, 6, 7, 10) its query is tested against a brute-force version."""
+    """Where SQL can't express an operator (2, 4, 5, 6, 7, 10) tests/llm holds its query against a brute-force version."""
     return {"op1_host_quality_rules": _OP1, "op3_line_dedup": _OP3, "op8_embedding_dedup": _OP8, "op9_jaccard_join": _OP9}

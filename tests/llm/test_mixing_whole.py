@@ -50,8 +50,9 @@ def water_filled(sizes, weights, share, most):
         full |= over
 
 
-def mixed(rows, block, n_shards, rows_per_bucket=2000):
-    """documents by (doc_id, text): size, source_size, target, taken, first_shard, first_slot; and the counts by shard and source."""
+def mixed(rows, block, n_shards, rows_per_bucket=2000, with_times=False):
+    """documents by (doc_id, text): size, source_size, target, taken, first_shard, first_slot; and the counts by shard and source;
+    on demand also how often each word of each row is taken."""
     names = sorted({s for _, _, s in rows if s is not None}) + ([None] if any(s is None for _, _, s in rows) else [])
     docs = [(i, len(WORD.findall(t or "")), hashed(t), names.index(s), k) for k, (i, t, s) in enumerate(rows)]
     sizes = [sum(n for _, n, _, s, _ in docs if s == k) for k in range(len(names))]
@@ -71,13 +72,14 @@ def mixed(rows, block, n_shards, rows_per_bucket=2000):
                 places[k, permuted(at, blocks[k], "blocks", (0,), (k,), epoch)].append((shard, slot))
                 draw += 1
     buckets = max(1, -(-len(rows) // rows_per_bucket))
-    out, offset = {}, [0] * len(names)
+    out, times, offset = {}, {}, [0] * len(names)
     for i, n, text_hash, s, k in sorted(docs, key=lambda d: (hashed(d[0], d[2], d[1]) % buckets, d[0] is not None, d[0] or 0, d[2], d[1])):
         words = Counter(w // block for w in range(offset[s], offset[s] + n))
+        times[k] = [len(places[s, w // block]) for w in range(offset[s], offset[s] + n)]
         offset[s] += n
         took = [p for b in words for p in places[s, b]]
         out[k] = (i, n, sizes[s], float(target[s]), sum(c * len(places[s, b]) for b, c in words.items()), *(min(took) if took else (None, None)))
-    return sorted(map(str, out.values())), dict(counts)
+    return (sorted(map(str, out.values())), dict(counts)) + ((times,) if with_times else ())
 
 
 def rows_of(n, seed):
