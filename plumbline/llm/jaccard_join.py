@@ -20,6 +20,8 @@ PERCENT = 75
 SHARD_TOKENS = 3_000_000
 #: Shingles of the documents that a task's signature trees hold; larger families are cut into chunks that meet in pairs.
 CHUNK_TOKENS = 4_000_000
+#: Classes whose sets are read again up to which their ids, 40 bytes each, are broadcast.
+WANTED_ROWS = 500_000
 FAN_OUT = 16
 #: Bytes of text that are hashed at once.
 SEGMENT = 1 << 20
@@ -349,23 +351,23 @@ def _join_families(table: pa.Table) -> pa.Table:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """ck, label, n and tokens: the shingle sets of the classes `wanted` (rep, rep_th, label, digest), read again from the text
-    of one of their documents."""
-    wanted = bounded_broadcast(wanted.select("rep", "rep_th", "label", F.col("digest").alias("wanted_digest")), n_wanted)
+    """ck, label, n and tokens: the shingle sets of the classes `wanted` (rep, rep_th, label, ck), read again from the text of
+    one of their documents."""
+    wanted = bounded_broadcast(wanted.select("rep", "rep_th", "label", F.col("ck").alias("wanted")), n_wanted, WANTED_ROWS)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     slim = slim.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("rep_th")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, texts, digests = (batch.column(i).to_pylist() for i in range(3))
+            labels, texts, wanted_cks = (batch.column(i).to_pylist() for i in range(3))
             for a, b in _stretches(texts):
-                own: dict[bytes, tuple] = {}
+                own: dict[int, tuple] = {}
                 for i, s in enumerate(shingle_sets(texts[a:b]), a):
-                    if _digest(s) == digests[i]:
-                        own[digests[i]] = (int.from_bytes(digests[i][:8], "little", signed=True), labels[i], len(s), s.tobytes())
+                    if (ck := int.from_bytes(_digest(s)[:8], "little", signed=True)) == wanted_cks[i]:
+                        own[ck] = (ck, labels[i], len(s), s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in own.values()], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["ck", "label", "n", "tokens"])
 
-    return slim.select("label", "text", "wanted_digest").mapInArrow(run, "ck long, label long, n long, tokens binary")
+    return slim.select("label", "text", "wanted").mapInArrow(run, "ck long, label long, n long, tokens binary")
 
 
 def _dealt_families(found: DataFrame, members: DataFrame) -> DataFrame:
