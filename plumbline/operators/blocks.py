@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scratch import numbered
+
 PARENT_WORDS, CHILD_WORDS = 3000, 200
 TOKENS_PER_WORD = 1.35
 OVERLAP_CHUNKS = 3
@@ -58,34 +60,34 @@ def section_groups(filled: DataFrame) -> DataFrame:
 def parent_child_chunks(sections: DataFrame, parent_words: int = PARENT_WORDS, child_words: int = CHILD_WORDS) -> DataFrame:
     """Level 0 chunks of up to parent_words words, each followed by level 1 chunks of up to child_words of it.
 
-    chunk_index runs through a document; parent_index is null at level 0; prev and next link siblings inside one parent.
+    chunk_index runs through a document; parent_index is null at level 0; prev and next link siblings inside one parent. The
+    number of chunks of a section follows from its words, so indexes are sums over sections and no chunk is sorted.
     """
-    starts = lambda n, step: F.explode(F.sequence(F.lit(0), n - 1, F.lit(step)))
-    parents = sections.where(F.size("words") > 0).withColumn("p", starts(F.size("words"), parent_words))
-    parents = parents.withColumn("words", F.slice("words", F.col("p") + 1, F.lit(parent_words)))
-    whole = parents.withColumn("chunk_level", F.lit(0)).withColumn("c", F.lit(-1))
-    children = parents.withColumn("chunk_level", F.lit(1)).withColumn("c", starts(F.size("words"), child_words))
-    children = children.withColumn("words", F.slice("words", F.col("c") + 1, F.lit(child_words)))
-    both = whole.unionByName(children)
-    index = (F.row_number().over(Window.partitionBy("doc_id").orderBy("section_no", "p", "chunk_level", "c")) - 1).cast("int")
-    both = both.withColumn("chunk_index", index)
-    family = Window.partitionBy("doc_id", "section_no", "p")
-    siblings = Window.partitionBy("doc_id", "section_no", "p", "chunk_level").orderBy("chunk_index")
-    child = F.col("chunk_level") == 1
+    per_parent = 1 + -(-parent_words // child_words)
+    n = F.size("words")
+    rest = n % parent_words
+    n_chunks = F.floor(n / parent_words) * per_parent + F.when(rest > 0, 1 + F.ceil(rest / child_words)).otherwise(0)
+    before = Window.partitionBy("doc_id").orderBy("section_no").rowsBetween(Window.unboundedPreceding, -1)
+    based = sections.withColumn("base", F.coalesce(F.sum(n_chunks).over(before), F.lit(0)).cast("int")).where(n > 0)
+    slices = lambda words, step: F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(step)), lambda at: F.slice(words, at + 1, F.lit(step)))
+    about = ["doc_id", "project", "base", "section", "subsection", "page_start"]
+    parents = based.select(*about, F.posexplode(slices(F.col("words"), parent_words)).alias("p", "whole"))
+    both = parents.select(*about, "p", F.ceil(F.size("whole") / child_words).cast("int").alias("n"), F.posexplode(F.concat(F.array("whole"), slices(F.col("whole"), child_words))).alias("c", "words"))
+    parent = F.col("base") + F.col("p") * per_parent
+    child = F.col("c") > 0
     return both.select(
-        "doc_id", "project", "chunk_index", "chunk_level",
-        F.when(child, F.min("chunk_index").over(family)).alias("parent_index"),
-        F.when(child, F.lag("chunk_index").over(siblings)).alias("prev_index"),
-        F.when(child, F.lead("chunk_index").over(siblings)).alias("next_index"),
+        "doc_id", "project", (parent + F.col("c")).alias("chunk_index"), child.cast("int").alias("chunk_level"),
+        F.when(child, parent).alias("parent_index"),
+        F.when(F.col("c") > 1, parent + F.col("c") - 1).alias("prev_index"),
+        F.when(child & (F.col("c") < F.col("n")), parent + F.col("c") + 1).alias("next_index"),
         "section", "subsection", "page_start", F.size("words").cast("long").alias("n_words"), estimated_tokens(F.size("words")).alias("n_tokens"), "words",
     )
 
 
 def interleaved(chunks: DataFrame) -> DataFrame:
-    """Adds turn (rank in the document) and ordinal: documents of a project take turns."""
+    """Adds turn (rank in the document) and ordinal: documents of a project take turns. No task holds a whole project."""
     turn = F.row_number().over(Window.partitionBy("project", "doc_id").orderBy("chunk_index"))
-    ordinal = F.row_number().over(Window.partitionBy("project").orderBy("turn", "doc_id"))
-    return chunks.withColumn("turn", turn).withColumn("ordinal", ordinal)
+    return numbered(chunks.withColumn("turn", turn), "project", ["turn", "doc_id"], "ordinal")
 
 
 def context_windows(ordered: DataFrame, budget: int) -> DataFrame:
@@ -114,8 +116,8 @@ def context_windows(ordered: DataFrame, budget: int) -> DataFrame:
 
 
 def batches(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
-    """Adds batch_no: consecutive rows of a group in batches of `size`."""
-    return rows.withColumn("batch_no", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) / size).cast("long"))
+    """Adds batch_no: consecutive rows of a group in batches of `size`. No task holds a whole group."""
+    return numbered(rows, group, [order], "__number").withColumn("batch_no", F.floor((F.col("__number") - 1) / size).cast("long")).drop("__number")
 
 
 def document_inventory(windowed: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ DIRECTION_TOLERANCE = 10.0
 CONFIRM_RADIUS, CONFIRM_TOLERANCE, CONFIRM_BONUS = 400.0, 0.05, 1.10
 TICK_LENGTH, TICK_RADIUS, MERGE_RADIUS, ANGLE_WEIGHT = 30.0, 50.0, 20.0, 5.0
 MIN_OVERLAP, MIN_SEPARATION, MAX_SEPARATION = 5.0, 0.5, 5000.0
+#: Width of the cells in which parallel lines meet, along the lines.
+OVERLAP_CELL = 64.0
 
 
 def _cells(x: Column, radius: float) -> Column:
@@ -45,20 +47,31 @@ def nearest_line(points: DataFrame, lines: DataFrame, radius: float = NEARBY) ->
 
 def line_pairs(lines: DataFrame, max_separation: float = MAX_SEPARATION) -> DataFrame:
     """sheet, orientation, value (separation, 1 place), a_no, b_no: parallel axis-aligned lines that face each other over 5 units or
-    more; the first pair for each value. The perpendicular axis is cut into strips of max_separation."""
+    more; the first pair for each value.
+
+    The perpendicular axis is cut into strips of max_separation, the other into cells, and lines meet only where they share a
+    cell and the same strip or the next, so the pairs of a sheet are spread over tasks and most that don't face each other
+    never meet. Lines with the same number make no pair.
+    """
     horizontal = F.col("orientation") == "HORIZONTAL"
     flat = lines.where(F.col("orientation").isin("HORIZONTAL", "VERTICAL")).select(
         "sheet", "orientation", "line_no",
-        F.when(horizontal, F.col("y0") + F.col("y1")).otherwise(F.col("x0") + F.col("x1")).alias("p2"),
+        (F.when(horizontal, F.col("y0") + F.col("y1")).otherwise(F.col("x0") + F.col("x1")) / 2).alias("p"),
         F.when(horizontal, F.least("x0", "x1")).otherwise(F.least("y0", "y1")).alias("lo"), F.when(horizontal, F.greatest("x0", "x1")).otherwise(F.greatest("y0", "y1")).alias("hi"),
-    ).withColumn("p", F.col("p2") / 2)
-    strip = F.floor(F.col("p") / max_separation).cast("long")
-    a = flat.select("sheet", "orientation", F.col("line_no").alias("a_no"), F.col("p").alias("ap"), F.col("lo").alias("al"), F.col("hi").alias("ah"), F.explode(F.array(strip - 1, strip, strip + 1)).alias("strip"))
-    b = flat.select("sheet", "orientation", F.col("line_no").alias("b_no"), F.col("p").alias("bp"), F.col("lo").alias("bl"), F.col("hi").alias("bh"), strip.alias("strip"))
-    pairs = a.join(b, ["sheet", "orientation", "strip"]).where("a_no < b_no").withColumn("sep", F.abs(F.col("ap") - F.col("bp")))
-    pairs = pairs.where((F.least("ah", "bh") - F.greatest("al", "bl") >= MIN_OVERLAP) & F.col("sep").between(MIN_SEPARATION, max_separation))
-    first = F.struct("a_no", "b_no")
-    return pairs.groupBy("sheet", "orientation", F.bround("sep", 1).alias("value")).agg(F.min(first).alias("m")).select("sheet", "orientation", "value", "m.a_no", "m.b_no")
+    ).where(F.col("hi") - F.col("lo") >= MIN_OVERLAP)
+    cell = lambda c: F.floor(F.col(c) / OVERLAP_CELL).cast("long")
+    flat = flat.withColumn("cell", F.explode(F.sequence(cell("lo"), cell("hi")))).withColumn("strip", F.floor(F.col("p") / max_separation).cast("long"))
+    about = lambda side: [F.col("line_no").alias(f"{side}_no"), F.col("p").alias(f"{side}p"), F.col("lo").alias(f"{side}l"), F.col("hi").alias(f"{side}h")]
+    # The line further down the axis stays in its strip, the other also looks into the next.
+    a = flat.select("sheet", "orientation", "cell", *about("a"), F.explode(F.array(F.col("strip"), F.col("strip") + 1)).alias("strip"))
+    b = flat.select("sheet", "orientation", "cell", "strip", *about("b"))
+    # Lines are few where their pairs are many: a join by shuffle spreads these by cell, a broadcast leaves them in the scan's tasks.
+    pairs = a.join(b.hint("merge"), ["sheet", "orientation", "cell", "strip"]).withColumn("sep", F.col("bp") - F.col("ap"))
+    pairs = pairs.where((F.least("ah", "bh") - F.greatest("al", "bl") >= MIN_OVERLAP) & F.col("sep").between(MIN_SEPARATION, max_separation) & (F.col("a_no") != F.col("b_no")))
+    pairs = pairs.select("sheet", "orientation", F.bround("sep", 1).alias("value"), F.least("a_no", "b_no").alias("a_no"), F.greatest("a_no", "b_no").alias("b_no"))
+    # The least pair in two steps of plain numbers: the least struct would be aggregated by sorting all pairs.
+    of_line = pairs.groupBy("sheet", "orientation", "value", "a_no").agg(F.min("b_no").alias("b_no"))
+    return of_line.groupBy("sheet", "orientation", "value").agg(F.min("a_no").alias("a_no"), F.min_by("b_no", "a_no").alias("b_no"))
 
 
 def spacing_histogram(marks: DataFrame, low: float = 50, high: float = 10_000, top: int = 3, least: int = 2) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scratch import broadcast_within
+
 MIN_SCORE = 0.05
 MAX_BYTES = 9500
 EMPTY_TEXT = "[empty]"
@@ -18,13 +22,16 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return _dot(a, b) / (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
+def unit(v: Column) -> Column:
+    """A vector over its length; null for a zero vector."""
+    return F.transform(F.array(F.nullif(F.sqrt(_dot(v, v)), F.lit(0.0))), lambda n: F.transform(v, lambda x: x.cast("double") / n))[0]
 
 
 def _ranked(queries: DataFrame, vectors: DataFrame, on: list[str], k: int, min_score: float) -> DataFrame:
-    """Each task first keeps k rows a query of its own part, so the final ranking gets few rows even for a hot project."""
-    pairs = queries.join(vectors, on).withColumn("score", F.round(cosine(F.col("query_vector"), F.col("embedding")), 4))
+    """Lengths are divided out before the join, so a pair costs one product. Queries are broadcast within a bound, so vectors stay
+    where they are; each task first keeps k rows a query of its own part, so the final ranking gets few rows even for a hot project."""
+    asked = broadcast_within(queries.select("query_id", *on, unit(F.col("query_vector")).alias("__q")))
+    pairs = vectors.select("vec_id", *on, unit(F.col("embedding")).alias("__v")).join(asked, on).withColumn("score", F.round(_dot(F.col("__q"), F.col("__v")), 4))
     pairs = pairs.where(F.col("score") >= min_score).select("query_id", "vec_id", "score", F.pmod(F.xxhash64("vec_id"), F.lit(32)).alias("part"))
     best = [F.col("score").desc(), F.col("vec_id")]
     near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*best))).where(F.col("r") <= k)
@@ -96,18 +103,50 @@ def vector_records(chunks: DataFrame) -> DataFrame:
     )
 
 
-def embedded(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 100) -> DataFrame:
-    """Adds `embedding` by a user's function over batches of texts; a batch that fails is halved until one bad text is alone,
-    which gets a null vector."""
+def hashed_words(texts: list[str], dim: int = 64) -> list[list[float]]:
+    """An embedder that needs no model: each word counts, with a sign, at a place that its hash names."""
+    out = []
+    for text in texts:
+        v = [0.0] * dim
+        for word in (text or "").lower().split():
+            h = zlib.crc32(word.encode())
+            v[h % dim] += 1.0 if h >> 16 & 1 else -1.0
+        out.append(v)
+    return out
+
+
+def embedded(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]] = hashed_words, batch: int = 100, tries: int = 3, wait: float = 0.0) -> DataFrame:
+    """Adds `embedding` by a user's function over batches of texts. A batch that fails is tried again, `wait` seconds later and
+    then twice that and so on, and after `tries` halved until one bad text is alone, which gets a null vector."""
 
     def vectors(part: list[str]) -> list:
-        try:
-            return list(embed(part))
-        except Exception:  # the caller's function, of any kind
-            return [None] if len(part) == 1 else vectors(part[: len(part) // 2]) + vectors(part[len(part) // 2 :])
+        for n in range(tries):
+            try:
+                return list(embed(part))
+            except Exception:  # the caller's function, of any kind
+                time.sleep(wait * 2**n if n < tries - 1 else 0)
+        return [None] if len(part) == 1 else vectors(part[: len(part) // 2]) + vectors(part[len(part) // 2 :])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield f.assign(embedding=[v for i in range(0, len(f), batch) for v in vectors(f["text"].iloc[i : i + batch].tolist())])
 
     return texts.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in texts.dtypes) + ", embedding array<double>")
+
+
+def live_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Chunks (doc_id, ...) of documents (doc_id, archived) that are not archived; one without a document goes."""
+    return chunks.join(documents.where(~F.col("archived")).select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def capped_sources(hits: DataFrame, least: int = 15, most: int = 80) -> DataFrame:
+    """Of each query's hits (query_id, vec_id, score) the best min(most, max(least, their number)); ties by vec_id."""
+    of_query = Window.partitionBy("query_id")
+    ranked = hits.withColumn("n_hits", F.count("*").over(of_query)).withColumn("rank", F.row_number().over(of_query.orderBy(F.col("score").desc(), "vec_id")))
+    return ranked.where(F.col("rank") <= F.least(F.lit(most), F.greatest(F.lit(least), F.col("n_hits"))))
+
+
+def guarded_query(raw: Column, corrected: Column) -> Column:
+    """The corrected query if it is neither empty nor five times as long as the raw one or longer; else the raw one."""
+    fixed = F.trim(corrected)
+    return F.when((fixed != "") & (F.length(fixed) < F.length(raw) * 5), fixed).otherwise(raw)
