@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -317,29 +316,27 @@ class LineIndex:
         return sure.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("lines"))
 
 
-_KEPT = "n_lines long, n_dropped long, kept_text string"
+#: Texts whose lines a task holds at once.
+SLICE = 256
 
 
-def _where_read(index: LineIndex, cells, wrong: set[bytes]) -> Column:
-    """The struct of a text's kept lines by broadcast filters; `wrong` are the digests that pass them without being frequent."""
+def _drops_where_read(index: LineIndex, cells, wrong: set[bytes]) -> Column:
+    """The numbers of the lines that a text loses, by broadcast filters; `wrong` are the digests that pass them without being
+    frequent. Only numbers come back, and few texts are open at a time."""
     n_shards = index.n_shards
 
-    @F.pandas_udf(_KEPT)
-    def keep(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("array<int>")
+    def drops(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         filters = {k: CuckooFilter.from_bytes(v) for k, v in cells.value.items()}
-        for part in texts:
-            own = [line_digests(text) for text in part]
-            flat = [d for x in own for d in x if d is not None]
-            passed = iter(_screened(flat, filters, n_shards).tolist())
-            rows = []
-            for text, digests in zip(part, own, strict=True):
-                gone = [d is not None and next(passed) and d not in wrong for d in digests]
-                n = sum(gone)
-                kept = "\n".join(x for x, g in zip(text.split("\n"), gone, strict=True) if not g) if n else text or ""
-                rows.append((len(digests), n, kept))
-            yield pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept_text"])
+        for texts in batches:
+            out: list[list[int] | None] = []
+            for first in range(0, len(texts), SLICE):
+                own = [line_digests(text.as_py()) for text in texts.slice(first, SLICE)]
+                passed = iter(_screened([d for x in own for d in x if d is not None], filters, n_shards).tolist())
+                out += [[i for i, d in enumerate(x) if d is not None and next(passed) and d not in wrong] or None for x in own]
+            yield pa.array(out, pa.list_(pa.int32()))
 
-    return keep("text")
+    return drops("text")
 
 
 def dedup_lines(docs: DataFrame, index: LineIndex | None = None, min_documents: int = MIN_DOCUMENTS, filter_broadcast_bytes: int = FILTER_BROADCAST_BYTES) -> DataFrame:
@@ -360,14 +357,18 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, min_documents:
         cells = index._cells()
         wrong = materialize(index.false_hits(index.refs if own else line_counts(docs), cells), "line-false-hits")
         if wrong.count() <= BROADCAST_DIGESTS:
-            return docs.select(*[docs[c] for c in docs.columns], _where_read(index, cells, {bytes(r.digest) for r in wrong.toLocalIterator()}).alias("__lines"))
+            return _without(docs.withColumn("__drop", _drops_where_read(index, cells, {bytes(r.digest) for r in wrong.toLocalIterator()})), docs.columns)
     drops = materialize(index.dropped_lines(docs, filter_broadcast_bytes), "line-drops")
     drops = drops.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("lines").alias("__drop"))
     joined = docs.join(drops, docs.doc_id.eqNullSafe(drops["__id"]) & (F.xxhash64(docs.text) == drops["__hash"]), "left")
-    text = F.coalesce(docs.text, F.lit(""))
-    lines = F.split(text, "\n", -1)
+    return _without(joined, docs.columns)
+
+
+def _without(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """`columns` and the struct of what each text is without the lines numbered in `__drop`; texts that lose none are not split."""
+    text = F.coalesce("text", F.lit(""))
     # array_except compares sets of numbers, so the work is in proportion to the lines.
-    left = F.transform(F.array(lines), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__drop")), lambda i: F.get(x, i)), "\n"))[0]
+    left = F.transform(F.array(F.split(text, "\n", -1)), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__drop")), lambda i: F.get(x, i)), "\n"))[0]
     n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     out = F.struct(n_lines.alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("__drop").isNull(), text).otherwise(left).alias("kept_text"))
-    return joined.select(*[docs[c] for c in docs.columns], out.alias("__lines"))
+    return rows.select(*columns, out.alias("__lines"))
