@@ -2,32 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MIN_SCORE, AGREEMENT, BONUS = 0.30, 0.05, 1.10
+from .scratch import broadcast_within
 
+# What a match must reach, and the factors to its score.
+MIN_SCORE, MIN_OVERLAP, AGREEMENT, BONUS = 0.30, 0.40, 0.05, 1.10
+KEYWORD_BONUS, WRONG_DIRECTION, WRONG_SHEET = 1.20, 0.50, 0.70
 
-def fuzzy_match(measurements: DataFrame, catalog: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """measure_id, entry_id, score: the catalog entry whose name shares most words with the measurement's context (Jaccard), the
-    first on ties. The join is on words, so a pair without any in common is never made; the catalog needn't be small."""
-    tokens = lambda c: F.array_distinct(F.array_remove(F.split(F.lower(c), "[^a-z0-9]+"), ""))
-    m = measurements.select("measure_id", tokens("context").alias("mt")).withColumn("mn", F.size("mt"))
-    c = catalog.select("entry_id", tokens("name").alias("ct")).withColumn("cn", F.size("ct"))
-    shared = m.select("measure_id", "mn", F.explode("mt").alias("t")).join(c.select("entry_id", "cn", F.explode("ct").alias("t")), "t")
-    scored = shared.groupBy("measure_id", "entry_id", "mn", "cn").agg(F.count("*").alias("n")).withColumn("score", F.round(F.col("n") / (F.col("mn") + F.col("cn") - F.col("n")), 6)).where(F.col("score") >= min_score)
-    return scored.groupBy("measure_id").agg(F.max_by("entry_id", F.struct("score", -F.col("entry_id"))).alias("entry_id"), F.max("score").alias("score"))
+
+def _tokens(text: Column) -> Column:
+    return F.array_distinct(F.array_remove(F.split(text, r"\s+"), ""))
+
+
+def fuzzy_match(measurements: DataFrame, catalog: DataFrame, min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP) -> DataFrame:
+    """measure_id, entry_id, score, overlap, keyword_hit, direction_ok and sheet_ok: each measurement's best catalog entry, the
+    smallest entry_id on ties, if it reaches min_score.
+
+    measurements: measure_id, context_words, source_text, direction, sheet_type; catalog: entry_id, name, aliases, direction,
+    sheet_types. The overlap is the greatest Jaccard ratio of the words of context and source text and those of the name or an
+    alias; below min_overlap an entry does not count. A fifth more, at most 1, if all words of a name occur in the text, half
+    where directions differ (ANY fits all), 0.7 of it where the sheet's type is not among the entry's (UNKNOWN and none fit).
+    The join is on words, so a pair without any in common is never made. A catalog within the broadcast bound goes to the
+    measurements, so a frequent word is no hot key.
+    """
+    query = F.lower(F.concat_ws(" ", F.array_join("context_words", " "), F.coalesce("source_text", F.lit(""))))
+    m = measurements.select("measure_id", query.alias("query"), F.coalesce("direction", F.lit("ANY")).alias("way"), F.coalesce("sheet_type", F.lit("UNKNOWN")).alias("sheet_type"))
+    names = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    entries = broadcast_within(catalog.select("entry_id", F.transform(names, lambda n: F.lower(n)).alias("names"), F.coalesce("direction", F.lit("ANY")).alias("entry_way"), F.coalesce("sheet_types", F.array().cast("array<string>")).alias("types")))
+    words = catalog.select("entry_id", F.posexplode(names).alias("name_no", "n")).select("entry_id", "name_no", _tokens(F.lower("n")).alias("nt")).select("entry_id", "name_no", F.size("nt").alias("nn"), F.explode("nt").alias("t"))
+    asked = m.select("measure_id", _tokens(F.col("query")).alias("qt")).select("measure_id", F.size("qt").alias("qn"), F.explode("qt").alias("t"))
+    shared = asked.join(broadcast_within(words), "t").groupBy("measure_id", "entry_id", "name_no", "qn", "nn").agg(F.count("*").alias("both"))
+    overlap = shared.groupBy("measure_id", "entry_id").agg(F.max(F.col("both") / (F.col("qn") + F.col("nn") - F.col("both"))).alias("overlap")).where(F.col("overlap") >= min_overlap)
+    rows = overlap.join(m, "measure_id").join(entries, "entry_id")
+    hit = F.exists("names", lambda n: F.forall(_tokens(n), lambda w: F.contains(F.col("query"), w)))
+    rows = rows.withColumn("keyword_hit", hit).withColumn("direction_ok", (F.col("entry_way") == "ANY") | (F.col("way") == "ANY") | (F.col("entry_way") == F.col("way")))
+    rows = rows.withColumn("sheet_ok", (F.size("types") == 0) | (F.col("sheet_type") == "UNKNOWN") | F.array_contains("types", F.col("sheet_type")))
+    score = F.when(F.col("keyword_hit"), F.least(F.lit(1.0), F.col("overlap") * KEYWORD_BONUS)).otherwise(F.col("overlap"))
+    score = score * F.when(F.col("direction_ok"), 1.0).otherwise(WRONG_DIRECTION) * F.when(F.col("sheet_ok"), 1.0).otherwise(WRONG_SHEET)
+    scored = rows.withColumn("score", F.bround(score, 4)).where(F.col("score") >= min_score)
+    fields = ("entry_id", "score", "overlap", "keyword_hit", "direction_ok", "sheet_ok")
+    best = scored.groupBy("measure_id").agg(F.max_by(F.struct(*fields), F.struct("score", -F.col("entry_id"))).alias("b"))
+    return best.select("measure_id", "b.entry_id", "b.score", F.bround("b.overlap", 4).alias("overlap"), "b.keyword_hit", "b.direction_ok", "b.sheet_ok")
 
 
 def best_candidates(matched: DataFrame, thresholds: DataFrame) -> DataFrame:
     """entry_id, measure_id, value, confidence: per entry the candidate with the best confidence * score; a tenth more confidence,
-    at most 1, if another is within 5 percent of its value; entries below their threshold go."""
+    at most 1, if another differs by at most 5 percent of the greater of its value and 1; entries below their threshold go."""
     rank = F.row_number().over(Window.partitionBy("entry_id").orderBy((F.col("confidence") * F.col("score")).desc(), "measure_id"))
     ranked = matched.withColumn("r", rank)
     best = ranked.where("r = 1").select("entry_id", "measure_id", "value", "confidence")
     others = ranked.where("r > 1").select("entry_id", F.col("value").alias("other"))
-    agrees = best.join(others, "entry_id").where(F.abs(F.col("other") - F.col("value")) <= AGREEMENT * F.abs("value")).select("entry_id").distinct().withColumn("agreed", F.lit(True))
+    agrees = best.join(others, "entry_id").where(F.abs(F.col("other") - F.col("value")) <= AGREEMENT * F.greatest("value", F.lit(1.0))).select("entry_id").distinct().withColumn("agreed", F.lit(True))
     lifted = best.join(agrees, "entry_id", "left").withColumn("confidence", F.when(F.col("agreed"), F.least(F.lit(1.0), F.col("confidence") * BONUS)).otherwise(F.col("confidence")))
     return lifted.join(thresholds, "entry_id").where(F.col("confidence") >= F.col("threshold")).select("entry_id", "measure_id", "value", F.round("confidence", 6).alias("confidence"))
 

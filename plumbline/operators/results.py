@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -145,6 +146,11 @@ def prompts(windows: DataFrame, parameters: DataFrame, size: int = 25) -> DataFr
     return windows.withColumn("__all", batches.scalar()).select("project", "window_no", "context", F.inline("__all"))
 
 
+def keyword_answer(context: str, names: list[str]) -> str:
+    """An answer that needs no model: JSON with each name that the context holds, its value the name itself."""
+    return json.dumps({n: {"found": True, "value": n} for n in names if n.lower() in context.lower()})
+
+
 def answered(prompt_rows: DataFrame, ask: Callable[[str, list[str]], str]) -> DataFrame:
     """Prompt rows with the response_text of a user's function of context and names; where it fails the text is null."""
 

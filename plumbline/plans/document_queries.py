@@ -90,7 +90,14 @@ def interleave_docs(spark, d):
     return blocks.interleaved(_chunks(spark, d).where("chunk_level = 0")).select("project", "doc_id", "chunk_index", "turn", "ordinal", "n_tokens")
 
 
-@query()
+#: A window is a run of ordinals, so its state is where it begins and the tokens before that.
+_WINDOWS = f"""WITH RECURSIVE {_TURNS}, c AS (SELECT project, ordinal o, n_tokens t, p, lag(p, 4, 0) OVER (PARTITION BY project ORDER BY ordinal) q FROM (SELECT *, sum(n_tokens) OVER (PARTITION BY project ORDER BY ordinal) p FROM orl)),
+r AS (SELECT project, o, 1::BIGINT s, 0::HUGEINT ps, 0::BIGINT w, p FROM c WHERE o = 1 UNION ALL SELECT project, o, CASE WHEN f AND s < o - 3 THEN o - 3 ELSE s END, CASE WHEN f AND s < o - 3 THEN q ELSE ps END, w + f::BIGINT, p
+  FROM (SELECT c.project, c.o, c.q, c.p, r.s, r.ps, r.w, r.p - r.ps + c.t > 2000 f FROM r JOIN c ON c.project = r.project AND c.o = r.o + 1))
+SELECT project, w window_no, unnest(range(s, e + 1)) ordinal FROM (SELECT project, w, any_value(s) s, max(o) e FROM r GROUP BY ALL)"""
+
+
+@query(_WINDOWS)
 def context_windows(spark, d):
     return blocks.context_windows(blocks.interleaved(_chunks(spark, d).where("chunk_level = 0")), 2000)
 
@@ -113,14 +120,14 @@ def level_fallback(spark, d):
     return blocks.level_fallback(some).select("doc_id", "chunk_index", "chunk_level")
 
 
-@query(f"""WITH {_chunk_sql(300, 50)} SELECT doc_id::VARCHAR || '_' || chunk_index record_id, coalesce(section, '') section, coalesce(subsection, '') subsection, coalesce(page_start, 0) page FROM chunks""")
+@query(f"""WITH {_chunk_sql(300, 50)} SELECT doc_id::VARCHAR || '_' || chunk_index record_id, coalesce(section, '') section, coalesce(subsection, '') subsection, coalesce(page_start, 0) page, left(array_to_string(words, ' '), 200) preview FROM ix""")
 def vector_records(spark, d):
-    return retrieval.vector_records(_chunks(spark, d).withColumn("text", F.array_join("words", " "))).drop("preview")
+    return retrieval.vector_records(_chunks(spark, d).withColumn("text", F.array_join("words", " ")))
 
 
-@query()
+@query(SQL["vector_records"])
 def vector_records_whole(spark, d):
-    # The SQL above holds the other columns: tests hold the preview against plain Python.
+    # The same rows as vector_records, kept under their earlier name.
     return retrieval.vector_records(_chunks(spark, d).withColumn("text", F.array_join("words", " ")))
 
 
@@ -244,11 +251,11 @@ def not_found_fill(spark, d):
     return results.not_found_fill(expected, _passes(spark, d)[0]).select("project", "parameter", "ordinal", "found", "confidence")
 
 
-@query(f"""WITH {_RESULTS}, c AS (SELECT project, parameter, doc_id, min(ordinal) f, list(ordinal % 5 ORDER BY ordinal) pg FROM r GROUP BY ALL)
-SELECT project, parameter, doc_id, array_to_string(list_transform(list_filter(list_zip(pg, range(1, len(pg) + 1)), lambda x: list_position(pg, x[1]) = x[2]), lambda x: x[1]), ',') pages, f = min(f) OVER w is_primary, count(*) OVER w > 1 multi_source FROM c WINDOW w AS (PARTITION BY project, parameter)""")
+@query(f"""WITH {_RESULTS}, c AS (SELECT project, parameter, doc_id, min(ordinal) f, list(ordinal % 5 ORDER BY ordinal) pg, list('s' || ordinal % 3 ORDER BY ordinal) sg FROM r GROUP BY ALL)
+SELECT project, parameter, doc_id, array_to_string(list_transform(list_filter(list_zip(pg, range(1, len(pg) + 1)), lambda x: list_position(pg, x[1]) = x[2]), lambda x: x[1]), ',') pages, array_to_string(list_transform(list_filter(list_zip(sg, range(1, len(sg) + 1)), lambda x: list_position(sg, x[1]) = x[2]), lambda x: x[1]), ',') sections, f = min(f) OVER w is_primary, count(*) OVER w > 1 multi_source FROM c WINDOW w AS (PARTITION BY project, parameter)""")
 def source_rollup(spark, d):
-    cited = _results(spark, d).select("project", "parameter", "ordinal", "doc_id", F.expr("ordinal % 5").alias("page"), F.lit("s").alias("section"))
-    return results.source_rollup(cited).select("project", "parameter", "doc_id", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), "is_primary", "multi_source")
+    cited = _results(spark, d).select("project", "parameter", "ordinal", "doc_id", F.expr("ordinal % 5").alias("page"), F.expr("concat('s', ordinal % 3)").alias("section"))
+    return results.source_rollup(cited).select("project", "parameter", "doc_id", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), F.array_join("sections", ",").alias("sections"), "is_primary", "multi_source")
 
 
 @query(f"""WITH {_RESULTS}, s AS (SELECT project, parameter, doc_id, min(ordinal) f FROM r GROUP BY ALL), w AS (SELECT project, parameter, arg_min(doc_id, f) was FROM s GROUP BY ALL), l AS (SELECT project, parameter, arg_min(doc_id, f) doc_id, count(*) n_left FROM s WHERE doc_id % 3 <> 0 GROUP BY ALL)

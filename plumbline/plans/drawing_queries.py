@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import measures, routing
 from ..operators import geometry, matching
@@ -70,15 +71,18 @@ def item_text(spark, d):
     return grid.item_text(_items(spark, d))
 
 
-@query(f"""WITH {_GRID}, n AS (SELECT sheet, (row_number() OVER (PARTITION BY sheet ORDER BY row_no) - 1) // 25 chunk_no FROM gr) SELECT sheet, chunk_no, count(*) n_rows FROM n GROUP BY ALL""")
+@query(f"""WITH {_GRID}, v AS (SELECT sheet, row_no, CASE WHEN sheet % 2 = 0 THEN ['Sl No', 'Description', 'Qty', 'Unit', 'Unit Rate', 'Amount'] ELSE ['Item', 'Particulars', 'Quantity', 'UOM', 'Price', 'Total'] END h,
+list_filter([l_linenumber::VARCHAR, CASE WHEN l_orderkey % 6 = 0 THEN '' ELSE 'part ' || l_partkey END, q::VARCHAR, 'nos', (l_partkey // 1000) || ',' || lpad((l_partkey % 1000)::VARCHAR, 3, '0'), CASE WHEN l_orderkey % 4 = 0 THEN 'n/a' ELSE l_orderkey::VARCHAR END], lambda x: x <> '') c FROM gr),
+t AS (SELECT sheet, row_no, 'Row ' || row_no || ': ' || array_to_string(list_transform(range(1, len(c) + 1), lambda i: h[i] || ': ' || c[i]), ' | ') line FROM v),
+n AS (SELECT *, (row_number() OVER (PARTITION BY sheet ORDER BY row_no, line) - 1) // 25 chunk_no FROM t) SELECT sheet, chunk_no, count(*) n_rows, string_agg(line, chr(10) ORDER BY row_no, line) AS text FROM n GROUP BY ALL""")
 def grid_text_chunks(spark, d):
     g = _grid(spark, d)
-    return grid.grid_text_chunks(g, grid.header_rows(g)).drop("text")
+    return grid.grid_text_chunks(g, grid.header_rows(g))
 
 
-@query()
+@query(SQL["grid_text_chunks"])
 def grid_text_chunks_whole(spark, d):
-    # The SQL above holds row counts: tests hold the texts against plain Python.
+    # The same rows as grid_text_chunks, kept under their earlier name.
     g = _grid(spark, d)
     return grid.grid_text_chunks(g, grid.header_rows(g))
 
@@ -213,20 +217,27 @@ def nearest_line_whole(spark, d):
     return geometry.nearest_line(_dimensions(spark, d).withColumnRenamed("dim_no", "point_no"), _lines(spark, d))
 
 
-@query(f"""WITH {_LINES}, m AS (SELECT DISTINCT sheet, round_even((x0 + x1) / 2, 1) p FROM ln), g AS (SELECT a.sheet, b.p - a.p gap FROM m a JOIN m b ON a.sheet = b.sheet WHERE b.p - a.p BETWEEN 50 AND 10000), w AS (SELECT sheet, max(gap) m FROM g GROUP BY sheet),
-c AS (SELECT sheet, floor(gap / ((m + 10) / (floor(m / 10) + 1)))::BIGINT bin, count(*) n FROM g JOIN w USING (sheet) GROUP BY ALL)
-SELECT sheet, bin, n FROM (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY n DESC, bin) r FROM c WHERE n >= 2) WHERE r <= 3""")
-def spacing_hist(spark, d):
-    return geometry.spacing_histogram(_lines(spark, d).selectExpr("sheet", "(x0 + x1) / 2 p")).drop("spacing")
+def _spacing_sql(axis: str) -> str:
+    return f"""SELECT sheet, bin, n, round_even(bin * w + 5, 1) spacing, '{axis}' axis FROM (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY n DESC, bin) r FROM (
+SELECT sheet, floor(gap / w)::BIGINT bin, any_value(w) w, count(*) n FROM (SELECT *, (m + 10) / (floor(m / 10) + 1) w FROM (SELECT *, max(gap) OVER (PARTITION BY sheet) m FROM (
+SELECT a.sheet, b.p - a.p gap FROM m{axis} a JOIN m{axis} b ON a.sheet = b.sheet WHERE b.p - a.p BETWEEN 50 AND 10000))) GROUP BY ALL) WHERE n >= 2) WHERE r <= 3"""
 
 
-@query()
-def spacing_hist_whole(spark, d):
-    # The SQL above holds the bins of one axis: tests hold the spacings along both against plain Python.
+_SPACINGS = f"WITH {_LINES}, " + ", ".join(f"m{a} AS (SELECT DISTINCT sheet, round_even(({a}0 + {a}1) / 2, 1) p FROM ln)" for a in "xy") + " " + " UNION ALL ".join(map(_spacing_sql, "xy"))
+
+
+@query(_SPACINGS)
+def spacing_hist(spark, d):
     along = [geometry.spacing_histogram(_lines(spark, d).selectExpr("sheet", f"({a}0 + {a}1) / 2 p")).withColumn("axis", F.lit(a)) for a in "xy"]
     return along[0].unionByName(along[1])
 
 
+@query(_SPACINGS)
+def spacing_hist_whole(spark, d):
+    # The same rows as spacing_hist, kept under their earlier name.
+    return spacing_hist(spark, d)
+
+
 @query(f"""WITH {_LINES}, c AS (SELECT sheet, (round_even(y / 5, 0) * 5)::DOUBLE row_y, list(text ORDER BY x, text_no) c FROM tx GROUP BY ALL) SELECT sheet, row_y, c[1] AS label, array_to_string(c[2:], '|') AS vals FROM c""")
 def schedule_rows(spark, d):
     return geometry.schedule_rows(_texts(spark, d)).select("sheet", "row_y", "label", F.array_join("values", "|").alias("vals"))
@@ -237,34 +248,46 @@ def uncovered_texts(spark, d):
     return geometry.uncovered(_texts(spark, d), _dimensions(spark, d)).select("sheet", "text_no")
 
 
-_CATALOG = """ca AS (SELECT DISTINCT dense_rank() OVER (ORDER BY p_type) entry_id, p_type AS name FROM part),
-me AS (SELECT p_partkey measure_id, p_name || ' ' || p_type context, p_size::DOUBLE AS value FROM part),
-mt AS (SELECT DISTINCT measure_id, t FROM (SELECT measure_id, unnest(regexp_split_to_array(lower(context), '[^a-z0-9]+')) t FROM me) WHERE t <> ''), ct AS (SELECT DISTINCT entry_id, t FROM (SELECT entry_id, unnest(regexp_split_to_array(lower(name), '[^a-z0-9]+')) t FROM ca) WHERE t <> ''),
-sh AS (SELECT measure_id, entry_id, count(*) n FROM mt JOIN ct USING (t) GROUP BY ALL),
-sc AS (SELECT *, round(n / ((SELECT count(*) FROM mt WHERE mt.measure_id = sh.measure_id) + (SELECT count(*) FROM ct WHERE ct.entry_id = sh.entry_id) - n), 6) score FROM sh),
-fm AS (SELECT measure_id, arg_max(entry_id, (score, -entry_id)) entry_id, max(score) score FROM sc WHERE score >= 0.3 GROUP BY measure_id)"""
+#: A catalog of the kinds of names of parts, with two aliases each; some hundred entries at any scale.
+_CATALOG = """ca AS (SELECT *, [name, name || ' mm', split_part(name, ' ', 2) || ' economy'] ns, ['HORIZONTAL', 'VERTICAL', 'ANY'][entry_id % 3 + 1] way, CASE WHEN entry_id % 2 = 0 THEN ['PLAN', 'DETAIL'] ELSE [] END types
+  FROM (SELECT name, row_number() OVER (ORDER BY name) entry_id FROM (SELECT DISTINCT p_name AS name FROM part))),
+me AS (SELECT p_partkey measure_id, lower(p_name || ' ' || p_type || CASE WHEN p_partkey % 2 = 0 THEN ' wide' ELSE '' END || ' ' || p_size || ' mm') q, ['HORIZONTAL', 'ANY', 'VERTICAL'][p_partkey % 3 + 1] way, ['PLAN', 'SECTION', 'UNKNOWN', 'DETAIL'][p_partkey % 4 + 1] st FROM part),
+nm AS (SELECT entry_id, lower(unnest(ns)) n FROM ca), nt AS (SELECT entry_id, n, list_distinct(string_split(n, ' ')) w FROM nm), qt AS (SELECT *, list_distinct(string_split(q, ' ')) w FROM me),
+pr AS (SELECT measure_id, entry_id, max(len(list_intersect(qt.w, nt.w)) / len(list_distinct(qt.w || nt.w))) overlap, bool_or(len(list_filter(nt.w, lambda x: NOT contains(q, x))) = 0) hit FROM qt, nt GROUP BY ALL),
+sc AS (SELECT measure_id, entry_id, overlap, hit keyword_hit, ca.way = 'ANY' OR me.way = 'ANY' OR ca.way = me.way direction_ok, len(types) = 0 OR st = 'UNKNOWN' OR list_contains(types, st) sheet_ok FROM pr JOIN ca USING (entry_id) JOIN me USING (measure_id) WHERE overlap >= 0.4),
+sr AS (SELECT *, round_even(CASE WHEN keyword_hit THEN least(1.0, overlap * 1.2::DOUBLE) ELSE overlap END * CASE WHEN direction_ok THEN 1 ELSE 0.5 END * CASE WHEN sheet_ok THEN 1 ELSE 0.7::DOUBLE END, 4) score FROM sc),
+fm AS (SELECT * EXCLUDE (n, overlap), round_even(overlap, 4) overlap FROM (SELECT *, row_number() OVER (PARTITION BY measure_id ORDER BY score DESC, entry_id) n FROM sr WHERE score >= 0.3) WHERE n = 1)"""
+
+
+def _catalog(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    rows = names.withColumn("entry_id", F.row_number().over(Window.orderBy("name")).cast("long"))
+    pick = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    return rows.select(
+        "entry_id", "name", F.array(F.concat("name", F.lit(" mm")), F.concat(F.split_part("name", F.lit(" "), F.lit(2)), F.lit(" economy"))).alias("aliases"),
+        F.element_at(pick("HORIZONTAL", "VERTICAL", "ANY"), F.expr("cast(entry_id % 3 + 1 as int)")).alias("direction"), F.when(F.expr("entry_id % 2 = 0"), pick("PLAN", "DETAIL")).otherwise(F.array().cast("array<string>")).alias("sheet_types"),
+    )
 
 
 def _matched(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    names = p.select(F.col("p_type").alias("name")).distinct()
-    # entries are numbered by name; the catalog is as small as its kinds
-    catalog = names.withColumn("all", names.agg(F.array_sort(F.collect_set("name"))).scalar()).select("name", F.array_position("all", F.col("name")).alias("entry_id"))
-    return matching.fuzzy_match(p.select(F.col("p_partkey").alias("measure_id"), F.concat("p_name", F.lit(" "), "p_type").alias("context")), catalog)
+    e = ["p_partkey measure_id", "array(p_name, p_type, if(p_partkey % 2 = 0, 'wide', null)) words", "concat(p_size, ' mm') source_text",
+         "element_at(array('HORIZONTAL', 'ANY', 'VERTICAL'), cast(p_partkey % 3 + 1 as int)) direction", "element_at(array('PLAN', 'SECTION', 'UNKNOWN', 'DETAIL'), cast(p_partkey % 4 + 1 as int)) sheet_type"]
+    asked = table(spark, d, "part").selectExpr(*e)
+    return matching.fuzzy_match(asked.withColumn("context_words", F.filter("words", lambda w: w.isNotNull())), _catalog(spark, d))
 
 
-@query(f"WITH {_CATALOG} SELECT * FROM fm")
+@query(f"WITH {_CATALOG} SELECT measure_id, entry_id, score, overlap, keyword_hit, direction_ok, sheet_ok FROM fm")
 def fuzzy_match(spark, d):
     return _matched(spark, d)
 
 
 @query(f"""WITH {_CATALOG}, c AS (SELECT entry_id, measure_id, score, p_size::DOUBLE AS value, (p_partkey % 10) / 10 confidence FROM fm JOIN part ON measure_id = p_partkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY confidence * score DESC, measure_id) r FROM c),
-l AS (SELECT entry_id, measure_id, value, CASE WHEN EXISTS (SELECT 1 FROM r o WHERE o.entry_id = r.entry_id AND o.r > 1 AND abs(o.value - r.value) <= 0.05 * abs(r.value)) THEN least(1, confidence * 1.1) ELSE confidence END confidence FROM r WHERE r = 1)
+l AS (SELECT entry_id, measure_id, value, CASE WHEN EXISTS (SELECT 1 FROM r o WHERE o.entry_id = r.entry_id AND o.r > 1 AND abs(o.value - r.value) <= 0.05::DOUBLE * greatest(r.value, 1)) THEN least(1, confidence * 1.1) ELSE confidence END confidence FROM r WHERE r = 1)
 SELECT entry_id, measure_id, value, round(confidence, 6) confidence FROM l WHERE confidence >= 0.5""")
 def agreement_bonus(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("measure_id"), F.col("p_size").cast("double").alias("value"), (F.expr("p_partkey % 10") / 10).alias("confidence"))
-    m = _matched(spark, d)
+    m = _matched(spark, d).select("measure_id", "entry_id", "score")
     return matching.best_candidates(m.join(p, "measure_id"), m.select("entry_id").distinct().withColumn("threshold", F.lit(0.5)))
 
 
@@ -306,11 +329,11 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_EVENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY seconds, event_id) n FROM ev),
-r AS (SELECT project, n, seconds AS first, seconds AS last, 0 AS burst FROM o WHERE n = 1 UNION ALL
-SELECT o.project, o.n, CASE WHEN o.seconds >= least(r.last + 3, r.first + 20) THEN o.seconds ELSE r.first END, o.seconds, CASE WHEN o.seconds >= least(r.last + 3, r.first + 20) THEN r.burst + 1 ELSE r.burst END FROM r JOIN o ON o.project = r.project AND o.n = r.n + 1)
-SELECT project, burst::BIGINT burst_no, count(*) n_events, least(max(last) + 3, min(first) + 20) fired_at FROM r GROUP BY ALL""")
+r AS (SELECT project, n, event_id, seconds AS first, seconds AS last, 0 AS burst FROM o WHERE n = 1 UNION ALL
+SELECT o.project, o.n, o.event_id, CASE WHEN o.seconds >= least(r.last + 3, r.first + 20) THEN o.seconds ELSE r.first END, o.seconds, CASE WHEN o.seconds >= least(r.last + 3, r.first + 20) THEN r.burst + 1 ELSE r.burst END FROM r JOIN o ON o.project = r.project AND o.n = r.n + 1)
+SELECT project, burst::BIGINT burst_no, count(*) n_events, least(max(last) + 3, min(first) + 20) fired_at, string_agg(event_id, ',' ORDER BY n) event_ids FROM r GROUP BY ALL""")
 def debounce_bursts(spark, d):
-    return intake.bursts(_events(spark, d)).drop("event_ids")
+    return intake.bursts(_events(spark, d)).withColumn("event_ids", F.array_join(F.col("event_ids").cast("array<string>"), ","))
 
 
 @query(f"""WITH {_EVENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY seconds, event_id) n FROM ev), s AS (SELECT project, n, (SELECT count(DISTINCT document_id) FROM o p WHERE p.project = o.project AND p.n <= o.n) k, max(priority) OVER (PARTITION BY project ORDER BY n) t FROM o)
@@ -319,10 +342,14 @@ def first_pass_gate(spark, d):
     return intake.first_pass(_events(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EVENTS}, o AS (SELECT project, ev.document_id AS parameter, events.value, ev.event_id % 101 / 100 confidence, ev.event_id % 3 * 20 + 60 AS priority, row_number() OVER (PARTITION BY project, document_id ORDER BY seconds, ev.event_id) n FROM ev JOIN events USING (event_id)),
+r AS (SELECT project, parameter, n, value, confidence, priority, 0::BIGINT changes, []::DOUBLE[] history FROM o WHERE n = 1 UNION ALL
+SELECT project, parameter, n, CASE WHEN w THEN v ELSE value END, CASE WHEN w THEN c ELSE confidence END, CASE WHEN w THEN p ELSE priority END, changes + (w AND v <> value)::BIGINT, CASE WHEN w AND v <> value THEN history || [value] ELSE history END
+FROM (SELECT r.* EXCLUDE (n), o.n, o.value v, o.confidence c, o.priority p, o.confidence >= r.confidence + 0.05::DOUBLE OR abs(o.confidence - r.confidence) < 0.05::DOUBLE AND o.priority > r.priority w FROM r JOIN o ON o.project = r.project AND o.parameter = r.parameter AND o.n = r.n + 1))
+SELECT project, parameter, arg_max(value, n) AS value, arg_max(confidence, n) confidence, arg_max(priority, n) priority, max(changes) change_count, array_to_string(list_transform(arg_max(history, n), lambda x: printf('%.2f', x)), ',') history FROM r GROUP BY ALL""")
 def incremental_merge(spark, d):
-    e = _events(spark, d).withColumn("parameter", F.col("document_id")).withColumn("confidence", F.expr("event_id % 101") / 100).withColumn("priority", F.col("priority").cast("long"))
-    return intake.merged_values(e)
+    e = _events(spark, d).withColumn("parameter", F.col("document_id")).withColumn("confidence", F.expr("event_id % 101") / 100).withColumn("priority", F.expr("event_id % 3 * 20 + 60"))
+    return intake.merged_values(e).withColumn("history", F.array_join(F.transform("history", lambda x: F.format_string("%.2f", x)), ","))
 
 
 @query(f"WITH {_EVENTS}, i AS (SELECT DISTINCT project, document_id FROM ev) SELECT * FROM i WHERE (project, document_id) NOT IN (SELECT (project, document_id) FROM ev WHERE event_id % 3 = 0)")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import callouts
 from ..operators import blocks, geometry, measurements, results, sheets
-from .document_queries import _filled, table
-from .drawing_queries import _LINES, _dimensions, _lines, _texts
+from .document_queries import _BLOCKS, _filled, table
+from .drawing_queries import SQL as SQL_OF
+from .drawing_queries import _LINES, _dimensions, _lines, _spacing_sql, _texts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -87,8 +88,8 @@ def cad_blocks(spark, d):
 
 
 @query("""WITH p AS (SELECT l_orderkey // 40 sheet, l_orderkey polyline_no, l_orderkey % 2 = 0 AND count(*) OVER w > 2 closed, l_linenumber, row_number() OVER w - 1 n, count(*) OVER w k, (l_partkey % 300)::DOUBLE x, (l_suppkey % 7)::DOUBLE y FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 300, l_suppkey % 7 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-q AS (SELECT polyline_no, n, x, y, sheet FROM p UNION ALL SELECT polyline_no, k, x, y, sheet FROM p WHERE n = 0 AND closed)
-SELECT a.sheet, a.polyline_no, a.n::INT segment_no, a.x x0, a.y y0, b.x x1, b.y y1 FROM q a JOIN q b ON a.polyline_no = b.polyline_no AND b.n = a.n + 1 WHERE sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) >= 1""")
+q AS (SELECT sheet, polyline_no, n, x, y, CASE WHEN n + 1 < k THEN lead(x) OVER v WHEN closed THEN first_value(x) OVER v END x1, CASE WHEN n + 1 < k THEN lead(y) OVER v WHEN closed THEN first_value(y) OVER v END y1 FROM p WINDOW v AS (PARTITION BY polyline_no ORDER BY n))
+SELECT sheet, polyline_no, n::INT segment_no, x x0, y y0, x1, y1 FROM q WHERE sqrt((x1 - x) ** 2 + (y1 - y) ** 2) >= 1""")
 def polyline_segments(spark, d):
     points = F.transform(F.array_sort(F.collect_list(F.expr("struct(l_linenumber n, cast(l_partkey % 300 as double) x, cast(l_suppkey % 7 as double) y)"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
     lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("polyline_no")).agg(points.alias("points"))
@@ -176,14 +177,15 @@ def _measured(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {"texts": texts, "dimensions": dims, "scales": scales, "lines": _lines(spark, d), "circles": _texts(spark, d).selectExpr("sheet", "x cx", "y cy", "cast(text_no % 40 + 1 as double) radius")}
 
 
-_DIMS = f"""{_LINES}, di AS (SELECT sheet, dim_no, x, y, CASE WHEN dim_no % 4 = 0 THEN 'ANGULAR' ELSE 'LINEAR' END kind, (dim_no % 50)::DOUBLE v, dim_no % 20 dy FROM dm)"""
+_DIMS = f"""{_LINES}, cw AS (SELECT dm.sheet, dim_no, text_no, unnest(string_split(lower(text), ' ')) t, unnest(range(0, len(string_split(text, ' ')))) i FROM dm JOIN tx ON dm.sheet = tx.sheet AND sqrt((dm.x - tx.x) ** 2 + (dm.y - tx.y) ** 2) <= 200),
+cf AS (SELECT sheet, dim_no, t, min((text_no, i)) o FROM cw WHERE t <> '' GROUP BY ALL), cx AS (SELECT sheet, dim_no, array_to_string((list(t ORDER BY o))[1:30], ' ') words FROM cf GROUP BY ALL), di AS (SELECT sheet, dim_no, x, y, CASE WHEN dim_no % 4 = 0 THEN 'ANGULAR' ELSE 'LINEAR' END kind, (dim_no % 50)::DOUBLE v, dim_no % 20 dy FROM dm)"""
 
 
 @query(f"""WITH {_DIMS} SELECT sheet, v value_mm, round(0.95 * CASE WHEN sheet % 3 <> 0 THEN 1 ELSE 0.7 END, 6) confidence, x, y,
-CASE WHEN kind = 'ANGULAR' THEN kind WHEN x + 10 = 0 OR y + dy = 0 THEN 'ANY' WHEN degrees(atan2(dy, 10)) < 10 THEN 'HORIZONTAL' WHEN abs(degrees(atan2(dy, 10)) - 90) < 10 THEN 'VERTICAL' ELSE 'ANY' END direction, CASE WHEN dim_no % 3 = 0 THEN 'TYP' END qualifier FROM di WHERE v > 0""")
+CASE WHEN kind = 'ANGULAR' THEN kind WHEN x + 10 = 0 OR y + dy = 0 THEN 'ANY' WHEN degrees(atan2(dy, 10)) < 10 THEN 'HORIZONTAL' WHEN abs(degrees(atan2(dy, 10)) - 90) < 10 THEN 'VERTICAL' ELSE 'ANY' END direction, CASE WHEN dim_no % 3 = 0 THEN 'TYP' END qualifier, '' source_text, coalesce(words, '') context_words FROM di LEFT JOIN cx USING (sheet, dim_no) WHERE v > 0""")
 def dimension_pass(spark, d):
     m = _measured(spark, d)
-    return measurements.dimension_pass(m["dimensions"], _texts(spark, d), m["scales"]).select("sheet", "value_mm", F.round("confidence", 6).alias("confidence"), "x", "y", "direction", "qualifier")
+    return measurements.dimension_pass(m["dimensions"], _texts(spark, d), m["scales"]).select("sheet", "value_mm", F.round("confidence", 6).alias("confidence"), "x", "y", "direction", "qualifier", "source_text", F.array_join("context_words", " ").alias("context_words"))
 
 
 @query(f"WITH {_LINES} SELECT sheet, (text_no % 40 + 1) * 2.0::DOUBLE value_mm, round(0.6 * CASE WHEN sheet % 3 <> 0 THEN 1 ELSE 0.7 END, 6) confidence, x, y FROM tx")
@@ -192,15 +194,44 @@ def circle_pass(spark, d):
     return measurements.circle_pass(m["circles"], m["scales"]).select("sheet", "value_mm", F.round("confidence", 6).alias("confidence"), "x", "y")
 
 
+_FACTOR = "CASE WHEN sheet % 3 <> 0 THEN 1 ELSE 0.7 END"
+
+
+@query(f"WITH s AS ({SQL_OF['line_pairs']}) SELECT sheet, value AS value_mm, orientation direction, round(0.62 * {_FACTOR}, 6) confidence FROM s")
+def pair_pass(spark, d):
+    m = _measured(spark, d)
+    return measurements.pair_pass(m["lines"], m["scales"]).select("sheet", "value_mm", "direction", F.round("confidence", 6).alias("confidence"))
+
+
+def _pattern_sql(axis: str, way: str) -> str:
+    return f"""SELECT sheet, spacing value_mm, '{way}' direction, round(least(0.65, (0.45 + 0.2 * least(1.0, n / 10)) * {_FACTOR}), 6) confidence FROM ({_spacing_sql(axis)})"""
+
+
+@query(f"WITH {_LINES}, " + ", ".join(f"m{a} AS (SELECT DISTINCT sheet, round_even(p, 1) p FROM (SELECT sheet, ({a}0 + {a}1) / 2 p FROM ln UNION ALL SELECT sheet, {a} FROM tx))" for a in "xy") + f" {_pattern_sql('x', 'HORIZONTAL')} UNION ALL {_pattern_sql('y', 'VERTICAL')}")
+def spacing_pass(spark, d):
+    m = _measured(spark, d)
+    return measurements.spacing_pass(m["lines"], m["circles"], m["scales"]).select("sheet", "value_mm", "direction", F.round("confidence", 6).alias("confidence"))
+
+
 @query()
 def all_measurements(spark, d):
     m = _measured(spark, d)
     return measurements.all_measurements(m["dimensions"], m["texts"], m["lines"], m["circles"], m["scales"], m["texts"].where("sheet % 2 = 0"))
 
 
-@query()
+#: The pieces of a chunk are what it carried over and a run of blocks, so its state is that run's begin, the words before it, and what was carried.
+_OVERLAPS = f"""WITH RECURSIVE {_BLOCKS}, b AS (SELECT *, sum(w) OVER x p FROM (SELECT doc_id, block_no, page, section, subsection, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) w FROM fil WHERE heading = 0) WINDOW x AS (PARTITION BY doc_id ORDER BY block_no)),
+k AS (SELECT *, row_number() OVER y i, lag(block_no, 100) OVER y far, lag(p, 101, 0) OVER y farp FROM b WINDOW y AS (PARTITION BY doc_id ORDER BY block_no)),
+r AS (SELECT doc_id, i, 0::BIGINT c, 1::BIGINT s, 0::HUGEINT ps, block_no fb, 0::HUGEINT cw, p FROM k WHERE i = 1 UNION ALL
+SELECT doc_id, i, c + f::BIGINT, CASE WHEN f THEN i ELSE s END, CASE WHEN f THEN bp ELSE ps END, CASE WHEN f AND pieces > 100 THEN far ELSE fb END, CASE WHEN f AND pieces > 100 THEN bp - farp WHEN f THEN used ELSE cw END, p
+FROM (SELECT k.doc_id, k.i, k.p, k.far, k.farp, r.c, r.s, r.ps, r.fb, r.cw, r.p bp, r.cw + r.p - r.ps used, (r.c > 0)::BIGINT + k.i - r.s pieces, r.cw + r.p - r.ps + k.w > 800 f FROM r JOIN k ON k.doc_id = r.doc_id AND k.i = r.i + 1)),
+h AS (SELECT doc_id, c, any_value(s) s, max(i) e, any_value(fb) fb, any_value(cw - ps) base FROM r GROUP BY ALL)
+SELECT h.doc_id, c chunk_no, fb first_block, max(block_no) FILTER (i = e) last_block, (any_value(base) + max(p) FILTER (i = e))::BIGINT n_words, min(page) start_page, max(page) end_page, arg_max(section, i) FILTER (section IS NOT NULL) section, arg_max(subsection, i) FILTER (subsection IS NOT NULL) subsection
+FROM h JOIN k ON k.doc_id = h.doc_id AND k.i BETWEEN s AND e + 1 GROUP BY ALL"""
+
+
+@query(_OVERLAPS)
 def overlap_chunks(spark, d):
-    # A fold over rows that carries pieces over: tests hold it against a plain loop.
     return blocks.overlap_chunks(_filled(spark, d))
 
 
