@@ -27,13 +27,13 @@ def query(sql: str | None = None):
     return add
 
 
-@query("""WITH p AS (SELECT p_partkey, p_name AS name, ['both', 'commercial', 'residential', NULL][p_partkey % 4 + 1] scope FROM part), c AS (SELECT c_custkey project, ['commercial', 'residential', NULL][c_custkey % 3 + 1] kind FROM customer WHERE c_custkey % 40 = 0)
+@query("""WITH p AS (SELECT p_partkey, p_name AS name, ['both', 'commercial', 'residential', NULL][p_partkey % 4 + 1] scope FROM part), c AS (SELECT n_nationkey project, ['commercial', 'residential', NULL][n_nationkey % 3 + 1] kind FROM nation)
 SELECT project, p_partkey FROM c JOIN p ON coalesce(scope, 'both') IN ('both', coalesce(kind, 'commercial')) WHERE name IN (SELECT p_name FROM part WHERE p_size = 7)""")
 def parameter_scope(spark, d):
     part = table(spark, d, "part")
     parameters = part.selectExpr("p_partkey", "p_name name", "element_at(array('both', 'commercial', 'residential', null), cast(p_partkey % 4 + 1 as int)) scope")
-    # a project in forty asks, so that rows stay in proportion to the parameters
-    projects = table(spark, d, "customer").where("c_custkey % 40 = 0").selectExpr("c_custkey project", "element_at(array('commercial', 'residential', null), cast(c_custkey % 3 + 1 as int)) project_type")
+    # the nations are the projects: as many at any scale, so rows stay in proportion to the parameters
+    projects = table(spark, d, "nation").selectExpr("n_nationkey project", "element_at(array('commercial', 'residential', null), cast(n_nationkey % 3 + 1 as int)) project_type")
     return selection.scoped_parameters(parameters, projects, part.where("p_size = 7").selectExpr("p_name name")).select("project", "p_partkey")
 
 
