@@ -53,6 +53,13 @@ def _written(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(path), lambda: files.delete(at, True)
 
 
+def own_names(docs: DataFrame) -> DataFrame:
+    """`docs`; raises where a column's name begins with two underscores, which operators keep for themselves."""
+    if taken := [c for c in docs.columns if c.startswith("__")]:
+        raise ValueError(f"reserved column names: {taken}")
+    return docs
+
+
 def bounded_broadcast(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when the counted `rows` are within `bound`; beyond it Spark shuffles both sides."""
     return F.broadcast(df) if rows <= bound else df
@@ -131,4 +138,4 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
 
 
-__all__ = ["BROADCAST_ROWS", "SPACE", "bounded_broadcast", "connected_components", "let", "materialize", "running_offsets", "shared_dir", "words"]
+__all__ = ["BROADCAST_ROWS", "SPACE", "bounded_broadcast", "connected_components", "let", "materialize", "own_names", "running_offsets", "shared_dir", "words"]

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, connected_components, materialize
+from .common import bounded_broadcast, connected_components, materialize, own_names
 
 WORDS = 5
 #: A pair links when 100 * intersection >= PERCENT * union.
@@ -439,5 +439,5 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that are the first of their component; rows that repeat a kept doc_id stay with it, as do null ids."""
-    gone = materialize(jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
+    gone = materialize(jaccard_components(own_names(docs)).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
     return docs.join(bounded_broadcast(gone, gone.count()), docs.doc_id == gone["__gone"], "left_anti")

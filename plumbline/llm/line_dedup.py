@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, own_names
 
 #: Lines found in at least so many documents are dropped.
 MIN_DOCUMENTS = 10
@@ -352,6 +352,7 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, min_documents:
     whose lines go is empty.
     """
     own = index is None
+    docs = own_names(docs)
     index = index or LineIndex.build(docs, min_documents)
     if index.filter_bytes() <= filter_broadcast_bytes:
         cells = index._cells()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, let, materialize, running_offsets
+from .common import SPACE, let, materialize, own_names, running_offsets
 
 #: Words in a block; a source's last block may be shorter.
 BLOCK_WORDS = 128
@@ -166,7 +166,7 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     n_chars, where present, is counted anew. Documents of which nothing is taken are absent. Rows that share doc_id and
     text share their takings.
     """
-    drawn = mix(docs, seed)["drawn"]
+    drawn = mix(own_names(docs), seed)["drawn"]
     copies = drawn.select("doc_id", "text_hash", "from_word", "n_words", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
     cuts = copies.groupBy("doc_id", "text_hash", "copy").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("from_word", "n_words")))).alias("__cuts"))
     cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__cuts")

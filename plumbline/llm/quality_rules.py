@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, materialize, words
+from .common import SPACE, let, materialize, own_names, words
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -97,4 +97,4 @@ def quality_rules(docs: DataFrame, host: str = "source", max_host_rate: float =
     begin with two underscores are reserved). The metrics are computed once and written to the shared folder before
     hosts are counted.
     """
-    return with_verdicts(annotate(docs), host, max_host_rate)
+    return with_verdicts(annotate(own_names(docs)), host, max_host_rate)

@@ -40,3 +40,9 @@ def test_ids_equal_the_tokenizer(plain, monkeypatch, ranks, stretch):
 
 def test_special_strings_are_their_id(plain):
     assert packing.load_encoder("byte_bpe_50k.json")("<|endoftext|> x") == plain("<|endoftext|> x") == [50256, 2124]
+
+
+def test_long_text(plain):
+    text = " ".join(f"word{i % 977}, {i}" for i in range(180_000))
+    assert len(text) > 2 * packing.STRETCH
+    assert packing.encode_whole(packing.load_encoder("byte_bpe_50k.json"), text).tolist() == [*plain(text), packing.END_OF_DOCUMENT]

@@ -187,3 +187,12 @@ def test_pipeline_stages_equal_plain_python(spark):
     assert sorted(map(tuple, out[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].to_numpy().tolist())) == sorted(pieces)
     for _, s in out.sort_values("offset").groupby("sequence_id"):
         assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 2048
+
+
+def test_reserved_names_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 1)], "doc_id long, text string, source string, __x int")
+    from plumbline.llm import jaccard_join, line_dedup
+
+    for operator in (quality_rules.quality_rules, line_dedup.dedup_lines, jaccard_join.keep_one, mixing.mixed_documents):
+        with pytest.raises(ValueError, match="reserved"):
+            operator(docs)
