@@ -14,6 +14,7 @@ KEY = ["project", "parameter"]
 # Words of an explanation that tell of inference.
 INFERENCE_SIGNALS = ("inferred", "assumed", "estimated", "approximately", "likely", "probably", "implied", "not explicitly")
 CAP = 0.75
+MAX_PARAMETERS = 10_000
 RECOVERY_TRIES, RETRY_ABOVE, RETRY_AT_MOST = 50, 0.5, 0.6
 ANSWER = "map<string, struct<found boolean, value string, value_numeric double, unit string, confidence double, source_numbers array<int>, explanation string>>"
 
@@ -139,7 +140,9 @@ def cascade_deleted(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str
 
 def prompts(windows: DataFrame, parameters: DataFrame, size: int = 25) -> DataFrame:
     """project, window_no, batch_no, names, context of each window (project, window_no, context) and batch of `size` parameters
-    (name, place). The batches are one small array: a catalog has some hundred names."""
+    (name, place). The batches are one small array: a catalog has some hundred names, and more than MAX_PARAMETERS raise."""
+    if parameters.limit(MAX_PARAMETERS + 1).count() > MAX_PARAMETERS:
+        raise ValueError(f"more than {MAX_PARAMETERS} parameters to ask for")
     batch = parameters.withColumn("batch_no", F.floor((F.row_number().over(Window.orderBy("place")) - 1) / size).cast("long"))
     names = F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda p: p["name"])
     batches = batch.groupBy("batch_no").agg(names.alias("names")).agg(F.array_sort(F.collect_list(F.struct("batch_no", "names"))))

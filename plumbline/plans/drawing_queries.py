@@ -192,28 +192,36 @@ def line_pairs(spark, d):
     return geometry.line_pairs(_lines(spark, d))
 
 
-@query(f"""WITH {_LINES}, w AS (SELECT dm.sheet, dim_no, text_no, unnest(string_split(lower(text), ' ')) t, unnest(range(0, len(string_split(text, ' ')))) i FROM dm JOIN tx ON dm.sheet = tx.sheet AND sqrt((dm.x - tx.x) ** 2 + (dm.y - tx.y) ** 2) <= 100),
+def _nearby_sql(radius: float) -> str:
+    return f"""WITH {_LINES}, w AS (SELECT dm.sheet, dim_no, text_no, unnest(string_split(lower(text), ' ')) t, unnest(range(0, len(string_split(text, ' ')))) i FROM dm JOIN tx ON dm.sheet = tx.sheet AND sqrt((dm.x - tx.x) ** 2 + (dm.y - tx.y) ** 2) <= {radius}),
 f AS (SELECT sheet, dim_no, t, min((text_no, i)) o FROM w WHERE t <> '' GROUP BY ALL)
-SELECT sheet, dim_no, array_to_string((list(t ORDER BY o))[1:30], ' ') words FROM f GROUP BY ALL""")
+SELECT sheet, dim_no, array_to_string((list(t ORDER BY o))[1:30], ' ') words FROM f GROUP BY ALL"""
+
+
+@query(_nearby_sql(100))
 def nearby_words(spark, d):
     return geometry.nearby_words(_dimensions(spark, d), _texts(spark, d), 100.0).select("sheet", "dim_no", F.array_join("words", " ").alias("words"))
 
 
-@query()
+@query(_nearby_sql(geometry.NEARBY))
 def nearby_words_whole(spark, d):
-    # The SQL above holds a radius of 100: tests hold the reference's against brute force.
+    # The radius of the reference; that of nearby_words is smaller.
     return geometry.nearby_words(_dimensions(spark, d), _texts(spark, d)).select("sheet", "dim_no", F.array_join("words", " ").alias("words"))
 
 
-@query(f"""WITH {_LINES}, q AS (SELECT dm.sheet, dim_no point_no, line_no, orientation, sqrt((x - (x0 + x1) / 2) ** 2 + (y - (y0 + y1) / 2) ** 2) s FROM dm JOIN ln ON dm.sheet = ln.sheet)
-SELECT sheet, point_no, arg_min(line_no, (s, line_no)) line_no, arg_min(orientation, (s, line_no)) orientation FROM q WHERE s <= 50 GROUP BY ALL""")
+def _nearest_sql(radius: float) -> str:
+    return f"""WITH {_LINES}, q AS (SELECT dm.sheet, dim_no point_no, line_no, orientation, sqrt((x - (x0 + x1) / 2) ** 2 + (y - (y0 + y1) / 2) ** 2) s FROM dm JOIN ln ON dm.sheet = ln.sheet)
+SELECT sheet, point_no, arg_min(line_no, (s, line_no)) line_no, arg_min(orientation, (s, line_no)) orientation FROM q WHERE s <= {radius} GROUP BY ALL"""
+
+
+@query(_nearest_sql(50))
 def nearest_line(spark, d):
     return geometry.nearest_line(_dimensions(spark, d).withColumnRenamed("dim_no", "point_no"), _lines(spark, d), 50.0)
 
 
-@query()
+@query(_nearest_sql(geometry.NEARBY))
 def nearest_line_whole(spark, d):
-    # The SQL above holds a radius of 50: tests hold the reference's against brute force.
+    # The radius of the reference; that of nearest_line is smaller.
     return geometry.nearest_line(_dimensions(spark, d).withColumnRenamed("dim_no", "point_no"), _lines(spark, d))
 
 

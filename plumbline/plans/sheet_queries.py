@@ -115,21 +115,23 @@ def page_blocks(spark, d):
     return sheets.page_blocks(_answered_pages(spark, d))
 
 
-_NEAR = f"""{_LINES}, tv AS (SELECT *, (text_no % 90 + 10)::DOUBLE AS value FROM tx), nl AS (SELECT tv.sheet, text_no, value, orientation, line_no, CASE WHEN orientation = 'HORIZONTAL' THEN (y0 + y1) / 2 ELSE (x0 + x1) / 2 END p FROM tv JOIN ln ON tv.sheet = ln.sheet WHERE sqrt((x - (x0 + x1) / 2) ** 2 + (y - (y0 + y1) / 2) ** 2) <= 60)"""
+def _confirmed_sql(radius: float) -> str:
+    return f"""WITH {_LINES}, tv AS (SELECT *, (text_no % 90 + 10)::DOUBLE AS value FROM tx), nl AS (SELECT DISTINCT tv.sheet, text_no, value, orientation, CASE WHEN orientation = 'HORIZONTAL' THEN (y0 + y1) / 2 ELSE (x0 + x1) / 2 END p FROM tv JOIN ln ON tv.sheet = ln.sheet WHERE sqrt((x - (x0 + x1) / 2) ** 2 + (y - (y0 + y1) / 2) ** 2) <= {radius})
+SELECT DISTINCT a.sheet, a.text_no FROM nl a JOIN nl b ON a.text_no = b.text_no AND a.orientation = b.orientation AND a.p < b.p WHERE abs(abs(a.p - b.p) - a.value) / greatest(a.value, 1) < 0.05"""
 
 
 def _valued(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).withColumn("value", F.expr("cast(text_no % 90 + 10 as double)"))
 
 
-@query(f"WITH {_NEAR} SELECT DISTINCT a.sheet, a.text_no FROM nl a JOIN nl b ON a.text_no = b.text_no AND a.orientation = b.orientation AND a.p < b.p WHERE abs(abs(a.p - b.p) - a.value) / greatest(a.value, 1) < 0.05")
+@query(_confirmed_sql(60))
 def geometry_confirmation(spark, d):
     return geometry.geometry_confirmed(_valued(spark, d), _lines(spark, d), 60.0)
 
 
-@query()
+@query(_confirmed_sql(geometry.CONFIRM_RADIUS))
 def geometry_confirmation_whole(spark, d):
-    # The SQL above holds a radius of 60: tests hold the reference's against brute force.
+    # The radius of the reference; that of geometry_confirmation is smaller.
     return geometry.geometry_confirmed(_valued(spark, d), _lines(spark, d))
 
 
@@ -139,21 +141,34 @@ def _keyed(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__r")).select(*keys, *[f"__r.{c}" for c in rest])
 
 
-@query(f"""WITH {_LINES}, lu AS (SELECT sheet, line_no, min((x0, y0, x1, y1)) r FROM ln GROUP BY ALL), l4 AS (SELECT sheet, line_no, r[1] x0, r[2] y0, r[3] x1, r[4] y1 FROM lu), lg AS (SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) len FROM l4), ti AS (SELECT DISTINCT sheet, unnest([x0, x1]) x, unnest([y0, y1]) y FROM lg WHERE len <= 30)
-SELECT sheet, line_no, (x0 + x1) / 2 cx, (y0 + y1) / 2 cy FROM lg WHERE len > 30 AND EXISTS (SELECT 1 FROM ti WHERE ti.sheet = lg.sheet AND sqrt((ti.x - lg.x0) ** 2 + (ti.y - lg.y0) ** 2) <= 20) AND EXISTS (SELECT 1 FROM ti WHERE ti.sheet = lg.sheet AND sqrt((ti.x - lg.x1) ** 2 + (ti.y - lg.y1) ** 2) <= 20)""")
+_UNIQUE = f"""{_LINES}, lu AS (SELECT sheet, line_no, min((x0, y0, x1, y1)) r FROM ln GROUP BY ALL), l4 AS (SELECT sheet, line_no, r[1] x0, r[2] y0, r[3] x1, r[4] y1 FROM lu)"""
+
+
+def _regions_sql(radius: float) -> str:
+    return f"""WITH {_UNIQUE}, lg AS (SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) len FROM l4), ti AS (SELECT DISTINCT sheet, unnest([x0, x1]) x, unnest([y0, y1]) y FROM lg WHERE len <= 30)
+SELECT sheet, line_no, (x0 + x1) / 2 cx, (y0 + y1) / 2 cy FROM lg WHERE len > 30 AND EXISTS (SELECT 1 FROM ti WHERE ti.sheet = lg.sheet AND sqrt((ti.x - lg.x0) ** 2 + (ti.y - lg.y0) ** 2) <= {radius}) AND EXISTS (SELECT 1 FROM ti WHERE ti.sheet = lg.sheet AND sqrt((ti.x - lg.x1) ** 2 + (ti.y - lg.y1) ** 2) <= {radius})"""
+
+
+@query(_regions_sql(20))
 def dimension_regions(spark, d):
     return geometry.dimension_regions(_keyed(_lines(spark, d), "sheet", "line_no"), radius=20.0)
 
 
-@query()
+@query(_regions_sql(geometry.TICK_RADIUS))
 def dimension_regions_whole(spark, d):
-    # The SQL above holds a radius of 20: tests hold the reference's against brute force.
+    # The radius of the reference; that of dimension_regions is smaller.
     return geometry.dimension_regions(_keyed(_lines(spark, d), "sheet", "line_no"))
 
 
-@query()
+#: Chains of links as the smallest line that each line reaches.
+_MERGED = f"""WITH RECURSIVE {_UNIQUE}, m AS (SELECT *, (x0 + x1) / 2 mx, (y0 + y1) / 2 my, CASE WHEN y1 = y0 THEN 0 ELSE degrees(atan2(y1 - y0, x1 - x0)) % 180 END * 5 ma FROM l4),
+k AS (SELECT a.sheet, a.line_no a, b.line_no b FROM m a JOIN m b ON a.sheet = b.sheet AND a.line_no <> b.line_no AND sqrt((a.mx - b.mx) ** 2 + (a.my - b.my) ** 2) <= 20 AND (a.mx - b.mx) ** 2 + (a.my - b.my) ** 2 + (a.ma - b.ma) ** 2 <= 400),
+c AS (SELECT sheet, line_no a, line_no f FROM m UNION SELECT c.sheet, k.b, c.f FROM c JOIN k ON k.sheet = c.sheet AND k.a = c.a WHERE k.b > c.f), g AS (SELECT sheet, a line_no, min(f) first_no FROM c GROUP BY ALL)
+SELECT sheet, first_no, count(*) n_lines, CASE WHEN count(*) = 1 THEN min(x0) ELSE min(least(x0, x1)) END x0, CASE WHEN count(*) = 1 THEN min(y0) ELSE min(least(y0, y1)) END y0, CASE WHEN count(*) = 1 THEN min(x1) ELSE max(greatest(x0, x1)) END x1, CASE WHEN count(*) = 1 THEN min(y1) ELSE max(greatest(y0, y1)) END y1 FROM g JOIN m USING (sheet, line_no) GROUP BY sheet, first_no"""
+
+
+@query(_MERGED)
 def merged_segments(spark, d):
-    # Chains of links: tests hold these against brute force.
     return geometry.merged_segments(_keyed(_lines(spark, d), "sheet", "line_no"))
 
 
@@ -241,16 +256,20 @@ def table_text(spark, d):
     return blocks.table_texts(rows)
 
 
-@query("""WITH c AS (SELECT o_orderstatus document, 'S' || (o_custkey % 40) sheet, o_orderkey chunk_no, 'Row ' || o_orderkey || ': ' || o_orderpriority AS text FROM orders), w AS (SELECT *, coalesce(sum(len(list_filter(string_split(text, ' '), lambda x: x <> ''))) OVER (PARTITION BY document, sheet ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b FROM c),
-j AS (SELECT document, sheet, '=== BOQ: ' || sheet || ' (' || document || ') ===' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY chunk_no) f FROM w WHERE b <= 40 GROUP BY document, sheet), k AS (SELECT *, list_filter(regexp_split_to_array(f, '\\s+'), lambda x: x <> '') ws FROM j)
-SELECT document, sheet, least(len(ws), 40)::BIGINT n_words, CASE WHEN len(ws) > 40 THEN array_to_string(ws[1:40], ' ') ELSE f END AS text FROM k""")
+def _parents_sql(most: int) -> str:
+    return f"""WITH c AS (SELECT o_orderstatus document, 'S' || (o_custkey % 40) sheet, o_orderkey chunk_no, 'Row ' || o_orderkey || ': ' || o_orderpriority AS text FROM orders), w AS (SELECT *, coalesce(sum(len(list_filter(string_split(text, ' '), lambda x: x <> ''))) OVER (PARTITION BY document, sheet ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b FROM c),
+j AS (SELECT document, sheet, '=== BOQ: ' || sheet || ' (' || document || ') ===' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY chunk_no) f FROM w WHERE b <= {most} GROUP BY document, sheet), k AS (SELECT *, list_filter(regexp_split_to_array(f, '\\s+'), lambda x: x <> '') ws FROM j)
+SELECT document, sheet, least(len(ws), {most})::BIGINT n_words, CASE WHEN len(ws) > {most} THEN array_to_string(ws[1:{most}], ' ') ELSE f END AS text FROM k"""
+
+
+@query(_parents_sql(40))
 def sheet_parents(spark, d):
     return blocks.sheet_parents(_sheet_chunks(spark, d), 40)
 
 
-@query()
+@query(_parents_sql(blocks.PARENT_WORDS))
 def sheet_parents_whole(spark, d):
-    # The SQL above holds a cap of 40 words: tests hold the reference's against plain Python.
+    # The reference's cap; that of sheet_parents is smaller, so that it cuts at every scale.
     return blocks.sheet_parents(_sheet_chunks(spark, d))
 
 
