@@ -97,3 +97,12 @@ def test_guard_and_folder(spark):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch.folder(Cluster)
+
+
+def test_default_embedding_of_whole_texts(spark):
+    from plumbline.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r.embedding for r in registry.queries()["text_embedding"](spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", retrieval.sanitised(F.col("text")).alias("text")).collect()}
+    assert got == {i: retrieval.hashed_words([t])[0] for i, t in texts.items()}
