@@ -37,15 +37,19 @@ def heading_fill(blocks: DataFrame) -> DataFrame:
     return filled.withColumn("subsection", F.last(F.when(F.col("heading") == 2, F.col("text")), ignorenulls=True).over(inside))
 
 
-def section_groups(filled: DataFrame) -> DataFrame:
+def _runs(filled: DataFrame) -> DataFrame:
+    """Adds run: the number of the run of blocks under equal headings (null equals null), over all blocks of a document."""
+    w = Window.partitionBy("doc_id").orderBy("block_no")
+    same = F.col("section").eqNullSafe(F.lag("section").over(w)) & F.col("subsection").eqNullSafe(F.lag("subsection").over(w)) & F.lag("doc_id").over(w).isNotNull()
+    return filled.withColumn("run", F.sum((~same).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def section_groups(filled: DataFrame, keep_run: bool = False) -> DataFrame:
     """One row for each run of text blocks under equal headings (null equals null): section_no, pages and ordered words.
 
     Runs are told over all blocks, so a section without text still breaks one; headings themselves are left out.
     """
-    w = Window.partitionBy("doc_id").orderBy("block_no")
-    same = F.col("section").eqNullSafe(F.lag("section").over(w)) & F.col("subsection").eqNullSafe(F.lag("subsection").over(w)) & F.lag("doc_id").over(w).isNotNull()
-    run = F.sum((~same).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    grouped = filled.withColumn("run", run).where("heading = 0").groupBy("doc_id", "project", "run").agg(
+    grouped = _runs(filled).where("heading = 0").groupBy("doc_id", "project", "run").agg(
         F.first("section").alias("section"),
         F.first("subsection").alias("subsection"),
         F.min_by("page", "block_no").alias("page_start"),
@@ -54,7 +58,17 @@ def section_groups(filled: DataFrame) -> DataFrame:
         F.array_remove(F.split(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda b: b["text"]), " "), " +"), "").alias("words"),
     )
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("run")) - 1
-    return grouped.withColumn("section_no", number.cast("int")).drop("run")
+    rows = grouped.withColumn("section_no", number.cast("int"))
+    return rows if keep_run else rows.drop("run")
+
+
+def section_flags(filled: DataFrame) -> DataFrame:
+    """section_groups with is_table, true where every block of the section is a table, and source_type, that of its first block
+    (null allowed) unless any is pdf_drawing; blocks also have is_table and source_type."""
+    first = F.min_by(F.struct("source_type"), "block_no")["source_type"]
+    drawn = F.coalesce(F.bool_or(F.col("source_type") == "pdf_drawing"), F.lit(False))
+    flags = _runs(filled).where("heading = 0").groupBy("doc_id", "run").agg(F.every("is_table").alias("is_table"), F.when(drawn, "pdf_drawing").otherwise(first).alias("source_type"))
+    return section_groups(filled, keep_run=True).join(flags, ["doc_id", "run"]).drop("run")
 
 
 def parent_child_chunks(sections: DataFrame, parent_words: int = PARENT_WORDS, child_words: int = CHILD_WORDS) -> DataFrame:

@@ -138,6 +138,12 @@ def cascade_deleted(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str
     return left | {"results": left["results"].join(gone_chunks, "chunk_id", "left_anti")}
 
 
+def projects_deleted(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFrame]:
+    """What is left of each table, all keyed by project, when the projects `doomed` go."""
+    ids = doomed.select("project").distinct()
+    return {name: t.join(ids, "project", "left_anti") for name, t in tables.items()}
+
+
 def prompts(windows: DataFrame, parameters: DataFrame, size: int = 25) -> DataFrame:
     """project, window_no, batch_no, names, context of each window (project, window_no, context) and batch of `size` parameters
     (name, place). The batches are one small array: a catalog has some hundred names, and more than MAX_PARAMETERS raise."""

@@ -9,7 +9,7 @@ from ..operators import blocks, maintenance, measurements, results, retrieval, s
 from ..operators.scratch import new_path
 from ..sources import catalog, grid
 from ..streaming import intake
-from .document_queries import _RESULTS, _chunk_sql, _filled, _hits, _results, _TOPK, _VECTORS, table
+from .document_queries import _RESULTS, _SECTIONS, _chunk_sql, _filled, _hits, _results, _TOPK, _VECTORS, table
 from .drawing_queries import _EVENTS, _LINES, _NAMES, _events, _names, _texts, routing
 from .sheet_queries import _measured
 
@@ -269,3 +269,63 @@ def document_intake(spark, d):
     chunks = spark.read.schema("doc_id long, chunk_index int, chunk_level int").parquet(f"{out}/epoch=*/chunks/part=*")
     counted = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
     return status.join(counted, "doc_id", "left").select("doc_id", "state", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+
+
+@query(f"""WITH {_SECTIONS}, fb AS (SELECT *, block_no % 3 <> 0 is_table, CASE WHEN block_no % 4 = 1 THEN 'pdf_spec' WHEN block_no % 11 = 0 THEN 'pdf_drawing' END source_type FROM g2 WHERE heading = 0),
+fg AS (SELECT doc_id, run, bool_and(is_table) is_table, CASE WHEN coalesce(bool_or(source_type = 'pdf_drawing'), false) THEN 'pdf_drawing' ELSE first(source_type ORDER BY block_no) END source_type FROM fb GROUP BY ALL)
+SELECT sec.doc_id, section_no, is_table, source_type FROM sec JOIN fg USING (doc_id, run)""")
+def section_flags(spark, d):
+    marked = _filled(spark, d).selectExpr("*", "block_no % 3 <> 0 is_table", "case when block_no % 4 = 1 then 'pdf_spec' when block_no % 11 = 0 then 'pdf_drawing' end source_type")
+    return blocks.section_flags(marked).select("doc_id", "section_no", "is_table", "source_type")
+
+
+@query("SELECT 'orders' AS name, o_orderkey id FROM orders WHERE o_custkey % 4 <> 1 UNION ALL SELECT 'customers', c_custkey FROM customer WHERE c_custkey % 4 <> 1")
+def project_delete(spark, d):
+    tables = {"orders": table(spark, d, "orders").selectExpr("o_custkey project", "o_orderkey id"), "customers": table(spark, d, "customer").selectExpr("c_custkey project", "c_custkey id")}
+    left = results.projects_deleted(tables, tables["customers"].where("project % 4 = 1"))
+    return left["orders"].selectExpr("'orders' name", "id").unionAll(left["customers"].selectExpr("'customers' name", "id"))
+
+
+@query("""WITH c AS (SELECT c_custkey project_id, c_custkey % 2 = 0 s, c_custkey % 7 = 0 a, c_custkey % 5 = 0 h FROM customer)
+SELECT 'star' AS action, project_id, s OR h starred, a archived FROM c UNION ALL SELECT 'unstar', project_id, s AND NOT h, a FROM c UNION ALL SELECT 'unarchive', project_id, s, a AND NOT h FROM c""")
+def bulk_actions(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("project_id"), F.expr("c_custkey % 2 = 0").alias("starred"), F.expr("c_custkey % 7 = 0").alias("archived"))
+    done = [maintenance.bulk_flags(c, c.where("project_id % 5 = 0"), action).select(F.lit(action).alias("action"), "project_id", "starred", "archived") for action in ("star", "unstar", "unarchive")]
+    return done[0].unionAll(done[1]).unionAll(done[2])
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 2 doc_id, length(html) % 200 chars FROM pages), v AS (SELECT *, chars < 100 v, row_number() OVER (PARTITION BY doc_id, chars < 100 ORDER BY page_id) n FROM p)
+SELECT page_id, CASE WHEN NOT v THEN 'text' WHEN n <= 150 THEN 'vision' ELSE 'skipped' END route FROM v""")
+def page_bound(spark, d):
+    # Two documents share all pages, so that from sf0.1 on pages lie beyond the bound.
+    pages = table(spark, d, "pages").selectExpr("page_id", "page_id % 2 doc_id", "page_id page_no", "length(html) % 200 chars", "0 draws")
+    return routing.routed_pages(pages).select("page_id", "route")
+
+
+_SIGNAL = f"[{', '.join(repr(x) for x in results.INFERENCE_SIGNALS)}, 'stated'][o_orderkey % 9 + 1]"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 4 = 0 THEN 0 WHEN o_custkey % 9 / 8 > 0.75 AND o_orderkey % 9 <> 8 THEN 0.75 ELSE o_custkey % 9 / 8 END confidence, {_SIGNAL} word FROM orders""")
+def confidence_cap(spark, d):
+    word = F.element_at(F.array(*[F.lit(x) for x in (*results.INFERENCE_SIGNALS, "stated")]), F.expr("cast(o_orderkey % 9 + 1 as int)"))
+    said = F.concat(F.lit("It was "), F.upper(word), F.lit(" so."))
+    c = results.capped_confidence(F.expr("o_orderkey % 7 <> 0"), F.expr("if(o_orderkey % 4 = 0, '', 'v')"), F.expr("o_custkey % 9") / 8, said)
+    return table(spark, d, "orders").select("o_orderkey", c.alias("confidence"), word.alias("word"))
+
+
+@query("""WITH a AS (SELECT o_orderkey answer_id, o_orderkey % 3 n FROM orders), k AS (SELECT answer_id, n, unnest(['p1', 'p2', 'p3']) parameter, unnest([1, 2, 3]) i FROM a)
+SELECT answer_id, parameter, i <= n AS found, CASE WHEN i <= n THEN 'v' || i END AS value, CASE WHEN n = 0 THEN 'JSON parse failed' WHEN i > n THEN 'Missing in response' END reason FROM k""")
+def answer_recovery(spark, d):
+    # Answers of three parameters, cut off after none, one or two of them.
+    whole = [f'"p{i}": {{"found": true, "value": "v{i}"}}' for i in (1, 2, 3)]
+    text = F.expr("case o_orderkey % 3 " + " ".join(f"when {n} then '{{{', '.join([*whole[:n], whole[n][:20]])}'" for n in range(3)) + " end")
+    answers = table(spark, d, "orders").select(F.col("o_orderkey").alias("answer_id"), text.alias("response_text"))
+    expected = answers.select("answer_id", F.explode(F.array(*[F.lit(f"p{i}") for i in (1, 2, 3)])).alias("parameter"))
+    return results.parsed_answers(answers, expected).select("answer_id", "parameter", "found", "value", "reason")
+
+
+@query(f"WITH {_VECTORS}, h AS ({_TOPK.format('p', 10)}) SELECT query_id, CASE WHEN vec_id % 3 = 0 THEN vec_id ELSE 1000000000 + vec_id // 5 END section_id, max(score) score, count(*) n_hits FROM h GROUP BY ALL")
+def parent_pass_through(spark, d):
+    # Every third chunk has no parent and stands for itself.
+    chunks = table(spark, d, "embeddings").selectExpr("vec_id", "if(vec_id % 3 = 0, null, 1000000000 + vec_id div 5) parent_id")
+    return retrieval.parent_expand(_hits(spark, d), chunks)
