@@ -28,10 +28,10 @@ def parsed_answers(answers: DataFrame, expected: DataFrame) -> DataFrame:
     body = F.regexp_replace("response_text", "^\\s*```[a-z]*\\s*|\\s*```\\s*$", "")
     whole = F.from_json(body, ANSWER)
     parsed = answers.select("answer_id", body.alias("body"), whole.alias("m")).select("answer_id", F.coalesce("m", F.from_json(closed_prefix(F.when(F.col("m").isNull(), F.col("body"))), ANSWER)).alias("m"))
-    entries = parsed.where("m is not null").select("answer_id", F.explode("m").alias("parameter", "a"))
-    joined = expected.join(entries, ["answer_id", "parameter"], "left").join(parsed.select("answer_id", F.col("m").isNotNull().alias("valid")), "answer_id", "left")
+    # Each answer is parsed once: its parameters are looked up where it meets those that are expected.
+    joined = expected.join(parsed, "answer_id", "left").select("answer_id", "parameter", F.col("m").isNotNull().alias("valid"), F.try_element_at("m", F.col("parameter")).alias("a"))
     found = F.coalesce("a.found", F.lit(False))
-    reason = F.when(~F.coalesce("valid", F.lit(False)), "JSON parse failed").when(F.col("a").isNull(), "Missing in response")
+    reason = F.when(~F.col("valid"), "JSON parse failed").when(F.col("a").isNull(), "Missing in response")
     return joined.select("answer_id", "parameter", found.alias("found"), F.col("a.value").alias("value"), F.col("a.unit").alias("unit"), capped_confidence(found, F.col("a.value"), F.col("a.confidence"), F.col("a.explanation")).alias("confidence"), reason.alias("reason"))
 
 
