@@ -18,6 +18,8 @@ WORDS = 5
 PERCENT = 75
 #: Shingles that a task counts at once.
 SHARD_TOKENS = 3_000_000
+#: Shingles that a task deals at once.
+PART_TOKENS = 2_000_000
 #: Shingles of the documents that a task's signature trees hold; larger families are cut into chunks that meet in pairs.
 CHUNK_TOKENS = 4_000_000
 #: Classes whose sets are read again up to which their ids, 40 bytes each, are broadcast.
@@ -96,16 +98,19 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def _stretches(texts: list[str | None], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of `texts` of up to `most` code points, a longer text alone."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t or "") > most:
-            yield start, i
-            start, size = i, 0
-        size += len(t or "")
-    if start < len(texts):
-        yield start, len(texts)
+def _stretches(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of `texts` of up to `most` code points, with the place of the first; a longer text alone. Only one is open at a time."""
+    own: list[str | None] = []
+    first = size = 0
+    for i, x in enumerate(texts):
+        text = x.as_py()
+        if own and size + len(text or "") > most:
+            yield first, own
+            own, first, size = [], i, 0
+        own.append(text)
+        size += len(text or "")
+    if own:
+        yield first, own
 
 
 def _digest(tokens: np.ndarray) -> bytes:
@@ -118,10 +123,9 @@ def document_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             sizes, digests = [], []
-            for a, b in _stretches(texts):
-                for s in shingle_sets(texts[a:b]):
+            for _, texts in _stretches(batch.column(1)):
+                for s in shingle_sets(texts):
                     sizes.append(len(s))
                     digests.append(_digest(s))
             ck = np.frombuffer(b"".join(digests), "<i8")[::2]
@@ -153,35 +157,41 @@ def _deal_tokens(docs: DataFrame, n_shards: int) -> DataFrame:
     Documents with equal sets inside a stretch of rows are dealt once. The row of shard 0 also names the documents.
     """
 
+    def packed(sets: list[np.ndarray], cks: list[int], number: int) -> Iterator[pa.RecordBatch]:
+        sizes = np.array([len(x) for x in sets], "<u4")
+        flat, docs_ = np.concatenate(sets), np.repeat(np.arange(len(sizes), dtype="i4"), sizes)
+        ck = np.array(cks, "<i8")
+        # the same when a lost task runs again
+        key = TaskContext.get().partitionId() << 32 | number
+        shard = ((flat >> np.uint64(32)) % np.uint64(n_shards)).astype("u2" if n_shards < 65_536 else "u4")
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(n_shards + 1))
+        small, docs_ = flat.astype("<u4")[order], docs_[order]
+        for k in range(n_shards):
+            a, b = int(cuts[k]), int(cuts[k + 1])
+            if a == b and k:
+                continue
+            row = {"shard": k, "part": key, "cks": ck.tobytes() if not k else b"", "sizes": sizes.tobytes() if not k else b"", "n_docs": len(sizes), "tokens": small[a:b].tobytes()}
+            yield pa.RecordBatch.from_pylist([row | _packed_owners(docs_[a:b], len(sizes))], schema=_DEALT)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(batches):
-            texts = batch.column(0).to_pylist()
-            seen: set[bytes] = set()
-            cks, sizes, tokens = [], [], []
-            for a, b in _stretches(texts):
-                for s in shingle_sets(texts[a:b]):
+        sets: list[np.ndarray] = []
+        cks: list[int] = []
+        seen: set[bytes] = set()
+        number = held = 0
+        for batch in batches:
+            for _, texts in _stretches(batch.column(0)):
+                for s in shingle_sets(texts):
                     if len(s) and (d := _digest(s)) not in seen:
                         seen.add(d)
+                        sets.append(s)
                         cks.append(int.from_bytes(d[:8], "little", signed=True))
-                        sizes.append(len(s))
-                        tokens.append(s)
-            if not tokens:
-                continue
-            flat, docs_ = np.concatenate(tokens), np.repeat(np.arange(len(sizes), dtype="i4"), sizes)
-            ck, n = np.array(cks, "<i8"), np.array(sizes, "<u4")
-            # the same when a lost task runs again
-            key = TaskContext.get().partitionId() << 32 | number
-            shard = ((flat >> np.uint64(32)) % np.uint64(n_shards)).astype("u2" if n_shards < 65_536 else "u4")
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(n_shards + 1))
-            small = flat.astype("<u4")[order]
-            docs_ = docs_[order]
-            for k in range(n_shards):
-                a, b = int(cuts[k]), int(cuts[k + 1])
-                if a == b and k:
-                    continue
-                row = {"shard": k, "part": key, "cks": ck.tobytes() if not k else b"", "sizes": n.tobytes() if not k else b"", "n_docs": len(sizes), "tokens": small[a:b].tobytes()}
-                yield pa.RecordBatch.from_pylist([row | _packed_owners(docs_[a:b], len(sizes))], schema=_DEALT)
+                        held += len(s)
+                if held >= PART_TOKENS:
+                    yield from packed(sets, cks, number)
+                    sets, cks, seen, number, held = [], [], set(), number + 1, 0
+        if sets:
+            yield from packed(sets, cks, number)
 
     return docs.select("text").mapInArrow(run, _DEALT_TYPES)
 
@@ -359,10 +369,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, texts, wanted_cks = (batch.column(i).to_pylist() for i in range(3))
-            for a, b in _stretches(texts):
+            labels, wanted_cks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for first, texts in _stretches(batch.column(1)):
                 own: dict[int, tuple] = {}
-                for i, s in enumerate(shingle_sets(texts[a:b]), a):
+                for i, s in enumerate(shingle_sets(texts), first):
                     if (ck := int.from_bytes(_digest(s)[:8], "little", signed=True)) == wanted_cks[i]:
                         own[ck] = (ck, labels[i], len(s), s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in own.values()], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["ck", "label", "n", "tokens"])
