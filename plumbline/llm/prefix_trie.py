@@ -152,8 +152,8 @@ class Block:
             self.bytes += len(key)
         self.ids.append(conv_id)
 
-    def full(self) -> bool:
-        return len(self.ids) >= BLOCK_ROWS or self.bytes >= BLOCK_BYTES
+    def full(self, rows: int) -> bool:
+        return len(self.ids) >= rows or self.bytes >= BLOCK_BYTES
 
     def nodes(self, after: bytes | None) -> Iterator[tuple]:
         """(digest, parent digest, depth, conv_id, parent_conv_id, n_convs, n_children, n_leaves, saved, ends_sha256, ends, end_at, is_open)."""
@@ -231,7 +231,7 @@ _ARROW = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string(), "boo
 _TYPES = [(c.split()[0], _ARROW[c.split()[1]]) for c in _NODE.split(", ")]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[pa.RecordBatch]:
     """Trees over runs of a range's rows (range, part, key, conv_id); part 0 and 2 are the keys next to the range."""
     out, block, at, ahead, number = [], None, None, None, 0
 
@@ -258,7 +258,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 if block is None:
                     block = Block(ahead)
-                elif block.full():
+                elif block.full(block_rows):
                     yield from ended(key)
                     block = Block(block.keys[-1])
                 block.add(key, conv_id)
@@ -296,14 +296,14 @@ def rebuilt(keys: DataFrame, group: int = 20, most: int = 4) -> DataFrame:
     return both.select("conv_id", F.concat(head, F.slice("ids", F.col("__n") + 1, F.size("ids"))).alias("ids"))
 
 
-def prefix_trie(keys: DataFrame) -> DataFrame:
+def prefix_trie(keys: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row a node of the trie over (conv_id, ids), as conversation_keys() gives them.
 
     conv_id: the smallest member. parent_conv_id: that of the node above, null for the root. n_convs, n_children; n_leaves:
     childless nodes below, itself included. saved_tokens: over the nodes below and itself, the words of the node's last turn
     times its members but one. ends_sha256: of the comma-joined ids, ascending, of the conversations that end here.
 
-    Conversations are sorted by key and id in ranges, so equal ones may lie in many; a range is cut into blocks of BLOCK_ROWS.
+    Conversations are sorted by key and id in ranges, so equal ones may lie in many; a range is cut into blocks of `block_rows`.
     Each block is one tree. Nodes that no neighbouring key begins with are whole; the others, some a block, are summed up.
     A conversation without turns ends in the root. No conversations give no rows. Repeated ids are members as often.
     A conversation is one key of 20 bytes a turn.
@@ -318,7 +318,7 @@ def prefix_trie(keys: DataFrame) -> DataFrame:
     beside = beside.select("pid", "e.part", "e.key").where("key is not null").withColumn("conv_id", F.lit(None).cast("long"))
     dealt = ranges.select("pid", F.lit(1).alias("part"), "key", "conv_id").unionByName(beside)
     in_order = dealt.repartition("pid").sortWithinPartitions("pid", "part", "key", "conv_id").select("pid", "part", "key", "conv_id")
-    nodes = materialize(in_order.mapInArrow(_blocks, _NODE), "trie-nodes")
+    nodes = materialize(in_order.mapInArrow(lambda b: _blocks(b, block_rows), _NODE), "trie-nodes")
     return _merged(nodes)
 
 
