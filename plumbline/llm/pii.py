@@ -127,10 +127,12 @@ def _house(text: str, at: int, floor: int) -> int | None:
         stop = end
         while stop > floor and text[stop - 1] == " ":
             stop -= 1
+        if stop == end:
+            return None
         start = stop
         while start > floor and not text[start - 1].isspace():
             start -= 1
-        if start == stop or stop == end:
+        if start == stop:
             return None
         if words and (m := _HOUSE.search(text, max(start, stop - 7), stop)):
             return m.start()
@@ -151,7 +153,7 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
     out: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
     if not text:
         return out
-    ends = dict.fromkeys(KINDS, 0)
+    ends, barren = dict.fromkeys(KINDS, 0), 0
     for last, (kind, length) in _automaton().iter(text):
         at = last - length + 1
         if at < ends[kind]:
@@ -172,9 +174,14 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
         elif at and (text[at - 1].isalnum() or text[at - 1] == "_") or kind != "address" and text[last + 1 : last + 2].isalpha():
             continue
         elif kind == "secret":
-            if (m := _SECRET.match(text, last + 1)) and (m[1] or any(c.isdigit() for c in m[2])):
+            # A cue inside a value without digits, with more of it to come, could only take a part of the same value.
+            if last + 2 < barren or not (m := _SECRET.match(text, last + 1)):
+                continue
+            if m[1] or any(c.isdigit() for c in m[2]):
                 out["secret"].append(m.span(2))
                 ends["secret"] = m.end()
+            else:
+                barren = m.end()
         elif kind == "account":
             if spans := _accounts(text, last + 1):
                 out["account"] += spans

@@ -66,3 +66,30 @@ def test_long_runs_cost_their_length_only(text):
     start = time.time()
     pii.find_spans(text)
     assert time.time() - start < 4
+
+
+@pytest.mark.parametrize("text", ["-Road" * 200_000, "token=" * 170_000, "Road " * 200_000, "Main-Road " * 100_000, "x token=-" * 120_000, "token=\"" * 140_000, "bearer: " * 120_000, "iban " * 200_000])
+def test_cues_without_end_cost_their_length_only(text):
+    start = time.time()
+    pii.find_spans(text)
+    assert time.time() - start < 2
+
+
+def test_secrets_after_values_without_digits():
+    assert found("token=long-long-token: \"abcdefgh\"", "secret") == ["abcdefgh"]
+    assert found("token=xxxxxxxx-token=>abc12345", "secret") == ["abc12345"]
+    assert found("token=xxxxxxxx-token= abc12345", "secret") == ["abc12345"]
+    assert found("token=xxxxxxxx-token=abcdefgh token=abc12345", "secret") == ["abc12345"]
+
+
+def test_time_follows_length_on_random_mixtures():
+    cues = [*pii.ACCOUNT_CUES, *pii.SECRET_CUES, *pii.STREETS, "@", "://", "+", "+1", "12", "DE89", "A", "b.co", "(", "Main", "4111"]
+    between = ["", " ", "-", "=", ":", ".", "\"", "\n", "  ", "_", ", ", "/"]
+    for seed in range(120):
+        rng = random.Random(seed)
+        few, gaps = rng.sample(cues, rng.randrange(1, 4)), rng.sample(between, rng.randrange(1, 3))
+        unit = "".join(rng.choice([c, c.title(), c.upper()]) + rng.choice(gaps) for c in few * 3)
+        text = unit * (150_000 // len(unit))
+        start = time.process_time()
+        pii.find_spans(text)
+        assert time.process_time() - start < 1.5, unit
