@@ -407,22 +407,8 @@ def _dealt_families(found: DataFrame, members: DataFrame) -> DataFrame:
     return found.select("label", "ck", "tokens", "c", "lo", "hi", F.when(F.col("large").isNull(), F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(F.xxhash64("label", "lo", "hi")).alias("g"))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id, one row per row of `docs`.
-
-    1. Equal sets form a class; only classes are compared, so copies cost nothing more.
-    2. All shingles are counted, packed by shard. Prefix filtering, the rarest first: of a document only the shared ones
-       among its first n - ceil(0.75 n) + 1 shingles count, and two that link have one of these in common, are of
-       neighbouring size bands, and have it early enough. Classes that are connected by them form families; documents
-       without any have no links.
-    3. Each family is a signature tree that is traversed with itself; families beyond CHUNK_TOKENS are cut by size and into
-       chunks that meet in tasks of their own. Tasks return spanning forests, so components are exact while no task lists
-       its pairs. Shingles are told by 64-bit hashes.
-
-    Null and empty texts and those without words have n_shingles 0 and link with nothing; repeated rows and equal texts
-    link; a null doc_id is kept, links like any other, names no component, and has a null component_id if nothing else is
-    in it; an empty table gives an empty one; other columns are not read.
-    """
+def _linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """document_sets() of `docs`, written, their classes of equal sets, and the classes that link with others with their `part`."""
     sets = materialize(document_sets(docs), "sets")
     some = sets.where("n > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th"))
@@ -439,7 +425,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     found = _dealt_families(_sets_of(docs, members, members.count()), members)
     edges = found.groupBy("g").applyInArrow(_join_families, "a long, b long")
     parts = connected_components(edges)
-    linked = materialize(members.join(parts, members.ck == parts.node).select("digest", "rep", F.col("component").alias("part")), "linked")
+    return sets, classes, materialize(members.join(parts, members.ck == parts.node).select("digest", "rep", F.col("component").alias("part")), "linked")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id, one row per row of `docs`.
+
+    1. Equal sets form a class; only classes are compared, so copies cost nothing more.
+    2. All shingles are counted, packed by shard. Prefix filtering, the rarest first: of a document only the shared ones
+       among its first n - ceil(0.75 n) + 1 shingles count, and two that link have one of these in common, are of
+       neighbouring size bands, and have it early enough. Classes that are connected by them form families; documents
+       without any have no links.
+    3. Each family is a signature tree that is traversed with itself; families beyond CHUNK_TOKENS are cut by size and into
+       chunks that meet in tasks of their own. Tasks return spanning forests, so components are exact while no task lists
+       its pairs. Shingles are told by 64-bit hashes.
+
+    Null and empty texts and those without words have n_shingles 0 and link with nothing; repeated rows and equal texts
+    link; a null doc_id is kept, links like any other, names no component, and has a null component_id if nothing else is
+    in it; an empty table gives an empty one; other columns are not read.
+    """
+    sets, classes, linked = _linked_classes(docs)
     least = linked.groupBy("part").agg(F.min("rep").alias("component"))
     linked = linked.join(least, "part").select(F.col("digest").alias("__digest"), "component")
     reps = classes.select(F.col("digest").alias("__d"), "rep")
@@ -448,6 +453,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that are the first of their component; rows that repeat a kept doc_id stay with it, as do null ids."""
-    gone = materialize(jaccard_components(own_names(docs)).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    return docs.join(bounded_broadcast(gone, gone.count()), docs.doc_id == gone["__gone"], "left_anti")
+    """One row of `docs` of each component: that of the smallest doc_id, null last, then of the smallest hash of the text.
+
+    Rows are told by doc_id and text, so one that shares its id with a near copy stays, and of rows that repeat both one
+    stays. Rows without words link with nothing and stay. An empty table gives an empty one; other columns stay as they are,
+    of repeated rows those of any one.
+    """
+    sets, _, linked = _linked_classes(own_names(docs))
+    lead = linked.groupBy("part").agg(F.min("digest").alias("lead"))
+    lead = linked.join(lead, "part").select(F.col("digest").alias("__digest"), "lead")
+    rows = sets.where("n > 0").groupBy("doc_id", "th", "digest").agg(F.count("*").alias("same"))
+    rows = rows.join(lead, rows.digest == lead["__digest"], "left").select("doc_id", "th", "same", F.coalesce("lead", "digest").alias("group"))
+    rows = materialize(rows, "near-copies")
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th", "same")).alias("f"))
+    stay = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & F.col("th").eqNullSafe(F.col("f.th"))
+    told = materialize(rows.join(first, "group").select("doc_id", "th", "same", stay.alias("stays")).where("not stays or same > 1"), "near-copy-rows")
+    named = lambda of: of.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    gone, again = named(told.where("not stays")), named(told.where("stays"))
+    here = lambda of: docs.doc_id.eqNullSafe(of["__id"]) & F.xxhash64(docs.text).eqNullSafe(of["__th"])
+    n_again = again.count()
+    kept = docs.join(bounded_broadcast(gone, gone.count()), here(gone), "left_anti")
+    if not n_again:
+        return kept
+    # Only rows that repeat both are gathered by them.
+    few = bounded_broadcast(again, n_again)
+    once = docs.join(few, here(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(few, kept.doc_id.eqNullSafe(again["__id"]) & F.xxhash64(kept.text).eqNullSafe(again["__th"]), "left_anti").unionByName(once)

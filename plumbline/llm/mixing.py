@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, let, materialize, own_names, running_offsets
+from .common import SPACE, bounded_broadcast, let, materialize, own_names, running_offsets
 
 #: Words in a block; a source's last block may be shorter.
 BLOCK_WORDS = 128
@@ -120,8 +120,8 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, n_shards: int = N_OUTPUT_SHARDS) -> dict[str, DataFrame]:
     """The mix of all `docs` as frames: `plan` (sources), `counts` (of slots by shard and source), `slots` (shard, slot,
-    source_no, block, one row a slot), `pieces` (doc_id, text_hash, source_no, block, from_word, n_words: where each block's
-    words lie), `drawn` (pieces with `places`, the shards and slots their block takes, and `times`, their number) and
+    source_no, block, one row a slot), `sized` (doc_id, source, size, text_hash), `pieces` (doc_id, text_hash, source,
+    source_no, offset, block, from_word, n_words: where each block's words lie), `drawn` (pieces with `places`, the shards and slots their block takes, and `times`, their number) and
     `documents` (doc_id, size, source_size, target, taken, and first_shard and first_slot, the first place of any of its
     words, null if none is taken).
 
@@ -138,13 +138,13 @@ def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, n_shards
     slots = draw_slots(plan, counts, seed)
     placed = running_offsets(sized, "source", F.col("size"), ["doc_id", "text_hash", "size"])
     narrow = plan.select(F.col("source").alias("__source"), "source_no", "source_size", "target")
-    placed = placed.join(narrow, placed.source.eqNullSafe(narrow["__source"])).drop("__source", "source")
+    placed = placed.join(narrow, placed.source.eqNullSafe(narrow["__source"])).drop("__source")
     placed = materialize(placed, "mix-places")
     end = F.col("offset") + F.col("size")
-    pieces = placed.where("size > 0").select("doc_id", "text_hash", "size", "offset", "source_no", F.explode(F.sequence(F.floor(F.col("offset") / block_words), F.floor((end - 1) / block_words))).alias("block"))
+    pieces = placed.where("size > 0").select("doc_id", "text_hash", "size", "offset", "source", "source_no", F.explode(F.sequence(F.floor(F.col("offset") / block_words), F.floor((end - 1) / block_words))).alias("block"))
     start = F.greatest(F.col("offset"), F.col("block") * block_words)
     stop = F.least(end, (F.col("block") + 1) * block_words)
-    pieces = pieces.select("doc_id", "text_hash", "size", "offset", "source_no", "block", (start - F.col("offset")).alias("from_word"), (stop - start).alias("n_words"))
+    pieces = pieces.select("doc_id", "text_hash", "size", "offset", "source", "source_no", "block", (start - F.col("offset")).alias("from_word"), (stop - start).alias("n_words"))
     # A block is taken at most MAX_EPOCHS times. Written, so that its true size decides how it is joined: Spark can't tell
     # how many rows the sequences above make.
     times = materialize(slots.groupBy("source_no", "block").agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("places")), "mix-times")
@@ -155,7 +155,7 @@ def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, n_shards
     t = taken.select(F.col("source_no").alias("__s"), F.col("offset").alias("__o"), F.col("doc_id").alias("__d"), F.col("size").alias("__n"), "taken", "place")
     same = (placed.source_no == t["__s"]) & (placed["offset"] == t["__o"]) & placed.doc_id.eqNullSafe(t["__d"]) & (placed["size"] == t["__n"])
     documents = placed.join(t, same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("place.shard").alias("first_shard"), F.col("place.slot").alias("first_slot"))
-    return {"plan": plan, "counts": counts, "slots": slots, "pieces": pieces, "drawn": drawn, "documents": documents}
+    return {"plan": plan, "counts": counts, "slots": slots, "sized": sized, "pieces": pieces, "drawn": drawn, "documents": documents}
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -163,15 +163,23 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     The first row of a document holds the words that the mix takes at least once, the second those that it takes twice,
     in their order and with the white space that follows each word (leading white space stays with the first word);
-    n_chars, where present, is counted anew. Documents of which nothing is taken are absent. Rows that share doc_id and
-    text share their takings.
+    n_chars, where present, is counted anew. Documents of which nothing is taken are absent. Each row takes what its own
+    place in its source's stream takes, also where rows repeat doc_id, source and text; the other columns of such rows are
+    those of any one of them. The totals of sources are fixed; the seed draws where slots lie, which this result doesn't carry.
     """
-    drawn = mix(own_names(docs), seed)["drawn"]
-    copies = drawn.select("doc_id", "text_hash", "from_word", "n_words", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
-    cuts = copies.groupBy("doc_id", "text_hash", "copy").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("from_word", "n_words")))).alias("__cuts"))
-    cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__cuts")
+    mixed = mix(own_names(docs), seed)
+    copies = mixed["drawn"].select("source_no", "offset", "doc_id", "source", "text_hash", "from_word", "n_words", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
+    cuts = copies.groupBy("source_no", "offset", "doc_id", "source", "text_hash", "copy").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("__cuts"))
+    cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), "__cuts")
     units = F.regexp_extract_all(F.col("text"), F.lit(f"(?:^[{SPACE}]+)?[^{SPACE}]+[{SPACE}]*"), F.lit(0))
     text = let(units, lambda u: F.array_join(F.transform(F.col("__cuts"), lambda c: F.array_join(F.slice(u, c["from_word"].cast("int") + 1, c["n_words"].cast("int")), "")), ""))
-    joined = docs.join(cuts, docs.doc_id.eqNullSafe(cuts["__id"]) & (F.xxhash64(docs.text) == cuts["__hash"]))
+    same = lambda of, at: of.doc_id.eqNullSafe(at["__id"]) & of.source.eqNullSafe(at["__source"]) & F.xxhash64(of.text).eqNullSafe(at["__hash"])
+    repeated = mixed["sized"].where("size > 0").groupBy("doc_id", "source", "text_hash").count().where("count > 1")
+    repeated = materialize(repeated.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash")), "mix-repeated")
+    if n := repeated.count():
+        # One row stands for those that repeat id, source and text, and meets the cuts of each.
+        few = bounded_broadcast(repeated, n)
+        docs = docs.join(few, same(docs, repeated), "left_anti").unionByName(docs.join(few, same(docs, repeated), "left_semi").dropDuplicates(["doc_id", "source", "text"]))
+    joined = docs.join(cuts, same(docs, cuts))
     new = {"text": text.alias("text")} | ({"n_chars": F.length(text).cast("long").alias("n_chars")} if "n_chars" in docs.columns else {})
     return joined.select(*[new.get(c, docs[c]) for c in docs.columns])
