@@ -260,9 +260,16 @@ def uncovered_texts(spark, d):
 _CATALOG = """ca AS (SELECT *, [name, name || ' mm', split_part(name, ' ', 2) || ' economy'] ns, ['HORIZONTAL', 'VERTICAL', 'ANY'][entry_id % 3 + 1] way, CASE WHEN entry_id % 2 = 0 THEN ['PLAN', 'DETAIL'] ELSE [] END types
   FROM (SELECT name, row_number() OVER (ORDER BY name) entry_id FROM (SELECT DISTINCT p_name AS name FROM part))),
 me AS (SELECT p_partkey measure_id, lower(p_name || ' ' || p_type || CASE WHEN p_partkey % 2 = 0 THEN ' wide' ELSE '' END || ' ' || p_size || ' mm') q, ['HORIZONTAL', 'ANY', 'VERTICAL'][p_partkey % 3 + 1] way, ['PLAN', 'SECTION', 'UNKNOWN', 'DETAIL'][p_partkey % 4 + 1] st FROM part),
-nm AS (SELECT entry_id, lower(unnest(ns)) n FROM ca), nt AS (SELECT entry_id, n, list_distinct(string_split(n, ' ')) w FROM nm), qt AS (SELECT *, list_distinct(string_split(q, ' ')) w FROM me),
-pr AS (SELECT measure_id, entry_id, max(len(list_intersect(qt.w, nt.w)) / len(list_distinct(qt.w || nt.w))) overlap, bool_or(len(list_filter(nt.w, lambda x: NOT contains(q, x))) = 0) hit FROM qt, nt GROUP BY ALL),
-sc AS (SELECT measure_id, entry_id, overlap, hit keyword_hit, ca.way = 'ANY' OR me.way = 'ANY' OR ca.way = me.way direction_ok, len(types) = 0 OR st = 'UNKNOWN' OR list_contains(types, st) sheet_ok FROM pr JOIN ca USING (entry_id) JOIN me USING (measure_id) WHERE overlap >= 0.4),
+nm AS (SELECT entry_id, list_sort(list_distinct(string_split(lower(unnest(ns)), ' '))) nw FROM ca), qt AS (SELECT DISTINCT q, list_sort(list_distinct(string_split(q, ' '))) qw FROM me),
+pq AS (SELECT q, entry_id, array_to_string(list_filter(qw, lambda x: list_contains(nw, x)), ' ') both_w, array_to_string(list_filter(qw, lambda x: NOT list_contains(nw, x)), ' ') own, array_to_string(list_filter(nw, lambda x: NOT list_contains(qw, x)), ' ') other,
+  len(list_filter(nw, lambda x: NOT contains(q, x))) = 0 hit FROM qt, nm),
+dd AS (SELECT own, other, len(own) + len(other) - 2 * (len(other) - bit_count(list_reduce(string_split(own, ''), lambda s, c: (s + (s & m[c])) | (s - (s & m[c])), (1::BIGINT << len(other)) - 1) & ((1::BIGINT << len(other)) - 1))) d
+  FROM (SELECT *, map_from_entries(list_transform(list_distinct(string_split(own, '')), lambda c: {'k': c, 'v': list_sum(list_transform(range(1, len(other) + 1), lambda i: CASE WHEN other[i] = c THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT})) m
+    FROM (SELECT DISTINCT own, other FROM pq WHERE own <> '' AND other <> ''))),
+pr AS (SELECT q, entry_id, max(CASE WHEN own = '' OR other = '' THEN CASE WHEN both_w = '' THEN 0 ELSE 1 END
+    ELSE greatest((wo + wx - d) / (wo + wx), CASE WHEN b > 0 THEN 2 * b / (b + wo) ELSE 0 END, CASE WHEN b > 0 THEN 2 * b / (b + wx) ELSE 0 END) END) overlap, bool_or(hit) hit
+  FROM (SELECT pq.*, d, len(both_w) b, len(both_w) + (both_w <> '')::INT + len(own) wo, len(both_w) + (both_w <> '')::INT + len(other) wx FROM pq LEFT JOIN dd USING (own, other)) GROUP BY ALL),
+sc AS (SELECT measure_id, entry_id, overlap, hit keyword_hit, ca.way = 'ANY' OR me.way = 'ANY' OR ca.way = me.way direction_ok, len(types) = 0 OR st = 'UNKNOWN' OR list_contains(types, st) sheet_ok FROM pr JOIN ca USING (entry_id) JOIN me USING (q) WHERE overlap >= 0.4),
 sr AS (SELECT *, round_even(CASE WHEN keyword_hit THEN least(1.0, overlap * 1.2::DOUBLE) ELSE overlap END * CASE WHEN direction_ok THEN 1 ELSE 0.5 END * CASE WHEN sheet_ok THEN 1 ELSE 0.7::DOUBLE END, 4) score FROM sc),
 fm AS (SELECT * EXCLUDE (n, overlap), round_even(overlap, 4) overlap FROM (SELECT *, row_number() OVER (PARTITION BY measure_id ORDER BY score DESC, entry_id) n FROM sr WHERE score >= 0.3) WHERE n = 1)"""
 
