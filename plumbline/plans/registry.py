@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import document_queries, drawing_queries, scale_queries, selection_queries, sheet_queries
+from . import document_queries, drawing_queries, scale_queries, selection_queries, sheet_queries, stream_queries
 
-_MODULES = (document_queries, drawing_queries, sheet_queries, scale_queries, selection_queries)
+_MODULES = (document_queries, drawing_queries, sheet_queries, scale_queries, selection_queries, stream_queries)
 
 
 def queries() -> dict:

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ..operators.scratch import numbered, placed, written
+from .ledger import Ledger
 
 QUIET_SECONDS, CEILING_SECONDS = 3.0, 20.0
 MAX_INCREMENTAL_PASSES, GATE_DOCUMENTS, GATE_PRIORITY = 3, 2, 80
@@ -291,7 +292,8 @@ def intake(documents: DataFrame, chunk: Callable[[DataFrame], DataFrame], out: s
 
     Below `out`, a folder for each micro-batch holds `chunks`, what chunk() gives (with doc_id), and `status`: doc_id, state and
     reason. A batch that runs again replaces its own folder. Documents that an earlier batch has processed are left out, so a
-    file that comes twice is read once. A row without id or text is `rejected`. Where chunk() fails on a batch it is tried once
+    file that comes twice is read once; their ids lie in `ids`, a few sorted segments (see Ledger), so a batch opens as many
+    files however many went before. A row without id or text is `rejected`. Where chunk() fails on a batch it is tried once
     more; then the batch is halved by a hash of doc_id, down to one of `parts` parts, whose documents are `failed`.
     """
 
@@ -299,15 +301,17 @@ def intake(documents: DataFrame, chunk: Callable[[DataFrame], DataFrame], out: s
         spark = batch.sparkSession
         named = f"{out}/epoch={epoch}"
         good = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
-        earlier = [f"{out}/epoch={e}/status" for e in range(epoch)]
+        ledger = Ledger(spark, f"{out}/ids")
         # A batch that runs again begins anew.
         place = spark._jvm.org.apache.hadoop.fs.Path(named)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.delete(place, True)
         first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        fresh = written(batch.where(good).withColumn("__n", first).where("__n = 1").drop("__n"), "intake")
-        if earlier:
-            done = spark.read.schema("doc_id long, state string, reason string").parquet(*earlier).where("state = 'processed'").select("doc_id")
-            fresh = written(fresh.join(done, "doc_id", "left_anti"), "intake")
+        fresh = batch.where(good).withColumn("__n", first).where("__n = 1").drop("__n")
+        if (done := ledger.before(epoch)) is not None:
+            fresh = fresh.join(done, "doc_id", "left_anti")
+        fresh.write.parquet(f"{named}/fresh")
+        fresh = spark.read.schema(fresh.schema).parquet(f"{named}/fresh")
         failed: list[tuple[int, int, str]] = []
 
         def attempt(modulus: int, at: int) -> None:
@@ -333,5 +337,7 @@ def intake(documents: DataFrame, chunk: Callable[[DataFrame], DataFrame], out: s
             state, reason = F.when(own, "failed").otherwise(state), F.when(own, why).otherwise(reason)
         rejected = batch.where(~good).select("doc_id", F.lit("rejected").alias("state"), F.lit("no id or text").alias("reason"))
         fresh.select("doc_id", state.alias("state"), reason.alias("reason")).unionByName(rejected).write.mode("overwrite").parquet(f"{named}/status")
+        ledger.add(fresh.where(state == "processed").select("doc_id"), epoch)
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{named}/fresh"), True)
 
     return documents.writeStream.foreachBatch(each)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.streaming import intake
+from plumbline.streaming import changes, intake, ledger
 
 EVENT = "project string, event_id long, at double, document_id string, priority long, complete boolean"
 
@@ -87,3 +87,87 @@ def test_intake_reads_each_document_once_and_marks_failures(spark, tmp_path):
     assert sorted(processed) == sorted(set(processed)) == sorted(chunks) and {7, 90} <= set(processed)
     assert set(range(20)) <= set(processed) | set(failed)
     assert sorted((r.doc_id is None, r.doc_id) for r in status if r.state == "rejected") == [(False, 50), (True, None)]
+
+
+def test_ledger_opens_as_many_files_after_200_batches(spark, tmp_path):
+    ids = ledger.Ledger(spark, f"file://{tmp_path}/ids")
+    assert ids.before(0) is None
+    opened, known = [], set()
+    for batch in range(200):
+        before = ids.before(batch)
+        opened.append(len(before.inputFiles()) if before is not None else 0)
+        if batch in (1, 5, 21, 64, 199):
+            assert sorted(r.doc_id for r in before.collect()) == sorted(known)
+        own = [(batch * 3 + k,) for k in range(batch % 3)]
+        ids.add(spark.createDataFrame(own, "doc_id int").coalesce(1), batch)
+        known |= {i for (i,) in own}
+    # Three of each size at most, and a level for each power of four.
+    assert max(opened) <= 12 and max(opened[150:]) <= max(opened[:64]) + 3
+
+
+def test_ledger_survives_a_batch_that_runs_again(spark, tmp_path):
+    path = f"file://{tmp_path}/ids"
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "doc_id long").coalesce(1)
+    found = lambda batch: sorted(r.doc_id for r in ledger.Ledger(spark, path).before(batch).collect())
+    for batch in range(4):
+        ledger.Ledger(spark, path).before(batch)
+        ledger.Ledger(spark, path).add(rows(batch), batch)
+    # Batch 3 ends before its commit and runs again, with other rows: its own segment doesn't count, then it is replaced.
+    assert found(3) == [0, 1, 2]
+    ledger.Ledger(spark, path).add(rows(3, 30), 3)
+    assert found(4) == [0, 1, 2, 3, 30] and [p.name for p in (tmp_path / "ids").iterdir()] == ["0-3"]
+    # A merge that stopped halfway: a part remains beside the whole, and a folder without its mark.
+    ledger.Ledger(spark, path)._write(rows(0), 0, 0)
+    rows(77).write.parquet(f"{path}/4-4")
+    (tmp_path / "ids/4-4/_SUCCESS").unlink()
+    assert found(5) == [0, 1, 2, 3, 30]
+
+
+def found_values(seed):
+    rng, rows = random.Random(seed), []
+    for k in range(400):
+        project, parameter = rng.choice("ab"), f"p{rng.randrange(6)}"
+        rows.append((project, parameter, rng.randrange(1, 5), float(k), k, rng.choice([None, 1.0, 2.0, 2.0, 3.0]), rng.randrange(40, 100) / 100, rng.choice([10, 60, 80, 100])))
+    return rows
+
+
+FOUND = "project string, parameter string, pass_no long, seconds double, event_id long, value double, confidence double, priority long"
+
+
+def test_changes_of_batch_and_stream_agree(spark, tmp_path):
+    rows = found_values(7)
+    want, state = [], {}
+    for p in range(1, 5):
+        for key in sorted({r[:2] for r in rows}):
+            old = state.get(key)
+            for *_, v, c, rank in sorted((r for r in rows if r[:2] == key and r[2] == p and r[5] is not None), key=lambda r: r[3:5]):
+                now = state.get(key)
+                if now is None or c >= now[1] + 0.05 or abs(c - now[1]) < 0.05 and rank > now[2]:
+                    state[key] = (v, c, rank, now[3] if now else 0)
+            if any(r[:2] == key and r[2] == p and r[5] is not None for r in rows):
+                v, c, rank, n = state[key]
+                kind = "new" if old is None else "updated" if old[0] != v else "unchanged"
+                state[key] = (v, c, rank, n + (kind == "updated"))
+                want.append((*key, p, kind, old and old[0], *state[key]))
+    df = spark.createDataFrame(rows, FOUND)
+    order = lambda out: sorted(map(tuple, out), key=lambda r: r[:3])
+    assert order(changes.value_changes(df.repartition(3)).collect()) == order(want)
+    assert {r[3] for r in want} == {"new", "updated", "unchanged"}
+    merged = {(r.project, r.parameter): (r.value, r.confidence, r.priority) for r in intake.merged_values(df.where("value is not null").withColumn("seconds", F.col("pass_no") * 1000 + F.col("seconds"))).collect()}
+    assert merged == {k: v[:3] for k, v in state.items()}
+    for p in range(1, 5):
+        df.where(F.col("pass_no") == p).coalesce(1).write.parquet(f"file://{tmp_path}/in/{p}")
+        stream = changes.value_changes_stream(spark.readStream.schema(FOUND).parquet(f"file://{tmp_path}/in/*"))
+        changes.changes_sink(stream, f"file://{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    events = spark.read.schema(changes.CHANGES).parquet(f"file://{tmp_path}/out/events/epoch=*").collect()
+    assert order(events) == order(r for r in want if r[3] != "unchanged")
+    counts = spark.read.schema("project string, pass_no long, kind string, n long").parquet(f"file://{tmp_path}/out/counts/epoch=*").collect()
+    assert {(r.project, r.pass_no, r.kind): r.n for r in counts} == {k: sum((x[0], x[2], x[3]) == k for x in want) for k in {(x[0], x[2], x[3]) for x in want}}
+
+
+def test_counts_of_passes_that_find_nothing(spark):
+    read = spark.createDataFrame([("a", p, p == 3, f"d{k}", k, 2, 1.0 * p) for p in (1, 2, 3) for k in range(2)], intake.PASSES)
+    made = spark.createDataFrame([("a", "x", 1, "new", None, 1.0, 0.5, 1, 0), ("a", "x", 3, "unchanged", 1.0, 1.0, 0.5, 1, 0), ("a", "y", 3, "new", None, 1.0, 0.5, 1, 0)], changes.CHANGES)
+    got = {r.pass_no: (r.n_documents, r.n_updated, r.n_new, r.n_unchanged, r.n_found) for r in changes.value_counts(made, read).collect()}
+    assert got == {1: (2, 0, 1, 0, 1), 2: (2, 0, 0, 0, 1), 3: (2, 0, 1, 1, 2)}
+    assert changes.value_changes(spark.createDataFrame([], FOUND)).count() == 0
