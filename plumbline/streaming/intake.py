@@ -14,9 +14,12 @@ from pyspark.sql.window import Window
 
 from ..operators.scratch import numbered, placed, written
 from .ledger import Ledger
+from .pass_state import Passes, Rules
 
 QUIET_SECONDS, CEILING_SECONDS = 3.0, 20.0
 MAX_INCREMENTAL_PASSES, GATE_DOCUMENTS, GATE_PRIORITY = 3, 2, 80
+#: Seconds of event time for which the stream remembers that a project has ended.
+KEEP_SECONDS = 86_400.0
 #: By so much a new confidence must exceed the old to win outright.
 MARGIN = 0.05
 BURSTS = "project string, burst_no long, n_events long, fired_at double, event_ids array<long>"
@@ -220,71 +223,18 @@ def burst_stream(events: DataFrame, quiet: float = QUIET_SECONDS, ceiling: float
     return marked.groupBy("project").applyInPandasWithState(step, STREAMED, "seconds array<double>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def pass_stream(events: DataFrame, late: str = "10 seconds", quiet: float = QUIET_SECONDS, ceiling: float = CEILING_SECONDS) -> DataFrame:
+def pass_stream(events: DataFrame, late: str = "10 seconds", quiet: float = QUIET_SECONDS, ceiling: float = CEILING_SECONDS, keep: float = KEEP_SECONDS) -> DataFrame:
     """coordinated_passes of a stream (project, event_id, ts, document_id, priority, complete): each pass comes out once the
     watermark, `late` behind the latest event, is past its burst's end.
 
-    State of a project: events of bursts still open, the documents indexed and those that a pass has read, and the passes
-    run. It is kept by the query's checkpoint, so after a restart no document is read twice. An event marked complete (its
-    document_id is null) ends the project: its final pass reads all documents, and what comes later is ignored.
+    State has a row for each document of a project (see Passes), so a micro-batch writes as much as it brings. It is kept by
+    the query's checkpoint: after a restart no document is read twice. An event marked complete (its document_id is null)
+    ends the project: its final pass reads all documents, and what comes within `keep` seconds of event time is ignored; then
+    its state goes. The session's state store must be RocksDB: spark.sql.streaming.stateStore.providerClass.
     """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seconds, ids, docs, ranks, indexed, tops, read, runs, ends_at, over = state.get if state.exists else ([], [], [], [], [], [], [], 0, None, False)
-        held = list(zip(seconds, ids, docs, ranks, strict=True))
-        known, seen = dict(zip(indexed, tops, strict=True)), set(read)
-        if not state.hasTimedOut:
-            for pdf in frames:
-                for s, i, d, r, end in pdf[["seconds", "event_id", "document_id", "priority", "complete"]].itertuples(index=False):
-                    if end:
-                        ends_at = s if ends_at is None else min(s, ends_at)
-                    else:
-                        held.append((s, i, d, r))
-        if over:
-            return
-        passed, out = state.getCurrentWatermarkMs() / 1000, []
-        by_id = {i: (d, int(r)) for _, i, d, r in held}
-
-        def take(burst: list[tuple[float, int]]) -> None:
-            for _, i in burst:
-                d, r = by_id[i]
-                known[d] = max(r, known.get(d, r))
-
-        def emit(names: list[str], final: bool, at: float) -> None:
-            nonlocal runs
-            runs += 1
-            for place, d in enumerate(sorted(names, key=lambda d: (-known[d], d)), 1):
-                out.append((key[0], runs, final, d, place, len(known), at))
-            seen.update(names)
-
-        still = []
-        for burst, due in _cut([(s, i) for s, i, _, _ in held if ends_at is None or s < ends_at], quiet, ceiling):
-            if due > passed or ends_at is not None and due > ends_at:
-                still += burst
-                continue
-            take(burst)
-            new = [d for d in known if d not in seen]
-            if new and runs < MAX_INCREMENTAL_PASSES and (runs or len(known) >= GATE_DOCUMENTS or max(known.values()) >= GATE_PRIORITY):
-                emit(new, False, due)
-        if ends_at is not None and ends_at <= passed:
-            take(still)
-            if known:
-                emit(list(known), True, ends_at)
-            over, still = True, []
-        kept = {i for _, i in still}
-        held = [h for h in held if h[1] in kept]
-        columns = list(zip(*held, strict=True)) or [[], [], [], []]
-        state.update(([float(x) for x in columns[0]], [int(x) for x in columns[1]], list(columns[2]), [int(x) for x in columns[3]], list(known), [int(x) for x in known.values()], sorted(seen), int(runs), ends_at, over))
-        if not over and (held or ends_at is not None):
-            waits = [due for _, due in _cut([(s, i) for s, i, _, _ in held], quiet, ceiling) if due > passed] + ([ends_at] if ends_at is not None else [])
-            if waits:
-                state.setTimeoutTimestamp(max(math.ceil(min(waits) * 1000), state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["project", "pass_no", "is_final", "document_id", "place", "n_indexed", "fired_at"])
-
-    kept = "seconds array<double>, ids array<long>, docs array<string>, ranks array<long>, indexed array<string>, tops array<long>, read array<string>, runs long, ends_at double, over boolean"
+    rules = Rules(_cut, quiet, ceiling, MAX_INCREMENTAL_PASSES, GATE_DOCUMENTS, GATE_PRIORITY, keep)
     marked = events.withWatermark("ts", late).select("project", "event_id", "ts", "document_id", "priority", "complete", (F.unix_micros("ts") / 1e6).alias("seconds"))
-    return marked.groupBy("project").applyInPandasWithState(step, PASSES, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy("project").transformWithStateInPandas(Passes(rules), PASSES, "Append", "EventTime")
 
 
 def intake(documents: DataFrame, chunk: Callable[[DataFrame], DataFrame], out: str, parts: int = 1024):

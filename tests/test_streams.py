@@ -28,8 +28,17 @@ def arrivals(seed):
     return sorted(rows, key=lambda r: r[2]) + [("z", n + 1, 10_000.0, "d0", 60, False)]
 
 
+@pytest.fixture
+def rocksdb(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(key, before)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
-def test_passes_of_a_stream_equal_the_batch_across_restarts(spark, tmp_path, seed):
+def test_passes_of_a_stream_equal_the_batch_across_restarts(spark, rocksdb, tmp_path, seed):
     rows = arrivals(seed)
     source, folder, metrics = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "metrics")
     source.mkdir()
@@ -55,6 +64,29 @@ def test_passes_of_a_stream_equal_the_batch_across_restarts(spark, tmp_path, see
     assert counted == {k: sum(x[:2] == k for x in want) for k in {x[:2] for x in want}}
 
 
+def test_state_written_follows_the_new_events(spark, rocksdb, tmp_path):
+    schema = "project string, event_id long, at double, document_id string, priority long, complete boolean"
+    many = [("a", i, 100.0 + i / 1000, f"d{i:05}", 60, False) for i in range(3_000)]
+    parts = [many, [("a", 9_000, 200.0, "new", 60, False)], [("a", 9_001, 300.0, "newer", 60, False), ("b", 9_002, 300.0, "x", 60, False)], [("a", 9_003, 400.0, None, 0, True)], [("z", 9_004, 9_000.0, "x", 60, False)], [("z", 9_005, 100_000.0, "x", 60, False)], [("z", 9_006, 200_000.0, "y", 60, False)]]
+    writes, rows = [], []
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+        stream = intake.pass_stream(spark.readStream.schema(f"{schema}, ts timestamp").parquet(f"file://{tmp_path}/in/*"))
+        q = stream.writeStream.outputMode("append").format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+        q.awaitTermination()
+        ops = [o for p in q.recentProgress for o in p.stateOperators]
+        writes.append(sum(o.customMetrics["rocksdbPutCount"] for o in ops))
+        rows.append(ops[-1].numRowsTotal)
+    got = {}
+    for r in spark.read.schema(intake.PASSES).parquet(f"file://{tmp_path}/out").collect():
+        got.setdefault((r.project, r.pass_no, r.is_final), []).append(r.document_id)
+    assert {k: len(v) for k, v in got.items() if k[0] == "a"} == {("a", 1, False): 3_000, ("a", 2, False): 1, ("a", 3, False): 1, ("a", 4, True): 3_002}
+    # The pass over 3,000 documents writes them; the batches after it bring one or two, and write some rows each.
+    assert max(writes[:2]) > 3_000 and max(writes[2:4]) < 100, writes
+    # A project that ended leaves one row, then none.
+    assert max(rows[:4]) > 3_000 and rows[-1] < 20, rows
+
+
 def test_lifecycle_is_final_after_the_final_pass(spark):
     merged = spark.createDataFrame([("a", "p"), ("b", "p")], "project string, parameter string")
     read = spark.createDataFrame([("a", True), ("a", False), ("b", False)], "project string, is_final boolean")
