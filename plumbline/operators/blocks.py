@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import numbered
+from .scratch import numbered, written
+from .successors import BLOCK_ROWS, chain, last_within, summed
 
 PARENT_WORDS, CHILD_WORDS = 3000, 200
 TOKENS_PER_WORD = 1.35
@@ -104,29 +104,30 @@ def interleaved(chunks: DataFrame) -> DataFrame:
     return numbered(chunks.withColumn("turn", turn), "project", ["turn", "doc_id"], "ordinal")
 
 
-def context_windows(ordered: DataFrame, budget: int) -> DataFrame:
+def context_windows(ordered: DataFrame, budget: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """project, window_no, ordinal: a greedy fill of ordered (project, ordinal, n_tokens) rows up to a token budget.
 
     A window that is full closes; the next begins with the last OVERLAP_CHUNKS rows of it, which count toward the budget,
-    and takes the next row without a second look, so it may exceed the budget; a first row above it stands alone. The fold
-    runs over slim rows, one project a group.
-    """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal")
-        out, window, used, number = [], [], 0, 0
-        for ordinal, tokens in zip(pdf["ordinal"], pdf["n_tokens"], strict=True):
-            if window and used + tokens > budget:
-                out += [(number, o) for o, _ in window]
-                number += 1
-                window = window[-OVERLAP_CHUNKS:]
-                used = sum(t for _, t in window)
-            window.append((ordinal, tokens))
-            used += tokens
-        out += [(number, o) for o, _ in window]
-        return pd.DataFrame({"project": pdf["project"].iloc[0], "window_no": [n for n, _ in out], "ordinal": [o for _, o in out]})
+    and takes the next row without a second look, so it may exceed the budget; a first row above it stands alone.
 
-    return ordered.select("project", "ordinal", "n_tokens").groupBy("project").applyInPandas(fold, "project string, window_no long, ordinal long")
+    A window that follows one that ends at row e begins at e - 2, or at the first row, and ends where the sum from there is
+    last within the budget, at e + 1 at least. So windows are a chain of ends, and no task holds a project.
+    """
+    rows = summed(ordered.select("project", "ordinal", "n_tokens"), "project", ["ordinal"], "n_tokens")
+    size = rows.groupBy("project").agg(F.max("n").alias("__size"))
+    # Limits of the windows after each end; that of the first window belongs to end 0.
+    limit = F.lit(budget) + F.col("total")
+    ends = rows.select("project", (F.col("n") + OVERLAP_CHUNKS - 1).alias("at"), (limit - F.col("n_tokens")).alias("limit"))
+    starts = size.select("project", F.explode(F.array(*[F.lit(i).cast("long") for i in range(OVERLAP_CHUNKS)])).alias("at"), F.lit(budget).cast("long").alias("limit"))
+    last = last_within(rows, ends.unionByName(starts), "project")
+    steps = last.join(size.withColumnRenamed("project", "__p"), F.col("project").eqNullSafe(F.col("__p"))).where(F.col("at") <= F.col("__size"))
+    following = F.when(F.col("at") < F.col("__size"), F.greatest(F.col("last"), F.col("at") + 1))
+    found = chain(written(steps.select("project", "at", following.alias("next")), "window-ends"), "project", block_rows)
+    before = found.select(F.col("project").alias("__p"), (F.col("number") + 1).alias("__n"), F.col("at").alias("__end"))
+    windows = found.join(before, F.col("project").eqNullSafe(F.col("__p")) & (F.col("number") == F.col("__n")), "left")
+    first = F.when(F.col("__end").isNull(), 1).otherwise(F.greatest(F.col("__end") - (OVERLAP_CHUNKS - 1), F.lit(1)))
+    taken = windows.select(F.col("project").alias("__p"), (F.col("number") - 1).alias("window_no"), F.explode(F.sequence(first, F.col("at"))).alias("__i"))
+    return rows.join(taken, F.col("project").eqNullSafe(F.col("__p")) & (F.col("n") == F.col("__i"))).select("project", "window_no", "ordinal")
 
 
 def batches(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
@@ -145,38 +146,53 @@ def level_fallback(chunks: DataFrame) -> DataFrame:
     return top.unionByName(chunks.where("chunk_level = 1").join(top.select("project").distinct(), "project", "left_anti"))
 
 
-def overlap_chunks(blocks: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:
+def overlap_chunks(blocks: DataFrame, size: int = 800, overlap: int = 100, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, chunk_no, first_block, last_block, n_words, start_page, end_page, section, subsection of blocks (doc_id, block_no,
     page, section, subsection, text, heading).
 
     A chunk closes when the next block would take it above `size` words; the next begins with the last `overlap` pieces of it, a
     piece being a block or what a chunk began with, so with few blocks the whole chunk is carried over. The page of the block
-    that closes a chunk counts for both. Section and subsection are the last ones not null. Headings are left out; the fold runs
-    over slim rows of one document.
-    """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, pieces, used, pages, section, subsection = [], [], 0, set(), None, None
-        for b in pdf.sort_values("block_no").itertuples(index=False):
-            pages.add(b.page)
-            section, subsection = b.section or section, b.subsection or subsection
-            if pieces and used + b.n_words > size:
-                out.append((len(out), pieces[0][0], pieces[-1][1], used, min(pages), max(pages), section, subsection))
-                kept = pieces[-overlap:]
-                carried = sum(n for _, _, n in kept)
-                pieces, used = [(kept[0][0], kept[-1][1], carried)], carried
-                pages, section, subsection = {b.page}, b.section, b.subsection
-            pieces.append((b.block_no, b.block_no, b.n_words))
-            used += b.n_words
-        if pieces:
-            out.append((len(out), pieces[0][0], pieces[-1][1], used, min(pages), max(pages), section, subsection))
-        rows = pd.DataFrame(out, columns=["chunk_no", "first_block", "last_block", "n_words", "start_page", "end_page", "section", "subsection"])
-        rows.insert(0, "doc_id", pdf["doc_id"].iloc[0])
-        return rows
+    that closes a chunk counts for both, as do its section and subsection, of which a chunk has the last that is not empty.
+    Headings are left out.
 
+    A chunk of more pieces than `overlap` is followed by one that begins with its last blocks, so ends follow from ends. One with
+    fewer is carried over whole: from there on every block ends a chunk, and all of these begin at the same block. No task
+    holds a document.
+    """
     n_words = F.size(F.array_remove(F.split("text", "\\s+"), "")).cast("long").alias("n_words")
-    slim = blocks.where("heading = 0").select("doc_id", "block_no", "page", "section", "subsection", n_words)
-    return slim.groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk_no long, first_block long, last_block long, n_words long, start_page int, end_page int, section string, subsection string")
+    slim = blocks.where("heading = 0").select("doc_id", "block_no", "page", F.nullif("section", F.lit("")).alias("section"), F.nullif("subsection", F.lit("")).alias("subsection"), n_words)
+    rows = summed(slim, "doc_id", ["block_no"], "n_words")
+    sizes = rows.groupBy("doc_id").agg(F.max("n").alias("__size"))
+    of_doc = lambda c: F.col("doc_id").eqNullSafe(F.col(c))
+    # After end e a chunk begins at e - overlap + 1. Ends nearer to the beginning are reached by the first chunk only.
+    ends = rows.select("doc_id", (F.col("n") + overlap - 1).alias("at"), (F.lit(size) + F.col("total") - F.col("n_words")).alias("limit"))
+    first = sizes.select("doc_id", F.lit(0).cast("long").alias("at"), F.lit(size).cast("long").alias("limit"))
+    last = last_within(rows, ends.unionByName(first), "doc_id").join(sizes.withColumnRenamed("doc_id", "__d"), of_doc("__d")).where("at < __size").drop("__d")
+    reach = F.greatest(F.col("last"), F.col("at") + 1)
+    steps = last.select("doc_id", "at", reach.alias("to"), "__size", F.when(F.col("at") == 0, reach < overlap).otherwise(reach - F.col("at") + 1 <= overlap).alias("held"))
+    steps = written(steps, "chunk-ends")
+    # A chain stops at the first end whose chunk is carried over whole. The end of a document has no step of its own.
+    stops = rows.join(sizes.withColumnRenamed("doc_id", "__d"), of_doc("__d")).where("n = __size").select("doc_id", F.col("n").alias("at"))
+    links = steps.select("doc_id", "at", F.when(~F.col("held"), F.col("to")).alias("next"))
+    links = links.unionByName(stops.withColumn("next", F.lit(None).cast("long")))
+    free = written(chain(written(links, "chunk-links"), "doc_id", block_rows), "chunk-chain")
+    begun = free.select("doc_id", "number", "at").unionByName(sizes.select("doc_id", F.lit(0).cast("long").alias("number"), F.lit(0).cast("long").alias("at")))
+    start_of = lambda at: F.greatest(at - (overlap - 1), F.lit(1))
+    # Each reached end opens the next chunk: one more of the chain, or the first of those that are held.
+    opened = begun.join(steps.select(F.col("doc_id").alias("__d"), F.col("at").alias("__a"), "to", "held", "__size"), of_doc("__d") & (F.col("at") == F.col("__a")))
+    opened = opened.select("doc_id", "number", F.when(F.col("at") == 0, 1).otherwise(start_of(F.col("at"))).alias("first"), F.col("at").alias("prior"), F.explode(F.sequence(F.col("to"), F.when(F.col("held"), F.col("__size")).otherwise(F.col("to")))).alias("end"), "to")
+    chunks = opened.select("doc_id", (F.col("number") + F.col("end") - F.col("to")).alias("chunk_no"), F.col("first").cast("long").alias("first"), "end", F.when(F.col("end") == F.col("to"), F.col("prior")).otherwise(F.col("end") - 1).alias("prior"))
+    chunks = written(chunks, "chunks")
+    at = lambda c, *names: rows.select(F.col("doc_id").alias("__d"), F.col("n").alias("__i"), *[F.col(n).alias(a) for n, a in names]).join(chunks, F.col("__d").eqNullSafe(F.col("doc_id")) & (F.col("__i") == F.col(c)))
+    closing = at("end", ("block_no", "last_block"), ("total", "__until")).select("doc_id", "chunk_no", "last_block", "__until")
+    opening = at("first", ("block_no", "first_block"), ("total", "__from"), ("n_words", "__own")).select(F.col("doc_id").alias("__d"), F.col("chunk_no").alias("__c"), "first_block", (F.col("__from") - F.col("__own")).alias("__from"))
+    # The blocks whose pages and sections count: those since the end before, and the one that closes the chunk.
+    counted = chunks.select("doc_id", "chunk_no", F.explode(F.sequence(F.col("prior") + 1, F.col("end") + 1)).alias("__at"))
+    seen = rows.select(F.col("doc_id").alias("__d"), "n", "page", "section", "subsection").join(counted, F.col("__d").eqNullSafe(F.col("doc_id")) & (F.col("n") == F.col("__at")))
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("n"))).alias(c)
+    seen = seen.groupBy(F.col("doc_id").alias("__s"), F.col("chunk_no").alias("__k")).agg(F.min("page").alias("start_page"), F.max("page").alias("end_page"), latest("section"), latest("subsection"))
+    joined = closing.join(opening, of_doc("__d") & (F.col("chunk_no") == F.col("__c"))).join(seen, of_doc("__s") & (F.col("chunk_no") == F.col("__k")))
+    return joined.select("doc_id", "chunk_no", "first_block", "last_block", (F.col("__until") - F.col("__from")).alias("n_words"), "start_page", "end_page", "section", "subsection")
 
 
 def tables_in_sections(tables: DataFrame, blocks: DataFrame) -> DataFrame:

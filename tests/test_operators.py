@@ -6,10 +6,11 @@ import math
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import callouts, measures, routing
-from plumbline.operators import blocks, geometry, matching, results, retrieval, sheets
+from plumbline.operators import blocks, geometry, matching, results, retrieval, sheets, successors
 from plumbline.sources import grid
 from plumbline.streaming import intake
 
@@ -213,6 +214,70 @@ def test_overlap_chunks(spark):
     assert blocks.overlap_chunks(df.where("false")).count() == 0
 
 
+def filled(tokens, budget):
+    """Windows of a greedy fill, by hand: (window_no, place) of each taken row."""
+    out, window, used, number = [], [], 0, 0
+    for i, t in enumerate(tokens):
+        if window and used + t > budget:
+            out += [(number, w) for w in window]
+            number, window = number + 1, window[-blocks.OVERLAP_CHUNKS :]
+            used = sum(tokens[w] for w in window)
+        window.append(i)
+        used += t
+    return out + [(number, w) for w in window]
+
+
+@pytest.mark.parametrize("block_rows", [4, 7, 50_000])
+def test_windows_in_blocks_of_any_size(spark, block_rows):
+    rng = random.Random(block_rows)
+    groups = {"hot": [rng.randrange(0, 30) for _ in range(400)], "one": [99], "zero": [0] * 9, None: [rng.randrange(1, 9) for _ in range(25)], "big": [60, 5, 70, 1, 1, 80, 2]}
+    rows = [(g, 10 * i, t) for g, tokens in groups.items() for i, t in enumerate(tokens)]
+    df = spark.createDataFrame(rows, "project string, ordinal long, n_tokens long").repartition(5)
+    got = sorted((r.project or "", r.window_no, r.ordinal) for r in blocks.context_windows(df, 50, block_rows).collect())
+    assert got == sorted((g or "", n, 10 * i) for g, tokens in groups.items() for n, i in filled(tokens, 50))
+    assert blocks.context_windows(df.where("false"), 50).count() == 0
+
+
+def overlapped(rows, size, overlap):
+    """Chunks of (block_no, page, section, subsection, n_words), by a fold."""
+    out, pieces, used, pages, section, subsection = [], [], 0, set(), None, None
+    for no, page, s, u, n in rows:
+        pages.add(page)
+        section, subsection = s or section, u or subsection
+        if pieces and used + n > size:
+            out.append((len(out), pieces[0][0], pieces[-1][1], used, min(pages), max(pages), section, subsection))
+            kept = pieces[-overlap:]
+            used = sum(k[2] for k in kept)
+            pieces, pages, section, subsection = [(kept[0][0], kept[-1][1], used)], {page}, s or None, u or None
+        pieces.append((no, no, n))
+        used += n
+    return [*out, (len(out), pieces[0][0], pieces[-1][1], used, min(pages), max(pages), section, subsection)] if pieces else out
+
+
+@pytest.mark.parametrize("size, overlap, block_rows", [(12, 1, 6), (12, 2, 50_000), (40, 3, 5), (40, 9, 8), (100, 100, 11)])
+def test_overlapping_chunks_in_blocks_of_any_size(spark, size, overlap, block_rows):
+    rng, rows, want = random.Random(size + overlap), [], []
+    for doc, n in ((1, 300), (2, 1), (3, 40), (4, 2)):
+        own = [(3 * i, 1 + i // 7, rng.choice(["s", "t", "", None]), rng.choice(["u", None]), rng.choice([0, 1, 1, 2, 3, 20])) for i in range(n)]
+        rows += [(doc, b, p, s, u, " ".join(["w"] * w), 0) for b, p, s, u, w in own] + [(doc, 3 * n, 9, "head", None, "title", 1)]
+        want += [(doc, *c) for c in overlapped(own, size, overlap)]
+    df = spark.createDataFrame(rows, "doc_id long, block_no long, page int, section string, subsection string, text string, heading int").repartition(4)
+    assert sorted(map(tuple, blocks.overlap_chunks(df, size, overlap, block_rows).collect())) == sorted(want)
+
+
+def test_no_task_of_a_chain_holds_a_hot_group(spark):
+    n, block = 30_000, 1_000
+    steps = spark.range(n).select(F.lit("hot").alias("g"), F.col("id").alias("at"), F.when(F.col("id") < n - 1, F.least(F.col("id") + 1 + F.col("id") % 3, F.lit(n - 1))).alias("next"))
+    at, want = 0, []
+    while at < n - 1:
+        at = min(at + 1 + at % 3, n - 1)
+        want.append(at)
+    found = successors.chain(steps, "g", block)
+    assert [r.at for r in found.orderBy("number").collect()] == want and found.where("number < 1").count() == 0
+    sizes = steps.groupBy("g", F.floor(F.col("at") / block)).count().agg(F.max("count")).first()[0]
+    assert sizes <= block
+
+
 def test_grid_text_keeps_digits(spark):
     df = spark.createDataFrame([("s", 0, ["Sl No", "Description", "Qty"]), ("s", 1, ["11", " item 2 ", "212"]), ("s", 2, ["2", None, ""])], "sheet string, row_no long, cells array<string>")
     assert grid.grid_text_chunks(df, grid.header_rows(df)).first().text == "Row 1: Sl No: 11 | Description: item 2 | Qty: 212\nRow 2: Sl No: 2"
