@@ -124,21 +124,18 @@ def catalog_load(spark, d):
     return catalog.catalog(spark, path).select("entry_id", "name", F.array_join("aliases", ",").alias("aliases"), "unit", "direction", "threshold")
 
 
-@query("SELECT ['a', 'b', 'c', 'd'][l_suppkey % 4 + 1] kind, l_orderkey::VARCHAR || '~' || CASE WHEN l_partkey % 3 = 0 THEN '' WHEN l_partkey % 3 = 1 THEN 'é, \"' || l_partkey || '\"' ELSE 'x' || l_partkey END || '~' || l_linenumber cells FROM lineitem UNION ALL SELECT DISTINCT ['a', 'b', 'c', 'd'][l_suppkey % 4 + 1], 'order~name~line' FROM lineitem")
+@query("""SELECT ['a', 'b', 'c', 'd'][l_suppkey % 4 + 1] kind, l_orderkey::VARCHAR || '~' || CASE WHEN l_partkey % 3 = 0 THEN '' WHEN l_partkey % 3 = 1 THEN 'é, "' || l_partkey || '"' || chr(10) || '; 2|' ELSE '5" x' || l_partkey END || '~' || l_linenumber cells FROM lineitem
+UNION ALL SELECT DISTINCT ['a', 'b', 'c', 'd'][l_suppkey % 4 + 1], 'order~name~line' FROM lineitem""")
 def delimited_grid(spark, d):
-    # Four folders of files, one for each delimiter, made of line items with quoted cells, and read again.
-    rows = table(spark, d, "lineitem").selectExpr("element_at(array('a', 'b', 'c', 'd'), cast(l_suppkey % 4 + 1 as int)) kind", "l_orderkey", "if(l_partkey % 3 = 0, '', if(l_partkey % 3 = 1, concat('\"é, \"\"', l_partkey, '\"\"\"'), concat('x', l_partkey))) name", "l_linenumber")
-    out = None
-    for kind, mark in zip("abcd", (",", ";", "\t", "|"), strict=True):
-        path = new_path(spark, f"grid-{kind}")
-        own = rows.where(F.col("kind") == kind)
-        head = own.select(F.lit(0).alias("o"), F.lit(mark.join(("order", "name", "line"))).alias("value")).limit(1)
-        body = own.select(F.lit(1).alias("o"), F.concat_ws(mark, F.col("l_orderkey").cast("string"), "name", F.col("l_linenumber").cast("string")).alias("value"))
-        # the header comes first in its file
-        head.unionAll(body).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
-        read = grid.delimited_grid(spark, path).select(F.lit(kind).alias("kind"), F.array_join("cells", "~").alias("cells"))
-        out = read if out is None else out.unionAll(read)
-    return out
+    # Line items with quoted cells, line breaks and marks of inches as files of four delimiters, and read again; the header is a file's first line.
+    name = "if(l_partkey % 3 = 0, '', if(l_partkey % 3 = 1, concat('\"é, \"\"', l_partkey, '\"\"\n; 2|\"'), concat('5\" x', l_partkey)))"
+    rows = table(spark, d, "lineitem").selectExpr("element_at(array('a', 'b', 'c', 'd'), cast(l_suppkey % 4 + 1 as int)) kind", "l_orderkey", f"{name} name", "l_linenumber")
+    mark = F.element_at(F.create_map(*[F.lit(x) for pair in zip("abcd", (",", ";", "\t", "|"), strict=True) for x in pair]), F.col("kind"))
+    body = rows.select("kind", F.lit(1).alias("o"), F.concat_ws("", F.col("l_orderkey").cast("string"), mark, "name", mark, F.col("l_linenumber").cast("string")).alias("value"))
+    head = rows.select("kind").distinct().select("kind", F.lit(0).alias("o"), F.concat_ws("", F.lit("order"), mark, F.lit("name"), mark, F.lit("line")).alias("value"))
+    path = new_path(spark, "grids")
+    head.unionAll(body).repartition("kind").sortWithinPartitions("kind", "o").select("kind", "value").write.partitionBy("kind").text(path)
+    return grid.delimited_grid(spark, path).select(F.regexp_extract("file", "kind=(.)", 1).alias("kind"), F.array_join("cells", "~").alias("cells"))
 
 
 @query()

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .delimited import delimited_grid as delimited_grid
+
 # Keywords of each field, fields in the order in which they choose a column.
 FIELD_KEYWORDS = {
     "item_number": ["item no", "item number", "sl no", "sr no", "s.no", "sno", "#", "item"],
@@ -29,35 +31,6 @@ def manifest(spark: SparkSession, folder: str, extensions: tuple[str, ...]) -> D
     return files.withColumn("extension", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).where(F.col("extension").isin(*extensions)).orderBy("path")
 
 
-def delimited_grid(spark: SparkSession, path: str, delimiters: tuple[str, ...] = (",", ";", "\t", "|")) -> DataFrame:
-    """file, row_no, cells of delimited text in UTF-8, else Latin-1.
-
-    The first delimiter, in this order, that gives a file two columns in its first line and two rows counts, else the first
-    one. Cells may be quoted; empty lines and lines with more cells than the first are left out, shorter ones are filled with
-    empty cells. A quoted line break is not supported.
-    """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), "content")
-    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
-    lines = raw.select("file", F.posexplode(F.split(text, "\r\n|\n|\r")).alias("row_no", "line")).where(F.trim("line") != "")
-
-    def cells(d: str) -> Column:
-        # a delimiter with an even number of quotes after it is outside quotes
-        plain = F.split("line", f"[{d}]" if d != "|" else "[|]", -1)
-        quoted = F.split("line", f'[{d}](?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-        return F.transform(F.when(F.contains("line", F.lit('"')), quoted).otherwise(plain), lambda c: F.when(c.rlike('^".*"$'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
-
-    heads = lines.groupBy("file").agg(F.min("row_no").alias("head"))
-    sized = lines.join(heads, "file").select("file", "row_no", "head", F.array(*[F.size(cells(d)) for d in delimiters]).alias("n"))
-    widths = sized.groupBy("file").agg(F.max(F.when(F.col("row_no") == F.col("head"), F.struct("n"))).alias("w"))
-    counted = sized.join(widths, "file").groupBy("file", F.col("w.n").alias("w")).agg(*[F.count_if(F.col("n")[i] <= F.col("w.n")[i]).alias(f"r{i}") for i in range(len(delimiters))])
-    fits = F.coalesce(*[F.when((F.col("w")[i] > 1) & (F.col(f"r{i}") > 1), F.lit(i)) for i in range(len(delimiters))], F.lit(0))
-    chosen = counted.select("file", fits.alias("k")).join(widths, "file").select("file", "k", F.get("w.n", F.col("k")).alias("width"))
-    rows = lines.join(chosen, "file").withColumn("cells", F.coalesce(*[F.when(F.col("k") == i, cells(d)) for i, d in enumerate(delimiters)]))
-    rows = rows.where(F.size("cells") <= F.col("width"))
-    filled = F.concat("cells", F.array_repeat(F.lit(""), (F.col("width") - F.size("cells")).cast("int")))
-    return rows.select("file", F.col("row_no").cast("long").alias("row_no"), filled.alias("cells"))
-
-
 def header_rows(grid: DataFrame) -> DataFrame:
     """sheet, header_row, n_signals: the row among the first 20 with most cells that contain a signal, the earliest on ties, if it has two."""
     signal = lambda c: F.exists(F.array(*[F.lit(s) for s in HEADER_SIGNALS]), lambda s: F.contains(F.lower(F.trim(c)), s))
