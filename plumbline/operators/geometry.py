@@ -13,8 +13,8 @@ DIRECTION_TOLERANCE = 10.0
 CONFIRM_RADIUS, CONFIRM_TOLERANCE, CONFIRM_BONUS = 400.0, 0.05, 1.10
 TICK_LENGTH, TICK_RADIUS, MERGE_RADIUS, ANGLE_WEIGHT = 30.0, 50.0, 20.0, 5.0
 MIN_OVERLAP, MIN_SEPARATION, MAX_SEPARATION = 5.0, 0.5, 5000.0
-#: Width of the cells in which parallel lines meet, along the lines.
-OVERLAP_CELL = 64.0
+#: Width of the least cells in which parallel lines meet, along the lines, and how much wider those of the next step are.
+OVERLAP_CELL, CELL_STEP = 64.0, 4
 
 
 def _cells(x: Column, radius: float) -> Column:
@@ -45,33 +45,68 @@ def nearest_line(points: DataFrame, lines: DataFrame, radius: float = NEARBY) ->
     return pairs.groupBy("sheet", "point_no").agg(F.min_by("line_no", best).alias("line_no"), F.min_by("orientation", best).alias("orientation"))
 
 
-def line_pairs(lines: DataFrame, max_separation: float = MAX_SEPARATION) -> DataFrame:
-    """sheet, orientation, value (separation, 1 place), a_no, b_no: parallel axis-aligned lines that face each other over 5 units or
-    more; the first pair for each value.
+def _layer_words(layer: Column) -> Column:
+    """The lower-case words of a layer's name, none without one."""
+    return F.when(F.length(layer) > 0, F.split(F.lower(layer), r"(?U)[\W_\-]+", -1)).otherwise(F.array().cast("array<string>"))
 
-    The perpendicular axis is cut into strips of max_separation, the other into cells, and lines meet only where they share a
-    cell and the same strip or the next, so the pairs of a sheet are spread over tasks and most that don't face each other
-    never meet. Lines with the same number make no pair.
+
+def line_pairs(lines: DataFrame, scales: DataFrame | None = None, max_separation: float = MAX_SEPARATION) -> DataFrame:
+    """Parallel axis-aligned lines of a sheet that face each other over 5 units or more: the first pair, by line numbers, for each
+    separation to a tenth of a millimetre.
+
+    sheet, orientation, value (the separation in millimetres to one place), a_no, b_no, value_mm (in full), layer (that of
+    the first line, of the second where that has none; null without), x, y (the middle of all ends) and words (those of both
+    layers). `scales` (sheet, mm_per_unit) turns units into millimetres, one for one where it has none. Lines with the same
+    number make no pair; `layer` may be absent.
+
+    A line lies in cells as wide as its own length up to the next step, so in two at most, whatever its length; two lines
+    meet in the cells of the longer one, and in strips of the other axis max_separation wide. Each pair meets once.
     """
     horizontal = F.col("orientation") == "HORIZONTAL"
+    layer = F.nullif("layer", F.lit("")) if "layer" in lines.columns else F.lit(None).cast("string")
     flat = lines.where(F.col("orientation").isin("HORIZONTAL", "VERTICAL")).select(
-        "sheet", "orientation", "line_no",
+        "sheet", "orientation", "line_no", layer.alias("layer"), "x0", "y0", "x1", "y1",
         (F.when(horizontal, F.col("y0") + F.col("y1")).otherwise(F.col("x0") + F.col("x1")) / 2).alias("p"),
         F.when(horizontal, F.least("x0", "x1")).otherwise(F.least("y0", "y1")).alias("lo"), F.when(horizontal, F.greatest("x0", "x1")).otherwise(F.greatest("y0", "y1")).alias("hi"),
     ).where(F.col("hi") - F.col("lo") >= MIN_OVERLAP)
-    cell = lambda c: F.floor(F.col(c) / OVERLAP_CELL).cast("long")
-    flat = flat.withColumn("cell", F.explode(F.sequence(cell("lo"), cell("hi")))).withColumn("strip", F.floor(F.col("p") / max_separation).cast("long"))
-    about = lambda side: [F.col("line_no").alias(f"{side}_no"), F.col("p").alias(f"{side}p"), F.col("lo").alias(f"{side}l"), F.col("hi").alias(f"{side}h")]
-    # The line further down the axis stays in its strip, the other also looks into the next.
-    a = flat.select("sheet", "orientation", "cell", *about("a"), F.explode(F.array(F.col("strip"), F.col("strip") + 1)).alias("strip"))
-    b = flat.select("sheet", "orientation", "cell", "strip", *about("b"))
+    factor = F.lit(1.0)
+    if scales is not None:
+        known = scales.select("sheet", F.nullif(F.col("mm_per_unit").cast("double"), F.lit(0.0)).alias("mm_per_unit"))
+        flat, factor = flat.join(known, "sheet", "left"), F.coalesce("mm_per_unit", F.lit(1.0))
+    flat = flat.withColumn("mm", factor)
+    level = F.greatest(F.lit(0), F.ceil(F.log(float(CELL_STEP), (F.col("hi") - F.col("lo")) / OVERLAP_CELL))).cast("int")
+    flat = flat.withColumn("level", level).withColumn("strip", F.floor(F.col("p") / max_separation).cast("long"))
+    # A handful of numbers: the steps of length that occur, and whether lines lie in more than one strip.
+    found = flat.agg(F.array_sort(F.collect_set("level")).alias("levels"), (F.max("strip") > F.min("strip")).alias("many")).first()
+    levels, beside = found.levels or [0], (-1, 0, 1) if found.many else (0,)
+    cells = lambda step: F.sequence(F.floor(F.col("lo") / (OVERLAP_CELL * F.pow(F.lit(float(CELL_STEP)), step))), F.floor(F.col("hi") / (OVERLAP_CELL * F.pow(F.lit(float(CELL_STEP)), step))))
+    about = lambda side: [F.col("line_no").alias(f"{side}_no"), F.col("p").alias(f"{side}p"), F.col("lo").alias(f"{side}l"), F.col("hi").alias(f"{side}h"), F.col("first").alias(f"{side}f")]
+    home = flat.withColumn("cells", cells(F.col("level"))).withColumn("first", F.get("cells", F.lit(0)))
+    home = home.select("sheet", "orientation", "level", "strip", "mm", *about("a"), F.explode("cells").alias("cell"))
+    guest = flat.select("*", F.explode(F.filter(F.array(*[F.lit(k) for k in levels]), lambda k: k >= F.col("level"))).alias("at")).withColumn("own", F.col("level")).withColumn("cells", cells(F.col("at"))).withColumn("first", F.get("cells", F.lit(0)))
+    guest = guest.select("sheet", "orientation", F.col("at").alias("level"), "own", *about("b"), "strip", F.explode("cells").alias("cell"))
+    guest = guest.withColumn("strip", F.explode(F.array(*[F.col("strip") + k for k in beside])))
     # Lines are few where their pairs are many: a join by shuffle spreads these by cell, a broadcast leaves them in the scan's tasks.
-    pairs = a.join(b.hint("merge"), ["sheet", "orientation", "cell", "strip"]).withColumn("sep", F.col("bp") - F.col("ap"))
-    pairs = pairs.where((F.least("ah", "bh") - F.greatest("al", "bl") >= MIN_OVERLAP) & F.col("sep").between(MIN_SEPARATION, max_separation) & (F.col("a_no") != F.col("b_no")))
-    pairs = pairs.select("sheet", "orientation", F.bround("sep", 1).alias("value"), F.least("a_no", "b_no").alias("a_no"), F.greatest("a_no", "b_no").alias("b_no"))
+    pairs = home.join(guest.hint("merge"), ["sheet", "orientation", "level", "cell", "strip"]).withColumn("sep", F.abs(F.col("bp") - F.col("ap")))
+    once = (F.col("cell") == F.greatest("af", "bf")) & ((F.col("own") < F.col("level")) | (F.col("a_no") < F.col("b_no")))
+    pairs = pairs.where(once & (F.least("ah", "bh") - F.greatest("al", "bl") >= MIN_OVERLAP) & F.col("sep").between(MIN_SEPARATION, max_separation) & (F.col("a_no") != F.col("b_no")))
+    pairs = pairs.select("sheet", "orientation", F.bround(F.col("sep") * F.col("mm"), 1).alias("value"), F.least("a_no", "b_no").alias("a_no"), F.greatest("a_no", "b_no").alias("b_no"))
     # The least pair in two steps of plain numbers: the least struct would be aggregated by sorting all pairs.
     of_line = pairs.groupBy("sheet", "orientation", "value", "a_no").agg(F.min("b_no").alias("b_no"))
-    return of_line.groupBy("sheet", "orientation", "value").agg(F.min("a_no").alias("a_no"), F.min_by("b_no", "a_no").alias("b_no"))
+    first = of_line.groupBy("sheet", "orientation", "value").agg(F.min("a_no").alias("a_no"), F.min_by("b_no", "a_no").alias("b_no"))
+    ends = ("x0", "y0", "x1", "y1")
+    side = lambda k: flat.select("sheet", "orientation", F.col("line_no").alias(f"{k}_no"), *[F.col(c).alias(f"{k}_{c}") for c in (*ends, "layer", "p", "lo", "hi", "mm")])
+    both = first.join(side("a"), ["sheet", "orientation", "a_no"]).join(side("b"), ["sheet", "orientation", "b_no"]).withColumn("sep", F.abs(F.col("a_p") - F.col("b_p")))
+    # Where lines share a number, that of the least coordinates which makes the pair.
+    both = both.where((F.bround(F.col("sep") * F.col("a_mm"), 1) == F.col("value")) & F.col("sep").between(MIN_SEPARATION, max_separation) & (F.least("a_hi", "b_hi") - F.greatest("a_lo", "b_lo") >= MIN_OVERLAP))
+    middle = lambda c: ((F.col(f"a_{c}0") + F.col(f"a_{c}1") + F.col(f"b_{c}0") + F.col(f"b_{c}1")) / 4).alias(c)
+    found = F.struct(
+        (F.col("sep") * F.col("a_mm")).alias("value_mm"), F.coalesce("a_layer", "b_layer").alias("layer"), middle("x"), middle("y"),
+        F.concat(_layer_words(F.col("a_layer")), _layer_words(F.col("b_layer"))).alias("words"),
+    )
+    least = F.struct(*[f"{k}_{c}" for k in "ab" for c in (*ends, "layer")])
+    pairs = both.groupBy("sheet", "orientation", "value", "a_no", "b_no").agg(F.min_by(found, least).alias("f"))
+    return pairs.select("sheet", "orientation", "value", "a_no", "b_no", "f.*")
 
 
 def spacing_histogram(marks: DataFrame, low: float = 50, high: float = 10_000, top: int = 3, least: int = 2) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import callouts
 from . import geometry
 
 # Confidences of the passes, and factors to them.
-DIMENSION, TEXT, ANNOTATION, SCHEDULE, PAIR, CIRCLE = 0.95, 0.72, 0.70, 0.65, 0.62, 0.60
+DIMENSION, TEXT, ANNOTATION, SCHEDULE, PAIR, NAMELESS_PAIR, CIRCLE = 0.95, 0.72, 0.70, 0.65, 0.62, 0.48, 0.60
 PATTERN_BASE, PATTERN_SPAN, PATTERN_CAP, PATTERN_FULL = 0.45, 0.20, 0.65, 10
 UNKNOWN_SCALE, WITH_UNIT, WITHOUT_UNIT, CONTEXT_WORDS = 0.70, 1.05, 0.90, 10
 # Context words of circles and spacings.
@@ -68,9 +68,11 @@ def text_pass(texts: DataFrame, dimensions: DataFrame, lines: DataFrame, scales:
 
 
 def pair_pass(lines: DataFrame, scales: DataFrame) -> DataFrame:
-    """Separations of parallel lines on named layers, one for each tenth of a drawing unit."""
-    rows = _scaled(geometry.line_pairs(lines), scales)
-    return _form(rows, method=F.lit("GEOMETRY"), value_mm=F.col("value") * F.col("mm_per_unit"), confidence=PAIR * F.col("penalty"), direction=F.col("orientation"))
+    """Separations of parallel lines, one for each tenth of a millimetre, with the words of their layers and the middle of their
+    ends; less sure where neither line's layer has a name."""
+    rows = _scaled(geometry.line_pairs(lines, scales), scales)
+    sure = F.least(F.lit(1.0), F.when(F.col("layer").isNotNull(), PAIR).otherwise(NAMELESS_PAIR) * F.col("penalty"))
+    return _form(rows, method=F.lit("GEOMETRY"), value_mm=F.col("value_mm"), confidence=sure, source_text=F.format_string("%.1fmm (geometry)", F.col("value_mm")), x=F.col("x"), y=F.col("y"), direction=F.col("orientation"), context_words=F.col("words"))
 
 
 def circle_pass(circles: DataFrame, scales: DataFrame) -> DataFrame:

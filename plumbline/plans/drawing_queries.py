@@ -189,7 +189,7 @@ def _dimensions(spark: SparkSession, d: str) -> DataFrame:
 q AS (SELECT a.sheet, a.orientation, round_even(abs(a.p - b.p), 1) v, abs(a.p - b.p) s, a.line_no a_no, b.line_no b_no FROM n a JOIN n b ON a.sheet = b.sheet AND a.orientation = b.orientation AND a.line_no < b.line_no WHERE least(a.hi, b.hi) - greatest(a.lo, b.lo) >= 5)
 SELECT sheet, orientation, v AS value, min((a_no, b_no))[1] a_no, min((a_no, b_no))[2] b_no FROM q WHERE s BETWEEN 0.5 AND 5000 GROUP BY ALL""")
 def line_pairs(spark, d):
-    return geometry.line_pairs(_lines(spark, d))
+    return geometry.line_pairs(_lines(spark, d)).select("sheet", "orientation", "value", "a_no", "b_no")
 
 
 def _nearby_sql(radius: float) -> str:

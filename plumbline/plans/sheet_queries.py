@@ -212,10 +212,22 @@ def circle_pass(spark, d):
 _FACTOR = "CASE WHEN sheet % 3 <> 0 THEN 1 ELSE 0.7 END"
 
 
-@query(f"WITH s AS ({SQL_OF['line_pairs']}) SELECT sheet, value AS value_mm, orientation direction, round(0.62 * {_FACTOR}, 6) confidence FROM s")
+#: Layers of lines: half have none, and names are in two parts.
+_LAYER = "CASE line_no % 4 WHEN 0 THEN 'A-WALL' WHEN 1 THEN 'Glass_1' WHEN 2 THEN '' END"
+
+
+@query(f"""WITH {_LINES}, m AS (SELECT *, {_LAYER} layer, CASE WHEN sheet % 2 = 0 THEN 25.4 ELSE 1 END::DOUBLE mm, CASE WHEN orientation = 'HORIZONTAL' THEN (y0 + y1) / 2 ELSE (x0 + x1) / 2 END p,
+  CASE WHEN orientation = 'HORIZONTAL' THEN least(x0, x1) ELSE least(y0, y1) END lo, CASE WHEN orientation = 'HORIZONTAL' THEN greatest(x0, x1) ELSE greatest(y0, y1) END hi FROM ln),
+q AS (SELECT a.sheet, a.orientation, abs(a.p - b.p) * a.mm v, coalesce(nullif(a.layer, ''), nullif(b.layer, '')) layer, (a.x0 + a.x1 + b.x0 + b.x1) / 4 x, (a.y0 + a.y1 + b.y0 + b.y1) / 4 y,
+  list_filter(regexp_split_to_array(lower(coalesce(a.layer, '')), '[^a-z0-9]+') || regexp_split_to_array(lower(coalesce(b.layer, '')), '[^a-z0-9]+'), lambda w: w <> '') w,
+  row_number() OVER (PARTITION BY a.sheet, a.orientation, round_even(abs(a.p - b.p) * a.mm, 1) ORDER BY a.line_no, b.line_no, a.x0, a.y0, a.x1, a.y1, b.x0, b.y0, b.x1, b.y1) n
+  FROM m a JOIN m b ON a.sheet = b.sheet AND a.orientation = b.orientation AND a.line_no < b.line_no WHERE least(a.hi, b.hi) - greatest(a.lo, b.lo) >= 5 AND abs(a.p - b.p) BETWEEN 0.5 AND 5000)
+SELECT sheet, round(v, 6) value_mm, orientation direction, round(CASE WHEN layer IS NULL THEN 0.48 ELSE 0.62 END * {_FACTOR}, 6)::DOUBLE confidence, x, y, array_to_string(w, ' ') words FROM q WHERE n = 1""")
 def pair_pass(spark, d):
     m = _measured(spark, d)
-    return measurements.pair_pass(m["lines"], m["scales"]).select("sheet", "value_mm", "direction", F.round("confidence", 6).alias("confidence"))
+    lines = m["lines"].withColumn("layer", F.expr(_LAYER))
+    scales = m["scales"].withColumn("mm_per_unit", F.expr("if(sheet % 2 = 0, 25.4D, 1D)"))
+    return measurements.pair_pass(lines, scales).select("sheet", F.round("value_mm", 6).alias("value_mm"), "direction", F.round("confidence", 6).alias("confidence"), "x", "y", F.array_join("context_words", " ").alias("words"))
 
 
 def _pattern_sql(axis: str, way: str) -> str:

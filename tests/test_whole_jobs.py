@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import decimal
 import math
+import random
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
 from plumbline.functions import callouts
-from plumbline.operators import blocks, measurements
+from plumbline.operators import blocks, geometry, measurements, scratch
 from plumbline.plans import document_queries, drawing_queries, registry, sheet_queries
 
 SF = "/root/testdata/sf0.001"
@@ -75,7 +77,7 @@ def test_spatial_queries_at_the_reference_radii(spark):
 
 
 def test_measurements_at_the_reference_radii(spark):
-    m = {k: v.where("sheet < 5").localCheckpoint() for k, v in sheet_queries._measured(spark, SF).items()}
+    m = {k: scratch.written(v.where("sheet < 5"), k) for k, v in sheet_queries._measured(spark, SF).items()}
     got = measurements.all_measurements(m["dimensions"], m["texts"], m["lines"], m["circles"], m["scales"], m["texts"].where("sheet % 2 = 0")).collect()
     lines, texts, known = _by_sheet(m["lines"].collect()), _by_sheet(m["texts"].collect()), {r.sheet: r.known for r in m["scales"].collect()}
     dims = m["dimensions"].collect()
@@ -96,6 +98,43 @@ def test_measurements_at_the_reference_radii(spark):
     assert sorted((r.sheet, r.source_text, r.value_mm, r.x, r.y, round(r.confidence, 9), r.direction) for r in got if r.method in ("TEXT", "MTEXT") and r.value_mm > 0) == sorted(want)
 
 
+LAYERS = {0: ("A-WALL", ["a", "wall"]), 1: ("_Glass", ["", "glass"]), 2: ("", []), 3: (None, [])}
+
+
+def test_line_pairs_by_layer_and_scale(spark):
+    rng, rows = random.Random(3), []
+    for sheet in range(4):
+        for n in range(70):
+            along, across = rng.choice([0, 3, 50, 900, 4_990, 5_003, 12_000]) + rng.random() * 40, rng.choice([0.0, 0.3, 7.25, 7.25, 4_900, 9_000]) + rng.choice([0, 0.2, 3])
+            long = rng.choice([4.9, 5.0, 20, 64, 65, 300, 5_000, 1_000_000])
+            ends = (along, across, along + long, across) if n % 2 else (across, along + long, across, along)
+            rows.append((sheet, 10 * n, *map(float, ends), "HORIZONTAL" if n % 2 else "VERTICAL", LAYERS[rng.randrange(4) if sheet else 3][0]))
+    scale = {0: 1.0, 1: 25.4, 2: 0.0}
+    want = {}
+    for sheet in range(4):
+        own = [r for r in rows if r[0] == sheet]
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                if a[6] != b[6]:
+                    continue
+                lo, hi, at = (2, 4, 3) if a[6] == "HORIZONTAL" else (3, 5, 2)
+                facing = min(max(a[lo], a[hi]), max(b[lo], b[hi])) - max(min(a[lo], a[hi]), min(b[lo], b[hi]))
+                gap = abs((a[at] + a[at + 2]) / 2 - (b[at] + b[at + 2]) / 2)
+                short = min(abs(a[lo] - a[hi]), abs(b[lo] - b[hi])) < 5
+                if facing < 5 or short or not 0.5 <= gap <= 5_000:
+                    continue
+                mm = gap * (scale.get(sheet) or 1.0)
+                words = [w for layer, ws in LAYERS.values() for w in ws if layer == a[7]] + [w for layer, ws in LAYERS.values() for w in ws if layer == b[7]]
+                want.setdefault((sheet, a[6], float(decimal.Decimal(repr(mm)).quantize(decimal.Decimal("0.1"), decimal.ROUND_HALF_EVEN))), (a[1], b[1], mm, a[7] or b[7] or None, (a[2] + a[4] + b[2] + b[4]) / 4, (a[3] + a[5] + b[3] + b[5]) / 4, words))
+    df = spark.createDataFrame(rows, "sheet int, line_no int, x0 double, y0 double, x1 double, y1 double, orientation string, layer string").repartition(4)
+    scales = spark.createDataFrame([(s, v, s == 1) for s, v in scale.items()], "sheet int, mm_per_unit double, known boolean")
+    got = {(r.sheet, r.orientation, r.value): (r.a_no, r.b_no, r.value_mm, r.layer, r.x, r.y, r.words) for r in geometry.line_pairs(df, scales).collect()}
+    assert got == want and len(want) > 200
+    made = measurements.pair_pass(df, scales).collect()
+    assert {(r.sheet, round(r.confidence, 6)) for r in made} == {(0, 0.336), (1, 0.62), (1, 0.48), (2, 0.434), (2, 0.336), (3, 0.434), (3, 0.336)}
+    assert geometry.line_pairs(df.where("false")).count() == 0 and geometry.line_pairs(df.drop("layer")).where("layer is not null").count() == 0
+
+
 def test_sheet_parents_at_the_reference_cap(spark):
     sheets_of = defaultdict(list)
     for r in sheet_queries._sheet_chunks(spark, SF).collect():
