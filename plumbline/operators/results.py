@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scratch import written
+
 KEY = ["project", "parameter"]
 # Words of an explanation that tell of inference.
 INFERENCE_SIGNALS = ("inferred", "assumed", "estimated", "approximately", "likely", "probably", "implied", "not explicitly")
 CAP = 0.75
 MAX_PARAMETERS = 10_000
-RECOVERY_TRIES, RETRY_ABOVE, RETRY_AT_MOST = 50, 0.5, 0.6
+RETRY_ABOVE, RETRY_AT_MOST = 0.5, 0.6
+_FENCE = "^\\s*```[a-z]*\\s*|\\s*```\\s*$"
 ANSWER = "map<string, struct<found boolean, value string, value_numeric double, unit string, confidence double, source_numbers array<int>, explanation string>>"
 
 
@@ -25,7 +28,7 @@ def parsed_answers(answers: DataFrame, expected: DataFrame) -> DataFrame:
     response_text is JSON keyed by parameter, maybe in a code fence. Of an answer that is cut off, the whole objects before the cut count. One that is no JSON finds nothing, reason
     `JSON parse failed`; an expected parameter that is absent has the reason `Missing in response`.
     """
-    body = F.regexp_replace("response_text", "^\\s*```[a-z]*\\s*|\\s*```\\s*$", "")
+    body = F.regexp_replace("response_text", _FENCE, "")
     whole = F.from_json(body, ANSWER)
     parsed = answers.select("answer_id", body.alias("body"), whole.alias("m")).select("answer_id", F.coalesce("m", F.from_json(closed_prefix(F.when(F.col("m").isNull(), F.col("body"))), ANSWER)).alias("m"))
     # Each answer is parsed once: its parameters are looked up where it meets those that are expected.
@@ -35,18 +38,27 @@ def parsed_answers(answers: DataFrame, expected: DataFrame) -> DataFrame:
     return joined.select("answer_id", "parameter", found.alias("found"), F.col("a.value").alias("value"), F.col("a.unit").alias("unit"), capped_confidence(found, F.col("a.value"), F.col("a.confidence"), F.col("a.explanation")).alias("confidence"), reason.alias("reason"))
 
 
+#: A string, whole or cut off, a bracket, or what lies between. Possessive, so that long strings cost their length only.
+_JSON_TOKEN = r'(?s)"(?:[^"\\]|\\.)*+\\?(?:"|\z)|[{}\[\]]|[^"{}\[\]]++'
+
+
 def closed_prefix(body: Column) -> Column:
-    """The longest prefix of cut-off JSON that ends at a brace and, its open braces closed, is JSON; null without one in 50 tries."""
-    parts = F.slice(F.split(body, "}", -1), 1, F.greatest(F.size(F.split(body, "}", -1)) - 1, F.lit(0)))
+    """The longest prefix of cut-off JSON that ends at a brace and, its open braces closed, may be JSON; null without one.
+
+    One pass over strings and brackets: the first object that closes at top level ends it; else the last brace that leaves
+    nothing but objects open. Braces in strings don't count.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("open"), F.lit(0).alias("end"), F.lit(0).alias("left"), F.lit(False).alias("done"))
 
-    def tried(p: Column) -> Column:
-        ends = F.sequence(F.size(p), F.greatest(F.size(p) - RECOVERY_TRIES + 1, F.lit(1)), F.lit(-1))
-        prefix = lambda n: F.concat(F.array_join(F.slice(p, F.lit(1), n), "}"), F.lit("}"))
-        missing = lambda t: F.greatest(F.length(F.regexp_replace(t, "[^{]", "")) - F.length(F.regexp_replace(t, "[^}]", "")), F.lit(0))
-        closed = F.transform(F.transform(ends, prefix), lambda t: F.concat(t, F.repeat(F.lit("}"), missing(t))))
-        return F.get(F.filter(closed, lambda t: F.try_parse_json(t).isNotNull()), F.lit(0))
+    def step(s: Column, token: Column) -> Column:
+        opens, closes = token.isin("{", "["), token.isin("}", "]")
+        at = s["at"] + F.length(token)
+        stack = F.when(opens, F.concat(s["open"], token)).when(closes, F.substring(s["open"], F.lit(1), F.greatest(F.length(s["open"]) - 1, F.lit(0)))).otherwise(s["open"])
+        good = (token == "}") & (F.length(s["open"]) > 0) & ~F.contains(stack, F.lit("["))
+        return F.when(s["done"], s).otherwise(F.struct(at.alias("at"), stack.alias("open"), F.when(good, at).otherwise(s["end"]).alias("end"), F.when(good, F.length(stack)).otherwise(s["left"]).alias("left"), (closes & (F.length(stack) == 0)).alias("done")))
 
-    return F.transform(F.array(parts), lambda p: F.when(F.size(p) > 0, tried(p)))[0]
+    found = F.aggregate(F.regexp_extract_all(body, F.lit(_JSON_TOKEN), F.lit(0)), start, step)
+    return F.transform(F.array(found), lambda s: F.when(s["end"] > 0, F.concat(F.substring(body, F.lit(1), s["end"]), F.repeat(F.lit("}"), s["left"]))))[0]
 
 
 def capped_confidence(found: Column, value: Column, confidence: Column, explanation: Column) -> Column:
@@ -184,6 +196,36 @@ def asked_again(parsed: DataFrame) -> DataFrame:
     return parsed.where("reason is not null").join(again, "answer_id", "left_semi").select("answer_id", "parameter")
 
 
+def answered_with_retry(prompt_rows: DataFrame, ask: Callable[[str, list[str]], str]) -> DataFrame:
+    """answer_id, parameter, found, value, unit, confidence, reason and again, of prompt rows (answer_id, context, names): the
+    whole exchange with a user's function, at most twice a prompt.
+
+    Answers are asked for once and written. Where more than half of an answer's parameters can't be read, what lies whole
+    before the cut counts; if at most 60% are then missing, these alone are asked for once more with the same context (`again`).
+    The second answer is read as it is, and what it finds takes the place of what was missing. A row of a prompt and name
+    comes out for each name, whatever fails.
+    """
+    first = written(answered(prompt_rows.select("answer_id", "context", "names"), ask), "answers")
+    expected = first.select("answer_id", F.explode(F.array_distinct("names")).alias("parameter"))
+    strict = F.from_json(F.regexp_replace("response_text", _FENCE, ""), ANSWER)
+    read = first.select("answer_id", strict.alias("m"))
+    lost = expected.join(read, "answer_id").select("answer_id", "parameter", F.try_element_at("m", F.col("parameter")).isNull().alias("unparsed"))
+    parsed = parsed_answers(first, expected).join(lost, ["answer_id", "parameter"])
+    parsed = written(parsed, "parsed-answers")
+    missing = asked_again(parsed)
+    places = first.select("answer_id", F.posexplode(F.array_distinct("names")).alias("place", "parameter"))
+    ordered = missing.join(places, ["answer_id", "parameter"]).groupBy("answer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "parameter"))), lambda x: x["parameter"]).alias("names"))
+    second = written(answered(ordered.join(first.select("answer_id", "context"), "answer_id"), ask), "second-answers")
+    asked = second.select("answer_id", F.explode("names").alias("parameter"))
+    whole = second.withColumn("response_text", F.when(F.from_json(F.regexp_replace("response_text", _FENCE, ""), ANSWER).isNotNull(), F.col("response_text")))
+    better = parsed_answers(whole, asked).select("answer_id", "parameter", F.struct("found", "value", "unit", "confidence", "reason").alias("__b"))
+    rows = parsed.join(better, ["answer_id", "parameter"], "left")
+    taken = F.coalesce(F.col("__b.found"), F.lit(False))
+    pick = lambda c: F.when(taken, F.col(f"__b.{c}")).otherwise(F.col(c)).alias(c)
+    return rows.select("answer_id", "parameter", *[pick(c) for c in ("found", "value", "unit", "confidence", "reason")], F.col("__b").isNotNull().alias("again"))
+
+
+
 def duplicate_uploads(uploads: DataFrame, documents: DataFrame) -> DataFrame:
     """Uploads (project, filename) whose name the project has already."""
     return uploads.join(documents, ["project", "filename"], "left_semi")

@@ -52,9 +52,9 @@ def document_eligibility(spark, d):
 
 
 @query("""SELECT page_id, CASE WHEN length(trim(m, ' ')) >= 200 THEN 'kept' ELSE 'fallback' END route, CASE WHEN length(trim(m, ' ')) >= 1 THEN 'kept' ELSE 'blank' END alone
-FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN url ELSE left(html, 150 + (page_id % 100)::INT) END m FROM pages)""")
+FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN url ELSE html END m FROM pages)""")
 def ocr_routing(spark, d):
-    pages = table(spark, d, "pages").selectExpr("page_id", "case page_id % 4 when 0 then null when 1 then '  ' when 2 then url else left(html, 150 + cast(page_id % 100 as int)) end markdown")
+    pages = table(spark, d, "pages").selectExpr("page_id", "case page_id % 4 when 0 then null when 1 then '  ' when 2 then url else html end markdown")
     return selection.routed_ocr(selection.routed_ocr(pages).withColumnRenamed("route", "first"), single_engine=True).select("page_id", F.col("first").alias("route"), F.col("route").alias("alone"))
 
 
@@ -326,3 +326,23 @@ def parent_pass_through(spark, d):
     # Every third chunk has no parent and stands for itself.
     chunks = table(spark, d, "embeddings").selectExpr("vec_id", "if(vec_id % 3 = 0, null, 1000000000 + vec_id div 5) parent_id")
     return retrieval.parent_expand(_hits(spark, d), chunks)
+
+
+@query("""WITH k AS (SELECT o_orderkey answer_id, unnest(range(1, 6)) i, (o_custkey % 6)::INT j, o_custkey % 5 = 0 fails FROM orders),
+c AS (SELECT *, i <= 5 - j first, j BETWEEN 1 AND 3 AND i > 5 - j again FROM k)
+SELECT answer_id, 'p' || i AS parameter, first OR again AND NOT fails AS found, CASE WHEN first THEN 'p' || i || '-5' WHEN again AND NOT fails THEN 'p' || i || '-' || j END AS value,
+CASE WHEN first OR again AND NOT fails THEN NULL WHEN j = 5 THEN 'JSON parse failed' ELSE 'Missing in response' END reason, again FROM c""")
+def answered_with_retry(spark, d):
+    """Answers about five parameters, of which some are cut off before the last j; asked alone, these are found unless the hook fails."""
+
+    def ask(context: str, names: list[str]) -> str:
+        j = int(context) % 6
+        if len(names) < 5 and int(context) % 5 == 0:
+            raise ValueError(context)
+        known = [f'"{n}": {{"found": true, "value": "{n}-{len(names)}", "confidence": 0.8}}' for n in names]
+        if len(names) < 5 or not j:
+            return "{" + ", ".join(known) + "}"
+        return "{" + ", ".join([*known[: 5 - j], known[5 - j][:12]])
+
+    prompts = table(spark, d, "orders").select(F.col("o_orderkey").alias("answer_id"), F.col("o_custkey").cast("string").alias("context"), F.array(*[F.lit(f"p{i}") for i in range(1, 6)]).alias("names"))
+    return results.answered_with_retry(prompts, ask).select("answer_id", "parameter", "found", "value", "reason", "again")

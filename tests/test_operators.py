@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import re
@@ -292,6 +293,54 @@ def test_cut_off_answers(spark):
     assert all(got[i, p] == (False, "JSON parse failed") for i in range(1, 5) for p in "ab")
 
 
+def recovered(text):
+    """The reading of cut-off JSON by trying every prefix that ends at a brace, longest first."""
+    for end in range(len(text), 0, -1):
+        if text[end - 1] != "}":
+            continue
+        for closers in range(8):
+            try:
+                return json.loads(text[:end] + "}" * closers)
+            except json.JSONDecodeError:
+                continue
+    return None
+
+
+def test_cut_off_json_is_read_in_one_pass(spark):
+    whole = json.dumps({"a": {"found": True, "value": 'x } " { y', "list": [{"k": 1}, {"k": "]"}]}, "b": {"value": "back\\slash \\", "deep": {"er": {"c": 1}}}, "c": {"value": "ü😀"}}, ensure_ascii=False)
+    texts = [whole[:n] for n in range(len(whole) + 1)] + [whole + " said {so}", "{}", "}{", "no json", '{"a": {"value": "' + "x" * 200_000 + '"}, "b": {"v', '{"a": {"value": "' + '\\"' * 50_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").select("n", results.closed_prefix(F.col("text")).alias("p")).collect()
+    for r in rows:
+        want = recovered(texts[r.n]) if len(texts[r.n]) < 1_000 else None
+        if len(texts[r.n]) < 1_000:
+            assert (json.loads(r.p) if r.p is not None else None) == want, texts[r.n]
+    long = {r.n: r.p for r in rows if len(texts[r.n]) > 1_000}
+    assert sorted(p is None for p in long.values()) == [False, True] and max(len(p or "") for p in long.values()) == 200_020
+
+
+def test_what_is_missing_is_asked_for_once_more(spark):
+    asked = spark.createDataFrame([("whole", "w", ["a", "b"]), ("cut", "c", ["a", "b", "c", "d", "e"]), ("little", "l", ["a", "b", "c"]), ("fails", "f", ["a"]), ("again", "g", ["a", "b", "c"])], "answer_id string, context string, names array<string>")
+
+    def ask(context, names):
+        if context == "f" or context == "g" and len(names) < 3:
+            raise ValueError("no answer")
+        full = [f'"{n}": {{"found": true, "value": "{n}{len(names)}", "confidence": 0.5}}' for n in names]
+        if context == "c" and len(names) == 3:
+            return "{" + full[0] + ', "d": {"found": false}}'
+        kept = {"c": 2, "l": 1, "g": 2}.get(context)
+        return "{" + ", ".join(full[:kept]) + (', "' if kept else "}")
+
+    got = {(r.answer_id, r.parameter): (r.found, r.value, r.again) for r in results.answered_with_retry(asked, ask).collect()}
+    # cut: two of five are read, the others are asked for again, of which one is found. little: two of three are missing, too many to ask again.
+    # again: one of three is asked for again and fails. fails: nothing is read, all is missing.
+    assert got == {
+        ("whole", "a"): (True, "a2", False), ("whole", "b"): (True, "b2", False),
+        ("cut", "a"): (True, "a5", False), ("cut", "b"): (True, "b5", False), ("cut", "c"): (True, "c3", True), ("cut", "d"): (False, None, True), ("cut", "e"): (False, None, True),
+        ("little", "a"): (True, "a3", False), ("little", "b"): (False, None, False), ("little", "c"): (False, None, False), ("fails", "a"): (False, None, False),
+        ("again", "a"): (True, "a3", False), ("again", "b"): (True, "b3", False), ("again", "c"): (False, None, True),
+    }
+
+
 def test_hooks_and_retries(spark):
     rows = results.prompts(spark.createDataFrame([("p", 0, "c")], "project string, window_no long, context string"), spark.createDataFrame([(str(i), i) for i in range(30)], "name string, place int"))
     got = {r.batch_no: r.response_text for r in results.answered(rows, lambda c, names: f"{c}{len(names)}").collect()}
