@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, maintenance, results, retrieval
+from ..operators import blocks, maintenance, results, retrieval, vector_index
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -159,6 +159,12 @@ def vector_topk(spark, d):
     return _hits(spark, d)
 
 
+@query(f"WITH {_VECTORS} {_TOPK.format('p', 10)}")
+def vector_topk_indexed(spark, d):
+    queries, v = _vectors(spark, d)
+    return vector_index.index_topk(queries, vector_index.fitted_index(v), 10, probes=4, exact=True)
+
+
 @query(f"""WITH {_VECTORS}, s AS ({_TOPK.format("(SELECT * FROM p WHERE ql % 2 = 1 AND ql = bl)", 5)}), r AS (SELECT * FROM p WHERE query_id NOT IN (SELECT query_id FROM s)) SELECT * FROM s UNION ALL {_TOPK.format("r", 5)}""")
 def vector_topk_fallback(spark, d):
     queries, v = _vectors(spark, d)
