@@ -27,9 +27,10 @@ def query(sql: str | None = None):
 
 _LABELS = ("Floor plan", "wall section A", "NORTH ELEVATION", "typ detail", "door schedule", "set out", "key plan", "list of parts")
 _HITS = {k: " + ".join(f"len(regexp_extract_all(t, '\\b{w}\\b'))" for w in words) for k, words in sheets.SHEET_KEYWORDS.items()}
-_SHEET_TEXTS = f"""st AS (SELECT p_size sheet, lower([{', '.join(f"'{x}'" for x in _LABELS)}][p_partkey % 8 + 1] || ' ' || p_name) t, 1 w FROM part
-UNION ALL SELECT DISTINCT p_size, CASE WHEN p_size % 3 = 0 THEN 'typical detail' ELSE 'sheet' END, 3 FROM part),
-hs AS (SELECT sheet, {', '.join(f'sum(({sql}) * w)::BIGINT AS {k.lower()}' for k, sql in _HITS.items())} FROM st GROUP BY sheet),
+#: Labels, and words at the end of one text and the beginning of another that make a phrase where the texts meet.
+_TEXT = "CASE WHEN p_partkey % 5 = 1 THEN 'plan ' WHEN p_partkey % 7 = 3 THEN 'elevation ' ELSE '' END || {label} || ' ' || p_name || CASE p_partkey % 4 WHEN 0 THEN ' Floor' WHEN 1 THEN ' front' ELSE '' END"
+_SHEET_TEXTS = f"""st AS (SELECT p_size sheet, string_agg(lower({_TEXT.format(label="[" + ', '.join(f"'{x}'" for x in _LABELS) + "][p_partkey % 8 + 1]")}), ' ' ORDER BY p_partkey) || repeat(CASE WHEN p_size % 3 = 0 THEN ' typical detail' ELSE ' sheet' END, 3) t FROM part GROUP BY p_size),
+hs AS (SELECT sheet, {', '.join(f'({sql})::BIGINT AS {k.lower()}' for k, sql in _HITS.items())} FROM st),
 hl AS (SELECT sheet, unnest([{', '.join(f"{{'s': {k.lower()}, 'r': {-i}, 'k': '{k}'}}" for i, k in enumerate(sheets.SHEET_PRIORITY))}]) h, {' + '.join(k.lower() for k in sheets.SHEET_KEYWORDS)} n FROM hs)"""
 
 
@@ -38,7 +39,8 @@ def sheet_type(spark, d):
     p = table(spark, d, "part")
     label = F.element_at(F.array(*[F.lit(x) for x in _LABELS]), F.expr("cast(p_partkey % 8 + 1 as int)"))
     titles = p.select(F.col("p_size").alias("sheet")).distinct().select("sheet", F.expr("if(sheet % 3 = 0, 'typical detail', 'sheet')").alias("title"))
-    return sheets.sheet_types(p.select(F.col("p_size").alias("sheet"), F.concat(label, F.lit(" "), "p_name").alias("text")), titles)
+    texts = p.withColumn("label", label).select(F.col("p_size").alias("sheet"), F.col("p_partkey").alias("text_no"), F.expr(_TEXT.format(label="label")).alias("text"))
+    return sheets.sheet_types(texts, titles)
 
 
 _BLOCK_TEXT = "'Project: ' || c_name || chr(10) || 'Client: ' || c_mktsegment || chr(10) || 'DRG NO: FA-' || lpad(c_custkey::VARCHAR, 4, '0') || chr(10) || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'Rev: ' || (c_custkey % 10)::VARCHAR END || chr(10) || 'Date: 0' || (c_custkey % 9 + 1)::VARCHAR || '/11/2024'"

@@ -347,3 +347,22 @@ def test_hooks_and_retries(spark):
     assert got == {0: "c25", 1: "c5"}
     parsed = spark.createDataFrame([(1, p, True, None if p < "c" else "Missing") for p in "abcd"] + [(2, "a", False, "Missing")], "answer_id int, parameter string, unparsed boolean, reason string")
     assert sorted(tuple(r) for r in results.asked_again(parsed).collect()) == [(1, "c"), (1, "d")]
+
+
+def test_phrases_over_several_texts(spark):
+    rng, rows = random.Random(8), []
+    pieces = ["floor", "plan", "", " ", "floor plan", "front", "elevation", "site", "the", "x" * 40, "wall section", "typical", "Floor", "ground", "plans", None]
+    for sheet in range(6):
+        rows += [(sheet, i, rng.choice(pieces)) for i in range(60 if sheet else 25)]
+    titles = {s: t for s, t in enumerate(["plan", "", None, "typical", "section", "floor plan"])}
+    want = {}
+    for sheet, title in titles.items():
+        text = " ".join(t for s, _, t in rows if s == sheet and t is not None).lower() + (" " + title.lower() if title else "") * 3
+        scores = {kind: sum(len(re.findall(rf"\b{re.escape(k)}\b", text)) for k in words) for kind, words in sheets.SHEET_KEYWORDS.items()}
+        top = max(scores.values())
+        want[sheet] = (next(k for k in sheets.SHEET_PRIORITY if scores[k] == top), top, round(min(1.0, top / sum(scores.values()) * len(scores)), 3))
+    texts = spark.createDataFrame(rows, "sheet int, text_no long, text string").repartition(4)
+    heads = spark.createDataFrame(list(titles.items()), "sheet int, title string")
+    got = {r.sheet: (r.sheet_type, r.score, r.confidence) for r in sheets.sheet_types(texts, heads).collect()}
+    assert got == want
+    assert sheets.sheet_types(texts.drop("text_no"), heads).where("sheet_type is not null").count() == 6
