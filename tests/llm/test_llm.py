@@ -394,11 +394,12 @@ def test_components(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    ours, theirs = queries.queries()[name](spark, SF).toPandas(), con.sql(queries.oracle_sql()[name]).df()
-    canon = lambda f: sorted(map(str, f[sorted(f.columns)].itertuples(index=False, name=None)))
-    assert canon(ours) == canon(theirs)
+    ours, theirs = queries.queries()[name](spark, SF), con.sql(queries.oracle_sql()[name])
+    canon = lambda columns, rows: sorted(str([r[columns.index(c)] for c in sorted(columns)]) for r in rows)
+    assert sorted(ours.columns) == sorted(theirs.columns)
+    assert canon(ours.columns, ours.collect()) == canon(theirs.columns, theirs.fetchall())
 
 
 def test_pipeline(spark):
