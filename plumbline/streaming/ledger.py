@@ -45,7 +45,8 @@ class Ledger:
     def _write(self, ids: DataFrame, first: int, last: int) -> None:
         n = ids.count()
         # Sorted ranges, so that files of a large segment have bounds that tell them apart.
-        ids.repartitionByRange(max(1, -(-n // FILE_IDS)), "doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{self.path}/{first}-{last}")
+        dealt = ids.coalesce(1) if n <= FILE_IDS else ids.repartitionByRange(-(-n // FILE_IDS), "doc_id")
+        dealt.sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{self.path}/{first}-{last}")
 
     def read(self, segments: list[tuple[int, int]]) -> DataFrame:
         return self.spark.read.schema("doc_id long").parquet(*[f"{self.path}/{a}-{b}" for a, b in segments])

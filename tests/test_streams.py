@@ -130,9 +130,9 @@ def test_ledger_opens_as_many_files_after_200_batches(spark, tmp_path):
         opened.append(len(before.inputFiles()) if before is not None else 0)
         if batch in (1, 5, 21, 64, 199):
             assert sorted(r.doc_id for r in before.collect()) == sorted(known)
-        own = [(batch * 3 + k,) for k in range(batch % 3)]
-        ids.add(spark.createDataFrame(own, "doc_id int").coalesce(1), batch)
-        known |= {i for (i,) in own}
+        own = range(batch * 3, batch * 3 + batch % 3)
+        ids.add(spark.range(own.start, own.stop, 1, 1).withColumnRenamed("id", "doc_id"), batch)
+        known |= set(own)
     # Three of each size at most, and a level for each power of four.
     assert max(opened) <= 12 and max(opened[150:]) <= max(opened[:64]) + 3
 
