@@ -12,6 +12,8 @@ from .common import SPACE, bounded_broadcast, let, materialize, own_names, runni
 
 #: Words in a block; a source's last block may be shorter.
 BLOCK_WORDS = 128
+#: Blocks that a source is cut into at least, in shorter ones where it is small, so that whole blocks come near its target.
+LEAST_BLOCKS = 64
 #: Output shards that the slots are cut into.
 N_OUTPUT_SHARDS = 64
 WEIGHTS = (3, 1, 2)
@@ -62,8 +64,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share_per
 
 
 def _plan(targets: DataFrame, block_words: int) -> DataFrame:
-    """Adds to each source its blocks, its slots and the slots of the sources before it, all as exact counts."""
-    t = targets.withColumn("n_blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
+    """Adds to each source the words of its blocks, its blocks, its slots and the slots of the sources before it, all as exact counts."""
+    fine = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("source_size") / LEAST_BLOCKS)))
+    t = targets.withColumn("block_words", fine.cast("long"))
+    t = t.withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("block_words")).cast("long"))
     mean = F.col("source_size") / F.col("n_blocks")
     slots = F.when(F.col("n_blocks") > 0, F.least(F.round(F.col("target") / mean).cast("long"), F.col("n_blocks") * MAX_EPOCHS)).otherwise(F.lit(0))
     t = t.withColumn("slots", slots.cast("long"))
@@ -125,7 +129,8 @@ def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, n_shards
     `documents` (doc_id, size, source_size, target, taken, and first_shard and first_slot, the first place of any of its
     words, null if none is taken).
 
-    Texts' words of a source, in an order fixed by hashes of doc_id, form one stream that blocks cut; slots are joined
+    Texts' words of a source, in an order fixed by hashes of doc_id, form one stream that blocks of `block_words` cut, in a
+    source of fewer than LEAST_BLOCKS times as many words blocks of a LEAST_BLOCKS-th of it, a word at least; slots are joined
     to pieces by (source, block). Null and empty texts have no words and are never taken; a null source is a source; rows
     that repeat an id take their own place; an empty table gives empty frames; other columns are not read. The same rows
     and seed give the same mix.
@@ -137,13 +142,14 @@ def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, n_shards
     counts = shard_counts(plan, seed, n_shards)
     slots = draw_slots(plan, counts, seed)
     placed = running_offsets(sized, "source", F.col("size"), ["doc_id", "text_hash", "size"])
-    narrow = plan.select(F.col("source").alias("__source"), "source_no", "source_size", "target")
+    narrow = plan.select(F.col("source").alias("__source"), "source_no", "source_size", "target", "block_words")
     placed = placed.join(narrow, placed.source.eqNullSafe(narrow["__source"])).drop("__source")
     placed = materialize(placed, "mix-places")
     end = F.col("offset") + F.col("size")
-    pieces = placed.where("size > 0").select("doc_id", "text_hash", "size", "offset", "source", "source_no", F.explode(F.sequence(F.floor(F.col("offset") / block_words), F.floor((end - 1) / block_words))).alias("block"))
-    start = F.greatest(F.col("offset"), F.col("block") * block_words)
-    stop = F.least(end, (F.col("block") + 1) * block_words)
+    wide = F.col("block_words")
+    pieces = placed.where("size > 0").select("doc_id", "text_hash", "size", "offset", "source", "source_no", "block_words", F.explode(F.sequence(F.floor(F.col("offset") / wide), F.floor((end - 1) / wide))).alias("block"))
+    start = F.greatest(F.col("offset"), F.col("block") * wide)
+    stop = F.least(end, (F.col("block") + 1) * wide)
     pieces = pieces.select("doc_id", "text_hash", "size", "offset", "source", "source_no", "block", (start - F.col("offset")).alias("from_word"), (stop - start).alias("n_words"))
     # A block is taken at most MAX_EPOCHS times. Written, so that its true size decides how it is joined: Spark can't tell
     # how many rows the sequences above make.

@@ -57,7 +57,8 @@ def mixed(rows, block, n_shards, rows_per_bucket=2000, with_times=False):
     docs = [(i, len(WORD.findall(t or "")), hashed(t), names.index(s), k) for k, (i, t, s) in enumerate(rows)]
     sizes = [sum(n for _, n, _, s, _ in docs if s == k) for k in range(len(names))]
     target = water_filled(sizes, mixing.WEIGHTS, mixing.SHARE_PERCENT, mixing.MAX_EPOCHS)
-    blocks = [-(-n // block) for n in sizes]
+    wide = [max(1, min(block, n // mixing.LEAST_BLOCKS)) for n in sizes]
+    blocks = [-(-n // w) for n, w in zip(sizes, wide, strict=True)]
     slots = [min(math.floor(target[k] / (sizes[k] / blocks[k]) + 0.5), blocks[k] * mixing.MAX_EPOCHS) if blocks[k] else 0 for k in range(len(names))]
     total, first = sum(slots), [sum(slots[:k]) for k in range(len(names))]
     counts = Counter((permuted(first[k] + j, total, "slots", (0,)) // -(-total // n_shards), k) for k in range(len(names)) for j in range(slots[k]))
@@ -74,8 +75,8 @@ def mixed(rows, block, n_shards, rows_per_bucket=2000, with_times=False):
     buckets = max(1, -(-len(rows) // rows_per_bucket))
     out, times, offset = {}, {}, [0] * len(names)
     for i, n, text_hash, s, k in sorted(docs, key=lambda d: (hashed(d[0], d[2], d[1]) % buckets, d[0] is not None, d[0] or 0, d[2], d[1])):
-        words = Counter(w // block for w in range(offset[s], offset[s] + n))
-        times[k] = [len(places[s, w // block]) for w in range(offset[s], offset[s] + n)]
+        words = Counter(w // wide[s] for w in range(offset[s], offset[s] + n))
+        times[k] = [len(places[s, w // wide[s]]) for w in range(offset[s], offset[s] + n)]
         offset[s] += n
         took = [p for b in words for p in places[s, b]]
         out[k] = (i, n, sizes[s], float(target[s]), sum(c * len(places[s, b]) for b, c in words.items()), *(min(took) if took else (None, None)))
@@ -99,6 +100,15 @@ def test_mix_equals_plain_python(spark):
         assert sorted(map(near, map(str, got))) == sorted(map(near, want))
 
 
+def test_small_sources_come_within_a_word_of_their_targets(spark):
+    """Sources of 1 to 64 words are taken word by word; larger ones come within a 64-th of their words."""
+    sizes = {"a": 20_000, "b": 3, "c": 1, "d": 64, "e": 129, "f": 700}
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    for seed in (0, 1):
+        for r in mixing.mix(docs, seed)["documents"].collect():
+            assert abs(r.taken - r.target) <= max(1, r.source_size / mixing.LEAST_BLOCKS) and r.taken <= 2 * r["size"]
+
+
 def test_offsets_in_runs_of_buckets(spark, monkeypatch):
     monkeypatch.setattr(common, "BUCKET_RUN", 7)
     rows = [(i, None if i % 3 == 0 else f"g{i % 2}", i % 5) for i in range(400)]
