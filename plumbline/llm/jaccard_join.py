@@ -20,6 +20,11 @@ PERCENT = 75
 SHARD_TOKENS = 3_000_000
 #: Shingles that a task deals at once.
 PART_TOKENS = 2_000_000
+#: Shingles of a corpus from which on parts and shards grow with its square root, and how often they double in size at most.
+GROWS_FROM = 4_000_000_000
+MOST_DOUBLINGS = 2
+#: Shingles that are sent to the JVM at once.
+SENT_TOKENS = 250_000
 #: Shingles of the documents that a task's signature trees hold; larger families are cut into chunks that meet in pairs.
 CHUNK_TOKENS = 4_000_000
 #: Classes whose sets are read again up to which their ids, 40 bytes each, are broadcast.
@@ -151,7 +156,18 @@ def _owners(row: dict) -> np.ndarray:
     return np.cumsum(x) if row["steps"] else np.repeat(np.arange(len(x)), x)
 
 
-def _deal_tokens(docs: DataFrame, n_shards: int) -> DataFrame:
+def deal_sizes(total: int) -> tuple[int, int]:
+    """Shingles of a shard and of a part of a corpus of `total` shingles.
+
+    Each part sends a row to each shard, so with fixed sizes rows would grow with the square of the corpus. Where both grow
+    with its root, rows grow with it and hold some 1,500 shingles each, up to 2^MOST_DOUBLINGS times SHARD_TOKENS and
+    PART_TOKENS, which is what a task's memory bounds.
+    """
+    grown = min(2.0**MOST_DOUBLINGS, max(1.0, (total / GROWS_FROM) ** 0.5))
+    return int(SHARD_TOKENS * grown), int(PART_TOKENS * grown)
+
+
+def _deal_tokens(docs: DataFrame, n_shards: int, part_tokens: int = PART_TOKENS) -> DataFrame:
     """All shingles, packed: one row a shard and stretch of documents with 32 bits of each shingle and the documents they are of.
 
     Documents with equal sets inside a stretch of rows are dealt once. The row of shard 0 also names the documents.
@@ -167,12 +183,17 @@ def _deal_tokens(docs: DataFrame, n_shards: int) -> DataFrame:
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(n_shards + 1))
         small, docs_ = flat.astype("<u4")[order], docs_[order]
-        for k in range(n_shards):
+        rows, first = [], 0
+        # Only shards that get something, and the first, which names the documents, have rows.
+        for k in np.flatnonzero((np.diff(cuts) > 0) | (np.arange(n_shards) == 0)).tolist():
             a, b = int(cuts[k]), int(cuts[k + 1])
-            if a == b and k:
-                continue
             row = {"shard": k, "part": key, "cks": ck.tobytes() if not k else b"", "sizes": sizes.tobytes() if not k else b"", "n_docs": len(sizes), "tokens": small[a:b].tobytes()}
-            yield pa.RecordBatch.from_pylist([row | _packed_owners(docs_[a:b], len(sizes))], schema=_DEALT)
+            rows.append(row | _packed_owners(docs_[a:b], len(sizes)))
+            if b - first >= SENT_TOKENS:
+                yield pa.RecordBatch.from_pylist(rows, schema=_DEALT)
+                rows, first = [], b
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_DEALT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: list[np.ndarray] = []
@@ -187,7 +208,7 @@ def _deal_tokens(docs: DataFrame, n_shards: int) -> DataFrame:
                         sets.append(s)
                         cks.append(int.from_bytes(d[:8], "little", signed=True))
                         held += len(s)
-                if held >= PART_TOKENS:
+                if held >= part_tokens:
                     yield from packed(sets, cks, number)
                     sets, cks, seen, number, held = [], [], set(), number + 1, 0
         if sets:
@@ -414,8 +435,8 @@ def _linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th"))
     classes = some.groupBy("digest", "ck", "n").agg(first.alias("f")).select("digest", "ck", "n", F.col("f.doc_id").alias("rep"), F.col("f.th").alias("rep_th"))
     total = sets.agg(F.sum("n")).first()[0] or 0
-    n_shards = max(1, -(-total // SHARD_TOKENS))
-    dealt = _deal_tokens(docs, n_shards)
+    shard_tokens, part_tokens = deal_sizes(total)
+    dealt = _deal_tokens(docs, max(1, -(-total // shard_tokens)), part_tokens)
     shared = dealt.groupBy("shard").applyInArrow(_keep_shared, f"{_DEALT_TYPES}, ranks binary")
     prefixes = materialize(shared.groupBy("part").applyInArrow(_prefixes, "ck long, token long, band int"), "prefixes")
     ends = prefixes.groupBy("token", "band").agg(F.min("ck").alias("least"), F.max("ck").alias("most")).where("least <> most").select("token", "band", "least")

@@ -338,6 +338,30 @@ def test_dealt_bytes_follow_the_shingles(docs, n_shards):
             assert (jaccard_join._owners(jaccard_join._packed_owners(x, n_docs)) == x).all()
 
 
+def test_dealt_rows_follow_the_corpus():
+    """Rows are parts by shards: in proportion to the shingles from GROWS_FROM on, for as long as the sizes may grow."""
+    assert jaccard_join.deal_sizes(0) == jaccard_join.deal_sizes(10**8) == (jaccard_join.SHARD_TOKENS, jaccard_join.PART_TOKENS)
+    held = [n / ((n / shard) * (n / part)) for n in (4 * 10**9, 10**10, 3 * 10**10, 6 * 10**10) for shard, part in (jaccard_join.deal_sizes(n),)]
+    assert max(held) - min(held) < 1 and min(held) > 1_000
+    assert jaccard_join.deal_sizes(10**14) == (4 * jaccard_join.SHARD_TOKENS, 4 * jaccard_join.PART_TOKENS)
+
+
+@pytest.mark.parametrize("sent", [1, 100, 250_000])
+def test_batches_of_the_deal_hold_all_its_rows(spark, monkeypatch, sent):
+    monkeypatch.setattr(jaccard_join, "SENT_TOKENS", sent)
+    texts = spark.range(40, numPartitions=1).select(F.expr("array_join(transform(sequence(1, 30), i -> concat('v', hash(id, i) % 900)), ' ')").alias("text"))
+    # parts are cut where batches of texts end
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        rows = jaccard_join._deal_tokens(texts, 7, 300).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = sorted(h for r in texts.collect() for h in jaccard_join.shingle_sets([r.text])[0].tolist())
+    assert len({r.part for r in rows}) > 2 and len({(r.part, r.shard) for r in rows}) == len(rows)
+    assert sorted(int(x) for r in rows for x in np.frombuffer(r.tokens, "<u4")) == sorted(h & 0xFFFFFFFF for h in want)
+    assert all(len(jaccard_join._owners(r.asDict())) * 4 == len(r.tokens) for r in rows)
+
+
 def test_bands_keep_all_that_may_link():
     n = np.arange(1, 3000)
     most = n * 100 // jaccard_join.PERCENT
