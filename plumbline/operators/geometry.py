@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,10 +27,13 @@ def _cells(x: Column, radius: float) -> Column:
 
 
 def near(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """Pairs of left (sheet, lx, ly) and right (sheet, rx, ry) within `radius`, with their distance. Cells are as wide as the radius."""
+    """Pairs of left (sheet, lx, ly) and right (sheet, rx, ry) within `radius`, with their distance. Cells are as wide as the radius.
+
+    Joined by shuffle: Spark sizes the left side without its nine cells a row, so it would broadcast what the driver can't hold.
+    """
     a = left.withColumn("cx", _cells(F.col("lx"), radius)).withColumn("cy", _cells(F.col("ly"), radius))
     b = right.withColumn("cx", F.floor(F.col("rx") / radius).cast("long")).withColumn("cy", F.floor(F.col("ry") / radius).cast("long"))
-    return a.join(b, ["sheet", "cx", "cy"]).withColumn("distance", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))).where(F.col("distance") <= radius).drop("cx", "cy")
+    return a.join(b.hint("merge"), ["sheet", "cx", "cy"]).withColumn("distance", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))).where(F.col("distance") <= radius).drop("cx", "cy")
 
 
 def nearby_words(dimensions: DataFrame, texts: DataFrame, radius: float = NEARBY) -> DataFrame:
@@ -143,20 +150,41 @@ def geometry_confirmed(texts: DataFrame, lines: DataFrame, radius: float = CONFI
     """sheet, text_no of texts (sheet, text_no, x, y, value) that two parallel lines near them confirm: their separation differs
     from the value by less than the tolerance times the greater of value and 1.
 
-    Pairs of lines are not formed: among the lines near a text in the order of their places, the first one beyond place + value -
-    tolerance must lie before place + value + tolerance. Values must be above the tolerance.
+    Neither pairs of lines nor pairs of a text and a line are rows: a text lies in one cell, twice as wide as the radius, that lists all
+    lines within the radius of its texts, so a line in four. Among the lines near a text in the order of their places, the first one
+    beyond place + value - tolerance must lie before place + value + tolerance. Values must be above the tolerance.
     """
-    level = F.col("orientation") == "HORIZONTAL"
-    flat = lines.where(F.col("orientation").isin("HORIZONTAL", "VERTICAL")).select(
-        "sheet", "orientation", F.when(level, (F.col("y0") + F.col("y1")) / 2).otherwise((F.col("x0") + F.col("x1")) / 2).alias("p"), ((F.col("x0") + F.col("x1")) / 2).alias("rx"), ((F.col("y0") + F.col("y1")) / 2).alias("ry")
-    )
-    asked = texts.where(F.col("value") > tolerance).select("sheet", "text_no", "value", F.col("x").alias("lx"), F.col("y").alias("ly"))
-    places = near(asked, flat, radius).select("sheet", "text_no", "orientation", "value", "p").distinct()
-    slack = tolerance * F.greatest("value", F.lit(1.0))
-    marks = F.array(F.struct(F.col("p").alias("q"), F.lit(0).alias("asks"), F.col("p").alias("line"), F.lit(None).cast("double").alias("limit")), F.struct((F.col("p") + F.col("value") - slack).alias("q"), F.lit(1).alias("asks"), F.lit(None).cast("double").alias("line"), (F.col("p") + F.col("value") + slack).alias("limit")))
-    after = Window.partitionBy("sheet", "text_no", "orientation").orderBy("q", "asks").rowsBetween(1, Window.unboundedFollowing)
-    rows = places.select("sheet", "text_no", "orientation", F.inline(marks)).withColumn("next", F.first("line", ignorenulls=True).over(after))
-    return rows.where((F.col("asks") == 1) & (F.col("next") < F.col("limit"))).select("sheet", "text_no").distinct()
+    wide = 2 * radius
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / wide).cast("long"), F.floor((F.col(c) + radius) / wide).cast("long")))
+    flat = lines.where(F.col("orientation").isin("HORIZONTAL", "VERTICAL")).select("sheet", (F.col("orientation") == "HORIZONTAL").alias("level"), ((F.col("x0") + F.col("x1")) / 2).alias("rx"), ((F.col("y0") + F.col("y1")) / 2).alias("ry"))
+    held = flat.select("*", reach("rx").alias("cx")).select("*", reach("ry").alias("cy")).repartition("sheet", "cx", "cy")
+    side = lambda c, level: F.collect_list(F.when(F.col("level") == level, F.col(c)))
+    cells = held.groupBy("sheet", "cx", "cy").agg(*[side(c, level).alias(f"{k}{c}") for k, level in (("h", True), ("v", False)) for c in ("rx", "ry")])
+    asked = texts.where((F.col("value") > tolerance) & F.col("x").isNotNull() & F.col("y").isNotNull()).select("sheet", "text_no", F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("value").cast("double").alias("value"))
+    asked = asked.withColumn("cx", F.floor(F.col("lx") / wide).cast("long")).withColumn("cy", F.floor(F.col("ly") / wide).cast("long"))
+    # Texts are few where their lines are many: a broadcast would hold all of one side in the driver.
+    near_lines = asked.join(cells.hint("merge"), ["sheet", "cx", "cy"]).drop("cx", "cy")
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("lx", "ly", "value")]
+            lists = [[batch.column(c) for c in pair] for pair in (("hrx", "hry"), ("vrx", "vry"))]
+            spans = [(a.values.to_numpy(), b.values.to_numpy(), a.offsets.to_numpy()) for a, b in lists]
+            found = [any(_separated(x, y, value, xs[at[i] : at[i + 1]], ys[at[i] : at[i + 1]], level, radius, tolerance) for (xs, ys, at), level in zip(spans, (True, False), strict=True)) for i, (x, y, value) in enumerate(zip(*own, strict=True))]
+            yield batch.select(["sheet", "text_no"]).filter(pa.array(found, pa.bool_()))
+
+    kinds = dict(near_lines.dtypes)
+    return near_lines.mapInArrow(confirmed, f"sheet {kinds['sheet']}, text_no {kinds['text_no']}").distinct()
+
+
+def _separated(x: float, y: float, value: float, xs: np.ndarray, ys: np.ndarray, level: bool, radius: float, tolerance: float) -> bool:
+    """Whether two of the lines with these midpoints within the radius of (x, y) are `value` apart."""
+    close = np.sqrt((xs - x) ** 2 + (ys - y) ** 2) <= radius
+    places = np.sort((ys if level else xs)[close])
+    slack = tolerance * max(value, 1.0)
+    after = np.searchsorted(places, places + value - slack, side="right")
+    some = after < len(places)
+    return bool((places[after[some]] < places[some] + value + slack).any())
 
 
 def dimension_regions(lines: DataFrame, tick_length: float = TICK_LENGTH, radius: float = TICK_RADIUS) -> DataFrame:
