@@ -6,7 +6,10 @@ import time
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +19,8 @@ from .scratch import broadcast_within
 MIN_SCORE = 0.05
 MAX_BYTES = 9500
 EMPTY_TEXT = "[empty]"
+#: Queries and vectors of a key that meet in one task at most, on average, and products it holds at a time.
+QUERY_ROWS, VECTOR_ROWS, BLOCK_CELLS = 4_096, 8_192, 2_000_000
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -27,14 +32,79 @@ def unit(v: Column) -> Column:
     return F.transform(F.array(F.nullif(F.sqrt(_dot(v, v)), F.lit(0.0))), lambda n: F.transform(v, lambda x: x.cast("double") / n))[0]
 
 
+def _dealt(queries: DataFrame, vectors: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with __qp and __vp: the queries and vectors of each key are cut into parts by a hash of their ids, and each part of the
+    one meets each part of the other once. Only the number of parts by key is broadcast."""
+    parts = lambda df, rows, name: df.groupBy(*on).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    sizes = broadcast_within(parts(queries, QUERY_ROWS, "__qs").join(parts(vectors, VECTOR_ROWS, "__vs"), on))
+    every, own = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)), lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    asked = queries.join(sizes, on).select(*on, "query_id", "__q", own("query_id", "__qs").alias("__qp"), every("__vs").alias("__vp"))
+    return asked, vectors.join(sizes, on).select(*[F.col(c).alias(c) for c in on], "vec_id", "__v", every("__qs").alias("__qp"), own("vec_id", "__vs").alias("__vp"))
+
+
+def _matrices(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The rows of each length and their vectors as a matrix."""
+    lists = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.list_(pa.float64()))
+    at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    lengths = np.diff(at)
+    out = {}
+    for n in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == n)
+        out[n] = rows, values[at[rows][:, None] + np.arange(n)]
+    return out
+
+
+def _best(q: np.ndarray, v: np.ndarray, order: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of q, rows of v and their products, for at least the k best of each row of q by product to 4 places and `order` of v.
+
+    A matrix product tells which can be among them; their own products are summed up in the order of the components, so they
+    don't depend on the blocks.
+    """
+    step = max(1, BLOCK_CELLS // max(1, len(v)))
+    for start in range(0, len(q), step):
+        block = q[start : start + step]
+        about = block @ v.T
+        about[np.isnan(about)] = np.inf
+        if len(v) > k:
+            i, j = np.nonzero(about >= np.partition(about, len(v) - k, axis=1)[:, len(v) - k, None] - 2e-4)
+        else:
+            i, j = (x.ravel() for x in np.indices(about.shape))
+        score = np.zeros(len(i))
+        for c in range(v.shape[1]):
+            score += block[i, c] * v[j, c]
+        tenths = score * 1e4 + 0.5
+        # Spark rounds decimal digits; what lies at a border goes on to it in any case.
+        border = np.abs(tenths - np.rint(tenths)) < 1e-6
+        by = np.lexsort((order[j], np.where(np.isnan(score), -np.inf, -np.floor(tenths)), i))
+        of = i[by]
+        place = np.arange(len(by)) - np.searchsorted(of, of)
+        kept = by[(place < k) | border[by]]
+        yield i[kept] + start, j[kept], score[kept]
+
+
 def _ranked(queries: DataFrame, vectors: DataFrame, on: list[str], k: int, min_score: float) -> DataFrame:
-    """Lengths are divided out before the join, so a pair costs one product. Queries are broadcast within a bound, so vectors stay
-    where they are; each task first keeps k rows a query of its own part, so the final ranking gets few rows even for a hot project."""
-    asked = broadcast_within(queries.select("query_id", *on, unit(F.col("query_vector")).alias("__q")))
-    pairs = vectors.select("vec_id", *on, unit(F.col("embedding")).alias("__v")).join(asked, on).withColumn("score", F.round(_dot(F.col("__q"), F.col("__v")), 4))
-    pairs = pairs.where(F.col("score") >= min_score).select("query_id", "vec_id", "score", F.pmod(F.xxhash64("vec_id"), F.lit(32)).alias("part"))
+    """Lengths are divided out before. Parts of queries meet parts of vectors in tasks that multiply them as matrices and give the k
+    best rows a query, so pairs are no rows and the final ranking gets k rows a query and part, even for a hot project. Vectors that
+    are null, of length zero or without a component match nothing."""
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    asked = queries.select(*on, "query_id", unit(F.col("query_vector")).alias("__q")).where(whole("__q"))
+    held = vectors.select(*on, "vec_id", unit(F.col("embedding")).alias("__v")).where(whole("__v"))
+    asked, held = _dealt(asked, held, on)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, order = right.column("vec_id"), pc.rank(right.column("vec_id"), tiebreaker="dense").to_numpy()
+        of_q, of_v, scores = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+        ours, theirs = _matrices(left.column("__q")), _matrices(right.column("__v"))
+        for n in ours.keys() & theirs.keys():
+            (a, q), (b, v) = ours[n], theirs[n]
+            for i, j, s in _best(q, v, order[b], k):
+                of_q, of_v, scores = [*of_q, a[i]], [*of_v, b[j]], [*scores, s]
+        return pa.table({"query_id": left.column("query_id").take(pa.array(np.concatenate(of_q))), "vec_id": ids.take(pa.array(np.concatenate(of_v))), "score": np.concatenate(scores)})
+
+    keys = [*on, "__qp", "__vp"]
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, vec_id {dict(vectors.dtypes)['vec_id']}, score double"
+    near = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, schema).withColumn("score", F.round("score", 4)).where(F.col("score") >= min_score)
     best = [F.col("score").desc(), F.col("vec_id")]
-    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*best))).where(F.col("r") <= k)
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.operators import geometry
+from plumbline.operators import geometry, retrieval
 
 
 def plan(df) -> str:
@@ -36,3 +36,20 @@ def test_confirmed_texts_are_those_of_all_pairs(spark):
                 if any(a < b and abs(b - a - t.value) < 0.05 * max(t.value, 1) for a in p for b in p):
                     expected.add((t.sheet, t.text_no))
         assert got == expected and (radius == 25.0 or expected)
+
+
+def test_vector_pairs_are_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 3)
+    monkeypatch.setattr(retrieval, "VECTOR_ROWS", 5)
+    rows = [(i, i % 2, [float(i * 7 % 11 - 5), float(i * 5 % 7 - 3), 1.0]) for i in range(40)] + [(100 + i, 0, [1.0, 2.0, 3.0]) for i in range(15)]
+    rows += [(200, 0, None), (201, 0, [0.0, 0.0, 0.0]), (202, 1, [1.0, None, 2.0]), (203, 1, [1.0, 2.0]), (204, None, [1.0, 2.0, 3.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, project long, embedding array<double>")
+    queries = vectors.where("vec_id % 5 = 0 or vec_id > 200").selectExpr("vec_id query_id", "project", "embedding query_vector")
+    found = retrieval.vector_topk(queries, vectors, 4)
+    assert "FlatMapCoGroupsInArrow" in plan(found) and "BroadcastNestedLoop" not in plan(found)
+    good = [r for r in rows if r[2] and None not in r[2] and any(r[2])]
+    expected = set()
+    for q in (r for r in good if r[0] % 5 == 0 or r[0] > 200):
+        of = [(-round(sum(a * b for a, b in zip(q[2], v[2])) / (sum(a * a for a in q[2]) * sum(b * b for b in v[2])) ** 0.5, 4), v[0]) for v in good if v[1] == q[1] is not None and len(v[2]) == len(q[2])]
+        expected |= {(q[0], v, -s, i + 1) for i, (s, v) in enumerate(sorted(x for x in of if -x[0] >= retrieval.MIN_SCORE)[:4])}
+    assert {(r.query_id, r.vec_id, r.score, r["rank"]) for r in found.collect()} == expected
