@@ -92,8 +92,8 @@ def _probes(queries: DataFrame, index: VectorIndex) -> DataFrame:
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, 32):
+                part = batch.slice(start, 32)
                 rows, fine = _units(part.column(len(columns) - 1), centroids.shape[1])
                 near = rows @ centroids.T
                 order = np.argsort(-near, axis=1, kind="stable")
