@@ -116,19 +116,41 @@ def line_pairs(lines: DataFrame, scales: DataFrame | None = None, max_separation
     return pairs.select("sheet", "orientation", "value", "a_no", "b_no", "f.*")
 
 
+def _gap_counts(batches: Iterator[pa.RecordBatch], low: float, high: float) -> Iterator[pa.RecordBatch]:
+    """sheet, gap, n of rows (sheet, own, beyond): how often each gap from low to high lies between a mark of `own` and a later one of either."""
+    for batch in batches:
+        (own, at), (beyond, next_at) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column("own"), batch.column("beyond")))
+        for i in range(batch.num_rows):
+            marks = np.unique(own[at[i] : at[i + 1]])
+            later = np.concatenate([marks, np.unique(beyond[next_at[i] : next_at[i + 1]])])
+            step, gaps, counts = max(1, 1_000_000 // max(1, len(later))), np.zeros(0), np.zeros(0, np.int64)
+            for start in range(0, len(marks), step):
+                d = later[None, :] - marks[start : start + step, None]
+                found, n = np.unique(d[(d >= low) & (d <= high)], return_counts=True)
+                # Gaps are few where pairs are many: those of the blocks before are added.
+                gaps, where = np.unique(np.concatenate([gaps, found]), return_inverse=True)
+                counts = np.bincount(where, np.concatenate([counts, n]), len(gaps)).astype(np.int64)
+            if len(gaps):
+                yield pa.RecordBatch.from_arrays([batch.column("sheet").take(pa.array(np.full(len(gaps), i))), pa.array(gaps), pa.array(counts)], ["sheet", "gap", "n"])
+
+
 def spacing_histogram(marks: DataFrame, low: float = 50, high: float = 10_000, top: int = 3, least: int = 2) -> DataFrame:
     """sheet, bin, n, spacing: the most frequent spacings between distinct marks (sheet, p) of a sheet; spacing is 5 above the bin's edge.
 
     The bins are (max + 10) / (floor(max / 10) + 1) wide, max being the sheet's greatest spacing; at most `top` with `least` hits.
+
+    Marks have one decimal place, so a strip `high` wide has a bounded number of them, whatever the sheet. A task meets strips with
+    their next ones and counts each gap, so pairs are no rows.
     """
-    d = marks.select("sheet", F.bround("p", 1).alias("p")).distinct()
     strip = F.floor(F.col("p") / high).cast("long")
-    a = d.select("sheet", F.col("p").alias("a"), F.explode(F.array(strip, strip + 1)).alias("strip"))
-    gaps = a.join(d.select("sheet", F.col("p").alias("b"), strip.alias("strip")), ["sheet", "strip"]).withColumn("gap", F.col("b") - F.col("a")).where(F.col("gap").between(low, high))
-    widest = gaps.groupBy("sheet").agg(F.max("gap").alias("m"))
+    placed = marks.select("sheet", F.bround("p", 1).alias("p")).where(F.col("sheet").isNotNull() & F.col("p").isNotNull())
+    both = placed.select("sheet", "p", F.inline(F.array(F.struct(strip.alias("strip"), F.lit(False).alias("next")), F.struct((strip - 1).alias("strip"), F.lit(True).alias("next")))))
+    side = lambda is_next: F.collect_set(F.when(F.col("next") == is_next, F.col("p")))
+    strips = both.groupBy("sheet", "strip").agg(side(False).alias("own"), side(True).alias("beyond")).where(F.size("own") > 0).select("sheet", "own", "beyond")
+    gaps = strips.mapInArrow(lambda batches: _gap_counts(batches, low, high), f"sheet {dict(marks.dtypes)['sheet']}, gap double, n long")
     width = (F.col("m") + 10) / (F.floor(F.col("m") / 10) + 1)
-    binned = gaps.join(widest, "sheet").withColumn("bin", F.floor(F.col("gap") / width).cast("long"))
-    counts = binned.groupBy("sheet", "bin").agg(F.count("*").alias("n"), F.bround(F.first(F.col("bin") * width) + 5, 1).alias("spacing")).where(F.col("n") >= least)
+    binned = gaps.withColumn("m", F.max("gap").over(Window.partitionBy("sheet"))).withColumn("w", width).withColumn("bin", F.floor(F.col("gap") / F.col("w")).cast("long"))
+    counts = binned.groupBy("sheet", "bin").agg(F.sum("n").alias("n"), F.bround(F.first(F.col("bin") * F.col("w")) + 5, 1).alias("spacing")).where(F.col("n") >= least)
     return counts.withColumn("r", F.row_number().over(Window.partitionBy("sheet").orderBy(F.col("n").desc(), "bin"))).where(F.col("r") <= top).drop("r")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from plumbline.operators import geometry, retrieval
 
 
@@ -53,3 +55,18 @@ def test_vector_pairs_are_no_rows(spark, monkeypatch):
         of = [(-round(sum(a * b for a, b in zip(q[2], v[2])) / (sum(a * a for a in q[2]) * sum(b * b for b in v[2])) ** 0.5, 4), v[0]) for v in good if v[1] == q[1] is not None and len(v[2]) == len(q[2])]
         expected |= {(q[0], v, -s, i + 1) for i, (s, v) in enumerate(sorted(x for x in of if -x[0] >= retrieval.MIN_SCORE)[:4])}
     assert {(r.query_id, r.vec_id, r.score, r["rank"]) for r in found.collect()} == expected
+
+
+def test_spacings_are_counted_without_rows_of_pairs(spark):
+    marks = [(s, round(i * i * 7.3 % 25_000 - 900, 2)) for s in (1, 2) for i in range(s * 40)] + [(1, None), (None, 5.0), (3, 1.0)]
+    found = geometry.spacing_histogram(spark.createDataFrame(marks, "sheet long, p double"))
+    assert "Join" not in plan(found)
+    expected = set()
+    for sheet in (1, 2):
+        p = sorted({r[0] for r in spark.createDataFrame(marks, "sheet long, p double").where(f"sheet = {sheet}").select(F.bround("p", 1)).distinct().collect() if r[0] is not None})
+        gaps = [b - a for a in p for b in p if 50 <= b - a <= 10_000]
+        width = (max(gaps) + 10) / (max(gaps) // 10 + 1)
+        bins = [int(g // width) for g in gaps]
+        ranked = sorted(((-bins.count(x), x) for x in set(bins)))[:3]
+        expected |= {(sheet, x, -n) for n, x in ranked if -n >= 2}
+    assert {(r.sheet, r.bin, r.n) for r in found.collect()} == expected
