@@ -97,10 +97,13 @@ def line_pairs(lines: DataFrame, scales: DataFrame | None = None, max_separation
     pairs = home.join(guest.hint("merge"), ["sheet", "orientation", "level", "cell", "strip"]).withColumn("sep", F.abs(F.col("bp") - F.col("ap")))
     once = (F.col("cell") == F.greatest("af", "bf")) & ((F.col("own") < F.col("level")) | (F.col("a_no") < F.col("b_no")))
     pairs = pairs.where(once & (F.least("ah", "bh") - F.greatest("al", "bl") >= MIN_OVERLAP) & F.col("sep").between(MIN_SEPARATION, max_separation) & (F.col("a_no") != F.col("b_no")))
-    pairs = pairs.select("sheet", "orientation", F.bround(F.col("sep") * F.col("mm"), 1).alias("value"), F.least("a_no", "b_no").alias("a_no"), F.greatest("a_no", "b_no").alias("b_no"))
-    # The least pair in two steps of plain numbers: the least struct would be aggregated by sorting all pairs.
-    of_line = pairs.groupBy("sheet", "orientation", "value", "a_no").agg(F.min("b_no").alias("b_no"))
-    first = of_line.groupBy("sheet", "orientation", "value").agg(F.min("a_no").alias("a_no"), F.min_by("b_no", "a_no").alias("b_no"))
+    at = ["level", "cell", "strip"]
+    first = pairs.select("sheet", "orientation", *at, F.bround(F.col("sep") * F.col("mm"), 1).alias("value"), F.least("a_no", "b_no").alias("a_no"), F.greatest("a_no", "b_no").alias("b_no"))
+    # The least pair of each cell, where the pairs are, and then of all: one row a value and cell is shuffled, in place of all pairs. In
+    # two steps of plain numbers each: the least struct would be aggregated by sorting all pairs.
+    for cell in (at, []):
+        of_line = first.groupBy("sheet", "orientation", *cell, "value", "a_no").agg(F.min("b_no").alias("b_no"))
+        first = of_line.groupBy("sheet", "orientation", *cell, "value").agg(F.min("a_no").alias("a_no"), F.min_by("b_no", "a_no").alias("b_no"))
     ends = ("x0", "y0", "x1", "y1")
     side = lambda k: flat.select("sheet", "orientation", F.col("line_no").alias(f"{k}_no"), *[F.col(c).alias(f"{k}_{c}") for c in (*ends, "layer", "p", "lo", "hi", "mm")])
     both = first.join(side("a"), ["sheet", "orientation", "a_no"]).join(side("b"), ["sheet", "orientation", "b_no"]).withColumn("sep", F.abs(F.col("a_p") - F.col("b_p")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import geometry, retrieval
@@ -70,3 +72,9 @@ def test_spacings_are_counted_without_rows_of_pairs(spark):
         ranked = sorted(((-bins.count(x), x) for x in set(bins)))[:3]
         expected |= {(sheet, x, -n) for n, x in ranked if -n >= 2}
     assert {(r.sheet, r.bin, r.n) for r in found.collect()} == expected
+
+
+def test_least_pairs_are_found_before_the_shuffle(spark):
+    lines, _ = _sheet(spark, 30)
+    # The first aggregate of pairs has the keys that cells are dealt by, so it needs no shuffle.
+    assert re.search(r"keys=\[sheet#\d+L, orientation#\d+, level#\d+", plan(geometry.line_pairs(lines)))
