@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import callouts
 from . import geometry
+from .sheets import matched_texts
 
 # Confidences of the passes, and factors to them.
 DIMENSION, TEXT, ANNOTATION, SCHEDULE, PAIR, NAMELESS_PAIR, CIRCLE = 0.95, 0.72, 0.70, 0.65, 0.62, 0.48, 0.60
@@ -51,7 +51,7 @@ def text_pass(texts: DataFrame, dimensions: DataFrame, lines: DataFrame, scales:
     direction is that of the nearest line, ANY where that is diagonal.
     """
     free = geometry.uncovered(texts, dimensions)
-    found = free.select("*", F.posexplode(callouts.text_matches(F.col("text"))).alias("match_no", "m"))
+    found = matched_texts(free)
     found = _scaled(found.withColumn("value", F.get("m.mm_values", F.lit(0))).where("value > 0 or (size(m.mm_values) = 0 and m.annotation is not null)"), scales)
     asked = found.where("value > 0 and penalty = 1").select("sheet", F.struct("text_no", "match_no").alias("text_no"), (F.col("value") / F.col("mm_per_unit")).alias("value"), "x", "y")
     sure = geometry.geometry_confirmed(asked, lines).select("sheet", "text_no.text_no", "text_no.match_no", F.lit(geometry.CONFIRM_BONUS).alias("bonus"))
@@ -96,7 +96,7 @@ def spacing_pass(lines: DataFrame, circles: DataFrame, scales: DataFrame) -> Dat
 def schedule_pass(texts: DataFrame) -> DataFrame:
     """Lengths in the value cells of rows of SCHEDULE and DETAIL sheets, with the words of the row's label."""
     cells = geometry.schedule_rows(texts).select("sheet", "label", F.explode("values").alias("cell"))
-    rows = cells.select("*", F.explode(callouts.text_matches(F.col("cell"))).alias("m")).where(F.size("m.mm_values") > 0)
+    rows = matched_texts(cells.withColumnRenamed("cell", "text")).withColumnRenamed("text", "cell").where(F.size("m.mm_values") > 0)
     return _form(rows, method=F.lit("SCHEDULE"), value_mm=F.get("m.mm_values", F.lit(0)), unit=F.coalesce(F.nullif("m.unit", F.lit("")), F.lit("mm")), confidence=F.lit(SCHEDULE), source_text=F.col("cell"), context_words=_words(F.lower(F.trim("label"))))
 
 

@@ -6,7 +6,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import geometry, retrieval
+from plumbline.functions import callouts
+from plumbline.operators import geometry, retrieval, sheets
 
 
 def plan(df) -> str:
@@ -78,3 +79,12 @@ def test_least_pairs_are_found_before_the_shuffle(spark):
     lines, _ = _sheet(spark, 30)
     # The first aggregate of pairs has the keys that cells are dealt by, so it needs no shuffle.
     assert re.search(r"keys=\[sheet#\d+L, orientation#\d+, level#\d+", plan(geometry.line_pairs(lines)))
+
+
+def test_each_distinct_text_is_matched_once(spark):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["10 mm thk", "10 mm thk", None, "", "none", "2 x 3 mm", "10 mm thk"])], "text_no long, text string")
+    found = sheets.matched_texts(texts)
+    # The patterns are applied to what was written, once a distinct text, not to the rows.
+    assert "regexp" not in plan(found).lower()
+    whole = texts.select("*", F.posexplode(callouts.text_matches(F.col("text"))).alias("match_no", "m"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect())) and found.count()
