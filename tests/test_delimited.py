@@ -84,3 +84,32 @@ def test_what_a_line_does_equals_a_walk(seed):
                     mode = "start" if c == "," else "quoted" if mode == "start" and c == '"' else "plain"
                 at += 1
             assert bool(delimited.moves(line, ",") >> state & 1) == (mode == "quoted"), (line, state)
+
+
+def test_lines_stay_where_they_are_read(spark, small_splits, tmp_path):
+    """No line is shuffled or sorted, however many delimiters a file is tried with; some cells go on over many splits."""
+    want = {}
+    for k, mark in enumerate(delimited.DELIMITERS):
+        long = "\n".join(f'line {i} ""of{mark}"" a cell' for i in range(200))
+        text = table(k, mark, "\n").rstrip("\n") + f'\n1{mark}"{long}"{mark}2\n3{mark}4{mark}5\n' + "more\n" * (k % 2)
+        (tmp_path / f"{k}.csv").write_text(text)
+        want[f"{k}.csv"] = whole(text, mark)
+    # Its first row has two columns in two delimiters, but in the first one no other row fits.
+    (tmp_path / "late.csv").write_text("a,b|c\n" + "1,2,3|4\n" * 300 + "5,x,y|6\n")
+    want["late.csv"] = whole((tmp_path / "late.csv").read_text(), "|")
+    jvm = spark.sparkContext._gateway.jvm
+
+    def stages() -> dict[int, int]:
+        every = spark._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleWriteRecords() for s in (every.apply(i) for i in range(every.size()))}
+
+    ran = set(stages())
+    rows = delimited.delimited_grid(spark, f"file://{tmp_path}").collect()
+    shuffled = [n for stage, n in stages().items() if stage not in ran]
+    assert shuffled and max(shuffled) < sum(p.read_text().count("\n") for p in tmp_path.iterdir()) / 2
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.file, r.row_no)):
+        own = got.setdefault(r.file.split("/")[-1], [])
+        assert r.row_no == len(own)
+        own.append(list(r.cells))
+    assert got == want
