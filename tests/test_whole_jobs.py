@@ -7,10 +7,11 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import callouts
-from plumbline.operators import blocks, geometry, measurements, scratch
+from plumbline.operators import blocks, geometry, measurements, scratch, sheets
 from plumbline.plans import document_queries, drawing_queries, registry, sheet_queries
 
 SF = "/root/testdata/sf0.001"
@@ -192,3 +193,15 @@ def test_repeated_turns_are_kept(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id string, turn long, role string, text string").repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
     want = [(t[1], t[2], n) for n, t in enumerate(sorted(turns, key=lambda t: t[1:])[-6:], 1)]
     assert sorted((r.turn, r.role, r.place) for r in registry.queries()["recent_turns"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("limit", [1_000, 10])
+def test_inserts_of_few_blocks_are_many_tasks(spark, limit):
+    """One block has most of the inserts and entities, and its rows lie in many tasks all the same."""
+    inserts = spark.range(400).selectExpr("id div 10 sheet", "id insert_no", "if(id % 20 = 0, 'b', if(id % 33 = 1, null, 'a')) block_name").coalesce(1)
+    entities = spark.range(90).selectExpr("if(id % 30 = 0, 'b', 'a') block_name", "id entity_no", "concat('t', id) text").unionByName(spark.sql("select cast(null as string) block_name, 7L entity_no, 'x' text"))
+    got = sheets.block_inserts(inserts, entities, 1_500, limit)
+    want = sorted((r.block_name, r.sheet, r.insert_no, e.entity_no, e.text) for r in inserts.collect() for e in entities.collect() if r.block_name is not None and r.block_name == e.block_name)
+    assert sorted(map(tuple, got.collect())) == want
+    tasks = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(tasks) < len(want) / 4
