@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
+from .scratch import broadcast_within, written
 
 NEARBY, MAX_CONTEXT_WORDS = 200.0, 30
 DIRECTION_TOLERANCE = 10.0
 CONFIRM_RADIUS, CONFIRM_TOLERANCE, CONFIRM_BONUS = 400.0, 0.05, 1.10
 TICK_LENGTH, TICK_RADIUS, MERGE_RADIUS, ANGLE_WEIGHT = 30.0, 50.0, 20.0, 5.0
 MIN_OVERLAP, MIN_SEPARATION, MAX_SEPARATION = 5.0, 0.5, 5000.0
+#: Lines of a sheet up to which one task merges its segments.
+SHEET_ROWS = 20_000
 #: Width of the least cells in which parallel lines meet, along the lines, and how much wider those of the next step are.
 OVERLAP_CELL, CELL_STEP = 64.0, 4
 
@@ -223,13 +226,108 @@ def dimension_regions(lines: DataFrame, tick_length: float = TICK_LENGTH, radius
     return long.join(both, ["sheet", "line_no"]).select("sheet", "line_no", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
 
 
-def merged_segments(lines: DataFrame, radius: float = MERGE_RADIUS) -> DataFrame:
+_BOXES = ("sheet", "first_no", "n_lines", "x0", "y0", "x1", "y1")
+
+
+def merged_segments(lines: DataFrame, radius: float = MERGE_RADIUS, sheet_rows: int = SHEET_ROWS) -> DataFrame:
     """sheet, first_no, n_lines, x0, y0, x1, y1: chains of segments within `radius` of each other in midpoint and five times the
     angle become the box of their ends, a segment alone stays as it is. Segments with the same midpoint and angle link as one;
     line_no is unique in a sheet.
+
+    Lines are shuffled once by sheet, and a task links those of a few sheets at a time. Sheets of more than `sheet_rows` lines are
+    linked in cells and rounds of joins, so no task holds one.
     """
+    slim = lines.select("sheet", "line_no", "x0", "y0", "x1", "y1").where("sheet is not null and x0 is not null and y0 is not null and x1 is not null and y1 is not null")
+    counts = slim.groupBy("sheet").agg(F.count("*").alias("n")).where(F.col("n") > sheet_rows).select(F.col("sheet").alias("__large"))
+    large = written(counts, "large-sheets")
+    if not large.limit(1).count():
+        return _merged_in_tasks(slim, radius)
+    of_large = F.col("sheet") == F.col("__large")
+    small = slim.join(broadcast_within(large), of_large, "left_anti")
+    return _merged_in_tasks(small, radius).unionByName(_merged_by_joins(slim.join(broadcast_within(large), of_large, "left_semi"), radius))
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """sheet, line_no and ends of lines with their midpoint (mx, my) and weighed angle (ma)."""
     angle = (F.degrees(F.atan2(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"))) + 180) % 180
-    placed = lines.select("sheet", "line_no", "x0", "y0", "x1", "y1", ((F.col("x0") + F.col("x1")) / 2).alias("mx"), ((F.col("y0") + F.col("y1")) / 2).alias("my"), (angle * ANGLE_WEIGHT).alias("ma"))
+    return lines.select("sheet", "line_no", "x0", "y0", "x1", "y1", ((F.col("x0") + F.col("x1")) / 2).alias("mx"), ((F.col("y0") + F.col("y1")) / 2).alias("my"), (angle * ANGLE_WEIGHT).alias("ma"))
+
+
+def _merged_in_tasks(lines: DataFrame, radius: float) -> DataFrame:
+    # Midpoints and angles follow the shuffle, so that they don't travel.
+    rows = _placed(lines.repartition("sheet").sortWithinPartitions("sheet", F.asc_nulls_last("line_no")))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last sheet of a batch may go on in the next one.
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([*held, batch]).combine_chunks()
+            sheet = whole.column("sheet").to_numpy()
+            cut = int(np.searchsorted(sheet, sheet[-1]))
+            held = whole.slice(cut).to_batches()
+            if cut:
+                yield _boxes(whole.slice(0, cut), radius)
+        if held:
+            yield _boxes(pa.Table.from_batches(held), radius)
+
+    kinds = dict(lines.dtypes)
+    return rows.mapInArrow(merge, f"sheet {kinds['sheet']}, first_no {kinds['line_no']}, n_lines long, x0 double, y0 double, x1 double, y1 double")
+
+
+def _boxes(rows: pa.Table, radius: float) -> pa.RecordBatch:
+    """The chains of the lines of whole sheets, which are sorted by sheet and line_no."""
+    sheet, (x0, y0, x1, y1, mx, my, ma) = rows.column("sheet").to_numpy(), (rows.column(c).to_numpy().astype(float) for c in ("x0", "y0", "x1", "y1", "mx", "my", "ma"))
+    label = _chains(sheet, mx, my, ma, radius)
+    # A chain is named by its first row, so labels in order keep sheets in order.
+    order = np.argsort(label, kind="stable")
+    first, start, n = np.unique(label[order], return_index=True, return_counts=True)
+    low = lambda a, b: np.where(n == 1, a[first], np.minimum.reduceat(np.minimum(a, b)[order], start))
+    high = lambda a, b: np.where(n == 1, b[first], np.maximum.reduceat(np.maximum(a, b)[order], start))
+    named = [rows.column(c).take(pa.array(first)).combine_chunks() for c in ("sheet", "line_no")]
+    return pa.RecordBatch.from_arrays([*named, pa.array(n.astype(np.int64)), *map(pa.array, (low(x0, x1), low(y0, y1), high(x0, x1), high(y0, y1)))], list(_BOXES))
+
+
+def _chains(sheet: np.ndarray, mx: np.ndarray, my: np.ndarray, ma: np.ndarray, radius: float, pairs: int = 1_000_000) -> np.ndarray:
+    """The least row that each row reaches by links. Rows are sorted by sheet and strip of the radius's width, so a row's neighbours to the right
+    are a range; some `pairs` are looked at at a time."""
+    _, group = np.unique(sheet, return_inverse=True)
+    strip = np.unique(np.floor(mx / radius), return_inverse=True)
+    step = np.searchsorted(strip[0], strip[0] + 1, side="right")
+    # Where the next strip is empty the range ends with the own one.
+    width = np.int64(len(strip[0]) + 1)
+    key = group * width + strip[1]
+    order = np.lexsort((mx, key))
+    key, x, y, a = key[order], mx[order], my[order], ma[order]
+    until = np.searchsorted(key, group[order] * width + step[strip[1][order]], side="left")
+    todo = until - np.arange(len(key)) - 1
+    label = np.arange(len(sheet))
+    ends = np.cumsum(todo)
+    at = 0
+    links = []
+    while at < len(key):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + pairs, side="right")))
+        i = np.repeat(np.arange(at, to), todo[at:to])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(todo[at:to]) - todo[at:to], todo[at:to])
+        d = (x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2 + (a[i] - a[j]) ** 2
+        near = d <= radius * radius
+        links.append((order[i[near]], order[j[near]]))
+        at = to
+    a, b = (np.concatenate([p[k] for p in links]) if links else np.zeros(0, np.int64) for k in (0, 1))
+    while len(a):
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        for side in (label[a], label[b], a, b):
+            np.minimum.at(label, side, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
+
+
+def _merged_by_joins(lines: DataFrame, radius: float) -> DataFrame:
+    placed = _placed(lines)
     spots = placed.groupBy("sheet", "mx", "my", "ma").agg(F.min("line_no").alias("spot"))
     a = spots.select("sheet", F.col("spot").alias("a"), F.col("mx").alias("lx"), F.col("my").alias("ly"), F.col("ma").alias("la"))
     b = spots.select("sheet", F.col("spot").alias("b"), F.col("mx").alias("rx"), F.col("my").alias("ry"), F.col("ma").alias("ra"))

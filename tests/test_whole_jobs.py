@@ -205,3 +205,29 @@ def test_inserts_of_few_blocks_are_many_tasks(spark, limit):
     assert sorted(map(tuple, got.collect())) == want
     tasks = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert max(tasks) < len(want) / 4
+
+
+def _shuffled(spark, ask):
+    """What `ask` gives, and the rows that its stages shuffled."""
+    gateway = spark.sparkContext._gateway
+
+    def stages() -> dict[int, int]:
+        new = gateway.jvm.java.util.ArrayList
+        every = spark._jsc.sc().statusStore().stageList(new(), False, False, gateway.new_array(gateway.jvm.double, 0), new())
+        return {s.stageId(): s.shuffleWriteRecords() for s in (every.apply(i) for i in range(every.size()))}
+
+    before = stages()
+    out = ask()
+    return out, sum(n for stage, n in stages().items() if stage not in before)
+
+
+def test_lines_of_a_sheet_are_shuffled_once(spark):
+    """Sheets merged in tasks equal those merged by joins, and a line is shuffled once, not once for each of nine cells and each round."""
+    rng = random.Random(3)
+    at = [(i % 7 % 5, i, float(rng.randrange(900)), float(rng.randrange(900)), i % 2) for i in range(6_000)]
+    lines = spark.createDataFrame([(s, i, x, y, x + 4 * k, y + 4 * (1 - k)) for s, i, x, y, k in at], "sheet long, line_no long, x0 double, y0 double, x1 double, y1 double")
+    rows = lambda *limit: sorted(map(tuple, geometry.merged_segments(lines, 15.0, *limit).collect()))
+    got, n = _shuffled(spark, rows)
+    assert n < 2 * 6_000
+    assert sum(r[2] for r in got) == 6_000 and len(got) > 100 and max(r[2] for r in got) > 5
+    assert got == rows(0) == rows(1_000)
