@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -29,6 +30,7 @@ PASSES = "project string, pass_no long, is_final boolean, document_id string, pl
 
 
 _MERGED = ["project", "parameter", "value", "confidence", "priority", "change_count", "history"]
+_MERGED_TYPES = [pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
 
 
 def _cut(events: list[tuple[float, int]], quiet: float, ceiling: float) -> list[tuple[list[tuple[float, int]], float]]:
@@ -152,15 +154,17 @@ def metrics_sink(read_stream: DataFrame, folder: str):
     return read_stream.writeStream.foreachBatch(each)
 
 
-def _merged(state: tuple | None, rows: pd.DataFrame) -> tuple:
-    for value, confidence, priority in rows[["value", "confidence", "priority"]].itertuples(index=False):
+def _merged(state: tuple | None, rows: Iterable[tuple]) -> tuple:
+    for value, confidence, priority in rows:
         if state is None:
             state = (value, confidence, priority, 0, [])
             continue
         old, sure, rank, changes, history = state
         wins = confidence >= sure + MARGIN or abs(confidence - sure) < MARGIN and priority > rank
         if wins:
-            state = (value, confidence, priority, changes + (value != old), [*history, old] if value != old else history)
+            if value != old:
+                history.append(old)
+            state = (value, confidence, priority, changes + (value != old), history)
     return state
 
 
@@ -169,10 +173,33 @@ def merged_values(values: DataFrame) -> DataFrame:
     priority) in order: a confidence higher by 0.05 wins, within that margin the higher document priority. change_count and
     history tell how often the value changed and what it was before. It stays tentative until a final pass; see lifecycle()."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(pdf["project"].iloc[0], pdf["parameter"].iloc[0], *_merged(None, pdf.sort_values(["seconds", "event_id"])))], columns=_MERGED)
-
-    return values.groupBy("project", "parameter").applyInPandas(fold, MERGED)
+    rows = values.select("project", "parameter", "seconds", "event_id", "value", "confidence", "priority").repartition("project", "parameter")
+    rows = rows.sortWithinPartitions("project", "parameter", F.asc_nulls_last("seconds"), F.asc_nulls_last("event_id"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Values lie in order, so a task holds the state of one key at a time and not its rows.
+        now, state = None, None
+        for batch in batches:
+            keys = list(zip(batch.column("project").to_pylist(), batch.column("parameter").to_pylist(), strict=True))
+            pdf, done = batch.select(["value", "confidence", "priority"]).to_pandas(), []
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            columns = [pdf[c].tolist() for c in pdf]
+            for i, j in itertools.pairwise(cuts):
+                if i == j:
+                    continue
+                if state is not None and keys[i] != now:
+                    done.append((*now, *state))
+                    state = None
+                now, state = keys[i], _merged(state, zip(*[c[i:j] for c in columns], strict=True))
+            if done:
+                yield merged(done)
+        if state is not None:
+            yield merged([(*now, *state)])
+
+    def merged(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, from_pandas=True).cast(t) for c, t in zip(zip(*rows, strict=True), _MERGED_TYPES, strict=True)], _MERGED)
+
+    return rows.mapInArrow(fold, MERGED)
 
 
 def merged_values_stream(values: DataFrame) -> DataFrame:
@@ -180,7 +207,7 @@ def merged_values_stream(values: DataFrame) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values(["seconds", "event_id"])
-        v, c, p, n, history = _merged((*state.get[:4], list(state.get[4])) if state.exists else None, rows)
+        v, c, p, n, history = _merged((*state.get[:4], list(state.get[4])) if state.exists else None, rows[["value", "confidence", "priority"]].itertuples(index=False))
         state.update((float(v), float(c), int(p), int(n), [float(x) for x in history]))
         yield pd.DataFrame([(*key, v, c, p, n, history)], columns=_MERGED)
 

@@ -203,3 +203,27 @@ def test_counts_of_passes_that_find_nothing(spark):
     got = {r.pass_no: (r.n_documents, r.n_updated, r.n_new, r.n_unchanged, r.n_found) for r in changes.value_counts(made, read).collect()}
     assert got == {1: (2, 0, 1, 0, 1), 2: (2, 0, 0, 0, 1), 3: (2, 0, 1, 1, 2)}
     assert changes.value_changes(spark.createDataFrame([], FOUND)).count() == 0
+
+
+def test_values_of_a_key_are_folded_as_they_come(spark):
+    """Keys go on over batches and no task gathers the rows of one; the order of seconds and event_id counts."""
+    rng = random.Random(8)
+    rows = [("p" if i % 3 else f"q{i % 7}", "ab"[i % 2], float(rng.randrange(40)), i, rng.choice([1.0, 2.0, 3.0]), rng.randrange(20) / 20, rng.choice([60, 80, 100])) for i in range(300)]
+    rng.shuffle(rows)
+    values = spark.createDataFrame(rows, "project string, parameter string, seconds double, event_id long, value double, confidence double, priority long")
+    want = {}
+    for project, parameter, _, _, value, sure, rank in sorted(rows, key=lambda r: r[2:4]):
+        old = want.get((project, parameter))
+        if old is None:
+            want[project, parameter] = (value, sure, rank, 0, [])
+        elif sure >= old[1] + 0.05 or abs(sure - old[1]) < 0.05 and rank > old[2]:
+            changed = value != old[0]
+            want[project, parameter] = (value, sure, rank, old[3] + changed, old[4] + [old[0]] * changed)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = intake.merged_values(values)
+        assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {(r.project, r.parameter): tuple(r)[2:] for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
