@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import numbered, written
+from .scratch import broadcast_within, numbered, written
 from .successors import BLOCK_ROWS, chain, last_within, summed
 
 PARENT_WORDS, CHILD_WORDS = 3000, 200
@@ -155,12 +159,101 @@ def overlap_chunks(blocks: DataFrame, size: int = 800, overlap: int = 100, block
     that closes a chunk counts for both, as do its section and subsection, of which a chunk has the last that is not empty.
     Headings are left out.
 
-    A chunk of more pieces than `overlap` is followed by one that begins with its last blocks, so ends follow from ends. One with
-    fewer is carried over whole: from there on every block ends a chunk, and all of these begin at the same block. No task
-    holds a document.
+    Blocks are folded in order, with the last `overlap` of them as state. Documents of more than `block_rows` blocks are cut by a
+    chain of successors, so no task holds one.
     """
     n_words = F.size(F.array_remove(F.split("text", "\\s+"), "")).cast("long").alias("n_words")
     slim = blocks.where("heading = 0").select("doc_id", "block_no", "page", F.nullif("section", F.lit("")).alias("section"), F.nullif("subsection", F.lit("")).alias("subsection"), n_words)
+    slim = written(slim, "slim-blocks")
+    large = written(slim.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > block_rows).select(F.col("doc_id").alias("__large")), "large-documents")
+    if not large.limit(1).count():
+        return _folded_chunks(slim, size, overlap)
+    of_large = F.col("doc_id").eqNullSafe(F.col("__large"))
+    small = _folded_chunks(slim.join(broadcast_within(large), of_large, "left_anti"), size, overlap)
+    return small.unionByName(_chained_chunks(slim.join(broadcast_within(large), of_large, "left_semi"), size, overlap, block_rows))
+
+
+def _folded_chunks(slim: DataFrame, size: int, overlap: int) -> DataFrame:
+    kinds = dict(slim.dtypes)
+    rows = slim.repartition("doc_id").sortWithinPartitions("doc_id", "block_no")
+
+    names = ["doc_id", "chunk_no", "first_block", "last_block", "n_words", "start_page", "end_page", "section", "subsection"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, doc, types = None, None, None
+        for batch in batches:
+            done: list[tuple] = []
+            columns = {c: batch.column(c).to_pylist() for c in ("doc_id", "block_no", "page", "section", "subsection", "n_words")}
+            for d, *block in zip(*columns.values(), strict=True):
+                if chunks is None or d != doc:
+                    if chunks is not None:
+                        done.append((doc, *chunks.closed()))
+                    chunks, doc = _Chunks(size, overlap), d
+                if (chunk := chunks.add(*block)) is not None:
+                    done.append((doc, *chunk))
+            id_, no, page = (batch.schema.field(c).type for c in ("doc_id", "block_no", "page"))
+            types = [id_, pa.int64(), no, no, pa.int64(), page, page, pa.string(), pa.string()]
+            if done:
+                yield told(done, types)
+        if chunks is not None:
+            yield told([(doc, *chunks.closed())], types)
+
+    def told(rows: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    kinds = [kinds["doc_id"], "long", *[kinds["block_no"]] * 2, "long", *[kinds["page"]] * 2, "string", "string"]
+    return rows.mapInArrow(fold, ", ".join(f"{n} {t}" for n, t in zip(names, kinds, strict=True)))
+
+
+class _Chunks:
+    """The chunks of one document's blocks in order; of earlier blocks it holds the last `overlap`."""
+
+    def __init__(self, size: int, overlap: int):
+        self.size, self.overlap = size, overlap
+        # The last blocks as (block_no, words); the pieces of the open chunk are what it carried over and its own blocks.
+        self.recent: deque[tuple[int, int]] = deque(maxlen=overlap)
+        self.number, self.pieces, self.words, self.first, self.last = 0, 0, 0, None, None
+        self.pages: list[int] = []
+        self.section = self.subsection = None
+
+    def add(self, block_no: int, page: int, section: str | None, subsection: str | None, words: int) -> tuple | None:
+        """Takes the next block; the chunk that it closes, if it closes one."""
+        done = None
+        closes = self.last is not None and self.words + words > self.size
+        self._see(page, section, subsection)
+        if closes:
+            done = self.closed()
+            self.number += 1
+            if self.pieces > self.overlap:
+                self.first, self.words = self.recent[0][0], sum(w for _, w in self.recent)
+            # What is carried over is one piece.
+            self.pieces = 1
+            self.pages, self.section, self.subsection = [], None, None
+            self._see(page, section, subsection)
+        if self.last is None:
+            self.first = block_no
+        self.recent.append((block_no, words))
+        self.pieces += 1
+        self.words += words
+        self.last = block_no
+        return done
+
+    def _see(self, page: int | None, section: str | None, subsection: str | None) -> None:
+        if page is not None:
+            self.pages = [min([*self.pages[:1], page]), max([*self.pages[1:], page])]
+        self.section = section if section is not None else self.section
+        self.subsection = subsection if subsection is not None else self.subsection
+
+    def closed(self) -> tuple:
+        low, high = self.pages or (None, None)
+        return (self.number, self.first, self.last, self.words, low, high, self.section, self.subsection)
+
+
+def _chained_chunks(slim: DataFrame, size: int, overlap: int, block_rows: int) -> DataFrame:
+    """overlap_chunks of documents of any size: a chunk of more pieces than `overlap` is followed by one that begins with its last blocks, so
+    ends follow from ends. One with fewer is carried over whole: from there on every block ends a chunk, and all of these begin at
+    the same block.
+    """
     rows = summed(slim, "doc_id", ["block_no"], "n_words")
     sizes = rows.groupBy("doc_id").agg(F.max("n").alias("__size"))
     of_doc = lambda c: F.col("doc_id").eqNullSafe(F.col(c))

@@ -266,6 +266,24 @@ def test_overlapping_chunks_in_blocks_of_any_size(spark, size, overlap, block_ro
     assert sorted(map(tuple, blocks.overlap_chunks(df, size, overlap, block_rows).collect())) == sorted(want)
 
 
+def test_overlapping_chunks_are_folded_in_one_reading(spark):
+    """Documents of usual size need no chain of successors, of which each step is a job with tables of its own."""
+    rng, rows, want = random.Random(1), [], []
+    for doc in range(30):
+        own = [(i, 1 + i // 7, rng.choice(["s", "t", None]), rng.choice(["u", None]), rng.choice([0, 1, 2, 3, 20])) for i in range(rng.randrange(1, 120))]
+        rows += [(doc, b, p, s, u, " ".join(["w"] * w), 0) for b, p, s, u, w in own]
+        want += [(doc, *c) for c in overlapped(own, 40, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, block_no long, page int, section string, subsection string, text string, heading int").repartition(4)
+    spark.sparkContext.setJobGroup("overlap-chunks", "overlap_chunks")
+    try:
+        got = sorted(map(tuple, blocks.overlap_chunks(df, 40, 5).collect()))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("overlap-chunks"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == sorted(want)
+    assert jobs < 12
+
+
 def test_no_task_of_a_chain_holds_a_hot_group(spark):
     n, block = 30_000, 1_000
     steps = spark.range(n).select(F.lit("hot").alias("g"), F.col("id").alias("at"), F.when(F.col("id") < n - 1, F.least(F.col("id") + 1 + F.col("id") % 3, F.lit(n - 1))).alias("next"))
