@@ -207,6 +207,20 @@ def test_inserts_of_few_blocks_are_many_tasks(spark, limit):
     assert max(tasks) < len(want) / 4
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 10])
+def test_inserts_are_written_in_runs(spark, tmp_path, limit):
+    """Files hold a run of inserts for each entity, so that they take a fraction of a byte a row, not a number a row."""
+    inserts = spark.range(1_200).selectExpr("id div 4 sheet", "if(id % 5 = 0, null, id % 4) insert_no", "if(id % 100 = 7, 'c', 'b') block_name").repartition(3)
+    entities = spark.range(2_020).selectExpr("if(id < 20, 'c', 'b') block_name", "id * 7919 entity_no", "if(id % 9 = 0, null, concat('text ', id)) text")
+    sheets.block_inserts(inserts, entities, 1_500_000, limit).write.parquet(f"{tmp_path}/rows")
+    got = spark.read.parquet(f"{tmp_path}/rows")
+    assert got.columns == ["block_name", "sheet", "insert_no", "entity_no", "text"]
+    want = inserts.join(entities, "block_name").select(got.columns)
+    key = lambda df: df.select(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38)"))).first()
+    assert key(got) == key(want) and key(want)[0] == 1_188 * 2_000 + 12 * 20
+    assert sum(p.stat().st_size for p in (tmp_path / "rows").glob("*.parquet")) < 2_200_000
+
+
 def _shuffled(spark, ask):
     """What `ask` gives, and the rows that its stages shuffled."""
     gateway = spark.sparkContext._gateway
