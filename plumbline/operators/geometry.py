@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_EVEN, Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,8 +20,10 @@ DIRECTION_TOLERANCE = 10.0
 CONFIRM_RADIUS, CONFIRM_TOLERANCE, CONFIRM_BONUS = 400.0, 0.05, 1.10
 TICK_LENGTH, TICK_RADIUS, MERGE_RADIUS, ANGLE_WEIGHT = 30.0, 50.0, 20.0, 5.0
 MIN_OVERLAP, MIN_SEPARATION, MAX_SEPARATION = 5.0, 0.5, 5000.0
-#: Lines of a sheet up to which one task merges its segments.
-SHEET_ROWS = 20_000
+#: Lines of a sheet up to which one task takes it whole, and pairs that it looks at together.
+SHEET_ROWS, TASK_PAIRS = 20_000, 1_000_000
+#: Sheets up to which their scales are broadcast.
+SCALE_ROWS = 500_000
 #: Width of the least cells in which parallel lines meet, along the lines, and how much wider those of the next step are.
 OVERLAP_CELL, CELL_STEP = 64.0, 4
 
@@ -60,30 +64,181 @@ def _layer_words(layer: Column) -> Column:
     return F.when(F.length(layer) > 0, F.split(F.lower(layer), r"(?U)[\W_\-]+", -1)).otherwise(F.array().cast("array<string>"))
 
 
-def line_pairs(lines: DataFrame, scales: DataFrame | None = None, max_separation: float = MAX_SEPARATION) -> DataFrame:
+def line_pairs(lines: DataFrame, scales: DataFrame | None = None, max_separation: float = MAX_SEPARATION, sheet_rows: int = SHEET_ROWS, kept: tuple[str, ...] = ()) -> DataFrame:
     """Parallel axis-aligned lines of a sheet that face each other over 5 units or more: the first pair, by line numbers, for each
     separation to a tenth of a millimetre.
 
     sheet, orientation, value (the separation in millimetres to one place), a_no, b_no, value_mm (in full), layer (that of
-    the first line, of the second where that has none; null without), x, y (the middle of all ends) and words (those of both
-    layers). `scales` (sheet, mm_per_unit) turns units into millimetres, one for one where it has none. Lines with the same
-    number make no pair; `layer` may be absent.
+    the first line, of the second where that has none; null without), x, y (the middle of all ends), words (those of both
+    layers) and the columns `kept` of scales. `scales` (sheet, mm_per_unit) turns units into millimetres, one for one where it has none. Lines
+    with the same number make no pair; `layer` may be absent.
 
-    A line lies in cells as wide as its own length up to the next step, so in two at most, whatever its length; two lines
+    Lines are shuffled once by sheet, and a task meets those of a sheet as arrays, so neither pairs nor what is found of cells are rows.
+    The pairs of sheets of more than `sheet_rows` lines are joined by cell, so no task holds one.
+    """
+    layer = F.nullif("layer", F.lit("")) if "layer" in lines.columns else F.lit(None).cast("string")
+    flat = lines.where(F.col("orientation").isin("HORIZONTAL", "VERTICAL")).select("sheet", "orientation", "line_no", layer.alias("layer"), "x0", "y0", "x1", "y1")
+    counts = flat.where("sheet is not null").groupBy("sheet").agg(F.count("*").alias("n")).where(F.col("n") > sheet_rows).select(F.col("sheet").alias("__large"))
+    large = broadcast_within(written(counts, "large-sheets"))
+    of_large = F.col("sheet") == F.col("__large")
+    factor = F.nullif(F.col("mm_per_unit").cast("double"), F.lit(0.0)) if scales is not None else F.lit(1.0)
+    known = broadcast_within(scales.select("sheet", factor.alias("mm"), *kept), SCALE_ROWS) if scales is not None else None
+    small = _pairs_in_tasks(flat.join(large, of_large, "left_anti"), known, max_separation, kept)
+    return small.unionByName(_pairs_by_joins(_scaled(flat.join(large, of_large, "left_semi"), known), max_separation, kept))
+
+
+def _scaled(flat: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Lines with mm, the millimetres of a unit on their sheet."""
+    return flat.join(known, "sheet", "left").withColumn("mm", F.coalesce("mm", F.lit(1.0))) if known is not None else flat.withColumn("mm", F.lit(1.0))
+
+
+def _pairs_in_tasks(flat: DataFrame, known: DataFrame | None, max_separation: float, kept: tuple[str, ...]) -> DataFrame:
+    # Scales follow the shuffle, so that they don't travel.
+    ends = ("x0", "y0", "x1", "y1")
+    whole = flat.where(" and ".join(f"{c} is not null" for c in ("sheet", "line_no", *ends))).repartition("sheet")
+    rows = _scaled(whole, known).select(*flat.columns, "mm", *kept).sortWithinPartitions("sheet", "orientation", "line_no", *ends, "layer")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sheets in _whole_sheets(batches):
+            yield from _first_pairs(sheets, max_separation, kept)
+
+    kinds = dict(rows.dtypes)
+    form = [("sheet", kinds["sheet"]), ("orientation", "string"), ("value", "double"), ("a_no", kinds["line_no"]), ("b_no", kinds["line_no"]), ("value_mm", "double"), ("a_layer", "string"), ("b_layer", "string"), ("x", "double"), ("y", "double"), *[(c, kinds[c]) for c in kept]]
+    found = rows.mapInArrow(meet, ", ".join(f"`{c}` {kind}" for c, kind in form))
+    words = F.concat(_layer_words(F.col("a_layer")), _layer_words(F.col("b_layer")))
+    return found.select("sheet", "orientation", "value", "a_no", "b_no", "value_mm", F.coalesce("a_layer", "b_layer").alias("layer"), "x", "y", words.alias("words"), *kept)
+
+
+def _measurable(rows: pa.Table) -> pa.Table:
+    """Lines that another one can face, with their place across (p) and their ends along (lo, hi)."""
+    level = pc.equal(rows.column("orientation"), "HORIZONTAL").to_numpy()
+    x0, y0, x1, y1 = (rows.column(c).to_numpy().astype(float) for c in ("x0", "y0", "x1", "y1"))
+    along, across = (np.where(level, x0, y0), np.where(level, x1, y1)), np.where(level, y0 + y1, x0 + x1) / 2
+    # As in Spark, not-a-number is above all numbers.
+    lo, hi = np.fmin(*along), np.maximum(*along)
+    for c, v in (("p", across), ("lo", lo), ("hi", hi)):
+        rows = rows.append_column(c, pa.array(v))
+    return rows.filter(pa.array(~(hi - lo < MIN_OVERLAP)))
+
+
+def _starts(rows: pa.Table, *keys: str) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    n = rows.num_rows
+    differ = np.zeros(max(n - 1, 0), bool)
+    for key in keys:
+        column = rows.column(key)
+        differ |= pc.not_equal(column.slice(1), column.slice(0, max(n - 1, 0))).to_numpy()
+    return np.concatenate([[0], np.nonzero(differ)[0] + 1, [n]]).astype(np.int64)
+
+
+def _whole_sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches of rows sorted by sheet, cut where sheets end: the last one of a batch may go on in the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cut = int(_starts(pa.Table.from_batches([batch]), "sheet")[-2])
+        if not cut and held and held[-1].column("sheet")[-1] == batch.column("sheet")[0]:
+            held.append(batch)
+            continue
+        whole = pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+        held = [batch.slice(cut)]
+        if whole.num_rows:
+            yield whole
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _tenths(x: np.ndarray) -> np.ndarray:
+    """Numbers to one place as Spark's bround gives them: half to even by the digits that a number is written with."""
+    t = x * 10
+    value = np.rint(t) / 10
+    # Where the product may have been rounded onto a half or off it the digits decide.
+    with np.errstate(invalid="ignore"):
+        unsure = np.isfinite(x) & (np.abs(t - np.floor(t) - 0.5) <= 1e-9 * np.maximum(1.0, np.abs(t)))
+    if unsure.any():
+        asked, at = np.unique(x[unsure], return_inverse=True)
+        value[unsure] = np.array([float(Decimal(repr(float(v))).quantize(Decimal("0.1"), ROUND_HALF_EVEN)) if abs(v) < 1e15 else v for v in asked])[at]
+    return value
+
+
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Where each value occurs first."""
+    tenths = np.rint(values * 10)
+    if len(values) and 0 <= tenths.min() and tenths.max() < 1 << 20:
+        # Values are whole tenths: the last to be put in a place is the first of all, read from behind.
+        place = np.full(int(tenths.max()) + 1, -1, np.int64)
+        place[tenths[::-1].astype(np.int64)] = np.arange(len(values) - 1, -1, -1)
+        return place[place >= 0]
+    return np.unique(values, return_index=True)[1]
+
+
+def _first_pairs(rows: pa.Table, max_separation: float, kept: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The first pairs of the lines of whole sheets, which are sorted by sheet, orientation, line_no, ends and layer."""
+    rows = _measurable(rows).combine_chunks()
+    p, lo, hi, mm = (rows.column(c).to_numpy() for c in ("p", "lo", "hi", "mm"))
+    starts = _starts(rows, "sheet", "orientation")
+    number = np.zeros(rows.num_rows, np.int64)
+    numbers = _starts(rows, "sheet", "orientation", "line_no")
+    number[numbers[1:-1]] = 1
+    number = np.cumsum(number)
+    found, n_found = [], 0
+    for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if end - start < 2:
+            continue
+        own = slice(start, end)
+        i, j, value = _of_sheet(p[own], lo[own], hi[own], mm[start], number[own] - number[start], max_separation)
+        found.append((i + start, j + start, value))
+        n_found += len(i)
+        if n_found > TASK_PAIRS:
+            yield _pair_rows(rows, found, kept)
+            found, n_found = [], 0
+    if found:
+        yield _pair_rows(rows, found, kept)
+
+
+def _of_sheet(p: np.ndarray, lo: np.ndarray, hi: np.ndarray, mm: float, number: np.ndarray, max_separation: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j, value: the first pair of each separation among lines in order; number tells those of the same line number."""
+    n, shared = len(p), number[-1] < len(p) - 1
+    parts = []
+
+    def least(i: np.ndarray, j: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if shared:
+            order = np.argsort(number[i] * n + number[j], kind="stable")
+            i, j, value = i[order], j[order], value[order]
+        first = np.sort(_firsts(value))
+        return i[first], j[first], value[first]
+
+    step = max(1, TASK_PAIRS // n)
+    for start in range(0, n, step):
+        a, b = slice(start, min(n, start + step)), slice(start, n)
+        sep = np.abs(p[b] - p[a, None])
+        facing = (number[b] > number[a, None]) & (sep >= MIN_SEPARATION) & (sep <= max_separation)
+        facing &= ~(np.fmin(hi[b], hi[a, None]) - np.maximum(lo[b], lo[a, None]) < MIN_OVERLAP)
+        i, j = np.nonzero(facing)
+        parts.append(least(i + start, j + start, _tenths(sep[i, j] * mm)))
+    return parts[0] if len(parts) == 1 else least(*(np.concatenate([part[k] for part in parts]) for k in range(3)))
+
+
+def _pair_rows(rows: pa.Table, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], kept: tuple[str, ...]) -> pa.RecordBatch:
+    i, j, value = (np.concatenate([part[k] for part in found]) for k in range(3))
+    own = lambda c, at: rows.column(c).take(pa.array(at)).combine_chunks()
+    ends = {c: rows.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1", "p", "mm")}
+    middle = lambda c: (ends[f"{c}0"][i] + ends[f"{c}1"][i] + ends[f"{c}0"][j] + ends[f"{c}1"][j]) / 4
+    columns = {"sheet": own("sheet", i), "orientation": own("orientation", i), "value": pa.array(value), "a_no": own("line_no", i), "b_no": own("line_no", j), "value_mm": pa.array(np.abs(ends["p"][i] - ends["p"][j]) * ends["mm"][i]), "a_layer": own("layer", i), "b_layer": own("layer", j), "x": pa.array(middle("x")), "y": pa.array(middle("y"))}
+    columns |= {c: own(c, i) for c in kept}
+    return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns.values()], list(columns))
+
+
+def _pairs_by_joins(flat: DataFrame, max_separation: float, kept: tuple[str, ...]) -> DataFrame:
+    """A line lies in cells as wide as its own length up to the next step, so in two at most, whatever its length; two lines
     meet in the cells of the longer one, and in strips of the other axis max_separation wide. Each pair meets once.
     """
     horizontal = F.col("orientation") == "HORIZONTAL"
-    layer = F.nullif("layer", F.lit("")) if "layer" in lines.columns else F.lit(None).cast("string")
-    flat = lines.where(F.col("orientation").isin("HORIZONTAL", "VERTICAL")).select(
-        "sheet", "orientation", "line_no", layer.alias("layer"), "x0", "y0", "x1", "y1",
-        (F.when(horizontal, F.col("y0") + F.col("y1")).otherwise(F.col("x0") + F.col("x1")) / 2).alias("p"),
-        F.when(horizontal, F.least("x0", "x1")).otherwise(F.least("y0", "y1")).alias("lo"), F.when(horizontal, F.greatest("x0", "x1")).otherwise(F.greatest("y0", "y1")).alias("hi"),
-    ).where(F.col("hi") - F.col("lo") >= MIN_OVERLAP)
-    factor = F.lit(1.0)
-    if scales is not None:
-        known = scales.select("sheet", F.nullif(F.col("mm_per_unit").cast("double"), F.lit(0.0)).alias("mm_per_unit"))
-        flat, factor = flat.join(known, "sheet", "left"), F.coalesce("mm_per_unit", F.lit(1.0))
-    flat = flat.withColumn("mm", factor)
+    flat = flat.withColumns({
+        "p": F.when(horizontal, F.col("y0") + F.col("y1")).otherwise(F.col("x0") + F.col("x1")) / 2,
+        "lo": F.when(horizontal, F.least("x0", "x1")).otherwise(F.least("y0", "y1")), "hi": F.when(horizontal, F.greatest("x0", "x1")).otherwise(F.greatest("y0", "y1")),
+    }).where(F.col("hi") - F.col("lo") >= MIN_OVERLAP)
     level = F.greatest(F.lit(0), F.ceil(F.log(float(CELL_STEP), (F.col("hi") - F.col("lo")) / OVERLAP_CELL))).cast("int")
     flat = flat.withColumn("level", level).withColumn("strip", F.floor(F.col("p") / max_separation).cast("long"))
     # A handful of numbers: the steps of length that occur, and whether lines lie in more than one strip.
@@ -108,14 +263,14 @@ def line_pairs(lines: DataFrame, scales: DataFrame | None = None, max_separation
         of_line = first.groupBy("sheet", "orientation", *cell, "value", "a_no").agg(F.min("b_no").alias("b_no"))
         first = of_line.groupBy("sheet", "orientation", *cell, "value").agg(F.min("a_no").alias("a_no"), F.min_by("b_no", "a_no").alias("b_no"))
     ends = ("x0", "y0", "x1", "y1")
-    side = lambda k: flat.select("sheet", "orientation", F.col("line_no").alias(f"{k}_no"), *[F.col(c).alias(f"{k}_{c}") for c in (*ends, "layer", "p", "lo", "hi", "mm")])
+    side = lambda k: flat.select("sheet", "orientation", F.col("line_no").alias(f"{k}_no"), *[F.col(c).alias(f"{k}_{c}") for c in (*ends, "layer", "p", "lo", "hi", "mm", *kept)])
     both = first.join(side("a"), ["sheet", "orientation", "a_no"]).join(side("b"), ["sheet", "orientation", "b_no"]).withColumn("sep", F.abs(F.col("a_p") - F.col("b_p")))
     # Where lines share a number, that of the least coordinates which makes the pair.
     both = both.where((F.bround(F.col("sep") * F.col("a_mm"), 1) == F.col("value")) & F.col("sep").between(MIN_SEPARATION, max_separation) & (F.least("a_hi", "b_hi") - F.greatest("a_lo", "b_lo") >= MIN_OVERLAP))
     middle = lambda c: ((F.col(f"a_{c}0") + F.col(f"a_{c}1") + F.col(f"b_{c}0") + F.col(f"b_{c}1")) / 4).alias(c)
     found = F.struct(
         (F.col("sep") * F.col("a_mm")).alias("value_mm"), F.coalesce("a_layer", "b_layer").alias("layer"), middle("x"), middle("y"),
-        F.concat(_layer_words(F.col("a_layer")), _layer_words(F.col("b_layer"))).alias("words"),
+        F.concat(_layer_words(F.col("a_layer")), _layer_words(F.col("b_layer"))).alias("words"), *[F.col(f"a_{c}").alias(c) for c in kept],
     )
     least = F.struct(*[f"{k}_{c}" for k in "ab" for c in (*ends, "layer")])
     pairs = both.groupBy("sheet", "orientation", "value", "a_no", "b_no").agg(F.min_by(found, least).alias("f"))

@@ -7,6 +7,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,3 +246,27 @@ def test_lines_of_a_sheet_are_shuffled_once(spark):
     assert n < 2 * 6_000
     assert sum(r[2] for r in got) == 6_000 and len(got) > 100 and max(r[2] for r in got) > 5
     assert got == rows(0) == rows(1_000)
+
+
+def test_lines_that_pair_are_shuffled_once(spark):
+    """Pairs of sheets met in tasks equal those met by joins, with numbers and places in common, and are no rows: a line is shuffled once."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(1_500):
+        along, across, long = rng.randrange(60) * 7.0, rng.choice([i % 200, rng.randrange(900) / 4, rng.randrange(300) * 0.05]), rng.choice([4.9, 5.0, 60.0, 700.0])
+        ends = (along, across, along + long, across) if i % 2 else (across, along + long, across, along)
+        rows.append((i % 7 % 4, rng.randrange(900), *map(float, ends), "HORIZONTAL" if i % 2 else "VERTICAL", rng.choice(["A-x", "", None, "B_y z"])))
+    rows += [(1, None, 0.0, 0.0, 90.0, 0.0, "HORIZONTAL", "c"), (None, 3, 0.0, 9.0, 90.0, 9.0, "HORIZONTAL", "c"), (1, 3, 0.0, None, 90.0, 0.0, "HORIZONTAL", "c"), (2, 3, 0.0, 0.0, 90.0, 90.0, "DIAGONAL", "c")]
+    lines = spark.createDataFrame(rows, "sheet long, line_no long, x0 double, y0 double, x1 double, y1 double, orientation string, layer string")
+    scales = spark.createDataFrame([(0, 1.0, "a"), (1, 25.4, "b"), (2, 0.35, "c")], "sheet long, mm_per_unit double, mark string")
+    pairs = lambda *limit: sorted(map(repr, geometry.line_pairs(lines, scales, 5_000.0, *limit, kept=("mark",)).collect()))
+    got, n = _shuffled(spark, pairs)
+    assert n < 2 * len(rows) < len(got)
+    assert got == pairs(0) == pairs(400)
+
+
+def test_tenths_are_those_of_the_digits(spark):
+    x = [0.05, 0.15, 0.25, 0.35, 1.45, 2.675, 0.15000000000000002, 0.24999999999999997, 8.85 * 25.4, 1e15 + 0.5, 3e18, 4999.95, 0.0] + [k * 0.05 * 25.4 for k in range(400)] + [k / 20 for k in range(2_000)]
+    want = [r.v for r in spark.createDataFrame(list(enumerate(x)), "i int, x double").orderBy("i").select(F.bround("x", 1).alias("v")).collect()]
+    assert geometry._tenths(np.array(x)).tolist() == want
+    assert sorted(geometry._firsts(np.array(want)).tolist()) == sorted({v: want.index(v) for v in want}.values())
