@@ -27,9 +27,13 @@ def _form(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select(*[given[f].alias(f) for f in FIELDS])
 
 
+def _penalty() -> Column:
+    return F.when(F.col("known"), 1.0).otherwise(UNKNOWN_SCALE).alias("penalty")
+
+
 def _scaled(rows: DataFrame, scales: DataFrame) -> DataFrame:
     """Rows with mm_per_unit (1 where unknown) and the factor to confidences of their sheet."""
-    known = scales.select("sheet", "mm_per_unit", F.when(F.col("known"), 1.0).otherwise(UNKNOWN_SCALE).alias("penalty"))
+    known = scales.select("sheet", "mm_per_unit", _penalty())
     return rows.drop("mm_per_unit", "penalty").join(known, "sheet", "left").withColumn("mm_per_unit", F.coalesce(F.nullif("mm_per_unit", F.lit(0.0)), F.lit(1.0))).withColumn("penalty", F.coalesce("penalty", F.lit(UNKNOWN_SCALE)))
 
 
@@ -70,8 +74,9 @@ def text_pass(texts: DataFrame, dimensions: DataFrame, lines: DataFrame, scales:
 def pair_pass(lines: DataFrame, scales: DataFrame) -> DataFrame:
     """Separations of parallel lines, one for each tenth of a millimetre, with the words of their layers and the middle of their
     ends; less sure where neither line's layer has a name."""
-    rows = _scaled(geometry.line_pairs(lines, scales), scales)
-    sure = F.least(F.lit(1.0), F.when(F.col("layer").isNotNull(), PAIR).otherwise(NAMELESS_PAIR) * F.col("penalty"))
+    # Pairs bring the factor of their sheet along: joined to them it would take a shuffle of all pairs.
+    rows = geometry.line_pairs(lines, scales.select("sheet", "mm_per_unit", _penalty()), kept=("penalty",))
+    sure = F.least(F.lit(1.0), F.when(F.col("layer").isNotNull(), PAIR).otherwise(NAMELESS_PAIR) * F.coalesce("penalty", F.lit(UNKNOWN_SCALE)))
     return _form(rows, method=F.lit("GEOMETRY"), value_mm=F.col("value_mm"), confidence=sure, source_text=F.format_string("%.1fmm (geometry)", F.col("value_mm")), x=F.col("x"), y=F.col("y"), direction=F.col("orientation"), context_words=F.col("words"))
 
 
