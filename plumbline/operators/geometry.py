@@ -43,20 +43,142 @@ def near(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return a.join(b.hint("merge"), ["sheet", "cx", "cy"]).withColumn("distance", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))).where(F.col("distance") <= radius).drop("cx", "cy")
 
 
-def nearby_words(dimensions: DataFrame, texts: DataFrame, radius: float = NEARBY) -> DataFrame:
-    """sheet, dim_no, words: distinct lower-case words of texts within the radius of a dimension, in text order, at most 30."""
-    pairs = near(dimensions.select("sheet", "dim_no", F.col("x").alias("lx"), F.col("y").alias("ly")), texts.select("sheet", "text_no", "text", F.col("x").alias("rx"), F.col("y").alias("ry")), radius)
-    words = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("text_no", "text"))), lambda t: F.split(F.lower(t["text"]), " +")))
-    found = pairs.groupBy("sheet", "dim_no").agg(F.slice(F.array_distinct(F.array_remove(words, "")), 1, MAX_CONTEXT_WORDS).alias("words"))
+def _large_sheets(rows: DataFrame, sheet_rows: int) -> DataFrame | None:
+    """The sheets (__large) of more than `sheet_rows` rows; none without one."""
+    counts = rows.where("sheet is not null").groupBy("sheet").agg(F.count("*").alias("n")).where(F.col("n") > sheet_rows).select(F.col("sheet").alias("__large"))
+    large = written(counts, "large-sheets")
+    return broadcast_within(large) if large.limit(1).count() else None
+
+
+def _of(rows: DataFrame, large: DataFrame | None, how: str) -> DataFrame:
+    """`rows` on large sheets (left_semi) or on the others (left_anti)."""
+    if large is None:
+        return rows if how == "left_anti" else rows.where("false")
+    return rows.join(large, F.col("sheet") == F.col("__large"), how)
+
+
+def nearby_words(dimensions: DataFrame, texts: DataFrame, radius: float = NEARBY, sheet_rows: int = SHEET_ROWS) -> DataFrame:
+    """sheet, dim_no, words: distinct lower-case words of texts within the radius of a dimension, in text order, at most 30.
+
+    A dimension meets the list of its sheet's texts, so texts are shuffled once and pairs are no rows; those of sheets of more than
+    `sheet_rows` texts meet by cell.
+    """
+    spots = dimensions.select("sheet", "dim_no", F.col("x").alias("lx"), F.col("y").alias("ly"))
+    placed = texts.where("text is not null").select("sheet", "text_no", "text", F.col("x").alias("rx"), F.col("y").alias("ry"))
+    large = _large_sheets(placed, sheet_rows)
+    words = lambda near_texts: F.slice(F.array_distinct(F.array_remove(F.flatten(F.transform(near_texts, lambda t: F.split(F.lower(t["text"]), " +"))), "")), 1, MAX_CONTEXT_WORDS).alias("words")
+    lists = _of(placed, large, "left_anti").where("sheet is not null").groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("text_no", "text", "rx", "ry"))).alias("texts"))
+    of_dim = _of(spots, large, "left_anti").groupBy("sheet", "dim_no").agg(F.collect_set(F.struct("lx", "ly")).alias("spots"))
+    within = lambda t: F.exists("spots", lambda p: F.hypot(p["lx"] - t["rx"], p["ly"] - t["ry"]) <= radius)
+    found = of_dim.join(lists.hint("merge"), "sheet").select("sheet", "dim_no", words(F.filter("texts", within)))
+    if large is not None:
+        pairs = near(_of(spots, large, "left_semi"), _of(placed, large, "left_semi"), radius)
+        found = found.unionByName(pairs.groupBy("sheet", "dim_no").agg(words(F.array_sort(F.collect_list(F.struct("text_no", "text"))))))
     return dimensions.select("sheet", "dim_no").join(found, ["sheet", "dim_no"], "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
 
 
-def nearest_line(points: DataFrame, lines: DataFrame, radius: float = NEARBY) -> DataFrame:
+def nearest_line(points: DataFrame, lines: DataFrame, radius: float = NEARBY, sheet_rows: int = SHEET_ROWS) -> DataFrame:
     """sheet, point_no, line_no, orientation of the line whose midpoint is nearest within the radius, the first on ties."""
-    mid = lines.select("sheet", "line_no", "orientation", ((F.col("x0") + F.col("x1")) / 2).alias("rx"), ((F.col("y0") + F.col("y1")) / 2).alias("ry"))
-    pairs = near(points.select("sheet", "point_no", F.col("x").alias("lx"), F.col("y").alias("ly")), mid, radius)
+    spots = points.where("x is not null and y is not null").select("sheet", "point_no", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    found = beside_lines(spots, lines, radius, sheet_rows=sheet_rows).where("distance is not null")
     best = F.struct("distance", "line_no")
-    return pairs.groupBy("sheet", "point_no").agg(F.min_by("line_no", best).alias("line_no"), F.min_by("orientation", best).alias("orientation"))
+    return found.groupBy("sheet", "point_no").agg(F.min_by("line_no", best).alias("line_no"), F.min_by("orientation", best).alias("orientation"))
+
+
+def beside_lines(points: DataFrame, lines: DataFrame, radius: float = NEARBY, confirm_radius: float = CONFIRM_RADIUS, tolerance: float = CONFIRM_TOLERANCE, sheet_rows: int = SHEET_ROWS) -> DataFrame:
+    """`points` (sheet, x, y, ...) with line_no, orientation and distance of the line whose midpoint is nearest within the radius (null without
+    one), and confirmed: whether two parallel lines near them are `asked` apart (see geometry_confirmed), false where that is null or absent.
+
+    Points and lines are shuffled once by sheet, and a task meets those of a sheet as arrays: pairs are no rows, and what is found needs no join.
+    Sheets of more than `sheet_rows` lines or points are joined by cell.
+    """
+    points = points if "asked" in points.columns else points.withColumn("asked", F.lit(None).cast("double"))
+    mid = lines.where("sheet is not null").select("sheet", F.col("line_no").alias("__no"), F.col("orientation").alias("__way"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    mid = mid.where("x is not null and y is not null")
+    sides = (mid.select("sheet", F.lit(False).alias("side")), points.select("sheet", F.lit(True).alias("side")))
+    counts = sides[0].unionByName(sides[1]).where("sheet is not null").groupBy("sheet", "side").agg(F.count("*").alias("n")).where(F.col("n") > sheet_rows).select(F.col("sheet").alias("__large")).distinct()
+    large = written(counts, "large-sheets")
+    large = broadcast_within(large) if large.limit(1).count() else None
+    found = _beside_in_tasks(_of(points, large, "left_anti"), _of(mid, large, "left_anti"), radius, confirm_radius, tolerance)
+    if large is None:
+        return found
+    return found.unionByName(_beside_by_joins(_of(points, large, "left_semi"), lines.join(large, F.col("sheet") == F.col("__large"), "left_semi"), radius, confirm_radius, tolerance))
+
+
+def _beside_by_joins(points: DataFrame, lines: DataFrame, radius: float, confirm_radius: float, tolerance: float) -> DataFrame:
+    # Ids differ from one reading to another, so they are written.
+    held = written(points.withColumn("__id", F.monotonically_increasing_id()), "points")
+    mid = lines.select("sheet", "line_no", "orientation", ((F.col("x0") + F.col("x1")) / 2).alias("rx"), ((F.col("y0") + F.col("y1")) / 2).alias("ry"))
+    pairs = near(held.select("sheet", "__id", F.col("x").alias("lx"), F.col("y").alias("ly")), mid, radius)
+    best = F.min(F.struct("distance", "line_no", "orientation")).alias("__best")
+    nearest = pairs.groupBy("__id").agg(best).select("__id", "__best.*")
+    sure = geometry_confirmed(held.select("sheet", F.col("__id").alias("text_no"), "x", "y", F.col("asked").alias("value")), lines, confirm_radius, tolerance).select(F.col("text_no").alias("__id"), F.lit(True).alias("__sure"))
+    both = held.join(nearest, "__id", "left").join(sure, "__id", "left")
+    return both.select(*points.columns, "line_no", "orientation", "distance", F.coalesce("__sure", F.lit(False)).alias("confirmed"))
+
+
+def _beside_in_tasks(points: DataFrame, mid: DataFrame, radius: float, confirm_radius: float, tolerance: float) -> DataFrame:
+    kinds, of_line = dict(points.dtypes), dict(mid.dtypes)
+    names = points.columns
+    rest = [c for c in names if c not in ("sheet", "x", "y")]
+    both = mid.select("sheet", "x", "y", F.lit(False).alias("__point"), "__no", "__way", *[F.lit(None).cast(kinds[c]).alias(c) for c in rest])
+    own = points.select("sheet", "x", "y", F.lit(True).alias("__point"), F.lit(None).cast(of_line["__no"]).alias("__no"), F.lit(None).cast("string").alias("__way"), *rest)
+    rows = both.unionByName(own).repartition("sheet").sortWithinPartitions("sheet", "__point", "__no")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sheets in _whole_sheets(batches):
+            found = _beside(sheets, radius, confirm_radius, tolerance)
+            yield from found.select([*names, "line_no", "orientation", "distance", "confirmed"]).to_batches()
+
+    form = ", ".join(f"`{c}` {kinds[c]}" for c in names)
+    return rows.mapInArrow(meet, f"{form}, line_no {of_line['__no']}, orientation string, distance double, confirmed boolean")
+
+
+def _beside(rows: pa.Table, radius: float, confirm_radius: float, tolerance: float) -> pa.Table:
+    """The points of whole sheets, whose lines are sorted and come before them, with what is found of the lines."""
+    number = lambda c: rows.column(c).to_numpy().astype(float)
+    x, y, asked, point = number("x"), number("y"), number("asked"), rows.column("__point").to_numpy()
+    ways = [pc.fill_null(pc.equal(rows.column("__way"), way), False).to_numpy() for way in ("HORIZONTAL", "VERTICAL")]
+    best, distance, sure = np.full(len(x), -1, np.int64), np.full(len(x), np.nan), np.zeros(len(x), bool)
+    starts = _starts(rows, "sheet")
+    before = np.concatenate([[0], np.cumsum(~point)])
+    for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        split = start + int(before[end] - before[start])
+        held = start + np.nonzero(~(np.isnan(x[start:split]) | np.isnan(y[start:split])))[0]
+        if not len(held):
+            continue
+        across = [(line := held[way[held]])[np.argsort(at[line], kind="stable")] for way, at in zip(ways, (y, x), strict=True)]
+        step = max(1, TASK_PAIRS // len(held))
+        for at in range(split, end, step):
+            to = min(end, at + step)
+            d = np.sqrt((x[at:to, None] - x[held]) ** 2 + (y[at:to, None] - y[held]) ** 2)
+            nearest = d.argmin(axis=1)
+            least = d[np.arange(to - at), nearest]
+            hit = np.nonzero(least <= radius)[0]
+            best[at + hit], distance[at + hit] = held[nearest[hit]], least[hit]
+            asking = at + np.nonzero(asked[at:to] > tolerance)[0]
+            for line, place in zip(across, (y, x), strict=True):
+                if len(asking) and len(line) > 1:
+                    close = np.sqrt((x[asking, None] - x[line]) ** 2 + (y[asking, None] - y[line]) ** 2) <= confirm_radius
+                    sure[asking] |= _any_separated(close, place[line], asked[asking], tolerance)
+    at = pa.array(best[point], mask=best[point] < 0)
+    out = rows.filter(rows.column("__point"))
+    for name, column in (("line_no", rows.column("__no").take(at)), ("orientation", rows.column("__way").take(at)), ("distance", pa.array(distance[point], mask=best[point] < 0)), ("confirmed", pa.array(sure[point]))):
+        out = out.append_column(name, column)
+    return out
+
+
+def _any_separated(close: np.ndarray, places: np.ndarray, value: np.ndarray, tolerance: float) -> np.ndarray:
+    """For each row of `close`, which tells the lines near a text, whether two of them are its value apart; places are sorted. See _separated."""
+    n = len(places)
+    slack = tolerance * np.maximum(value, 1.0)
+    after = np.searchsorted(places, (places[None, :] + value[:, None] - slack[:, None]).ravel(), side="right").reshape(close.shape)
+    # The next line near the text from each place on.
+    ahead = np.full((len(close), n + 1), n, np.int64)
+    ahead[:, :n] = np.minimum.accumulate(np.where(close, np.arange(n), n)[:, ::-1], axis=1)[:, ::-1]
+    following = np.take_along_axis(ahead, after, axis=1)
+    beyond = np.append(places, np.inf)[following]
+    return (close & (beyond < places[None, :] + value[:, None] + slack[:, None])).any(axis=1)
 
 
 def _layer_words(layer: Column) -> Column:
@@ -122,12 +244,12 @@ def _measurable(rows: pa.Table) -> pa.Table:
 
 
 def _starts(rows: pa.Table, *keys: str) -> np.ndarray:
-    """Where runs of equal keys begin, and the end."""
+    """Where runs of equal keys begin, and the end; a null equals none."""
     n = rows.num_rows
     differ = np.zeros(max(n - 1, 0), bool)
     for key in keys:
         column = rows.column(key)
-        differ |= pc.not_equal(column.slice(1), column.slice(0, max(n - 1, 0))).to_numpy()
+        differ |= pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, max(n - 1, 0))), True).to_numpy()
     return np.concatenate([[0], np.nonzero(differ)[0] + 1, [n]]).astype(np.int64)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import geometry
+from .scratch import broadcast_within
 from .sheets import matched_texts
 
 # Confidences of the passes, and factors to them.
@@ -33,7 +34,7 @@ def _penalty() -> Column:
 
 def _scaled(rows: DataFrame, scales: DataFrame) -> DataFrame:
     """Rows with mm_per_unit (1 where unknown) and the factor to confidences of their sheet."""
-    known = scales.select("sheet", "mm_per_unit", _penalty())
+    known = broadcast_within(scales.select("sheet", "mm_per_unit", _penalty()), geometry.SCALE_ROWS)
     return rows.drop("mm_per_unit", "penalty").join(known, "sheet", "left").withColumn("mm_per_unit", F.coalesce(F.nullif("mm_per_unit", F.lit(0.0)), F.lit(1.0))).withColumn("penalty", F.coalesce("penalty", F.lit(UNKNOWN_SCALE)))
 
 
@@ -57,17 +58,17 @@ def text_pass(texts: DataFrame, dimensions: DataFrame, lines: DataFrame, scales:
     free = geometry.uncovered(texts, dimensions)
     found = matched_texts(free)
     found = _scaled(found.withColumn("value", F.get("m.mm_values", F.lit(0))).where("value > 0 or (size(m.mm_values) = 0 and m.annotation is not null)"), scales)
-    asked = found.where("value > 0 and penalty = 1").select("sheet", F.struct("text_no", "match_no").alias("text_no"), (F.col("value") / F.col("mm_per_unit")).alias("value"), "x", "y")
-    sure = geometry.geometry_confirmed(asked, lines).select("sheet", "text_no.text_no", "text_no.match_no", F.lit(geometry.CONFIRM_BONUS).alias("bonus"))
-    way = geometry.nearest_line(free.select("sheet", F.col("text_no").alias("point_no"), "x", "y"), lines).select("sheet", F.col("point_no").alias("text_no"), "orientation")
-    rows = found.join(sure, ["sheet", "text_no", "match_no"], "left").join(way, ["sheet", "text_no"], "left")
+    values = F.when(F.size("m.mm_values") > 1, F.col("m.mm_values")).otherwise(F.array().cast("array<double>"))
+    asked = F.when((F.col("value") > 0) & (F.col("penalty") == 1), F.col("value") / F.col("mm_per_unit"))
+    slim = found.select("sheet", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "text", "layer", "value", "penalty", asked.alias("asked"), "m.unit", "m.qualifier", "m.annotation", values.alias("values"))
+    rows = geometry.beside_lines(slim, lines)
     note = F.col("value").isNull()
-    certain = F.col("penalty") * F.when(F.col("m.unit") != "", WITH_UNIT).otherwise(WITHOUT_UNIT) * F.coalesce("bonus", F.lit(1.0))
+    certain = F.col("penalty") * F.when(F.col("unit") != "", WITH_UNIT).otherwise(WITHOUT_UNIT) * F.when(F.col("confirmed"), geometry.CONFIRM_BONUS).otherwise(1.0)
     return _form(
-        rows, method=F.when(note | F.contains(F.upper("layer"), F.lit("MTEXT")), "MTEXT").otherwise("TEXT"), value_mm=F.coalesce("value", F.lit(0.0)), unit=F.when(note, "").otherwise(F.col("m.unit")),
+        rows, method=F.when(note | F.contains(F.upper("layer"), F.lit("MTEXT")), "MTEXT").otherwise("TEXT"), value_mm=F.coalesce("value", F.lit(0.0)), unit=F.when(note, "").otherwise(F.col("unit")),
         confidence=F.when(note, ANNOTATION * F.col("penalty")).otherwise(F.least(F.lit(1.0), TEXT * certain)), source_text=F.col("text"), x=F.col("x"), y=F.col("y"),
-        direction=F.when(note | (F.col("orientation") == "DIAGONAL"), "ANY").otherwise(F.coalesce("orientation", F.lit("ANY"))), qualifier=F.col("m.qualifier"), annotation=F.col("m.annotation"),
-        values_mm=F.when(F.size("m.mm_values") > 1, F.col("m.mm_values")).otherwise(F.array().cast("array<double>")), context_words=_words(F.col("text")),
+        direction=F.when(note | (F.col("orientation") == "DIAGONAL"), "ANY").otherwise(F.coalesce("orientation", F.lit("ANY"))), qualifier=F.col("qualifier"), annotation=F.col("annotation"),
+        values_mm=F.col("values"), context_words=_words(F.col("text")),
     )
 
 

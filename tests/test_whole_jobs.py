@@ -270,3 +270,37 @@ def test_tenths_are_those_of_the_digits(spark):
     want = [r.v for r in spark.createDataFrame(list(enumerate(x)), "i int, x double").orderBy("i").select(F.bround("x", 1).alias("v")).collect()]
     assert geometry._tenths(np.array(x)).tolist() == want
     assert sorted(geometry._firsts(np.array(want)).tolist()) == sorted({v: want.index(v) for v in want}.values())
+
+
+def test_points_meet_the_lines_of_their_sheet(spark):
+    """What is found in tasks equals what is found by joins and in plain Python; points and lines are shuffled once, pairs are no rows."""
+    rng = random.Random(9)
+    lines = [(i % 5, rng.randrange(300), *(p := (rng.randrange(120) * 5.0, rng.randrange(120) * 5.0)), p[0] + 8 * (i % 2), p[1] + 8 * (1 - i % 2), "HORIZONTAL" if i % 2 else "VERTICAL") for i in range(800)]
+    points = [(i % 6 if i % 50 else None, i, rng.randrange(600) * 1.0 if i % 31 else None, rng.randrange(600) * 1.0, rng.choice([None, 0.01, 7.0, 20.0, 35.5]), f"t{i}") for i in range(600)]
+    of_lines = spark.createDataFrame([*lines, (None, 1, 0.0, 0.0, 8.0, 0.0, "HORIZONTAL")], "sheet long, line_no long, x0 double, y0 double, x1 double, y1 double, orientation string")
+    of_points = spark.createDataFrame(points, "sheet long, point_no long, x double, y double, asked double, text string")
+    ask = lambda *limit: {r.point_no: (r.text, r.line_no, r.orientation, r.distance and round(r.distance, 9), r.confirmed) for r in geometry.beside_lines(of_points, of_lines, 25.0, 60.0, 0.05, *limit).collect()}
+    got, n = _shuffled(spark, ask)
+    want = {}
+    for sheet, no, x, y, asked, text in points:
+        near = [] if None in (sheet, x) else [(math.dist((x, y), ((n[2] + n[4]) / 2, (n[3] + n[5]) / 2)), n[1], n[6], (n[3] + n[5]) / 2 if n[6] == "HORIZONTAL" else (n[2] + n[4]) / 2) for n in lines if n[0] == sheet]
+        best = min([m for m in near if m[0] <= 25], default=None)
+        sure = asked is not None and asked > 0.05 and any(a[2] == b[2] and abs(b[3] - a[3] - asked) < 0.05 * max(asked, 1) for a in near for b in near if a[0] <= 60 and b[0] <= 60)
+        want[no] = (text, best and best[1], best and best[2], best and round(best[0], 9), sure)
+    short = lambda rows: {k: (v[0], v[1], v[3], v[4]) for k, v in rows.items()}
+    assert short(got) == short(want) == short(ask(0)) and short(ask(90)) == short(want)
+    assert {v[4] for v in want.values()} == {True, False} and n < 2 * (len(lines) + len(points))
+
+
+def test_words_near_dimensions_are_no_rows_of_pairs(spark):
+    rng = random.Random(11)
+    texts = spark.createDataFrame([(i % 4, i, rng.choice(["Typ  Wall", "a b", "", None, f"N {i}"]), rng.randrange(300) * 1.0, rng.randrange(300) * 1.0) for i in range(900)], "sheet long, text_no long, text string, x double, y double")
+    dims = spark.createDataFrame([(i % 5, i // 2, rng.randrange(300) * 1.0, rng.randrange(300) * 1.0) for i in range(200)], "sheet long, dim_no long, x double, y double")
+    ask = lambda *limit: sorted((r.sheet, r.dim_no, r.words) for r in geometry.nearby_words(dims, texts, 120.0, *limit).collect())
+    got, n = _shuffled(spark, ask)
+    near = lambda sheet, no: [t for t in sorted(texts.where(f"sheet = {sheet} and text is not null").collect(), key=lambda t: t.text_no) if any(math.dist((t.x, t.y), (m.x, m.y)) <= 120 for m in of[sheet, no])]
+    of = defaultdict(list)
+    for m in dims.collect():
+        of[m.sheet, m.dim_no].append(m)
+    want = [(s, no, list(dict.fromkeys(w for t in near(s, no) for w in t.text.lower().split(" ") if w))[:30]) for s, no in list(of)[:25]]
+    assert all(w in got for w in want) and got == ask(0) == ask(210) and n < 900 + 5 * 200
