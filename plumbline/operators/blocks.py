@@ -75,16 +75,25 @@ def section_flags(filled: DataFrame) -> DataFrame:
     return section_groups(filled, keep_run=True).join(flags, ["doc_id", "run"]).drop("run")
 
 
+def _per_parent(parent_words: int, child_words: int) -> int:
+    """A whole parent and its children."""
+    return 1 + -(-parent_words // child_words)
+
+
+def _n_chunks(n: Column, parent_words: int, child_words: int) -> Column:
+    """Chunks of both levels of a section of n words."""
+    rest = n % parent_words
+    return F.floor(n / parent_words) * _per_parent(parent_words, child_words) + F.when(rest > 0, 1 + F.ceil(rest / child_words)).otherwise(0)
+
+
 def parent_child_chunks(sections: DataFrame, parent_words: int = PARENT_WORDS, child_words: int = CHILD_WORDS) -> DataFrame:
     """Level 0 chunks of up to parent_words words, each followed by level 1 chunks of up to child_words of it.
 
     chunk_index runs through a document; parent_index is null at level 0; prev and next link siblings inside one parent. The
     number of chunks of a section follows from its words, so indexes are sums over sections and no chunk is sorted.
     """
-    per_parent = 1 + -(-parent_words // child_words)
-    n = F.size("words")
-    rest = n % parent_words
-    n_chunks = F.floor(n / parent_words) * per_parent + F.when(rest > 0, 1 + F.ceil(rest / child_words)).otherwise(0)
+    per_parent, n = _per_parent(parent_words, child_words), F.size("words")
+    n_chunks = _n_chunks(n, parent_words, child_words)
     before = Window.partitionBy("doc_id").orderBy("section_no").rowsBetween(Window.unboundedPreceding, -1)
     based = sections.withColumn("base", F.coalesce(F.sum(n_chunks).over(before), F.lit(0)).cast("int")).where(n > 0)
     slices = lambda words, step: F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(step)), lambda at: F.slice(words, at + 1, F.lit(step)))
@@ -102,6 +111,19 @@ def parent_child_chunks(sections: DataFrame, parent_words: int = PARENT_WORDS, c
     )
 
 
+def parent_places(blocks: DataFrame, parent_words: int = PARENT_WORDS, child_words: int = CHILD_WORDS) -> DataFrame:
+    """doc_id, project, chunk_index, n_words, n_tokens of the level 0 chunks that parent_child_chunks makes of the sections of `blocks` (see
+    lines_as_blocks). They follow from numbers of words, so only headings travel as texts."""
+    sized = blocks.select("doc_id", "project", "block_no", "heading", F.when(F.col("heading") > 0, F.col("text")).alias("text"), F.when(F.col("heading") == 0, F.size(F.array_remove(F.split("text", " +"), ""))).alias("n_words"))
+    sections = _runs(heading_fill(sized)).where("heading = 0").groupBy("doc_id", "project", "run").agg(F.sum("n_words").cast("int").alias("n"))
+    per_parent, n = _per_parent(parent_words, child_words), F.col("n")
+    before = Window.partitionBy("doc_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    based = sections.withColumn("base", F.coalesce(F.sum(_n_chunks(n, parent_words, child_words)).over(before), F.lit(0)).cast("int")).where(n > 0)
+    parents = based.select("doc_id", "project", "base", "n", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / parent_words).cast("int"))).alias("p"))
+    size = F.least(F.lit(parent_words), n - F.col("p") * parent_words)
+    return parents.select("doc_id", "project", (F.col("base") + F.col("p") * per_parent).alias("chunk_index"), size.cast("long").alias("n_words"), estimated_tokens(size).alias("n_tokens"))
+
+
 def interleaved(chunks: DataFrame) -> DataFrame:
     """Adds turn (rank in the document) and ordinal: documents of a project take turns. No task holds a whole project."""
     turn = F.row_number().over(Window.partitionBy("project", "doc_id").orderBy("chunk_index"))

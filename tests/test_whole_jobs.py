@@ -222,14 +222,14 @@ def test_inserts_are_written_in_runs(spark, tmp_path, limit):
     assert sum(p.stat().st_size for p in (tmp_path / "rows").glob("*.parquet")) < 2_200_000
 
 
-def _shuffled(spark, ask):
-    """What `ask` gives, and the rows that its stages shuffled."""
+def _shuffled(spark, ask, number="shuffleWriteRecords"):
+    """What `ask` gives, and the rows (or bytes) that its stages shuffled."""
     gateway = spark.sparkContext._gateway
 
     def stages() -> dict[int, int]:
         new = gateway.jvm.java.util.ArrayList
         every = spark._jsc.sc().statusStore().stageList(new(), False, False, gateway.new_array(gateway.jvm.double, 0), new())
-        return {s.stageId(): s.shuffleWriteRecords() for s in (every.apply(i) for i in range(every.size()))}
+        return {s.stageId(): getattr(s, number)() for s in (every.apply(i) for i in range(every.size()))}
 
     before = stages()
     out = ask()
@@ -304,3 +304,19 @@ def test_words_near_dimensions_are_no_rows_of_pairs(spark):
         of[m.sheet, m.dim_no].append(m)
     want = [(s, no, list(dict.fromkeys(w for t in near(s, no) for w in t.text.lower().split(" ") if w))[:30]) for s, no in list(of)[:25]]
     assert all(w in got for w in want) and got == ask(0) == ask(210) and n < 900 + 5 * 200
+
+
+def test_batches_are_made_without_texts(spark, tmp_path):
+    """Chunks are numbered by what is known of their sections' sizes: their words are neither shuffled nor written."""
+    rng = random.Random(13)
+    line = lambda: rng.choice(["", "   ", "Head", "A subheading of some words here", "x " * 300, "tab\there  and   double spaces that are longer than forty characters", " ".join(f"{rng.random()}" for _ in range(rng.randrange(5, 400)))])
+    docs = [(i, "\n".join(line() for _ in range(rng.randrange(40))) if i % 9 else [None, "", "Only", " \n"][i // 9 % 4], f"s{i % 3}") for i in range(120)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    chunks = document_queries._chunks(spark, str(tmp_path)).where("chunk_level = 0")
+    places = blocks.parent_places(blocks.lines_as_blocks(document_queries.table(spark, str(tmp_path), "documents")), 300, 50)
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "project", "chunk_index", "n_words", "n_tokens").collect()))
+    assert rows(places) == rows(chunks) and places.select("chunk_index", "n_words", "n_tokens").dtypes == chunks.select("chunk_index", "n_words", "n_tokens").dtypes
+    want = sorted((r.project, r.ordinal, (r.ordinal - 1) // 25) for r in blocks.interleaved(chunks).collect())
+    got, n = _shuffled(spark, lambda: sorted(map(tuple, registry.queries()["fixed_batches"](spark, str(tmp_path)).collect())), "shuffleWriteBytes")
+    assert got == want and want
+    assert n < sum(len(text or "") for _, text, _ in docs) / 4
